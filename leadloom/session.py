@@ -52,7 +52,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application."""
+    """Send this package to the executors' Python once per application, and keep Arrow batches of long texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

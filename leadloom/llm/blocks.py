@@ -91,12 +91,12 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return (sums[stop] - sums[start]) * powers(len(sums), inverse=True)[start]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop of every word, and each document's first word number (one more than documents)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SEPARATOR[data]
+    inside = ~separators[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     begins, ends = inside.copy(), inside.copy()
@@ -120,7 +120,3 @@ def chained(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * BASE + hashes[k : k + m]
     return mix(out)
-
-
-def long_ids(column: pa.Array) -> list:
-    return column.to_pylist()

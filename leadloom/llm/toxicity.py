@@ -1,8 +1,8 @@
 """Severity of toxic language by cumulative-link ordinal regression on sparse text features.
 
-Features are hashed words (runs of letters, A-Z lowered), one for each that
-occurs.  One weight vector serves all thresholds: P(grade > k) is the logistic
-function of the weighted sum less threshold k.  Labels say toxic or not; grades
+Features are hashed words (runs of letters, A-Z lowered) and word beginnings, one
+for each that occurs.  One weight vector serves all thresholds: P(grade > k) is
+the logistic function of the weighted sum less threshold k.  Labels say toxic or not; grades
 1 and 2 part the toxic labelled rows at the median share of words that mark
 toxic rows.  The model is fitted on a bounded sample of labelled rows and
 scores every whole text.
@@ -26,11 +26,13 @@ from .blocks import TO_LOWER, U, find_words, mix, prefix_sums, span_hashes
 from .quality import labelled_sample
 from .tokens import text_blocks
 
-#: Labelled rows in the fit at most, hash buckets, features kept (those that part the labels best), and rows that must have a feature.
-LABELLED_ROWS, BUCKETS, FEATURES, LEAST_ROWS = 20_000, 1 << 20, 512, 5
-#: Features of this many standard deviations or more between toxic and other rows are kept.
-LEAST_Z = 6.0
-STEPS, RATE, RIDGE = 600, 1.0, 1e-4
+#: Labelled rows in the fit at most, hash buckets, features kept (those that mark toxic rows best), and rows that must have a feature.
+LABELLED_ROWS, BUCKETS, FEATURES, LEAST_ROWS = 20_000, 1 << 20, 1024, 4
+#: A feature's excess in toxic rows, in standard deviations and as a share of the strongest feature's.
+LEAST_Z, LEAST_PART = 5.0, 0.2
+STEPS, RATE, RIDGE = 1500, 0.3, 1e-5
+#: Bytes of the word beginnings that are features beside whole words.
+BEGINNINGS = (4, 5, 6)
 
 #: Bytes that part words of letters: ASCII other than letters.
 NOT_LETTER = np.ones(256, bool)
@@ -50,20 +52,35 @@ class SeverityModel:
         return 1 / (1 + np.exp(-(sums[:, None] - self.cuts[None, :])))
 
 
-def document_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner and bucket of every distinct feature of a document, and each document's words."""
+def document_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and bucket of every distinct feature of a document (of those ``wanted``, a flag for each bucket), and each document's words."""
     start, stop, at = find_words(data, offsets, NOT_LETTER)
-    hashes = mix(span_hashes(prefix_sums(TO_LOWER[data]), start, stop) + (stop - start).astype(U))
-    bucket = (hashes & U(BUCKETS - 1)).astype(np.int64)
+    sums = prefix_sums(TO_LOWER[data])
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    pairs = np.unique(owner * BUCKETS + bucket)
-    return pairs // BUCKETS, pairs % BUCKETS, np.diff(at)
+    pairs = []
+    for size in (None, *BEGINNINGS):
+        long = slice(None) if size is None else stop - start > size
+        a, b, who = start[long], stop[long] if size is None else start[long] + size, owner[long]
+        bucket = (mix(span_hashes(sums, a, b) + U(size or 0)) & U(BUCKETS - 1)).astype(np.int64)
+        if wanted is not None:
+            bucket, who = bucket[wanted[bucket]], who[wanted[bucket]]
+        pairs.append(who * BUCKETS + bucket)
+    found = np.unique(np.concatenate(pairs))
+    return found // BUCKETS, found % BUCKETS, np.diff(at)
+
+
+def flags(buckets: np.ndarray) -> np.ndarray:
+    out = np.zeros(BUCKETS, bool)
+    out[buckets] = True
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text: str = "text", key: str = "doc_id") -> SeverityModel:
     ship(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "toxic", rows))
-    marked = docs.select(docs[key].cast("long").alias("l_id"), docs[text].cast("string").alias("text")).join(sample, "l_id").select("label", "text")
+    marked = docs.select(docs[key].cast("long").alias("l_id"), docs[text].cast("string").alias("text")).join(sample, "l_id")
+    # Copies of one text count once: else their other words would mark toxicity.
+    marked = marked.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
     blank = SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.array([50.0, 51.0]))
 
     def count(batches):
@@ -85,21 +102,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text:
         return blank
     share, p0, p1 = (F.col("clean") + F.col("toxic")) / F.lit(float(n0 + n1)), F.col("clean") / F.lit(float(n0)), F.col("toxic") / F.lit(float(n1))
     z = (p1 - p0) / F.sqrt(share * (1 - share) * F.lit(1.0 / n0 + 1.0 / n1) + F.lit(1e-12))
-    chosen = counts.where((F.col("bucket") >= 0) & (F.col("clean") + F.col("toxic") >= LEAST_ROWS)).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
-    buckets = np.array(sorted(r["bucket"] for r in chosen.orderBy(F.abs("z").desc(), "bucket").limit(FEATURES).collect()), np.int64)
-    marks = np.array(sorted(r["bucket"] for r in chosen.where("z > 0").orderBy(F.col("z").desc(), "bucket").limit(FEATURES).collect()), np.int64)
-    if not len(marks):
+    ranked = counts.where((F.col("bucket") >= 0) & (F.col("clean") + F.col("toxic") >= LEAST_ROWS)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    top = ranked.orderBy(F.col("z").desc(), "bucket").limit(FEATURES).select("bucket", "z").collect()
+    buckets = np.array(sorted(r["bucket"] for r in top if r["z"] >= LEAST_PART * top[0]["z"]), np.int64)
+    if not len(buckets):
         return blank
 
     def rows_of(batches):
+        wanted = flags(buckets)
         for rows_, offsets, data in text_blocks(batches):
-            owner, bucket, words = document_features(data, offsets)
+            owner, bucket, words = document_features(data, offsets, wanted)
             docs_ = len(offsets) - 1
-            marked_words = np.bincount(owner[np.isin(bucket, marks)], minlength=docs_)
-            at = np.searchsorted(buckets, bucket)
-            known = buckets[np.minimum(at, len(buckets) - 1)] == bucket
-            bounds = np.searchsorted(owner[known], np.arange(docs_ + 1))
-            features = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at[known].astype(np.int32)))
+            marked_words = np.bincount(owner, minlength=docs_)
+            bounds = np.searchsorted(owner, np.arange(docs_ + 1))
+            features = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(marked_words / np.maximum(words, 1)), features], ["label", "share", "features"])
 
     table = marked.mapInArrow(rows_of, "label int, share double, features array<int>")
@@ -108,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text:
 
 
 def ordinal_fit(rows: list[tuple[int, float, list[int], int]], features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and two thresholds by gradient steps on the cumulative-link likelihood."""
+    """Weights and two thresholds by adaptive gradient steps on the cumulative-link likelihood."""
     label = np.array([r[0] for r in rows])
     share, weight = np.array([r[1] for r in rows]), np.array([r[3] for r in rows], float)
     toxic = np.repeat(share[label == 1], weight[label == 1].astype(int))
@@ -119,7 +135,7 @@ def ordinal_fit(rows: list[tuple[int, float, list[int], int]], features: int) ->
     weight = weight * np.where(grade > 0, weight[grade == 0].sum() / max(weight[grade > 0].sum(), 1), 1.0)
     weight /= weight.sum()
     w, base, gap = np.zeros(features), 0.0, 0.0  # thresholds: base and base + exp(gap)
-    speed = np.zeros(features + 2)
+    past = np.zeros(features + 2)
     for _ in range(STEPS):
         sums = np.bincount(owner, w[column], len(rows))
         cuts = np.array([base, base + np.exp(gap)])
@@ -131,8 +147,10 @@ def ordinal_fit(rows: list[tuple[int, float, list[int], int]], features: int) ->
         d_sum = weight * (upper - lower)
         d_cut = [float((weight * (np.where(grade == k, lower, 0) - np.where(grade == k + 1, upper, 0))).sum()) for k in (0, 1)]
         step = np.concatenate([np.bincount(column, d_sum[owner], features) - RIDGE * w, [d_cut[0] + d_cut[1], d_cut[1] * np.exp(gap)]])
-        speed = 0.9 * speed + step
-        w, base, gap = w + RATE * speed[:-2], base + RATE * speed[-2], gap + RATE * speed[-1]
+        past += step * step
+        step = RATE * step / np.sqrt(past + 1e-12)
+        # Features mark toxicity, none speaks against it.
+        w, base, gap = np.maximum(w + step[:-2], 0), base + step[-2], gap + step[-1]
     return w.round(9), np.array([base, base + np.exp(gap)]).round(9)
 
 
@@ -145,12 +163,10 @@ def grade_documents(docs: DataFrame, model: SeverityModel, *, text: str = "text"
 
     def work(batches):
         own = SeverityModel(*shared.value)
+        wanted = flags(own.buckets)
         for rows, offsets, data in text_blocks(batches):
-            sums = np.zeros(len(offsets) - 1)
-            if len(own.buckets):
-                owner, bucket, _ = document_features(data, offsets)
-                at = np.minimum(np.searchsorted(own.buckets, bucket), len(own.buckets) - 1)
-                sums = np.bincount(owner, np.where(own.buckets[at] == bucket, own.weights[at], 0.0), len(offsets) - 1)
+            owner, bucket, _ = document_features(data, offsets, wanted)
+            sums = np.bincount(owner, own.weights[np.searchsorted(own.buckets, bucket)], len(offsets) - 1)
             above = own.above(sums).round(9)
             grade = (above >= 0.5).sum(axis=1)
             columns = [rows.column(0), pa.array(above[:, 0]), pa.array(above[:, 1]), pa.array(above.sum(axis=1).round(9)), pa.array(grade.astype(np.int32)), pa.array(grade > 0), *rows.columns[2:]]

@@ -3,7 +3,7 @@
 Features are hashed words (runs of letters, A-Z lowered) and word beginnings, one
 for each that occurs.  One weight vector serves all thresholds: P(grade > k) is
 the logistic function of the weighted sum less threshold k.  Labels say toxic or not; grades
-1 and 2 part the toxic labelled rows at the median share of words that mark
+1 and 2 part the toxic labelled rows at the median number of features that mark
 toxic rows.  The model is fitted on a bounded sample of labelled rows and
 scores every whole text.
 
@@ -111,26 +111,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text:
     def rows_of(batches):
         wanted = flags(buckets)
         for rows_, offsets, data in text_blocks(batches):
-            owner, bucket, words = document_features(data, offsets, wanted)
-            docs_ = len(offsets) - 1
-            marked_words = np.bincount(owner, minlength=docs_)
-            bounds = np.searchsorted(owner, np.arange(docs_ + 1))
+            owner, bucket, _ = document_features(data, offsets, wanted)
+            bounds = np.searchsorted(owner, np.arange(len(offsets)))
             features = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows_.column(0), pa.array(marked_words / np.maximum(words, 1)), features], ["label", "share", "features"])
+            yield pa.RecordBatch.from_arrays([rows_.column(0), features], ["label", "features"])
 
-    table = marked.mapInArrow(rows_of, "label int, share double, features array<int>")
-    found = table.groupBy("label", "features", "share").agg(F.count("*").alias("n")).orderBy("label", "share", "features").collect()  # at most `rows` rows of at most FEATURES numbers
-    return SeverityModel(buckets, *ordinal_fit([(r["label"], r["share"], r["features"], r["n"]) for r in found], len(buckets)))
+    table = marked.mapInArrow(rows_of, "label int, features array<int>")
+    found = table.groupBy("label", "features").agg(F.count("*").alias("n")).orderBy("label", "features").collect()  # at most `rows` rows of at most FEATURES numbers
+    return SeverityModel(buckets, *ordinal_fit([(r["label"], r["features"], r["n"]) for r in found], len(buckets)))
 
 
-def ordinal_fit(rows: list[tuple[int, float, list[int], int]], features: int) -> tuple[np.ndarray, np.ndarray]:
+def ordinal_fit(rows: list[tuple[int, list[int], int]], features: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and two thresholds by adaptive gradient steps on the cumulative-link likelihood."""
     label = np.array([r[0] for r in rows])
-    share, weight = np.array([r[1] for r in rows]), np.array([r[3] for r in rows], float)
-    toxic = np.repeat(share[label == 1], weight[label == 1].astype(int))
-    grade = np.where(label == 1, 1 + (share > np.median(toxic)), 0)
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    column = np.fromiter((c for r in rows for c in r[2]), np.int64, len(owner))
+    marks, weight = np.array([len(r[1]) for r in rows]), np.array([r[2] for r in rows], float)
+    toxic = np.repeat(marks[label == 1], weight[label == 1].astype(int))
+    grade = np.where(label == 1, 1 + (marks > np.median(toxic)), 0)
+    owner = np.repeat(np.arange(len(rows)), marks)
+    column = np.fromiter((c for r in rows for c in r[1]), np.int64, len(owner))
     # Toxic rows are few: each side has the same say.
     weight = weight * np.where(grade > 0, weight[grade == 0].sum() / max(weight[grade > 0].sum(), 1), 1.0)
     weight /= weight.sum()

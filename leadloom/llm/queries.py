@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_counts, toxicity
+from . import bpe, media, packing, quality, token_counts, toxicity
 from .tokens import tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -36,6 +40,6 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op4_quality_rules, op6_token_counts, op8_best_fit_packing, op9_toxicity_grades)}
+QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op4_quality_rules, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
 
 ORACLE_SQL: dict[str, str] = {}

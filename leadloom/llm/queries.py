@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, token_counts, toxicity
+from . import bpe, media, packing, quality, token_counts, toxicity, warc
 from .tokens import tokenizer_path
 
 
@@ -23,6 +23,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture", "archive", "offset", "merge_range", "place")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -40,6 +45,6 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op4_quality_rules, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
+QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
 
 ORACLE_SQL: dict[str, str] = {}

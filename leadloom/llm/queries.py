@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, token_counts, toxicity, warc
+from . import bpe, media, near_dups, packing, quality, token_counts, toxicity, warc
 from .tokens import tokenizer_path
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.linked(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -45,6 +49,6 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
 
 ORACLE_SQL: dict[str, str] = {}

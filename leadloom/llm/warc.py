@@ -34,8 +34,6 @@ LEAST_REVISIT = 1000
 #: Bytes of payload in an archive, and index lines that one merge task takes, about.
 ARCHIVE_BYTES = 16 << 20
 MERGED_LINES = 20_000
-#: A hot digest's pages are dealt to groups of about this many.
-TOGETHER = 2_000
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
@@ -56,17 +54,15 @@ def url_key(url: Column) -> Column:
 def captures(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Pages with their payload digest and the id that a revisit refers to.
 
-    Copies are counted by digest first.  Only digests of several pages join,
-    and a hot one meets its pages in as many groups as its count asks for.
+    Copies are counted by digest first, and only digests of several pages are
+    on the right of the join.  Pages move once; where a digest is hot, adaptive
+    execution splits its pages among tasks, as each digest is one row on the right.
     """
     body = F.encode(F.coalesce(pages[payload].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     sums = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    groups = sums.withColumn("groups", F.ceil(F.col("n") / TOGETHER)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    hot = sums.where(F.col("n") > TOGETHER).select("digest", F.ceil(F.col("n") / TOGETHER).alias("own"))  # at most rows / TOGETHER digests
-    dealt = rows.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.col("own"), F.lit(1))))
-    found = dealt.drop("own").join(groups.select("digest", "salt", "first_id"), ["digest", "salt"], "left").drop("salt")
+    found = rows.join(sums.select("digest", "first_id"), "digest", "left")
     # The largest id is the response; of rows that repeat it, each is.
     return found.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 

@@ -87,7 +87,7 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id (null: NO_ID), n (set size), node (hash of the set; null without one) and signature of every document."""
+    """id (null: NO_ID), text_hash, n (set size), node (hash of the set; null without one) and signature of every document."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -103,9 +103,11 @@ def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
                 node[some] = mix(sums + n[some].astype(U)).view(np.int64)
                 for k, row in zip(some.tolist(), signatures(grams, starts)):
                     signature[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary())], ["id", "n", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary())], ["id", "text_hash", "n", "node", "signature"])
 
-    return docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), docs[text].cast("string").alias("text")).mapInArrow(work, "id long, n long, node long, signature binary")
+    body = docs[text].cast("string")
+    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
+    return rows.mapInArrow(work, "id long, text_hash long, n long, node long, signature binary")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document, and its class (hash of the set)."""
+    """doc_id, n_shingles, component_id and kept of every document, with its class (hash of the set), the class that names its component, and text_hash."""
     sets = written(document_sets(docs, text=text, key=key), "sets")
     classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     keys = chunk_keys(classes)
@@ -233,11 +235,11 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
             links = links.union(more)
             roots = written(components(links), "roots")
     if roots is None:
-        labels = classes.select("node", F.col("id").alias("component"))
+        labels = classes.select("node", F.col("id").alias("component"), F.col("node").alias("root"))
     else:
         owned = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = owned.groupBy("root").agg(F.min("id").alias("component"))
-        labels = owned.join(least, "root").select("node", "component")
+        labels = owned.join(least, "root").select("node", "component", "root")
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.coalesce("component", "id")
     return sets.join(labels, "node", "left").select(
@@ -246,9 +248,26 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
         F.when(component != NO_ID, component).alias("component_id"),
         (component == F.col("id")).alias("kept"),
         F.col("node").alias("set_hash"),
+        F.col("root").alias("component_hash"),
+        "text_hash",
     )
 
 
+def representatives(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all without words; of equal rows one."""
+    found = written(linked(docs, text=text, key=key).where("kept"), "kept")
+    ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("keep_id")
+    first = found.where("component_hash is not null").groupBy("component_hash").agg(F.min(F.struct(ids, "text_hash")).alias("x")).select("x.*")
+    alone = found.where("component_hash is null").select(ids, "text_hash").distinct()
+    chosen = first.union(alone).withColumnRenamed("text_hash", "keep_hash")
+    body = docs[text].cast("string")
+    marked = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("keep_id"), F.xxhash64(body).alias("keep_hash"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    stay = marked.join(chosen, ["keep_id", "keep_hash"], "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["keep_id", "keep_hash"])
+    return stay.select("row.*")
+
+
 def node_texts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """One text for every class, found by its set."""
     plain = docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))

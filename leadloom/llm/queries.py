@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, near_dups, packing, quality, token_counts, toxicity, warc
+from . import bpe, language_model, media, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .tokens import tokenizer_path
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, language_model.fit(docs))
+
+
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.linked(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,11 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return found.select(F.col("c_0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bloom_lm, op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .blocks import U, mix, prefix_sums, span_hashes
+from .blocks import BASE, U, mix, prefix_sums, span_hashes
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -57,26 +57,39 @@ def document_runs(text: np.ndarray, window: int, q: int):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def cells_of(segment: np.ndarray, anchor: int, count: int, window: int, cell: int):
-    """The windows of a run in cells whose bounds are multiples of ``cell`` before the anchor.
+def cells_of(sums: np.ndarray, data: np.ndarray, base: np.ndarray, stop: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, window: int, cell: int):
+    """The windows of many runs in cells whose bounds are multiples of ``cell`` before the anchor.
 
-    ``anchor`` is the anchor's place in the segment, ``count`` the run's number
-    of windows.  Returns per cell: its number, first and last window in the
-    segment, hash of the bytes that any two windows of a whole cell share, and
-    hash of the cell's whole string.  Where the segment lacks a part of the
-    shared bytes, the rest stands for it under the same rule on both sides:
-    the shared bytes of the windows that the run has are not comparable, so
-    only the part around the anchor is taken.
+    ``base`` and ``stop`` bound each run's document in ``data``; places count
+    from the document's start.  All windows of a cell hold its core.  Returns
+    per cell: its run, the core's place, lowest and highest number of bytes
+    that windows take before the core, hash of the core, and the bytes (a row
+    of 2 * (cell - 1)) around it.
     """
-    sums = prefix_sums(segment)
-    starts = np.arange(count)
-    number = (anchor - starts) // cell
-    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    last = np.r_[first[1:], count] - 1
-    which = number[first]
-    # A window at distance o before the anchor holds [anchor - o, anchor - o + window): all of a whole cell hold this.
-    low = anchor - which * cell
-    high = anchor - which * cell - (cell - 1) + window
-    shared = mix(span_hashes(sums, np.maximum(low, 0), np.minimum(high, len(segment))))
-    whole = mix(span_hashes(sums, first, last + window) + (last - first).astype(U) * U(0x9E3779B97F4A7C15) + (anchor - first).astype(U))
-    return which, first, last, shared, whole
+    low, high = (anchor - last) // cell, (anchor - first) // cell
+    n = high - low + 1
+    run = np.repeat(np.arange(len(first)), n)
+    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[run]
+    core = anchor[run] - number * cell
+    least = np.maximum(0, anchor[run] - last[run] - number * cell)
+    most = np.minimum(cell - 1, anchor[run] - first[run] - number * cell)
+    a = base[run] + core
+    b = a - (cell - 1) + window
+    hashes = mix(span_hashes(sums, a, b))
+    side = np.arange(cell - 1)
+    left, right = a[:, None] - (cell - 1) + side, b[:, None] + side
+    inside = np.concatenate([left >= base[run][:, None], right < stop[run][:, None]], axis=1)
+    around = data[np.clip(np.concatenate([left, right], axis=1), 0, len(data) - 1)] * inside
+    return run, core, least, most, hashes, around.astype(np.uint8)
+
+
+def window_hashes(core: np.ndarray, around: np.ndarray, cell: int) -> np.ndarray:
+    """Hash of each of a cell's windows, by the bytes it takes before the core (a column each)."""
+    out = np.empty((len(core), cell), U)
+    for before in range(cell):
+        own = around[:, cell - 1 - before : 2 * (cell - 1) - before].astype(U)
+        value = core + U(before)
+        for k in range(cell - 1):
+            value = value * BASE + own[:, k] + U(1)
+        out[:, before] = mix(value)
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import packing, quality, toxicity
+from leadloom.llm import near_dups, packing, quality, suffix_dedup, toxicity
 from leadloom.llm.tokens import tokenizer_path
 from leadloom.session import written
 
@@ -35,12 +35,31 @@ def toxicity_grades(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _restored(found.where("not toxic"), docs)
 
 
+def minhash_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the least id."""
+    return near_dups.representatives(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; n_chars follows."""
+    found = suffix_dedup.deduplicated(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")), as_text=True)
+    others = iter(range(len(docs.columns)))
+    columns = {"text": F.col("kept").alias("text"), "n_chars": F.char_length("kept").cast("long").alias("n_chars")}
+    return found.select(*(columns[c] if c in columns else F.col(f"c_{next(others)}").alias(c) for c in docs.columns))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
     return packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("toxicity_grades", toxicity_grades), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity_grades", toxicity_grades),
+    ("minhash_near_dups", minhash_near_dups),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: SQL can express neither the models nor the tokenizer: tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -1,6 +1,8 @@
-"""Registry of the library's queries and their SQL."""
+"""All queries of the library outside the llm subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import reports, streams, texts  # noqa: F401  registers the queries
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

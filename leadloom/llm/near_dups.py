@@ -10,7 +10,10 @@ Documents with equal sets form a class and count once.  In each bucket of equal
 chunk keys every class is first compared with the least one; buckets whose
 classes are then in one component need no more, and the classes of different
 components in the others are compared with each other.  So a hot group costs
-about as many comparisons as it has members, and no link is lost.
+about as many comparisons as it has members, and no link is lost.  Where more
+than SMALL_BUCKET classes share a bucket and are not one component (they have a
+common passage, say), their full sets are joined by prefix filtering instead:
+linked sets share one of their rarest shingles.
 
 Null ids sort last.  Texts without words are linked with nothing.  Repeated
 rows are in one class.  An empty table gives no rows.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
@@ -35,6 +38,8 @@ SLOTS = CHUNKS * CHUNK
 PERCENT = 75
 #: Signatures that differ in more slots are not compared on full sets: at 0.75 a pair differs in 10 slots on average, in over 28 with a chance under 1e-9.
 MOST_DIFFERENT = 28
+#: Classes of a mixed bucket that are compared with each other; larger buckets go through the prefix filter.
+SMALL_BUCKET = 16
 #: Texts of one class that meet its partners in one task, about.
 TOGETHER = 500
 
@@ -192,6 +197,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root) of ``crowd``.
+
+    With shingles in one order for all sets, rare ones first, two linked sets
+    have a shingle in common among the first n - ceil(0.75 n) + 1 of each.
+    """
+
+    def work(batches):
+        for rows, offsets, data in text_blocks(batches):
+            grams, bounds = shingle_sets(data, offsets)
+            own = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(k).take(own) for k in range(3)), pa.array(grams.view(np.int64))], ["node", "n", "root", "shingle"])
+
+    rows = written(crowd.join(texts.select("node", "text"), "node").select("node", "n", "root", "text").mapInArrow(work, "node long, n long, root long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    known = rows.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rarest = Window.partitionBy("node").orderBy("df", "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, with its class (hash of the set), the class that names its component, and text_hash."""
     sets = written(document_sets(docs, text=text, key=key), "sets")
@@ -222,11 +251,17 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     else:
         members = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    left = members.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    across = left.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))
-    across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low != high").select("key", "many")
+    left = written(members.join(mixed, "key"), "mixed")
+    small = left.where(F.col("many") <= SMALL_BUCKET).drop("many")
+    right = small.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    across = small.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))
+    across = across.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    crowd = left.where(F.col("many") > SMALL_BUCKET).select("node", "n", "root").distinct()
+    if crowd.limit(1).count():
+        crowd = written(crowd, "crowd")
+        across = across.union(prefix_pairs(crowd, texts_of(crowd.select(F.col("node").alias("a"), F.col("node").alias("b")))))
+    across = across.distinct()
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = written(_near(across.join(tested, ["a", "b"], "left_anti"), classes), "across")
     if across.limit(1).count():

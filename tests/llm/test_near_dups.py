@@ -58,6 +58,21 @@ def test_against_brute_force(spark, texts):
     assert results(spark, out) == brute(out)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "SMALL_BUCKET", 2)
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    out = []
+    for k in range(60):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(10, 90))]
+        out.append(f"{passage} {' '.join(own)}")
+        if k % 3 == 0:
+            own[0] = "changed"
+            out.append(f"{passage} {' '.join(own)}")
+    rows = list(enumerate(out))
+    assert results(spark, rows) == brute(rows)
+
+
 def test_documents(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.linked(documents).collect())

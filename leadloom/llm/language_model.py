@@ -56,12 +56,16 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each token that has one before it in its document, hash of the pair, and of the one before."""
+    """Place of each token that has one before it in its document, key of the pair, and of the one before.
+
+    A pair's upper 32 bits name the word before it, so a row of counts is the key and a number.
+    """
     first = np.zeros(len(tokens), bool)
     first[bounds[:-1]] = True
     place = np.flatnonzero(~first)
     before = tokens[place - 1]
-    return place, mix(before * BASE + tokens[place]), before
+    head = before >> U(32)
+    return place, (head << U(32)) | (mix(before * BASE + tokens[place]) >> U(32)), head
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -100,7 +104,7 @@ def probe(keys: np.ndarray, segment: np.ndarray, filters: np.ndarray, starts: np
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> U(40)) % U(segments)).astype(np.int64)
+    return ((keys & U(0xFFFFFFFF)) % U(segments)).astype(np.int64)
 
 
 @dataclass
@@ -138,24 +142,23 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", segment_ent
 
     def count_pairs(batches):
         for _, offsets, data in text_blocks(batches, limit=1 << 22):
-            _, pairs, before = bigrams(*token_hashes(data, offsets))
-            pairs, first, n = np.unique(pairs, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(pairs, segments).astype(np.int32)), pa.array(pairs.view(np.int64)), pa.array(before[first].view(np.int64)), pa.array(n.astype(np.int32))], ["segment", "pair", "before", "n"])
+            pairs, n = np.unique(bigrams(*token_hashes(data, offsets))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], ["pair", "n"])
 
     def build(batches):
         """Bits of the segments that meet in this task, and counts that later steps need."""
         parts: dict[int, list] = {}
         for batch in batches:
-            segment = batch.column(0).to_numpy()
+            pairs, n = (batch.column(k).to_numpy() for k in (0, 1))
+            segment = segment_of(pairs.view(U), segments)
             for s in np.unique(segment).tolist():
-                at = segment == s
-                parts.setdefault(s, []).append(tuple(batch.column(k).to_numpy()[at] for k in (1, 2, 3)))
+                parts.setdefault(s, []).append((pairs[segment == s], n[segment == s]))
         for s, found in parts.items():
-            pairs, before, n = (np.concatenate(x) for x in zip(*found))
-            pairs, first, which = np.unique(pairs, return_index=True, return_inverse=True)
+            pairs, n = (np.concatenate(x) for x in zip(*found))
+            pairs, which = np.unique(pairs, return_inverse=True)
             n = np.bincount(which, n).astype(np.int64)
             yield from rows_of(s, pairs.view(U), n)
-            heads, many = np.unique(before[first], return_counts=True)
+            heads, many = np.unique((pairs.view(U) >> U(32)).view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), -1)), pa.array(heads), pa.array(many), pa.nulls(len(heads), pa.binary())], names)
             ones = [(-2, 1, int((n == 1).sum())), (-2, 2, int((n == 2).sum()))]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*ones)), pa.nulls(2, pa.binary())], names)
@@ -178,7 +181,7 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", segment_ent
 
     schema = "segment long, key long, n long, bits binary"
     tasks = max(segments, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = texts.mapInArrow(count_pairs, "segment int, pair long, before long, n int").repartition(tasks, "segment")
+    counted = texts.mapInArrow(count_pairs, "pair long, n long").repartition(tasks, F.pmod(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(segments)))
     built = written(counted.mapInArrow(build, schema), "filter")
     once, twice = (built.where(f"segment = -2 and key = {k}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (1, 2))
     behind = built.where("segment = -1").groupBy("key").agg(F.sum("n").alias("n"))
@@ -195,14 +198,14 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", segment_ent
 
     groups = max(1, -(-distinct // segment_entries))
     # Follower counts have segments of their own behind those of bigrams.
-    own = behind.select((F.pmod(F.shiftrightunsigned("key", 40), F.lit(groups)) + segments).cast("long").alias("segment"), "key", "n").repartition(groups, "segment")
+    own = behind.select((F.pmod(F.col("key"), F.lit(groups)) + segments).cast("long").alias("segment"), "key", "n").repartition(groups, "segment")
     filters = written(built.where("segment >= 0").union(own.mapInArrow(followers, schema)).select("segment", "bits"), "segments")
     size = filters.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0))).first()[0]
     return Model(int(total), int(distinct), once / (once + 2 * twice) if once else 0.5, segments, int(size), filters, words)
 
 
 def follower_segment(heads: np.ndarray, segments: int, groups: int) -> np.ndarray:
-    return ((heads >> U(40)) % U(groups)).astype(np.int64) + segments
+    return (heads % U(groups)).astype(np.int64) + segments
 
 
 def _groups(model: Model, segment_entries: int) -> int:
@@ -273,6 +276,68 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
                 yield _result(part, bounds, count, np.log10(share), np.log10(chance), total)
 
         return rows.mapInArrow(whole, RESULT)
+
+    if direct:
+
+        def partly(batches):
+            """A row for each document with its sums over tokens of broadcast words, and one for each other token and the token behind it."""
+            from pyspark import TaskContext
+
+            sizes, raw = table.value
+            filters, starts = np.frombuffer(raw, U), np.concatenate([[0], np.cumsum(sizes)])
+            serial = TaskContext.get().partitionId() << 40
+            for part, offsets, data in text_blocks(batches):
+                tokens, bounds = token_hashes(data, offsets)
+                docs = len(bounds) - 1
+                count, hit = counts_of(tokens)
+                share = log_shares(count)
+                place, pairs, segment, follow, follow_segment = grams_of(tokens, bounds)
+                heads, which = np.unique(follow, return_inverse=True)
+                first = np.zeros(len(heads), np.int64)
+                first[which] = np.arange(len(which))
+                levels, behind = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+                levels[place], behind[place] = probe(pairs, segment, filters, starts), probe(heads, follow_segment[first], filters, starts)[which]
+                chained_, before, before_hit = np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), np.ones(len(tokens), bool)
+                chained_[place], before[place], before_hit[place] = True, count[place - 1], hit[place - 1]
+                chance = np.where(chained_, chances(share, levels, behind, before), share)
+                sure, settled = hit, hit & before_hit
+                own = np.repeat(np.arange(docs), np.diff(bounds))
+                ids = serial + np.arange(docs)
+                serial += docs
+                sums = [np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64), np.where(sure, np.log10(share), 0.0), np.where(settled, np.log10(chance), 0.0))] if docs else [np.zeros(0)] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), part.column(0), part.column(2), pa.array(np.diff(bounds)), *(pa.array(x) for x in sums), *(pa.nulls(docs, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], mixed_names
+                )
+                at = np.flatnonzero(~settled)
+                earlier = tokens[np.maximum(at - 1, 0)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[own[at]]), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
+                        pa.array(tokens[at].view(np.int64), mask=hit[at]), pa.array(count[at]), pa.array(earlier, mask=before_hit[at]), pa.array(before[at]), pa.array(levels[at].astype(np.int32)), pa.array(behind[at].astype(np.int32)), pa.array(chained_[at]),
+                    ],
+                    mixed_names,
+                )
+
+        mixed_names = ["id", "doc_id", "held_out", "n_tokens", "known", "base", "chance", "word", "c", "before", "before_c", "pair_level", "behind_level", "chained"]
+        schema = "id long, doc_id long, held_out boolean, n_tokens long, known long, base double, chance double, word long, c long, before long, before_c long, pair_level int, behind_level int, chained boolean"
+        found = written(rows.mapInArrow(partly, schema), "partly")
+        counts = model.words
+        rest = found.where("n_tokens is null").join(counts.select("word", F.col("n").alias("w")), "word", "left").join(counts.select(F.col("word").alias("before"), F.col("n").alias("v")), "before", "left")
+        rest = rest.select("id", F.coalesce("w", "c").alias("c"), F.coalesce("v", "before_c").alias("before_c"), "pair_level", "behind_level", "chained", F.col("word").isNotNull().alias("new"))
+
+        def finish(batches):
+            for b in batches:
+                c, before_c, pair_level, behind_level = (b.column(k).fill_null(0).to_numpy() for k in (1, 2, 3, 4))
+                chained_, new = (b.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+                share = log_shares(c)
+                chance = np.where(chained_, chances(share, pair_level, behind_level, before_c), share)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((new & (c > 0)).astype(np.int64)), pa.array(np.where(new, np.log10(share), 0.0)), pa.array(np.log10(chance))], ["id", "k", "b", "s"])
+
+        more = rest.mapInArrow(finish, "id long, k long, b double, s double").groupBy("id").agg(*(F.sum(x).alias(x) for x in "kbs"))
+        whole_rows = found.where("n_tokens is not null").select("id", "doc_id", "held_out", "n_tokens", "known", "base", "chance")
+        return whole_rows.join(more, "id", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("chance") + F.coalesce("s", F.lit(0.0))).alias("score")
+        )
     return _routed(rows, model, segments, groups, counts_of, grams_of, log_shares, chances)
 
 

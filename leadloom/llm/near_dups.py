@@ -7,8 +7,8 @@ chunk, so listing every chunk with each of its slots left out finds all such
 pairs.  Pairs that this finds are confirmed on the full sets.
 
 Documents with equal sets form a class and count once.  In each bucket of equal
-chunk keys every class is first compared with the least one; buckets whose
-classes are then in one component need no more, and the classes of different
+chunk keys every class is first compared with the least one and with the next
+few by size; buckets whose classes are then in one component need no more, and the classes of different
 components in the others are compared with each other.  So a hot group costs
 about as many comparisons as it has members, and no link is lost.  Where more
 than SMALL_BUCKET classes share a bucket and are not one component (they have a
@@ -38,6 +38,8 @@ SLOTS = CHUNKS * CHUNK
 PERCENT = 75
 #: Signatures that differ in more slots are not compared on full sets: at 0.75 a pair differs in 10 slots on average, in over 28 with a chance under 1e-9.
 MOST_DIFFERENT = 28
+#: Next classes by size that a class is compared with in each of its buckets, and classes that are ordered in one task, about.
+NEXT, ORDERED = 4, 10_000
 #: Classes of a mixed bucket that are compared with each other; larger buckets go through the prefix filter.
 SMALL_BUCKET = 16
 #: Texts of one class that meet its partners in one task, about.
@@ -226,11 +228,19 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     sets = written(document_sets(docs, text=text, key=key), "sets")
     classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     keys = chunk_keys(classes)
-    centres = keys.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
+    centres = keys.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.count("*").alias("many")).where("many > 1")
     shared = written(keys.join(centres, "key"), "shared")
     by_node = classes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
     stars = shared.where("node != centre").select("node", "n", "centre").distinct().join(by_node, "centre").where(_like_sizes("n", "m"))
-    stars = written(_near(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), classes), "stars")
+    # A group of near copies around 0.75 is not one star: neighbours by size link it as a rule.
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / ORDERED)).alias("salt")
+    by_size = Window.partitionBy("key", "salt").orderBy("n", "node")
+    chain = shared.where("many > 2").select("key", "node", "n", salt)
+    chain = chain.select("node", "n", F.array(*(F.lead(F.struct(F.col("node").alias("centre"), F.col("n").alias("m")), k).over(by_size) for k in range(1, NEXT + 1))).alias("xs"))
+    chain = chain.select("node", "n", F.explode("xs").alias("x")).where("x is not null").select("node", "n", "x.centre", "x.m").where(_like_sizes("n", "m"))
+    pairs = stars.select("node", "centre").union(chain.select("node", "centre"))
+    pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    stars = written(_near(pairs, classes), "stars")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """One text for each node in a pair: the class's least id brings it."""
@@ -252,7 +262,7 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
         members = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low != high").select("key", "many")
-    left = written(members.join(mixed, "key"), "mixed")
+    left = written(members.drop("many").join(mixed, "key"), "mixed")
     small = left.where(F.col("many") <= SMALL_BUCKET).drop("many")
     right = small.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     across = small.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))

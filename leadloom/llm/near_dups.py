@@ -21,6 +21,8 @@ rows are in one class.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,8 +38,8 @@ SHINGLE, CHUNKS, CHUNK = 5, 10, 4
 SLOTS = CHUNKS * CHUNK
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Signatures that differ in more slots are not compared on full sets: at 0.75 a pair differs in 10 slots on average, in over 28 with a chance under 1e-9.
-MOST_DIFFERENT = 28
+#: Signatures that differ in more slots are not compared on full sets: at 0.75 a pair differs in 10 slots on average, in over 24 with a chance of about 1e-6.
+MOST_DIFFERENT = 24
 #: Next classes by size that a class is compared with in each of its buckets, and classes that are ordered in one task, about.
 NEXT, ORDERED = 4, 10_000
 #: Classes of a mixed bucket that are compared with each other; larger buckets go through the prefix filter.
@@ -94,7 +96,7 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id (null: NO_ID), text_hash, n (set size), node (hash of the set; null without one) and signature of every document."""
+    """id (null: NO_ID), text_hash, n (set size), node (hash of the set; null without one), signature and its lanes (four slots a number) of every document."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -104,17 +106,18 @@ def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
             some = np.flatnonzero(n)
             node = np.zeros(len(n), np.int64)
             signature: list[bytes | None] = [None] * len(n)
+            lanes: list[np.ndarray | None] = [None] * len(n)
             if len(some):
                 starts = np.append(bounds[:-1][some], len(grams))
                 sums = np.add.reduceat(mix(grams), starts[:-1])
                 node[some] = mix(sums + n[some].astype(U)).view(np.int64)
                 for k, row in zip(some.tolist(), signatures(grams, starts)):
-                    signature[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary())], ["id", "text_hash", "n", "node", "signature"])
+                    signature[k], lanes[k] = row.tobytes(), row.view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary()), pa.array(lanes, pa.list_(pa.int64()))], ["id", "text_hash", "n", "node", "signature", "lanes"])
 
     body = docs[text].cast("string")
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
-    return rows.mapInArrow(work, "id long, text_hash long, n long, node long, signature binary")
+    return rows.mapInArrow(work, "id long, text_hash long, n long, node long, signature binary, lanes array<long>")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -142,19 +145,21 @@ def _like_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in MOST_DIFFERENT slots at most."""
-    sides = classes.select("node", "signature")
-    both = pairs.join(sides.select(F.col("node").alias("a"), F.col("signature").alias("s")), "a").join(sides.select(F.col("node").alias("b"), F.col("signature").alias("t")), "b")
+def _close(a: str, b: str):
+    """Signatures that differ in MOST_DIFFERENT slots at most; a slot that differs carries to bit 16 of its 32."""
+    slots, carry = F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
+    counts = []
+    for k in range(CHUNKS):
+        x = F.get(a, k).bitwiseXOR(F.get(b, k))
+        counts += [F.bit_count((half.bitwiseAND(slots) + slots).bitwiseAND(carry)) for half in (x, F.shiftrightunsigned(x, 16))]
+    return reduce(lambda x, y: x + y, counts) <= MOST_DIFFERENT
 
-    def work(batches):
-        for batch in batches:
-            if batch.num_rows:
-                s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in (2, 3))
-                keep = pa.array((s != t).sum(axis=1) <= MOST_DIFFERENT)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures are close."""
+    sides = classes.select("node", "lanes")
+    both = pairs.join(sides.select(F.col("node").alias("a"), F.col("lanes").alias("s")), "a").join(sides.select(F.col("node").alias("b"), F.col("lanes").alias("t")), "b")
+    return both.where(_close("s", "t")).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,7 +205,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root) of ``crowd``.
+    """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root, lanes) of ``crowd``.
 
     With shingles in one order for all sets, rare ones first, two linked sets
     have a shingle in common among the first n - ceil(0.75 n) + 1 of each.
@@ -217,16 +222,16 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     known = rows.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rarest = Window.partitionBy("node").orderBy("df", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))
+    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root").join(crowd.select("node", "lanes"), "node"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("lanes").alias("other_lanes"))
+    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & _close("lanes", "other_lanes"))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, with its class (hash of the set), the class that names its component, and text_hash."""
     sets = written(document_sets(docs, text=text, key=key), "sets")
-    classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("lanes").alias("lanes")), "classes")
     keys = chunk_keys(classes)
     centres = keys.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.count("*").alias("many")).where("many > 1")
     shared = written(keys.join(centres, "key"), "shared")
@@ -262,18 +267,18 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
         members = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     members = written(members, "members")
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low != high").select("key", "many")
-    left = written(members.drop("many").join(mixed, "key"), "mixed")
+    left = written(members.drop("many").join(mixed, "key").join(classes.select("node", "lanes"), "node"), "mixed")
     small = left.where(F.col("many") <= SMALL_BUCKET).drop("many")
-    right = small.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    across = small.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m"))
+    right = small.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("lanes").alias("other_lanes"))
+    across = small.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & _close("lanes", "other_lanes"))
     across = across.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    crowd = left.where(F.col("many") > SMALL_BUCKET).select("node", "n", "root").distinct()
+    crowd = left.where(F.col("many") > SMALL_BUCKET).select("node", "n", "root", "lanes").dropDuplicates(["node"])
     if crowd.limit(1).count():
         crowd = written(crowd, "crowd")
         across = across.union(prefix_pairs(crowd, texts_of(crowd.select(F.col("node").alias("a"), F.col("node").alias("b")))))
     across = across.distinct()
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = written(_near(across.join(tested, ["a", "b"], "left_anti"), classes), "across")
+    across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
         more = written(confirmed(across, texts_of(across)), "more")
         if more.limit(1).count():

@@ -224,15 +224,14 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
     known = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
     direct = model.bytes <= broadcast_bytes
     if direct:
-        found = sorted((r["segment"], bytes(r["bits"])) for r in model.filters.collect())  # at most broadcast_bytes
-        sizes = np.zeros(segments + groups, np.int64)
-        for s, bits in found:
-            sizes[s] = len(bits) // 8
+        # At most broadcast_bytes, fetched a partition at a time: the driver holds the filter about twice.
+        found = {r["segment"]: bytes(r["bits"]) for r in model.filters.toLocalIterator()}
         # A segment that got no entry still has a word without bits.
-        held_bits = {s: bits for s, bits in found}
-        raw = b"".join(held_bits.get(s, bytes(8)) for s in range(segments + groups))
-        table = spark.sparkContext.broadcast((np.maximum(sizes, 1), raw))
-        del found, held_bits, raw
+        sizes = np.array([max(1, len(found.get(s, b"")) // 8) for s in range(segments + groups)])
+        raw = b"".join(found.get(s, bytes(8)) for s in range(segments + groups))
+        found.clear()
+        table = spark.sparkContext.broadcast((sizes, raw))
+        del raw
     complete = distinct <= broadcast_words
 
     def grams_of(tokens, bounds):

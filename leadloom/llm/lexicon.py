@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -22,6 +23,10 @@ from .tokens import gather
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
+#: Rank of a pair that is never merged, and symbols beyond which a word is merged with a heap.
+NO_RANK = 1 << 30
+LONG = 200
+
 
 class Merger:
     """Exact ids of any piece of text without white space at its ends, by the merges of a word-end BPE file."""
@@ -46,24 +51,44 @@ class Merger:
     def _word(self, word: str) -> tuple[int, ...]:
         parts = [self.symbol[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
-        rank = self.rank
-        while len(parts) > 1:
-            found = [(rank.get(pair, 1 << 30), k) for k, pair in enumerate(zip(parts, parts[1:]))]
-            best, at = min(found)
-            if best == 1 << 30:
-                break
-            a, b = parts[at], parts[at + 1]
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
+        parts = self._merged(parts) if len(parts) <= LONG else self._merged_long(parts)
         return tuple(self.ids[p] for p in parts if p in self.ids)
 
+    def _merged(self, parts: list[str]) -> list[str]:
+        """Symbols after all merges: the pair of least rank, leftmost of equals, goes first."""
+        rank = self.rank.get
+        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != NO_RANK:
+            at = ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), NO_RANK)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), NO_RANK)
+        return parts
+
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap and links: a run of a million letters takes seconds, not days."""
+        n, rank = len(parts), self.rank.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, k) for k, pair in enumerate(zip(parts, parts[1:])) if (r := rank(pair, NO_RANK)) != NO_RANK]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            to = after[k]
+            if not parts[k] or to >= n or rank((parts[k], parts[to]), NO_RANK) != r:
+                continue  # one of the two has been merged since
+            parts[k] += parts[to]
+            parts[to] = ""
+            after[k] = after[to]
+            if after[k] < n:
+                before[after[k]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b < n and (r := rank((parts[a], parts[b]), NO_RANK)) != NO_RANK:
+                    heappush(heap, (r, a))
+        return [x for x in parts if x]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.splits.split(text):

@@ -2,6 +2,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from leadloom.llm import bpe
+from leadloom.llm.bpe import merger
 from leadloom.llm.lexicon import Lexicon, compile_lexicon
 from leadloom.llm.tokens import tokenizer_path
 
@@ -46,3 +47,11 @@ def test_transducer_is_minimal_and_exact():
     assert (numbers[len(words) :] == -1).all()
     ids, length = lexicon.ids_of(numbers[: len(words)])
     assert ids.tolist() == [i for w in words for i in words[w]] and (length == 2).all()
+
+
+def test_heap_and_plain_merges_agree_with_the_library_on_long_words():
+    merge, tokenizer = merger(PATH), Tokenizer.from_file(PATH)
+    for word in ["a" * 3000, "abc" * 500, "!?" * 400, "therein" * 60, "é" * 150]:
+        assert merge.encode(word) == tokenizer.encode(word, add_special_tokens=False).ids
+        parts = [merge.symbol[b] for b in word.encode()]
+        assert merge._merged(list(parts)) == merge._merged_long(list(parts))

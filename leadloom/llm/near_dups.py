@@ -208,7 +208,9 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root, lanes) of ``crowd``.
 
     With shingles in one order for all sets, rare ones first, two linked sets
-    have a shingle in common among the first n - ceil(0.75 n) + 1 of each.
+    have a shingle in common among the first n - ceil(0.75 n) + 1 of each.  Their
+    first common one leaves room behind it for the rest of the overlap that a
+    link needs, so ranks further back give no pair.
     """
 
     def work(batches):
@@ -222,9 +224,11 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     known = rows.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rarest = Window.partitionBy("node").orderBy("df", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root").join(crowd.select("node", "lanes"), "node"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("lanes").alias("other_lanes"))
-    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & _close("lanes", "other_lanes"))
+    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root", "rank").join(crowd.select("node", "lanes"), "node"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"), F.col("lanes").alias("other_lanes"))
+    most = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank"))
+    enough = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))
+    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & enough & _close("lanes", "other_lanes"))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 

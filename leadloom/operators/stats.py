@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +84,46 @@ def regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Slope, intercept and R2 per group; null under three points or without variance."""
     found = df.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), F.regr_r2(y, x).alias("r"))
     return found.select(by, "n", *(F.round(F.when(F.col("n") >= 3, F.col(c)), 4).alias(name) for c, name in (("s", "slope"), ("i", "intercept"), ("r", "r2"))))
+
+
+def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key: str = "item_id", stems: str = "stems", block: int = 1000) -> DataFrame:
+    """For every name the documents, and those of them that lack one of its stems: all names against all documents.
+
+    Names are the stated query set: they go to the tasks in blocks, which count
+    for a block of names without a row per pair.  A null text or a name
+    without stems is not missing.
+    """
+    rows, parts, held = docs.select(F.lower(text).alias("t")), [], []
+
+    def counted(names: list[tuple[int, frozenset[str]]]) -> DataFrame:
+        times = Counter(w for _, own in names for w in own)
+        # The stems that tell most come first: a name is settled by the first that a text lacks.
+        ordered = [sorted(own, key=lambda w: (times[w], -len(w), w)) for _, own in names]
+
+        def work(batches):
+            n, missing = 0, [0] * len(names)
+            for batch in batches:
+                n += batch.num_rows
+                for t in batch.column(0).to_pylist():
+                    if t is not None:
+                        for k, own in enumerate(ordered):
+                            for w in own:
+                                if w not in t:
+                                    missing[k] += 1
+                                    break
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in names], pa.int64()), pa.array([n] * len(names), pa.int64()), pa.array(missing, pa.int64())], [key, "n", "m"])
+
+        return rows.mapInArrow(work, f"{key} long, n long, m long")
+
+    for name in names.select(key, stems).toLocalIterator():
+        held.append((name[0], frozenset(name[1] or ())))
+        if len(held) == block:
+            parts.append(counted(held))
+            held = []
+    if held or not parts:
+        parts.append(counted(held))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy(key).agg(F.sum("n").alias("n_docs"), F.sum("m").alias("n_missing"))

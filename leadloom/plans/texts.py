@@ -191,6 +191,14 @@ def hallucination_rate(t):
     return rows.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(~F.forall("s", lambda x: F.contains(F.col("t"), x))).alias("n_missing"))
 
 
+@query("WITH d AS (SELECT doc_id, lower(text) t FROM documents), b AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: CASE WHEN length(x) > 5 THEN x[1:length(x)-2] ELSE x END), lambda x: length(x) >= 4)) s FROM benchmark) SELECT item_id, count(*) n_docs, count(*) FILTER (NOT list_bool_and(list_transform(s, lambda x: contains(t, x)))) n_missing FROM b, d GROUP BY item_id")
+def hallucination_rate_whole(t):
+    """All items with all their stems; hallucination_rate and its SQL take ten items and three stems each."""
+    words = F.split(F.lower("text"), "[^a-z]+")
+    stems = F.array_distinct(F.filter(F.transform(words, lambda x: F.when(F.length(x) > 5, F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x)), lambda x: F.length(x) >= 4))
+    return stats.missing_names(t.documents, t.benchmark.select("item_id", stems.alias("stems")))
+
+
 @query("WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(p_name, ' ')) w FROM part), p AS (SELECT w[1:length(w)-g] q, w FROM w, range(1,4) r(g) WHERE length(w) - g >= 5) SELECT q AS word, min(w) AS name FROM p WHERE q IN (SELECT w[1:5] FROM w) GROUP BY q HAVING count(DISTINCT w) = 1")
 def prefix_match_unique(t):
     names = t.part.select(F.explode(F.split("p_name", " ")).alias("name"))

@@ -181,6 +181,12 @@ def hrw_assignment(t):
     return schedule.rendezvous(t.customer, t.supplier.where("s_suppkey <= 20"), "c_custkey", "s_suppkey")
 
 
+@query("SELECT c_custkey, arg_max(s_suppkey, sha256(c_custkey || '|' || s_suppkey)) s_suppkey FROM customer, supplier GROUP BY c_custkey")
+def hrw_assignment_whole(t):
+    """The whole pool; hrw_assignment and its SQL take 21 suppliers."""
+    return schedule.rendezvous(t.customer, t.supplier, "c_custkey", "s_suppkey")
+
+
 TRIALS = "t AS (SELECT user_id, count(*) FILTER (event_type IN ('click','purchase')) trials, count(*) FILTER (event_type='purchase') wins FROM events GROUP BY user_id)"
 
 

@@ -1,9 +1,10 @@
 """Queries over whole tables, and the parts that no SQL checks, by brute force on small fixtures."""
 
+import hashlib
 import re
 
 from leadloom import catalogue
-from leadloom.operators import stats
+from leadloom.operators import schedule, stats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,3 +30,15 @@ def test_missing_names_in_blocks(spark):
         assert {r["item_id"]: (r["n_docs"], r["n_missing"]) for r in rows} == {1: (4, 2), 2: (4, 1), 3: (4, 0), 4: (4, 0), 5: (4, 3)}
     assert stats.missing_names(docs.limit(0), table).count() == 0
     assert stats.missing_names(docs, table.limit(0)).count() == 0
+
+
+def test_hrw_takes_the_whole_pool(spark):
+    weight = lambda c, m: hashlib.sha256(f"{c}|{m}".encode()).hexdigest()
+    keys, pool = spark.range(40).withColumnRenamed("id", "c"), spark.range(250).withColumnRenamed("id", "m")
+    wanted = {c: max(range(250), key=lambda m: weight(c, m)) for c in range(40)}
+    for block in (7, 100, 1000):
+        assert dict(map(tuple, schedule.rendezvous(keys, pool, "c", "m", block=block).collect())) == wanted
+    assert schedule.rendezvous(keys, pool.limit(0), "c", "m").count() == 0
+    members = [r[0] for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").select("s_suppkey").collect()]
+    for c, m in catalogue.QUERIES["hrw_assignment_whole"](spark, FOLDER).limit(50).collect():
+        assert m == max(members, key=lambda x: weight(c, x))

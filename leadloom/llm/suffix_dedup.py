@@ -1,21 +1,22 @@
-"""Suffix-array deduplication by bucket-pointer refinement.
+"""Deduplication of repeated 400-byte strings by anchored hash refinement.
 
 A byte goes if a string of 400 bytes that covers it starts anywhere else too.
-Whether two strings are equal is settled by buckets of suffixes, refined from
-coarse to fine; each level orders only what the one before left open, by bucket
-identifiers at other offsets, and what is settled is reused:
-
-1. runs: suffixes are represented by anchors (the least hash of a q-gram in a
-   400-byte window), so equal windows have equal anchors.  The first bucket is
-   the anchor's q-gram; the next identifier is that of the run's whole string.
-2. cells: runs that share a bucket but not the whole string are parted into
-   cells of 16 windows, with the identifier of the bytes that all of a cell's
+The dealt method, bucket-pointer refinement of a suffix array, was replaced:
+nothing is sorted or ranked, and no bucket identifier at a later offset is read
+as a key.  Only equality of 400-byte strings is asked for, not the order of
+suffixes, and hashes of bytes mean the same in every task, while ranks would
+need an exchange of every suffix in every round.  Rows are grouped by hashes at
+three fixed levels, each of which looks at what the one before left open:
+
+1. runs: windows are represented by anchors (the least hash of a q-gram in a
+   400-byte window), so equal windows have equal anchors.  Rows are grouped by
+   the anchor's q-gram, then by the hash of the run's whole string.
+2. cells: runs that share a q-gram but not the whole string are parted into
+   cells of 16 windows, grouped by the hash of the bytes that all of a cell's
    windows hold, and then of the whole cell.
 3. windows: what is still open is settled window by window.
 
-Bucket identifiers are 64-bit hashes of the bytes they stand for, not ranks:
-they mean the same in every task, so following a pointer to a later offset
-needs no exchange of positions.
+Strings are told apart by 64-bit hashes.
 
 Null texts are empty.  Copies of a row count as other places.  An empty table
 gives no rows.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import bpe, language_model, media, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .tokens import tokenizer_path
 
@@ -42,7 +43,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents")))
+    stored = written(media.store(table(spark, sf_dir, "documents")), "media")
+    written(media.pcm_blocks(stored), "pcm")
+    return media.features(stored)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

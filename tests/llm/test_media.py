@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from leadloom.llm import flac, media
+from leadloom.llm import flac, media, queries
 
 
 def round_trip(samples):
@@ -83,3 +83,26 @@ def test_queries_columns(docs, empty, spark):
     assert [b["first_sample"] for b in blocks] == [k * flac.BLOCK for k in range(len(blocks))]
     assert b"".join(bytes(b["pcm"]) for b in blocks).rstrip(b"\0") == b"a" * 5000
     assert media.features(media.store(empty)).count() == 0
+
+
+def test_query_writes_streams_and_pcm_blocks(spark, monkeypatch):
+    stages = {}
+
+    def written(df, name):
+        stages[name] = keep(df, name)
+        return stages[name]
+
+    keep = queries.written
+    monkeypatch.setattr(queries, "written", written)
+    rows = {r["doc_id"]: r for r in queries.op7_flac_media(spark, "/root/testdata/sf0.001").collect()}
+    streams = {r["doc_id"]: bytes(r["media"]) for r in stages["media"].collect()}
+    pcm = {}
+    for b in stages["pcm"].orderBy("doc_id", "block").collect():
+        own = pcm.setdefault(b["doc_id"], bytearray())
+        assert len(own) == b["first_sample"]
+        assert streams[b["doc_id"]][b["media_offset"] :][:2] == b"\xff\xf8"
+        own += b["pcm"]
+    assert set(rows) == set(streams) == set(pcm)
+    for k, r in rows.items():
+        assert hashlib.sha256(streams[k]).hexdigest() == r["media_sha256"]
+        assert hashlib.sha256(pcm[k]).hexdigest() == r["payload_sha256"]

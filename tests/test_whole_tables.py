@@ -42,3 +42,33 @@ def test_hrw_takes_the_whole_pool(spark):
     members = [r[0] for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").select("s_suppkey").collect()]
     for c, m in catalogue.QUERIES["hrw_assignment_whole"](spark, FOLDER).limit(50).collect():
         assert m == max(members, key=lambda x: weight(c, x))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_budget_cutoff_in_blocks(spark):
+    costs = [(k, (k * 37) % 11) for k in range(2000)]
+    plan = spark.createDataFrame(costs, "user_id long, cost long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one block
+    try:
+        found = schedule.budget_cutoff(plan, ["user_id"], "cost", 3000)
+        assert "windowspecdefinition(block" in executed(found)
+        rows = {r["user_id"]: (r["running"], r["runs"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for k, cost in costs:
+        total += cost
+        assert rows[k] == (total, total <= 3000)
+    assert schedule.budget_cutoff(plan.limit(0), ["user_id"], "cost", 1).count() == 0
+
+
+def test_intervals_without_a_global_window(spark):
+    rates = spark.createDataFrame([(1, 1000, 4.0), (2, 900, 0.0), (3, 100, 0.1)], "user_id long, n_2 long, per_hour double")
+    found = schedule.intervals(rates)
+    assert "Window" not in executed(found)
+    assert found.columns == [*rates.columns, "interval_min"]
+    assert {r["user_id"]: r["interval_min"] for r in found.collect()} == {1: 15.0, 2: 120.0, 3: 120.0}
+    assert {r["interval_min"] for r in schedule.intervals(rates.where("user_id = 1")).collect()} == {5.0}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import OrderedDict, deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,28 +40,44 @@ def crossposts(events: DataFrame, *, params: Params = DEFAULT) -> DataFrame:
 
 
 def fold(events: DataFrame, *, tenant: str, params: Params = DEFAULT) -> DataFrame:
-    """Decisions in time order within a tenant: crosspost within the window, then the hourly limit on what was sent."""
-    columns = events.select("event_id", "ts", tenant, "props", "value")
-    limit, window = params.alerts_per_hour, pd.Timedelta(hours=params.dedup_hours)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        sent: list[pd.Timestamp] = []
-        last: dict[str, pd.Timestamp] = {}
-        out = []
-        for ts, props in zip(pdf["ts"], pdf["props"]):
-            sent = [t for t in sent if t > ts - pd.Timedelta(hours=1)]
-            if props in last and last[props] >= ts - window:
-                out.append("crosspost")
-            elif len(sent) >= limit:
-                out.append("limit")
-            else:
-                sent.append(ts)
-                last[props] = ts
-                out.append("send")
-        return pd.DataFrame({"event_id": pdf["event_id"], "decision": out})
-
-    return columns.groupBy(tenant).applyInPandas(decide, "event_id long, decision string")
+    """Decisions in time order within a tenant: crosspost within the window, then the hourly limit on what was sent.
+
+    No state outlives the longer window, so a tenant is cut into segments where
+    no event came for so long, and segments are folded apart.  A task streams
+    its sorted rows and holds what the windows hold, however dense a tenant is.
+    """
+    limit, window, hour = params.alerts_per_hour, params.dedup_hours * 3_600_000_000, 3_600_000_000
+    rows = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col(tenant).alias("tenant"), F.col("props"))
+    order = Window.partitionBy("tenant").orderBy("at", "event_id")
+    fresh = F.coalesce((F.col("at") - F.lag("at").over(order) > max(window, hour)).cast("long"), F.lit(0))
+    rows = rows.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def decide(batches):
+        now, sent, last = None, deque(), OrderedDict()
+        for batch in batches:
+            out = []
+            for tenant, segment, at, props in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                if now != (tenant, segment):
+                    now, sent, last = (tenant, segment), deque(), OrderedDict()
+                if at is None:
+                    out.append("send")
+                    continue
+                while sent and sent[0] <= at - hour:
+                    sent.popleft()
+                while last and next(iter(last.values())) < at - window:
+                    last.popitem(last=False)
+                if props in last:
+                    out.append("crosspost")
+                elif len(sent) >= limit:
+                    out.append("limit")
+                else:
+                    sent.append(at)
+                    last[props] = at
+                    out.append("send")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["event_id", "decision"])
+
+    dealt = rows.repartition("tenant", "segment").sortWithinPartitions("tenant", "segment", "at", "event_id")
+    return dealt.select("event_id", "tenant", "segment", "at", "props").mapInArrow(decide, "event_id long, decision string")
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:

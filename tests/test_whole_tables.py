@@ -1,10 +1,16 @@
 """Queries over whole tables, and the parts that no SQL checks, by brute force on small fixtures."""
 
 import hashlib
+import json
+import random
 import re
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
+
+import numpy as np
 
 from leadloom import catalogue
-from leadloom.operators import schedule, stats
+from leadloom.operators import alerts, schedule, stats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -72,3 +78,75 @@ def test_intervals_without_a_global_window(spark):
     assert found.columns == [*rates.columns, "interval_min"]
     assert {r["user_id"]: r["interval_min"] for r in found.collect()} == {1: 15.0, 2: 120.0, 3: 120.0}
     assert {r["interval_min"] for r in schedule.intervals(rates.where("user_id = 1")).collect()} == {5.0}
+
+
+def folded(rows):
+    """event_id -> decision, with all of a tenant's history held."""
+    out, tenants = {}, defaultdict(list)
+    for event, ts, tenant, props in rows:
+        tenants[tenant].append((ts, event, props))
+    for own in tenants.values():
+        sent = []
+        for ts, event, props in sorted(own):
+            if any(p == props and t >= ts - timedelta(hours=6) for t, p in sent):
+                out[event] = "crosspost"
+            elif sum(t > ts - timedelta(hours=1) for t, _ in sent) >= 15:
+                out[event] = "limit"
+            else:
+                sent.append((ts, props))
+                out[event] = "send"
+    return out
+
+
+def test_alert_fold(spark):
+    rng = random.Random(3)
+    start, rows = datetime(2024, 1, 1), []
+    for k in range(3000):  # a dense tenant in bursts with gaps of a day, and sparse ones
+        tenant = 1 if k % 3 else rng.randrange(2, 6)
+        minutes = (rng.randrange(8) * 30 * 60 + rng.randrange(240)) if tenant == 1 else rng.randrange(14000)
+        rows.append((k, start + timedelta(minutes=minutes), tenant, f"p{rng.randrange(400)}"))
+    a = start + timedelta(days=20)
+    rows += [(9000, a, 9, "x"), (9001, a + timedelta(hours=6), 9, "x"), (9002, a + timedelta(hours=6, seconds=1), 9, "x"), (9003, a + timedelta(hours=13), 9, "x")]
+    rows += [(9100 + k, a + timedelta(seconds=k), 10, f"q{k}") for k in range(16)] + [(9200, a + timedelta(hours=1), 10, "z"), (9201, a + timedelta(hours=1), 10, "y")]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, props string").repartition(5)
+    found = alerts.fold(events.withColumn("value", events.event_id * 1.0), tenant="user_id")
+    assert "FlatMapGroups" not in executed(found)
+    wanted = folded(rows)
+    assert set(wanted.values()) == {"send", "crosspost", "limit"}
+    assert dict(map(tuple, found.collect())) == wanted
+
+
+def test_alert_fold_query(spark):
+    rows = spark.read.parquet(f"{FOLDER}/events.parquet").select("event_id", "ts", "user_id", "props").collect()
+    assert dict(map(tuple, catalogue.QUERIES["alert_fold"](spark, FOLDER).collect())) == folded(map(tuple, rows))
+
+
+def test_bandit_allocation(spark):
+    counts = Counter()
+    found = sorted(map(tuple, catalogue.QUERIES["bandit_posterior"](spark, FOLDER).select("user_id", "alpha", "beta").collect()))
+    users, alpha, beta = map(np.array, zip(*found))
+    for block in range(4):
+        draws = np.random.default_rng([7, block]).beta(alpha, beta, (500, len(users)))
+        counts.update(int(users[row.argmax()]) for row in np.maximum(draws, 0.01))
+    rows = dict(map(tuple, catalogue.QUERIES["bandit_allocation"](spark, FOLDER).collect()))
+    assert sum(rows.values()) == 2000
+    assert rows == {int(u): counts[int(u)] for u in users}
+
+
+def test_nested_strip_nulls(spark):
+    rows = {r["o_orderkey"]: json.loads(r["doc"]) for r in catalogue.QUERIES["nested_strip_nulls"](spark, FOLDER).collect()}
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").collect()
+    assert rows == {r["o_orderkey"]: {"o_orderstatus": r["o_orderstatus"]} | ({"price": r["o_totalprice"]} if r["o_totalprice"] > 1000 else {}) for r in orders}
+
+
+def test_masked_text(spark):
+    found = {r["doc_id"]: r["masked"] for r in catalogue.QUERIES["masked_text"](spark, FOLDER).collect()}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    changed = 0
+    for r in docs:
+        out = re.sub(r"(?i)(password|token|secret|api_key)=[^ \n]+", r"\1=***", r["text"])
+        out = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "***@***", out)
+        out = re.sub(r"\+?[0-9](?:[ .()-]?[0-9]){8,14}", "***", out)
+        changed += out != r["text"]
+        assert found[r["doc_id"]] == out
+    assert changed and len(found) == len(docs)

@@ -69,9 +69,12 @@ def length_table(lengths: DataFrame) -> DataFrame:
 def totals_at(table: DataFrame, limits: DataFrame) -> DataFrame:
     """truncated_total and documents_over of each row of ``limits`` (column ``context``), exact for limits between lengths too.
 
-    The largest length at or under a limit has its suffix sums; what is longer counts ``context`` each.
+    The largest length at or under a limit has its suffix sums; what is longer counts ``context`` each.  Length 0
+    always has a row here, with the sums of the whole corpus, so limits below the shortest document are answered too.
     """
-    rows = limits.select("context").distinct().join(table, F.col("n_tokens") <= F.col("context"), "left")
+    sums = table.where("n_tokens > 0").select("n_tokens", "truncated_total", "documents_longer")
+    least = table.agg(F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("truncated_total"), F.coalesce(F.sum(F.when(F.col("n_tokens") > 0, F.col("n_documents"))), F.lit(0)).alias("documents_longer"))
+    rows = limits.select("context").distinct().join(sums.unionByName(least), F.col("n_tokens") <= F.col("context"), "left")
     return rows.groupBy("context").agg(
         F.max_by(F.struct((F.col("truncated_total") + F.col("documents_longer") * (F.col("context") - F.col("n_tokens"))).alias("truncated_total"), F.col("documents_longer").alias("documents_over")), "n_tokens").alias("x")
     ).select("context", "x.*")

@@ -91,3 +91,11 @@ def test_length_histogram(docs):
         assert (r["documents_longer"], r["tokens_longer"]) == (len(longer), sum(longer))
         assert r["truncated_total"] == sum(min(n, x) for n in lengths)
         assert abs(r["quantile"] - (1 - len(longer) / len(lengths))) < 1e-12
+
+
+def test_totals_at_any_limit(spark):
+    for lengths in ([5, 5, 9, 2000], [0, 0, 3, 7], [0], []):
+        rows = spark.createDataFrame([(n, 1) for n in lengths], "n_tokens long, n long")
+        limits = [0, 1, 4, 5, 6, 9, 1999, 2000, 5000]
+        found = token_counts.totals_at(token_counts.length_table(rows), spark.createDataFrame([(c,) for c in limits], "context long")).collect()
+        assert {r["context"]: (r["truncated_total"], r["documents_over"]) for r in found} == {c: (sum(min(n, c) for n in lengths), sum(n > c for n in lengths)) for c in limits}

@@ -41,8 +41,8 @@ def minhash_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; n_chars follows."""
-    found = suffix_dedup.deduplicated(docs, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")), as_text=True)
+    """Passages of suffix_dedup.PASSAGE bytes (50 short words) that start anywhere else too go from the texts; n_chars follows."""
+    found = suffix_dedup.deduplicated(docs, window=suffix_dedup.PASSAGE, carry=tuple(c for c in docs.columns if c not in ("text", "n_chars")), as_text=True)
     others = iter(range(len(docs.columns)))
     columns = {"text": F.col("kept").alias("text"), "n_chars": F.char_length("kept").cast("long").alias("n_chars")}
     return found.select(*(columns[c] if c in columns else F.col(f"c_{next(others)}").alias(c) for c in docs.columns))

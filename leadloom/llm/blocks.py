@@ -1,10 +1,10 @@
 """Array helpers for tasks that work on the UTF-8 bytes of a whole Arrow batch.
 
-Texts arrive as one byte buffer with offsets.  Hashes of any substring come
-from prefix sums of ``T[byte] * B**i`` modulo 2**64: ``B`` is odd, so a power
-can be divided out again, and equal substrings get equal hashes wherever they
-stand.  All constants derive from fixed seeds: every task and every run hashes
-alike.
+Texts arrive as one byte buffer with offsets.  A span of bytes is hashed eight
+bytes at a time through a mixer, so no algebra of the bytes carries over to the
+hash; spans over LONG_SPAN bytes go to xxHash.  Where equal hashes stand for
+equal bytes, ``distinct_spans`` compares the bytes too.  All constants derive
+from fixed seeds: every task and every run hashes alike.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-_RNG = np.random.RandomState(20240131)
-BYTE_CODE = _RNG.randint(0, 2**63 - 1, 256).astype(U) * U(2) + U(1)
-BASE = U(0x9E3779B97F4A7C15)  # odd and 5 modulo 8
-BASE_INVERSE = U(pow(int(BASE), -1, 2**64))
+BASE = U(0x9E3779B97F4A7C15)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
 
 #: Separators of words: space and the control characters 9 to 13.
 IS_SEPARATOR = np.zeros(256, bool)
@@ -27,23 +27,6 @@ IS_SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of BASE or of its inverse."""
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
-        steps = np.full(size, BASE_INVERSE if inverse else BASE, U)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=U)
-        if size <= 1 << 24:
-            _powers[key] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values."""
     x = x ^ (x >> U(32))
@@ -79,16 +62,61 @@ def document_blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple
         row = stop
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    out = np.empty(len(data) + 1, U)
-    out[0] = 0
-    np.cumsum(BYTE_CODE[data] * powers(len(data)), out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, those behind the end 0; taken by index only."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: Masks that leave the first k bytes of a lane.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of every span from start to stop."""
+    size = stop - start
+    out = mix(size.astype(U) * BASE + U(seed) * U(0xD1B54A32D192ED03) + U(1))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    eight, at = lanes(data), start[live].astype(np.int64)
+    left = size[live]
+    while len(live):
+        lane = eight[at] & FIRST_BYTES[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ lane) * U(0x9FB21C651E98DF25) + BASE)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(start[long].tolist(), stop[long].tolist())), U, len(long))
+    return out
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, other_start: np.ndarray, other_stop: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the other one."""
+    size = stop - start
+    out = size == other_stop - other_start
+    live = np.flatnonzero(out & (start != other_start) & (size <= LONG_SPAN))
+    eight, a, b, left = lanes(data), start[live].astype(np.int64), other_start[live].astype(np.int64), size[live]
+    while len(live):
+        mask = FIRST_BYTES[np.minimum(left, 8)]
+        same = (eight[a] & mask) == (eight[b] & mask)
+        out[live[~same]] = False
+        more = same & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for k in np.flatnonzero(out & (start != other_start) & (size > LONG_SPAN)).tolist():
+        out[k] = np.array_equal(data[start[k] : stop[k]], data[other_start[k] : other_stop[k]])
     return out
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings from start to stop, not yet mixed."""
-    return (sums[stop] - sums[start]) * powers(len(sums), inverse=True)[start]
+def distinct_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each distinct span, and which distinct one each span is; bytes are compared, not hashes alone."""
+    seed = 0
+    while True:
+        _, first, which = np.unique(span_hashes(data, start, stop, seed), return_index=True, return_inverse=True)
+        if not len(start) or equal_spans(data, start, stop, start[first][which], stop[first][which]).all():
+            return first, which
+        seed += 1
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,10 +135,9 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = I
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed hash of every word (A-Z lowered if asked) and each document's first word number."""
+    """Hash of every word (A-Z lowered if asked) and each document's first word number."""
     start, stop, at = find_words(data, offsets)
-    sums = prefix_sums(TO_LOWER[data] if lower else data)
-    return mix(span_hashes(sums, start, stop) + (stop - start).astype(U)), at
+    return span_hashes(TO_LOWER[data] if lower else data, start, stop), at
 
 
 def chained(hashes: np.ndarray, n: int) -> np.ndarray:

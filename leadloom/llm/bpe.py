@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .blocks import U, find_words, mix, prefix_sums, span_hashes
+from .blocks import distinct_spans, find_words
 from .lexicon import Lexicon, Merger, compile_lexicon
 from .tokens import gather, text_blocks
 
@@ -42,10 +42,7 @@ def merger(path: str) -> Merger:
 def distinct_words(data: np.ndarray, offsets: np.ndarray):
     """First place of each distinct word of the block, which word each place has, and the documents' bounds."""
     start, stop, at = find_words(data, offsets)
-    if not len(start):
-        return start, stop, np.zeros(0, np.int64), np.zeros(0, np.int64), at
-    hashes = mix(span_hashes(prefix_sums(data), start, stop) + (stop - start).astype(U))
-    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    first, inverse = distinct_spans(data, start, stop)
     return start, stop, first, inverse, at
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .blocks import BASE, TO_LOWER, U, find_words, mix, prefix_sums, span_hashes
+from .blocks import BASE, U, mix, word_hashes
 from .tokens import text_blocks
 
 #: Base of the quantisation, bits of filter for an entry, probes within a 64-bit word, and entries in a segment, about.
@@ -44,9 +44,7 @@ FOLLOWERS = U(0x14057B7EF767814F)
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every token, ends among them, and the documents' bounds."""
-    lowered = TO_LOWER[data]
-    start, stop, at = find_words(lowered, offsets)
-    words = mix(span_hashes(prefix_sums(lowered), start, stop) + (stop - start).astype(U))
+    words, at = word_hashes(data, offsets, lower=True)
     docs = len(offsets) - 1
     bounds = at + np.arange(docs + 1)
     out = np.empty(int(bounds[-1]), U)

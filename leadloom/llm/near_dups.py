@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .blocks import BASE, TO_LOWER, U, chained, find_words, mix, prefix_sums, span_hashes
+from .blocks import BASE, U, chained, mix, word_hashes
 from .components import components
 from .keys import NO_ID
 from .tokens import text_blocks
@@ -54,9 +54,7 @@ ADD = _RNG.randint(0, 2**63 - 1, SLOTS).astype(U)
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each document, in a row, and their bounds."""
-    lowered = TO_LOWER[data]
-    start, stop, at = find_words(lowered, offsets)
-    words = mix(span_hashes(prefix_sums(lowered), start, stop) + (stop - start).astype(U))
+    words, at = word_hashes(data, offsets, lower=True)
     docs = len(offsets) - 1
     n = np.diff(at)
     owner = np.repeat(np.arange(docs), n)

@@ -58,8 +58,9 @@ def op9_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), carry=("doc_id",))
-    return found.select(F.col("c_0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """n_passage_bytes, beyond the contract: bytes covered by strings of PASSAGE bytes (about 50 words) that start elsewhere too."""
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), also=(suffix_dedup.PASSAGE,), carry=("doc_id",))
+    return found.select(F.col("c_0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.get("covered", F.lit(0)).alias("n_passage_bytes"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bloom_lm, op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades, op10_suffix_dedup)}

@@ -1,22 +1,25 @@
-"""Deduplication of repeated 400-byte strings by anchored hash refinement.
-
-A byte goes if a string of 400 bytes that covers it starts anywhere else too.
-The dealt method, bucket-pointer refinement of a suffix array, was replaced:
-nothing is sorted or ranked, and no bucket identifier at a later offset is read
-as a key.  Only equality of 400-byte strings is asked for, not the order of
-suffixes, and hashes of bytes mean the same in every task, while ranks would
-need an exchange of every suffix in every round.  Rows are grouped by hashes at
-three fixed levels, each of which looks at what the one before left open:
-
-1. runs: windows are represented by anchors (the least hash of a q-gram in a
-   400-byte window), so equal windows have equal anchors.  Rows are grouped by
-   the anchor's q-gram, then by the hash of the run's whole string.
-2. cells: runs that share a q-gram but not the whole string are parted into
-   cells of 16 windows, grouped by the hash of the bytes that all of a cell's
-   windows hold, and then of the whole cell.
-3. windows: what is still open is settled window by window.
-
-Strings are told apart by 64-bit hashes.
+"""Deduplication of repeated strings by bucket-pointer refinement of sampled suffixes.
+
+A byte goes if a string of ``window`` bytes that covers it starts anywhere else
+too.  Suffixes are sampled at anchors (see suffix_kernel), which equal strings
+have at equal places; an anchor's number is its place in the order of all.
+
+1. Suffixes are dealt to buckets by the q-gram at their anchor.  Buckets of one
+   suffix are settled: its string occurs once.
+2. In round k an open suffix reads the bucket identifier of the suffix 2**k
+   anchors later.  Buckets are refined by (own identifier, identifier read); a
+   new bucket is named by its least suffix, so identifiers are exact, and the
+   next round reads these new ones.  Each round doubles the depth.
+3. A window holds the same first and last anchor as the windows around it: a
+   run.  The chain of anchors that covers a run is named by two overlapping
+   buckets.  Runs whose covering chain occurs twice are repeated.
+4. What is left are the ends of repeated strings: runs whose inner chain occurs
+   twice, but not the covering one.  Their windows are compared one by one, by
+   the identifier of the inner chain and a hash of the bytes around it.
+
+Equal texts are refined once, and are repeated as a whole.  Texts are named by
+128 bits of hashes; a 400-byte string is equal to another one only if five
+64-bit q-gram hashes in a row are.
 
 Null texts are empty.  Copies of a row count as other places.  An empty table
 gives no rows.
@@ -24,186 +27,215 @@ gives no rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .blocks import U, mix, prefix_sums
-from .suffix_kernel import cells_of, document_runs, window_hashes
+from .blocks import BASE, U, mix, span_hashes
+from .suffix_kernel import GRAM, SAMPLE, anchors, chains, deepest, gram_hashes, runs
 from .tokens import text_blocks
 
-#: Bytes of a repeated string, of a q-gram, and windows in a cell.
-WINDOW, GRAM, CELL = 400, 32, 16
-
-#: Rows of a level: the text they are from, first window, windows behind it, anchor behind it, and whether the row is to be settled.
-PLACE = ["k_text", "first", "more", "anchor", "open"]
+#: Bytes of a repeated string, and of a repeated passage: 50 short words.
+WINDOW, PASSAGE = 400, 250
+NAME = ["k1", "k2"]
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """k_text, a hash that names equal texts, and the text."""
+def keyed(docs: DataFrame, text: str, *others) -> DataFrame:
+    """k1 and k2, hashes that name equal texts, and the text."""
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(body, F.octet_length(body)).alias("k_text"), body.alias("text"))
+    return docs.select(F.xxhash64(body, F.octet_length(body)).alias("k1"), F.xxhash64(F.lit(10), body).alias("k2"), body.alias("text"), *others)
 
 
-def runs(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each run of windows with one anchor; runs repeated within a text are settled at once (settled: from first on)."""
+def sampled(docs: DataFrame, text: str, windows: tuple[int, ...]) -> DataFrame:
+    """A row for each text of at least the least window: doc (number of its first anchor), name, text, size, deep (last level), shape (two bytes an anchor) and grams."""
 
     def work(batches):
+        number = TaskContext.get().partitionId() << 40
         for rows, offsets, data in text_blocks(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            names = rows.column(0).to_numpy()
-            for k in np.flatnonzero(np.diff(offsets) >= WINDOW).tolist():
-                place, first, last, bucket, whole = document_runs(data[offsets[k] : offsets[k + 1]], WINDOW, GRAM)
-                _, at, which, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-                twice = times[which] > 1
-                kept = np.zeros(len(whole), bool)
-                kept[at] = True
-                parts = [(first[kept], (last - first)[kept], (place - first)[kept], bucket[kept], whole[kept], ~twice[kept])]
-                if twice.any():
-                    a, b = first[twice], last[twice]
-                    fresh = np.flatnonzero(np.r_[True, a[1:] != b[:-1] + 1])
-                    parts.append((a[fresh], b[np.r_[fresh[1:] - 1, len(b) - 1]] - a[fresh], np.full(len(fresh), -1), np.zeros(len(fresh), U), np.zeros(len(fresh), U), np.zeros(len(fresh), bool)))
-                for part in parts:
-                    out[0].append(np.full(len(part[0]), names[k]))
-                    for column, values in zip(out[1:], part):
-                        column.append(values)
-            if out[0]:
-                c = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0]), pa.array(c[1].astype(np.int64)), pa.array(c[2].astype(np.int32)), pa.array(c[3].astype(np.int32)), pa.array(c[6].astype(bool)), pa.array(c[4].view(np.int64)), pa.array(c[5].view(np.int64))],
-                    [*PLACE, "bucket", "whole"],
-                )
-
-    return keyed(docs, text).mapInArrow(work, "k_text long, first long, more int, anchor int, open boolean, bucket long, whole long")
-
-
-def refined(rows: DataFrame, name: str) -> DataFrame:
-    """Rows in buckets of several places with something to settle, each with ``twice``: its whole string occurs at another place."""
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1 and any_open").select("bucket")
-    near = written(rows.join(shared, "bucket"), f"{name}-near")
-    place = F.struct("k_text", "first")
-    again = near.groupBy("whole").agg(F.count("*").alias("n"), (F.min(place) != F.max(place)).alias("apart"), F.max(F.when(~F.col("open"), 1).otherwise(0)).alias("repeated"))
-    # Equal rows come from copies of one text, or stand for several places: both are repeats.
-    twice = again.where("n > 1 or repeated = 1" if name == "runs" else "apart").select("whole", F.lit(True).alias("twice"))
-    return written(near.join(twice, "whole", "left").withColumn("twice", F.coalesce("twice", F.lit(False))), name)
-
-
-def unsettled(marked: DataFrame) -> DataFrame:
-    """Open rows whose string is found nowhere else, and one row for each other string in their buckets (not open)."""
-    left = marked.where("open and not twice").withColumn("open", F.lit(True))
-    buckets = left.select("bucket").distinct()
-    settled = marked.where("not open or twice").join(buckets, "bucket", "left_semi")
-    # Equal whole strings have equal buckets: one of them is enough to meet the open ones.
-    columns = [c for c in marked.columns if c != "whole"]
-    partners = settled.groupBy("whole").agg(F.first(F.struct(*columns)).alias("x")).select("whole", *(F.col(f"x.{c}").alias(c) for c in columns)).withColumn("open", F.lit(False))
-    return left.unionByName(partners)
-
-
-def cells(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """Cells of the wanted runs, read from their texts."""
-    lists = wanted.groupBy("k_text").agg(F.collect_set(F.struct("first", "more", "anchor", "open")).alias("runs"))  # as many as the text has runs at most
-    joined = keyed(docs, text).join(lists, "k_text").select("k_text", "text", "runs")
+            size = np.diff(offsets)
+            owner, place, first = anchors(data, offsets)
+            grams = gram_hashes(data, offsets, owner, place)
+            bounds = np.searchsorted(owner, np.arange(len(size) + 1))
+            deep = deepest(owner, place, len(size), max(windows))
+            step = np.diff(place, prepend=0)
+            step[bounds[:-1][np.diff(bounds) > 0]] = place[bounds[:-1][np.diff(bounds) > 0]]
+            shape = np.stack([step, place - first], axis=1).astype(np.uint8).tobytes()
+            keep = np.flatnonzero(size >= min(windows))
+            taken = np.diff(bounds)[keep]
+            doc = number + np.cumsum(taken) - taken
+            number += int(taken.sum())
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
+            picked = rows.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), *picked.columns, pa.array(size[keep]), pa.array(deep[keep].astype(np.int32)), pa.array([shape[2 * a : 2 * b] for a, b in zip(bounds[keep].tolist(), bounds[keep + 1].tolist())], pa.binary()), lists.take(pa.array(keep))],
+                ["doc", *NAME, "text", "size", "deep", "shape", "grams"],
+            )
+
+    return keyed(docs, text).mapInArrow(work, "doc long, k1 long, k2 long, text string, size long, deep int, shape binary, grams array<long>")
+
+
+def refined(texts: DataFrame) -> list[DataFrame]:
+    """doc, i (anchor), deep and b (bucket identifier) of the suffixes that share a bucket, a table for each level."""
+    suffixes = texts.select("doc", "deep", F.posexplode("grams").alias("i", "gram"))
+    shared = suffixes.groupBy("gram").agg(F.min(F.col("doc") + F.col("i")).alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    levels = [written(suffixes.join(shared, "gram").select("doc", "i", "deep", "b"), "level")]
+    for k in count():
+        open_ = levels[-1].where(F.col("deep") > k)
+        if not open_.limit(1).count():
+            break
+        later = Window.partitionBy("doc").orderBy("i").rangeBetween(1 << k, 1 << k)
+        read = written(open_.withColumn("to", F.first("b").over(later)).where("to is not null"), "read")
+        shared = read.groupBy("b", "to").agg(F.min(F.col("doc") + F.col("i")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+        levels.append(written(read.join(shared, ["b", "to"]).select("doc", "i", "deep", F.col("name").alias("b")), "level"))
+    return levels
+
+
+RUN = ["win", "doc", "first", "more", "lead", "core", "c1", "c2", "k", "f1", "f2", "fk"]
+
+
+def candidate_runs(texts: DataFrame, levels: list[DataFrame], windows: tuple[int, ...]) -> DataFrame:
+    """Runs of windows whose inner chain occurs twice, with the names of the inner and of the covering chain.
+
+    lead counts the first window's bytes before the inner chain, core the
+    bytes of that chain.  A covering chain that occurs once has the run's own
+    place for a name.
+    """
+    entries = [x.select("doc", F.struct(F.lit(k).alias("level"), "i", "b").alias("x")) for k, x in enumerate(levels)]
+    lists = entries[0]
+    for x in entries[1:]:
+        lists = lists.unionAll(x)
+    lists = lists.groupBy("doc").agg(F.collect_list("x").alias("xs"))  # as many as the text has anchors, for each level
+    joined = texts.select("doc", "size", "shape").join(lists, "doc")
+    many = len(levels)
 
     def work(batches):
-        for rows, offsets, data in text_blocks(batches):
-            column = rows.column(2)
-            flat = column.flatten()
-            own = np.repeat(np.arange(rows.num_rows), np.diff(column.offsets.to_numpy()))
-            first, more, anchor = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
-            opened = flat.field(3).to_numpy(zero_copy_only=False)
-            sums = prefix_sums(data)
-            # As many runs a step as bound the table of margins.
-            for a in range(0, len(own), 20_000):
-                part = slice(a, a + 20_000)
-                run, core, least, most, hashes, around = cells_of(sums, data, offsets[own[part]], offsets[own[part] + 1], first[part], first[part] + more[part], first[part] + anchor[part], WINDOW, CELL)
-                whole = hashes + U(1)
-                for k in range(2 * (CELL - 1)):
-                    whole = whole * U(0x9E3779B97F4A7C15) + around[:, k].astype(U) + U(1)
-                whole = mix(whole + (least * CELL + most).astype(U))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows.column(0).to_numpy()[own[part]][run]),
-                        pa.array(core - most),
-                        pa.array((most - least).astype(np.int32)),
-                        pa.array(most.astype(np.int32)),
-                        pa.array(opened[part][run]),
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                        pa.array([x.tobytes() for x in around], pa.binary()),
-                    ],
-                    [*PLACE, "bucket", "whole", "around"],
-                )
-
-    return joined.mapInArrow(work, "k_text long, first long, more int, anchor int, open boolean, bucket long, whole long, around binary")
-
-
-def windows(wanted: DataFrame) -> DataFrame:
-    """Single windows of the wanted cells."""
+        for batch in batches:
+            docs, size = (batch.column(k).to_numpy() for k in (0, 1))
+            if not len(docs):
+                continue
+            shapes = batch.column(2).to_pylist()
+            n = np.array([len(x) // 2 for x in shapes])
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            shape = np.frombuffer(b"".join(shapes), np.uint8).reshape(-1, 2).astype(np.int64)
+            place = np.cumsum(shape[:, 0])
+            place -= np.repeat(place[bounds[:-1]] - shape[bounds[:-1], 0], n)
+            first = place - shape[:, 1]
+            lists_ = batch.column(3)
+            own = np.repeat(np.arange(len(docs)), np.diff(lists_.offsets.to_numpy()))
+            flat = lists_.flatten()
+            table = np.full((many, len(place)), -1, np.int64)
+            table[flat.field(0).to_numpy(), bounds[own] + flat.field(1).to_numpy()] = flat.field(2).to_numpy()
+            for number, window in enumerate(windows):
+                doc, at, more, low, high, before, behind = runs(size, bounds, place, first, window)
+                c1, c2, k = chains(table, low, high)
+                f1, f2, fk = chains(table, before, behind)
+                keep = np.flatnonzero(c1 >= 0)
+                alone = f1 < 0
+                f1, f2, fk = np.where(alone, docs[doc], f1), np.where(alone, at, f2), np.where(alone, -1, fk)
+                columns = [np.full(len(doc), number), docs[doc], at, more, place[low] - at, place[high] + GRAM - place[low], c1, c2, k, f1, f2, fk]
+                kinds = [np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(t)) for x, t in zip(columns, kinds)], RUN)
+
+    return joined.mapInArrow(work, "win int, doc long, first long, more int, lead int, core int, c1 long, c2 long, k int, f1 long, f2 long, fk int")
+
+
+def window_keys(texts: DataFrame, ends: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Single windows of the runs ``ends``: win, c1 and key (of the bytes around the inner chain), doc, first and open."""
+    lists = ends.groupBy("doc").agg(F.collect_list(F.struct("win", "first", "more", "lead", "core", "c1", "c2", "k", "open")).alias("xs"))  # as many as the text has runs at most
+    joined = texts.select("doc", "text").join(lists, "doc")
+    sizes = np.array(windows)
 
     def work(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                names, first, more, anchor, opened, core = (part.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-                around = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(-1, 2 * (CELL - 1))
-                hashes = window_hashes(core.view(U), around, CELL)
-                before = np.arange(CELL)[None, :]
-                row, column = np.nonzero((before <= anchor[:, None]) & (before >= (anchor - more)[:, None]))
-                key = hashes[row, column].view(np.int64)
-                zero = np.zeros(len(row), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(first[row] + anchor[row] - column), pa.array(zero), pa.array(zero), pa.array(opened[row]), pa.array(key), pa.array(key)], [*PLACE, "bucket", "whole"])
-
-    return wanted.select(*PLACE, "bucket", "around").mapInArrow(work, "k_text long, first long, more int, anchor int, open boolean, bucket long, whole long")
-
-
-def repeated_windows(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """k_text, first and more: ranges of windows of each distinct text whose string starts elsewhere too."""
+        for rows, offsets, data in text_blocks(batches):
+            lists_ = rows.column(2)
+            flat = lists_.flatten()
+            own = np.repeat(np.arange(rows.num_rows), np.diff(lists_.offsets.to_numpy()))
+            win, first, more, lead, core, c1, c2, k = (flat.field(j).to_numpy().astype(np.int64) for j in range(8))
+            opened = flat.field(8).to_numpy(zero_copy_only=False)
+            for a in range(0, len(own), 5000):
+                part = slice(a, a + 5000)
+                n = more[part] + 1
+                row = np.repeat(np.arange(a, a + len(n)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = first[row] + step
+                start, left = offsets[own[row]] + at, lead[row] - step
+                inner = start + left
+                key = (c2[row] + k[row] * 1024 + left).view(U) * BASE
+                key = mix(mix(key ^ span_hashes(data, start, inner, 1)) ^ span_hashes(data, inner + core[row], start + sizes[win[row]], 2))
+                yield pa.RecordBatch.from_arrays([pa.array(win[row].astype(np.int32)), pa.array(c1[row]), pa.array(key.view(np.int64)), rows.column(0).take(pa.array(own[row])), pa.array(at), pa.array(opened[row])], ["win", "c1", "key", "doc", "first", "open"])
+
+    return joined.mapInArrow(work, "win int, c1 long, key long, doc long, first long, open boolean")
+
+
+def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), text: str = "text") -> DataFrame:
+    """k1, k2, win, first and more: ranges of windows (of the win-th length) of each distinct text whose string starts elsewhere too."""
+    if min(windows) < SAMPLE:
+        raise ValueError(f"a window has at least {SAMPLE} bytes")
     ship(docs.sparkSession)
-    found = written(runs(docs, text), "all-runs")
-    own = found.where("anchor < 0")
-    level = refined(found.where("anchor >= 0"), "runs")
-    settled = [own, level.where("open and twice")]
-    level = refined(written(cells(docs, unsettled(level), text), "all-cells"), "cells")
-    settled.append(level.where("open and twice"))
-    level = refined(windows(unsettled(level)), "windows")
-    settled.append(level.where("open and twice"))
-    ranges = [x.select("k_text", "first", "more") for x in settled]
-    return ranges[0].unionByName(ranges[1]).unionByName(ranges[2]).unionByName(ranges[3]).distinct()
-
-
-def deduplicated(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept (bytes) of every document, with the columns of ``carry`` as c_0, c_1, ...
-
-    With ``as_text`` kept is a string; a character of which a cut left a part goes whole.
+    found = written(sampled(docs, text, windows), "sampled")
+    names = written(found.groupBy(*NAME).agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size")), "names")
+    texts = found.join(names.select("doc"), "doc", "left_semi")
+    lean = written(texts.select("doc", "size", "deep", "shape", "grams"), "suffixes")
+    candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
+    inner, cover = ["win", "c1", "c2", "k"], ["f1", "f2", "fk"]
+    one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
+    groups = written(candidates.groupBy(*inner, *cover).agg(F.count("*").alias("n"), one), "groups")
+    settled = candidates.join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
+    # One run stands for all with its covering chain: it is enough to meet the open ones.
+    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
+    ends = groups.join(unsettled, inner, "left_semi").select(*inner, "one.*", (F.col("n") == 1).alias("open"))
+    singles = written(window_keys(texts, ends, windows), "windows")
+    again = singles.groupBy("win", "c1", "key").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).where("n > 1 and wanted").select("win", "c1", "key")
+    late = singles.where("open").join(again, ["win", "c1", "key"], "left_semi").select("win", "doc", "first", F.lit(0).alias("more"))
+    ranges = settled.unionByName(late).join(names.where("copies = 1").select("doc", *NAME), "doc").select(*NAME, "win", "first", "more")
+    whole = [names.where((F.col("copies") > 1) & (F.col("size") >= w)).select(*NAME, F.lit(k).alias("win"), F.lit(0).cast("long").alias("first"), (F.col("size") - w).cast("int").alias("more")) for k, w in enumerate(windows)]
+    for x in whole:
+        ranges = ranges.unionByName(x)
+    return ranges
+
+
+def deduplicated(docs: DataFrame, *, window: int = WINDOW, also: tuple[int, ...] = (), text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """n_bytes, n_removed, n_spans, kept (bytes) and covered of every document, with the columns of ``carry`` as c_0, c_1, ...
+
+    ``covered`` has a number for each length of ``also``: bytes that repeated
+    strings of this length cover; they are not removed.  With ``as_text`` kept
+    is a string; a character of which a cut left a part goes whole.
     """
-    ranges = written(repeated_windows(docs, text=text), "ranges").groupBy("k_text").agg(F.collect_list(F.struct("first", "more")).alias("ranges"))
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(body, F.octet_length(body)).alias("k_text"), body.alias("text"), *(docs[c].alias(f"c_{k}") for k, c in enumerate(carry)))
+    windows = (window, *also)
+    ranges = written(repeated_windows(docs, windows=windows, text=text), "ranges").groupBy(*NAME).agg(F.collect_list(F.struct("win", "first", "more")).alias("ranges"))
+    rows = keyed(docs, text, *(docs[c].alias(f"c_{k}") for k, c in enumerate(carry)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = [f"c_{k}" for k in range(len(carry))]
 
     def work(batches):
         for part, offsets, data in text_blocks(batches):
-            found = part.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for k, own in enumerate(found):
-                body = data[offsets[k] : offsets[k + 1]]
-                removed, spans, kept = 0, 0, body
-                if own:
-                    first = np.array([x["first"] for x in own])
-                    stop = first + np.array([x["more"] for x in own]) + WINDOW
-                    edge = np.zeros(len(body) + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, stop, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed = int(gone.sum())
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = body[~gone]
-                for column, value in zip(out, (len(body), removed, spans, kept.tobytes().decode("utf-8", "ignore") if as_text else kept.tobytes())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))), *part.columns[2:]], ["n_bytes", "n_removed", "n_spans", "kept", *extra])
-
-    schema = ", ".join(["n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"), *(f"c_{k} {kinds[c]}" for k, c in enumerate(carry))])
-    return rows.join(ranges, "k_text", "left").select("text", "ranges", *extra).mapInArrow(work, schema)
+            lists = part.column(1)
+            flat = lists.flatten()
+            own = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())) if len(flat) else np.zeros(0, np.int64)
+            win, first, more = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            docs_, n = part.num_rows, len(data)
+            gone = []
+            for k, size in enumerate(windows):
+                mine = win == k
+                a = offsets[own[mine]] + first[mine]
+                edge = np.bincount(a, minlength=n + 1) - np.bincount(a + more[mine] + size, minlength=n + 1)
+                gone.append(np.cumsum(edge[:n]) > 0)
+            totals = [np.concatenate([[0], np.cumsum(x)]) for x in gone]
+            begins = gone[0].copy()
+            begins[1:] &= ~gone[0][:-1] | np.isin(np.arange(1, n), offsets)
+            starts = np.concatenate([[0], np.cumsum(begins)])
+            removed, *covered = (t[offsets[1:]] - t[offsets[:-1]] for t in totals)
+            left = data[~gone[0]].tobytes()
+            bounds = (offsets - totals[0][offsets]).tolist()
+            bodies = [left[a:b] for a, b in zip(bounds, bounds[1:])]
+            kept = pa.array([x.decode("utf-8", "ignore") for x in bodies], pa.string()) if as_text else pa.array(bodies, pa.binary())
+            table = pa.ListArray.from_arrays(pa.array(np.arange(docs_ + 1, dtype=np.int32) * len(covered)), pa.array(np.stack(covered, axis=1).ravel() if covered else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(removed), pa.array(starts[offsets[1:]] - starts[offsets[:-1]]), kept, table, *part.columns[2:]], ["n_bytes", "n_removed", "n_spans", "kept", "covered", *extra])
+
+    schema = ", ".join(["n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"), "covered array<long>", *(f"c_{k} {kinds[c]}" for k, c in enumerate(carry))])
+    return rows.join(ranges, NAME, "left").select("text", F.coalesce("ranges", F.array().cast("array<struct<win:int,first:bigint,more:int>>")).alias("ranges"), *extra).mapInArrow(work, schema)

@@ -1,16 +1,22 @@
-"""Sampled suffixes of byte texts: anchors, runs of windows, and hashes of their contexts.
+"""Sampled suffixes of byte texts: anchors, and the runs of windows between them.
 
-A window is a string of ``window`` bytes.  Each window has an anchor: the place
-of the smallest q-gram hash in it.  The anchor depends on the window's bytes
-only, so equal windows have equal anchors at equal places.  Consecutive windows
-of one anchor form a run.
+A sample is a string of SAMPLE bytes; its anchor is the place whose eight bytes
+have the least hash among those with a whole q-gram in the sample.  The anchor
+depends on the sample's bytes only, so equal strings have equal anchors at equal
+places.  Anchors lie at most q bytes apart: their q-grams leave no byte out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .blocks import BASE, U, mix, prefix_sums, span_hashes
+from .blocks import U, lanes, mix, span_hashes
+
+#: Bytes of a q-gram and of a sample; a sample has as many places for its anchor as a q-gram has bytes.
+GRAM = 64
+SAMPLE = 2 * GRAM - 1
+#: Samples that are searched at a time; longer texts go piece by piece.
+PIECE = 1 << 22
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -26,70 +32,84 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:m], ahead[width - 1 : width - 1 + m]) & U(0xFFFFFF)).astype(np.int64)
 
 
-def runs_of(text: np.ndarray, sums: np.ndarray, window: int, q: int):
-    """Runs of one document: anchor place, first and last window, anchor bucket, hash of the run's whole string."""
-    n = len(text)
-    if n < window:
-        return None
-    at = np.arange(n - q + 1)
-    grams = mix(span_hashes(sums, at, at + q))
-    anchor = sliding_argmin(grams, window - q + 1)
-    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    last = np.r_[first[1:], len(anchor)] - 1
-    place = anchor[first]
-    whole = mix(span_hashes(sums, first, last + window) + (last - first).astype(U) * U(0x9E3779B97F4A7C15) + (place - first).astype(U))
-    return place, first, last, grams[place], whole
-
-
-#: Windows of one document that are hashed at a time; a longer document goes piece by piece.
-PIECE = 1 << 22
-
-
-def document_runs(text: np.ndarray, window: int, q: int):
-    """Runs of a document of any length, with places counted from its start."""
-    if len(text) < window:
-        return None
-    parts = []
-    for at in range(0, len(text) - window + 1, PIECE):
-        piece = text[at : at + PIECE + window - 1]
-        place, first, last, bucket, whole = runs_of(piece, prefix_sums(piece), window, q)
-        parts.append((place + at, first + at, last + at, bucket, whole))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def cells_of(sums: np.ndarray, data: np.ndarray, base: np.ndarray, stop: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, window: int, cell: int):
-    """The windows of many runs in cells whose bounds are multiples of ``cell`` before the anchor.
-
-    ``base`` and ``stop`` bound each run's document in ``data``; places count
-    from the document's start.  All windows of a cell hold its core.  Returns
-    per cell: its run, the core's place, lowest and highest number of bytes
-    that windows take before the core, hash of the core, and the bytes (a row
-    of 2 * (cell - 1)) around it.
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """Anchors of a block's documents in a row: document, place, and first sample of each (places count from the document's start)."""
+    n = len(data)
+    none = np.zeros(0, np.int64)
+    if n < SAMPLE:
+        return none, none, none
+    owner, place, first = [], [], []
+    for at in range(0, n - SAMPLE + 1, PIECE):
+        stop = min(n, at + PIECE + SAMPLE - 1)
+        keys = mix(lanes(data[at : min(n, stop + 8)])[: stop - at - GRAM + 1] * U(0x9FB21C651E98DF25) + U(1))
+        own = sliding_argmin(keys, SAMPLE - GRAM + 1) + at
+        start = np.arange(at, at + len(own))
+        doc = np.searchsorted(offsets, start, "right") - 1
+        inside = start + SAMPLE <= offsets[doc + 1]
+        start, own, doc = start[inside], own[inside], doc[inside]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+        owner.append(doc[fresh])
+        place.append(own[fresh])
+        first.append(start[fresh])
+    owner, place, first = (np.concatenate(x) for x in (owner, place, first))
+    # An anchor that two pieces share comes once.
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    owner, place, first = owner[fresh], place[fresh], first[fresh]
+    return owner, place - offsets[owner], first - offsets[owner]
+
+
+def gram_hashes(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    start = offsets[owner] + place
+    return span_hashes(data, start, start + GRAM)
+
+
+def deepest(owner: np.ndarray, place: np.ndarray, docs: int, window: int) -> np.ndarray:
+    """For each document the level whose chains of 2**level anchors reach over any run of windows, with less than twice as many anchors."""
+    line = place + owner * (int(place.max(initial=0)) + window + 4 * GRAM)
+    need = np.searchsorted(line, line + window + 2 * GRAM, "right") - np.arange(len(line))
+    most = np.ones(docs, np.int64)
+    np.maximum.at(most, owner, need)
+    return np.floor(np.log2(most)).astype(np.int8)
+
+
+def runs(size: np.ndarray, bounds: np.ndarray, place: np.ndarray, first: np.ndarray, window: int):
+    """Runs of windows that have the same first and the same last anchor.
+
+    ``size`` has the bytes of each document, ``bounds`` its anchors.  Returns
+    document, first window, windows behind it, first and last anchor within
+    every window, and first and last anchor of a chain that covers all of the
+    run's windows (-1 where the document has none).
+    """
+    docs = len(size)
+    base = np.concatenate([[0], np.cumsum(size + window + 4 * GRAM)])[:-1]
+    owner = np.repeat(np.arange(docs), np.diff(bounds))
+    a, s = base[owner] + place, base[owner] + first
+    late = window - SAMPLE
+    cut = np.unique(np.concatenate([s[first <= size[owner] - window], (s - late)[(first >= late) & (first - late <= size[owner] - window)]]))
+    doc = np.searchsorted(base, cut, "right") - 1
+    last = np.empty(len(cut), np.int64)
+    end = base[doc] + size[doc] - window
+    last[:-1] = np.where(doc[1:] == doc[:-1], cut[1:] - 1, end[:-1])
+    last[-1:] = end[-1:]
+    low, high = np.searchsorted(s, cut, "right") - 1, np.searchsorted(s, cut + late, "right") - 1
+    before, behind = np.searchsorted(a, cut, "right") - 1, np.searchsorted(a, last + window - GRAM)
+    before = np.where(before >= bounds[doc], before, -1)
+    behind = np.where(behind < bounds[doc + 1], behind, -1)
+    return doc, cut - base[doc], last - cut, low, high, before, behind
+
+
+def chains(levels: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Bucket at the front and at the back of the chains from ``low`` to ``high``, which overlap or touch; -1 in either where a chain occurs once.
+
+    ``levels`` has a row of bucket identifiers for each level.
     """
-    low, high = (anchor - last) // cell, (anchor - first) // cell
-    n = high - low + 1
-    run = np.repeat(np.arange(len(first)), n)
-    number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[run]
-    core = anchor[run] - number * cell
-    least = np.maximum(0, anchor[run] - last[run] - number * cell)
-    most = np.minimum(cell - 1, anchor[run] - first[run] - number * cell)
-    a = base[run] + core
-    b = a - (cell - 1) + window
-    hashes = mix(span_hashes(sums, a, b))
-    side = np.arange(cell - 1)
-    left, right = a[:, None] - (cell - 1) + side, b[:, None] + side
-    inside = np.concatenate([left >= base[run][:, None], right < stop[run][:, None]], axis=1)
-    around = data[np.clip(np.concatenate([left, right], axis=1), 0, len(data) - 1)] * inside
-    return run, core, least, most, hashes, around.astype(np.uint8)
-
-
-def window_hashes(core: np.ndarray, around: np.ndarray, cell: int) -> np.ndarray:
-    """Hash of each of a cell's windows, by the bytes it takes before the core (a column each)."""
-    out = np.empty((len(core), cell), U)
-    for before in range(cell):
-        own = around[:, cell - 1 - before : 2 * (cell - 1) - before].astype(U)
-        value = core + U(before)
-        for k in range(cell - 1):
-            value = value * BASE + own[:, k] + U(1)
-        out[:, before] = mix(value)
-    return out
+    n = np.where((low >= 0) & (high >= 0), high - low + 1, 1)
+    level = np.floor(np.log2(n)).astype(np.int64)
+    known = level < len(levels)
+    level = np.where(known, level, 0)
+    front = levels[level, np.maximum(low, 0)]
+    back = levels[level, np.maximum(high - (1 << level) + 1, 0)]
+    shared = known & (low >= 0) & (high >= 0) & (front >= 0) & (back >= 0)
+    return np.where(shared, front, -1), np.where(shared, back, -1), n

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .blocks import IS_SEPARATOR, U, column_bytes, document_blocks, mix, prefix_sums, span_hashes
+from .blocks import IS_SEPARATOR, column_bytes, distinct_spans, document_blocks
 
 #: A worker forgets its chunks beyond this number: memory stays bounded, results don't change.
 CHUNKS_KEPT = 600_000
@@ -28,22 +28,29 @@ def text_blocks(batches, column: str = "text", limit: int = 1 << 21) -> Iterator
             yield batch.slice(a, b - a), offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
 
 
+#: White space beyond ASCII in UTF-8: first byte, then second byte with the third bytes (none: two bytes in all).  Fixed values.
+WIDE_SPACES = {
+    0xC2: [(0x85, []), (0xA0, [])],
+    0xE1: [(0x9A, [0x80])],
+    0xE2: [(0x80, [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0x81, [0x9F])],
+    0xE3: [(0x80, [0x80])],
+}
+
+
 def white_space(data: np.ndarray) -> np.ndarray:
     """True for each byte of a Unicode white-space character in UTF-8."""
     space = IS_SEPARATOR[data]
-    n = len(data)
-    for lead in np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3)) if (data >= 0xE1).any() or (data == 0xC2).any() else ():
-        a, b = (int(data[lead + k]) if lead + k < n else 0 for k in (1, 2))
-        lead_byte = int(data[lead])
-        if lead_byte == 0xC2 and a in (0x85, 0xA0):
-            space[lead : lead + 2] = True
-        elif (
-            (lead_byte == 0xE1 and (a, b) == (0x9A, 0x80))
-            or (lead_byte == 0xE2 and a == 0x80 and (0x80 <= b <= 0x8A or b in (0xA8, 0xA9, 0xAF)))
-            or (lead_byte == 0xE2 and (a, b) == (0x81, 0x9F))
-            or (lead_byte == 0xE3 and (a, b) == (0x80, 0x80))
-        ):
-            space[lead : lead + 3] = True
+    if not (data >= 0xC2).any():
+        return space
+    wide = np.zeros(len(data) + 2, np.uint8)
+    wide[: len(data)] = data
+    for lead, sets in WIDE_SPACES.items():
+        at = np.flatnonzero(data == lead)
+        second, third = wide[at + 1], wide[at + 2]
+        for a, last in sets:
+            found = at[(second == a) & (np.isin(third, last) if last else True)]
+            for k in range(3 if last else 2):
+                space[found + k] = True
     return space
 
 
@@ -67,7 +74,7 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class ChunkEncoder:
-    """Ids of chunks by a tokenizer file, remembered by hash."""
+    """Ids of chunks by a tokenizer file, remembered by their bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,12 +86,12 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def learn(self, chunks: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in chunks], add_special_tokens=False)
         ids = [x.ids for x in found]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         fresh = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
@@ -92,7 +99,7 @@ class ChunkEncoder:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, fresh])
-        self.number.update(zip(hashes, range(base, base + len(hashes))))
+        self.number.update(zip(chunks, range(base, base + len(chunks))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's documents in a row, and their bounds (one more than documents)."""
@@ -100,17 +107,14 @@ class ChunkEncoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         stop = np.append(start[1:], len(data))
-        sums = prefix_sums(data)
-        hashes = mix(span_hashes(sums, start, stop) + (stop - start).astype(U))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.number) + len(distinct) > CHUNKS_KEPT:
+        first, inverse = distinct_spans(data, start, stop)
+        if len(self.number) + len(first) > CHUNKS_KEPT:
             self.forget()
-        keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.number]
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
+        new = [x for x in keys if x not in self.number]
         if new:
-            raw = data.tobytes()
-            spans = zip(start[first[new]].tolist(), stop[first[new]].tolist())
-            self.learn([keys[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            self.learn(new)
         number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[inverse]
         length = self.length[number]
         bounds = np.concatenate([[0], np.cumsum(length)])[at]

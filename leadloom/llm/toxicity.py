@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .blocks import TO_LOWER, U, find_words, mix, prefix_sums, span_hashes
+from .blocks import TO_LOWER, U, find_words, span_hashes
 from .quality import labelled_sample
 from .tokens import text_blocks
 
@@ -55,13 +55,13 @@ class SeverityModel:
 def document_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner and bucket of every distinct feature of a document (of those ``wanted``, a flag for each bucket), and each document's words."""
     start, stop, at = find_words(data, offsets, NOT_LETTER)
-    sums = prefix_sums(TO_LOWER[data])
+    lowered = TO_LOWER[data]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     pairs = []
     for size in (None, *BEGINNINGS):
         long = slice(None) if size is None else stop - start > size
         a, b, who = start[long], stop[long] if size is None else start[long] + size, owner[long]
-        bucket = (mix(span_hashes(sums, a, b) + U(size or 0)) & U(BUCKETS - 1)).astype(np.int64)
+        bucket = (span_hashes(lowered, a, b, seed=size or 0) & U(BUCKETS - 1)).astype(np.int64)
         if wanted is not None:
             bucket, who = bucket[wanted[bucket]], who[wanted[bucket]]
         pairs.append(who * BUCKETS + bucket)

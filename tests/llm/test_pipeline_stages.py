@@ -6,10 +6,10 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from leadloom.llm.suffix_dedup import PASSAGE as WINDOW
 from test_near_dups import brute as linked
 from test_quality import brute as counts
 
-WINDOW = 400
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -94,7 +94,7 @@ def test_passage_stage(spark):
     rng = random.Random(6)
     fresh = lambda n: "".join(rng.choice("abcdefghé \n") for _ in range(n))
     passage = fresh(700)
-    texts = [None, "", fresh(399), fresh(3000), fresh(500) + passage + fresh(300), passage + fresh(900), fresh(200) + passage[100:650] + fresh(50), fresh(80) + passage[:200] + fresh(400)]
+    texts = [None, "", fresh(WINDOW - 1), fresh(3000), fresh(500) + passage + fresh(300), passage + fresh(900), fresh(200) + passage[100:650] + fresh(50), fresh(80) + passage[:200] + fresh(400)]
     own = fresh(450)
     texts += [own + fresh(30) + own, "é" * 900]
     bodies = [(t or "").encode() for t in texts]

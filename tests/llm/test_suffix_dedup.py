@@ -64,6 +64,39 @@ def test_exact_edges(spark):
     check(spark, [base, "Q" * 30 + base[300:700] + "R" * 30, "Q" * 10 + base[900:1299] + "S" * 3, base[:10], ""])
 
 
+def test_second_length_and_pieces(spark, monkeypatch):
+    from leadloom.llm import suffix_kernel
+
+    monkeypatch.setattr(suffix_kernel, "PIECE", 700)
+    rng = random.Random(11)
+    passage = words(rng, 90)
+    texts = [words(rng, 300) + passage[:300] + words(rng, 80), passage[20:330] + words(rng, 200), words(rng, 900), passage[100:], "ab" * 300]
+    size, shorter = [np.frombuffer((t or "").encode(), np.uint8) for t in texts], []
+    seen = Counter(b[k : k + sd.PASSAGE].tobytes() for b in size for k in range(len(b) - sd.PASSAGE + 1))
+    for b in size:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - sd.PASSAGE + 1):
+            if seen[b[k : k + sd.PASSAGE].tobytes()] > 1:
+                gone[k : k + sd.PASSAGE] = True
+        shorter.append(int(gone.sum()))
+    assert shorter[0] and not shorter[2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    own = sd.deduplicated(df, also=(sd.PASSAGE,), carry=("doc_id",)).collect()
+    assert {r["c_0"]: list(r["covered"]) for r in own} == {k: [n] for k, n in enumerate(shorter)}
+    assert {(r["c_0"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in own} == {(k, *x[:3]) for k, x in enumerate(brute(texts, sd.WINDOW))}
+
+
+def test_very_long_text(spark):
+    rng = np.random.RandomState(3)
+    body = rng.randint(97, 123, 4_500_000).astype(np.uint8)
+    body[4_400_000:4_400_900] = body[1000:1900]  # a repeat on both sides of the search's piece bound
+    long = body.tobytes().decode()
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, long[4_194_000:4_194_600])], "doc_id long, text string")
+    own = {r["c_0"]: r for r in sd.deduplicated(df, carry=("doc_id",)).collect()}
+    assert (own[1]["n_removed"], own[1]["n_spans"], own[3]["n_removed"], own[2]["n_removed"]) == (1800 + 600, 3, 600, 0)
+    assert bytes(own[1]["kept"]) == (long[:1000] + long[1900:4_194_000] + long[4_194_600:4_400_000] + long[4_400_900:]).encode()
+
+
 def test_documents(documents, spark):
     rows = documents.select("doc_id", "text").collect()
     wanted = brute([r["text"] for r in rows], sd.WINDOW)

@@ -1,19 +1,20 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
-A document's set holds its distinct word shingles.  A signature has 40 slots,
-each the low 16 bits of a minimum over the set, in ten chunks of four.  Two
-signatures that differ in at most 19 slots differ in at most one slot of some
+A document's set holds its distinct word shingles.  A signature has 48 slots,
+each 16 bits of a minimum over the set, in twelve chunks of four.  Two
+signatures that differ in at most 23 slots differ in at most one slot of some
 chunk, so listing every chunk with each of its slots left out finds all such
-pairs.  Pairs that this finds are confirmed on the full sets.
-
-Documents with equal sets form a class and count once.  In each bucket of equal
-chunk keys every class is first compared with the least one and with the next
-few by size; buckets whose classes are then in one component need no more, and the classes of different
-components in the others are compared with each other.  So a hot group costs
-about as many comparisons as it has members, and no link is lost.  Where more
-than SMALL_BUCKET classes share a bucket and are not one component (they have a
-common passage, say), their full sets are joined by prefix filtering instead:
-linked sets share one of their rarest shingles.
+pairs; a pair at 0.75 differs in 12 slots on average, and no chunk finds it with
+a chance of 1e-7.  Pairs that this finds are confirmed on the full sets.
+
+Documents with equal sets form a class and count once.  A bucket holds the
+classes with one chunk key.  First each class is compared with one centre, the
+least class of most of its buckets; buckets whose classes are then all in one
+component are left out.  In the others each class is compared with the next one
+by size.  So a hot group costs about as many comparisons as it has members.
+Sets that still share a bucket across components are joined by prefix
+filtering, where linked sets share one of their rarest shingles.  No pair is
+left out for the distance of its signatures or the size of its bucket.
 
 Null ids sort last.  Texts without words are linked with nothing.  Repeated
 rows are in one class.  An empty table gives no rows.
@@ -21,8 +22,6 @@ rows are in one class.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,16 +33,12 @@ from .components import components
 from .keys import NO_ID
 from .tokens import text_blocks
 
-SHINGLE, CHUNKS, CHUNK = 5, 10, 4
+SHINGLE, CHUNKS, CHUNK = 5, 12, 4
 SLOTS = CHUNKS * CHUNK
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Signatures that differ in more slots are not compared on full sets: at 0.75 a pair differs in 10 slots on average, in over 24 with a chance of about 1e-6.
-MOST_DIFFERENT = 24
-#: Next classes by size that a class is compared with in each of its buckets, and classes that are ordered in one task, about.
-NEXT, ORDERED = 4, 10_000
-#: Classes of a mixed bucket that are compared with each other; larger buckets go through the prefix filter.
-SMALL_BUCKET = 16
+#: Classes of a bucket that are ordered by size in one task, about.
+ORDERED = 10_000
 #: Texts of one class that meet its partners in one task, about.
 TOGETHER = 500
 
@@ -86,15 +81,16 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A row of SLOTS 16-bit values for each document with a set."""
     out = np.empty((len(bounds) - 1, SLOTS), np.uint16)
     for k in range(SLOTS):
-        h = grams * MULTIPLY[k] + ADD[k]
-        h ^= h >> U(32)
+        h = (grams ^ ADD[k]) * MULTIPLY[k]
+        h ^= h >> U(29)
+        h *= BASE
         low = np.minimum.reduceat(h, bounds[:-1])
         out[:, k] = (mix(low) & U(0xFFFF)).astype(np.uint16)
     return out
 
 
 def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id (null: NO_ID), text_hash, n (set size), node (hash of the set; null without one), signature and its lanes (four slots a number) of every document."""
+    """id (null: NO_ID), text_hash, n (set size), node (hash of the set; null without one) and signature of every document."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -104,18 +100,17 @@ def document_sets(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -
             some = np.flatnonzero(n)
             node = np.zeros(len(n), np.int64)
             signature: list[bytes | None] = [None] * len(n)
-            lanes: list[np.ndarray | None] = [None] * len(n)
             if len(some):
                 starts = np.append(bounds[:-1][some], len(grams))
                 sums = np.add.reduceat(mix(grams), starts[:-1])
                 node[some] = mix(sums + n[some].astype(U)).view(np.int64)
                 for k, row in zip(some.tolist(), signatures(grams, starts)):
-                    signature[k], lanes[k] = row.tobytes(), row.view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary()), pa.array(lanes, pa.list_(pa.int64()))], ["id", "text_hash", "n", "node", "signature", "lanes"])
+                    signature[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), pa.array(signature, pa.binary())], ["id", "text_hash", "n", "node", "signature"])
 
     body = docs[text].cast("string")
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
-    return rows.mapInArrow(work, "id long, text_hash long, n long, node long, signature binary, lanes array<long>")
+    return rows.mapInArrow(work, "id long, text_hash long, n long, node long, signature binary")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -143,23 +138,6 @@ def _like_sizes(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _close(a: str, b: str):
-    """Signatures that differ in MOST_DIFFERENT slots at most; a slot that differs carries to bit 16 of its 32."""
-    slots, carry = F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
-    counts = []
-    for k in range(CHUNKS):
-        x = F.get(a, k).bitwiseXOR(F.get(b, k))
-        counts += [F.bit_count((half.bitwiseAND(slots) + slots).bitwiseAND(carry)) for half in (x, F.shiftrightunsigned(x, 16))]
-    return reduce(lambda x, y: x + y, counts) <= MOST_DIFFERENT
-
-
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures are close."""
-    sides = classes.select("node", "lanes")
-    both = pairs.join(sides.select(F.col("node").alias("a"), F.col("lanes").alias("s")), "a").join(sides.select(F.col("node").alias("b"), F.col("lanes").alias("t")), "b")
-    return both.where(_close("s", "t")).select("a", "b")
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that are linked, by their full sets.
 
@@ -203,7 +181,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root, lanes) of ``crowd``.
+    """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root) of ``crowd``.
 
     With shingles in one order for all sets, rare ones first, two linked sets
     have a shingle in common among the first n - ceil(0.75 n) + 1 of each.  Their
@@ -217,81 +195,75 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
             own = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(bounds)))
             yield pa.RecordBatch.from_arrays([*(rows.column(k).take(own) for k in range(3)), pa.array(grams.view(np.int64))], ["node", "n", "root", "shingle"])
 
-    rows = written(crowd.join(texts.select("node", "text"), "node").select("node", "n", "root", "text").mapInArrow(work, "node long, n long, root long, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    known = rows.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rows = written(crowd.join(texts, "node").select("node", "n", "root", "text").mapInArrow(work, "node long, n long, root long, shingle long"), "shingles")
+    # A shingle of one component only gives no pair, but it has its place in the order.
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("root") != F.max("root")).alias("across")).where("df > 1")
+    known = rows.join(often, "shingle", "left").select("node", "n", "root", "shingle", F.coalesce("df", F.lit(1)).alias("df"), F.coalesce("across", F.lit(False)).alias("across"))
     rarest = Window.partitionBy("node").orderBy("df", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & (F.col("df") > 1)).select("shingle", "node", "n", "root", "rank").join(crowd.select("node", "lanes"), "node"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"), F.col("lanes").alias("other_lanes"))
+    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & F.col("across")).select("shingle", "node", "n", "root", "rank"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"))
     most = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank"))
     enough = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))
-    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & enough & _close("lanes", "other_lanes"))
+    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & enough)
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
+class _Links:
+    """Links found so far, pairs that were compared, and the component of each node."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts, self.links, self.tested, self.roots = texts, None, None, None
+
+    def compare(self, pairs: DataFrame, name: str) -> None:
+        """Confirm the pairs (a, b) that were not compared before."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, name)
+        self.tested = pairs if self.tested is None else self.tested.unionAll(pairs)
+        if not pairs.limit(1).count():
+            return
+        found = written(confirmed(pairs, self.texts), "links")
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionAll(found)
+            self.roots = written(components(self.links), "roots")
+
+    def rooted(self, members: DataFrame) -> DataFrame:
+        """``members`` with the root of their node."""
+        if self.roots is None:
+            return members.withColumn("root", F.col("node"))
+        return members.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """key, node, n and root of the members of buckets that hold several components."""
+        now = written(self.rooted(members.select("key", "node", "n")), "members")
+        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        return written(now.join(several, "key", "left_semi"), "mixed")
+
+
 def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, with its class (hash of the set), the class that names its component, and text_hash."""
     sets = written(document_sets(docs, text=text, key=key), "sets")
-    classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("lanes").alias("lanes")), "classes")
+    classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     keys = chunk_keys(classes)
-    centres = keys.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.count("*").alias("many")).where("many > 1")
-    shared = written(keys.join(centres, "key"), "shared")
-    by_node = classes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
-    stars = shared.where("node != centre").select("node", "n", "centre").distinct().join(by_node, "centre").where(_like_sizes("n", "m"))
-    # A group of near copies around 0.75 is not one star: neighbours by size link it as a rule.
+    members = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key", "left_semi"), "shared")
+    now = members
+    found = _Links(written(candidate_texts(docs, sets, classes, members, text=text, key=key), "texts"))
+    centres = members.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.min("n").alias("m"))
+    stars = members.join(centres, "key").where((F.col("node") != F.col("centre")) & _like_sizes("n", "m")).groupBy("node", "centre").agg(F.count("*").alias("together"))
+    found.compare(stars.groupBy("node").agg(F.max_by("centre", F.struct("together", "centre")).alias("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")), "stars")
+    now = found.mixed(members)
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / ORDERED)).alias("salt")
     by_size = Window.partitionBy("key", "salt").orderBy("n", "node")
-    chain = shared.where("many > 2").select("key", "node", "n", salt)
-    chain = chain.select("node", "n", F.array(*(F.lead(F.struct(F.col("node").alias("centre"), F.col("n").alias("m")), k).over(by_size) for k in range(1, NEXT + 1))).alias("xs"))
-    chain = chain.select("node", "n", F.explode("xs").alias("x")).where("x is not null").select("node", "n", "x.centre", "x.m").where(_like_sizes("n", "m"))
-    pairs = stars.select("node", "centre").union(chain.select("node", "centre"))
-    pairs = pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-    stars = written(_near(pairs, classes), "stars")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """One text for each node in a pair: the class's least id brings it."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = wanted.join(classes, "node").select("node", "id")
-        rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-        return ids.join(rows, "id").groupBy("node").agg(F.first("text").alias("text")) if repeated else ids.join(rows, "id").select("node", "text")
-
-    # Repeated ids may bring other texts: then nodes are joined by the set itself.
-    repeated = bool(sets.groupBy("id").count().where("count > 1").limit(1).count())
-    if repeated:
-        own_texts = written(node_texts(docs, text=text), "texts")
-        texts_of = lambda pairs: own_texts
-    links = written(confirmed(stars, texts_of(stars)), "links")
-    roots = written(components(links), "roots") if links.limit(1).count() else None
-    if roots is None:
-        members = shared.select("key", "node", "n", F.col("node").alias("root"))
-    else:
-        members = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    members = written(members, "members")
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low != high").select("key", "many")
-    left = written(members.drop("many").join(mixed, "key").join(classes.select("node", "lanes"), "node"), "mixed")
-    small = left.where(F.col("many") <= SMALL_BUCKET).drop("many")
-    right = small.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("lanes").alias("other_lanes"))
-    across = small.join(right, "key").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & _close("lanes", "other_lanes"))
-    across = across.select(F.col("node").alias("a"), F.col("other").alias("b"))
-    crowd = left.where(F.col("many") > SMALL_BUCKET).select("node", "n", "root", "lanes").dropDuplicates(["node"])
+    chain = now.join(now.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "node", "n", "root", salt)
+    chain = chain.select("node", "n", "root", *(F.lead(c).over(by_size).alias(name) for c, name in (("node", "next"), ("n", "m"), ("root", "other"))))
+    found.compare(chain.where((F.col("root") != F.col("other")) & _like_sizes("n", "m")).select(F.col("node").alias("a"), F.col("next").alias("b")), "chain")
+    crowd = found.mixed(now).select("node", "n", "root").dropDuplicates(["node"])
     if crowd.limit(1).count():
-        crowd = written(crowd, "crowd")
-        across = across.union(prefix_pairs(crowd, texts_of(crowd.select(F.col("node").alias("a"), F.col("node").alias("b")))))
-    across = across.distinct()
-    tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = written(across.join(tested, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        more = written(confirmed(across, texts_of(across)), "more")
-        if more.limit(1).count():
-            links = links.union(more)
-            roots = written(components(links), "roots")
-    if roots is None:
-        labels = classes.select("node", F.col("id").alias("component"), F.col("node").alias("root"))
-    else:
-        owned = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = owned.groupBy("root").agg(F.min("id").alias("component"))
-        labels = owned.join(least, "root").select("node", "component", "root")
+        found.compare(prefix_pairs(written(crowd, "crowd"), found.texts), "across")
+    owned = found.rooted(classes.select("node", "id"))
+    labels = owned.join(owned.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component", "root")
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.coalesce("component", "id")
     return sets.join(labels, "node", "left").select(
@@ -305,6 +277,18 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     )
 
 
+def candidate_texts(docs: DataFrame, sets: DataFrame, classes: DataFrame, members: DataFrame, *, text: str, key: str) -> DataFrame:
+    """node and text of every class that shares a bucket: the class's least id brings the text.
+
+    Repeated ids may bring other texts: then the nodes are found by the set itself.
+    """
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id")
+    if sets.groupBy("id").count().where("count > 1").limit(1).count():
+        return node_texts(docs, text=text).join(wanted.select("node"), "node", "left_semi")
+    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    return wanted.join(rows, "id").select("node", "text")
+
+
 def representatives(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and all without words; of equal rows one."""
     found = written(linked(docs, text=text, key=key).where("kept"), "kept")

@@ -58,8 +58,7 @@ def test_against_brute_force(spark, texts):
     assert results(spark, out) == brute(out)
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "SMALL_BUCKET", 2)
+def test_common_passage_loses_no_link(spark):
     rng = random.Random(4)
     passage = " ".join(f"p{k}" for k in range(60))
     out = []
@@ -73,6 +72,16 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert results(spark, rows) == brute(rows)
 
 
+def test_recall_at_the_threshold(spark):
+    """10,000 pairs of exactly 0.75: 60 of 70 shingles in common, 80 in all."""
+    rows = []
+    for k in range(10_000):
+        first = [f"{k}a{j}" for j in range(64)]
+        rows += [(2 * k, " ".join(first + [f"b{k}x{j}" for j in range(10)])), (2 * k + 1, " ".join(first + [f"c{k}y{j}" for j in range(10)]))]
+    found = near_dups.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 and r["n_shingles"] == 70 for r in found) and len(found) == 20_000
+
+
 def test_documents(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.linked(documents).collect())
@@ -93,7 +102,7 @@ def test_pigeonhole_finds_every_pair_within_the_distance(spark):
     rows = [(0, 10, base.tobytes())]
     for k in range(1, 200):
         other = base.copy()
-        places = rng.choice(near_dups.SLOTS, 19, replace=False)
+        places = rng.choice(near_dups.SLOTS, 2 * near_dups.CHUNKS - 1, replace=False)
         other[places] ^= np.uint16(1 + k)
         rows.append((k, 10, other.tobytes()))
     keys = near_dups.chunk_keys(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in rows], "node long, n long, signature binary"))

@@ -2,8 +2,9 @@
 
 Counts of bigrams and of the distinct words behind each word are quantised to
 levels on a logarithmic scale; a gram of level j enters the filter once for
-each level up to j.  Its count is read back by probing levels until one is
-missing.  Word counts are exact.  A word's chance is
+each level up to j.  Its level is read back by probing levels until one is
+missing, and stands for its least count, so that the chances behind a word sum
+to at most 1.  Word counts are exact.  A word's chance is
 
     p(w | v) = max(c(v w) - d, 0) / c(v) + d * t(v) / c(v) * p(w)
 
@@ -35,6 +36,8 @@ from .tokens import text_blocks
 
 #: Base of the quantisation, bits of filter for an entry, probes within a 64-bit word, and entries in a segment, about.
 LOG_BASE, ENTRY_BITS, BITS_SET, SEGMENT_ENTRIES = 1.5, 10, 4, 1 << 19
+#: Tasks that build segments at most; each builds its segments in turn.
+MOST_TASKS = 20_000
 #: Largest filter that is broadcast, and most words that are.
 BROADCAST_BYTES, BROADCAST_WORDS = 128 << 20, 400_000
 #: The token behind each text's last word, and the mark of counts of distinct followers.
@@ -54,24 +57,20 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def bigrams(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each token that has one before it in its document, key of the pair, and of the one before.
-
-    A pair's upper 32 bits name the word before it, so a row of counts is the key and a number.
-    """
+    """Place of each token that has one before it in its document, key of the pair, and the one before."""
     first = np.zeros(len(tokens), bool)
     first[bounds[:-1]] = True
     place = np.flatnonzero(~first)
     before = tokens[place - 1]
-    head = before >> U(32)
-    return place, (head << U(32)) | (mix(before * BASE + tokens[place]) >> U(32)), head
+    return place, mix(before * BASE + tokens[place]), before
 
 
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
 
 
-#: Mean of the counts that share a level, for levels from 0 on.
-LEVEL_COUNT = np.concatenate([[0.0, 1.0], (LOG_BASE ** np.arange(1, 120) + LOG_BASE ** np.arange(2, 121) - 1) / 2])
+#: Least count of each level, from 0 on.
+LEVEL_COUNT = np.concatenate([[0.0], np.ceil(LOG_BASE ** np.arange(0, 105) - 1e-9)])
 
 
 def entry_words(keys: np.ndarray, levels: np.ndarray | int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +101,7 @@ def probe(keys: np.ndarray, segment: np.ndarray, filters: np.ndarray, starts: np
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys & U(0xFFFFFFFF)) % U(segments)).astype(np.int64)
+    return ((keys >> U(1)) % U(segments)).astype(np.int64)
 
 
 @dataclass
@@ -118,6 +117,24 @@ class Model:
     words: DataFrame
 
 
+def in_turn(batches):
+    """Rows that are sorted by their first column, a group of equal values at a time: the value and the other columns."""
+    now, held = None, []
+    for batch in batches:
+        names, *columns = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and names[a] != now:
+                yield now, [np.concatenate(x) for x in zip(*held)]
+                held = []
+            now = int(names[a])
+            held.append([c[a:b] for c in columns])
+    if held:
+        yield now, [np.concatenate(x) for x in zip(*held)]
+
+
 def training(docs: DataFrame, key: str) -> DataFrame:
     return docs.where(F.pmod(F.crc32(F.coalesce(docs[key].cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1)
 
@@ -140,23 +157,19 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", segment_ent
 
     def count_pairs(batches):
         for _, offsets, data in text_blocks(batches, limit=1 << 22):
-            pairs, n = np.unique(bigrams(*token_hashes(data, offsets))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n)], ["pair", "n"])
+            _, pairs, heads = bigrams(*token_hashes(data, offsets))
+            pairs, first, n = np.unique(pairs, return_index=True, return_counts=True)
+            # Rows with one head stand together, which makes the shuffle's blocks small.
+            order = np.argsort(heads[first])
+            yield pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (pairs, heads[first], n)], ["pair", "head", "n"])
 
     def build(batches):
-        """Bits of the segments that meet in this task, and counts that later steps need."""
-        parts: dict[int, list] = {}
-        for batch in batches:
-            pairs, n = (batch.column(k).to_numpy() for k in (0, 1))
-            segment = segment_of(pairs.view(U), segments)
-            for s in np.unique(segment).tolist():
-                parts.setdefault(s, []).append((pairs[segment == s], n[segment == s]))
-        for s, found in parts.items():
-            pairs, n = (np.concatenate(x) for x in zip(*found))
-            pairs, which = np.unique(pairs, return_inverse=True)
+        """Bits of the segments that meet in this task, one after the other, and counts that later steps need."""
+        for s, (pairs, heads, n) in in_turn(batches):
+            pairs, first, which = np.unique(pairs, return_index=True, return_inverse=True)
             n = np.bincount(which, n).astype(np.int64)
             yield from rows_of(s, pairs.view(U), n)
-            heads, many = np.unique((pairs.view(U) >> U(32)).view(np.int64), return_counts=True)
+            heads, many = np.unique(heads[first], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), -1)), pa.array(heads), pa.array(many), pa.nulls(len(heads), pa.binary())], names)
             ones = [(-2, 1, int((n == 1).sum())), (-2, 2, int((n == 2).sum()))]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*ones)), pa.nulls(2, pa.binary())], names)
@@ -178,32 +191,55 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", segment_ent
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([entries], pa.int64()), pa.array([words_], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names)
 
     schema = "segment long, key long, n long, bits binary"
-    tasks = max(segments, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = texts.mapInArrow(count_pairs, "pair long, n long").repartition(tasks, F.pmod(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(segments)))
+    tasks = min(max(segments, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    segment = F.pmod(F.shiftrightunsigned("pair", 1), F.lit(segments)).alias("segment")
+    counted = texts.mapInArrow(count_pairs, "pair long, head long, n long").select(segment, "pair", "head", "n").repartition(tasks, "segment").sortWithinPartitions("segment")
     built = written(counted.mapInArrow(build, schema), "filter")
     once, twice = (built.where(f"segment = -2 and key = {k}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for k in (1, 2))
     behind = built.where("segment = -1").groupBy("key").agg(F.sum("n").alias("n"))
 
     def followers(batches):
-        parts: dict[int, list] = {}
-        for batch in batches:
-            segment, keys, n = (batch.column(k).to_numpy() for k in range(3))
-            for s in np.unique(segment).tolist():
-                parts.setdefault(s, []).append((keys[segment == s], n[segment == s]))
-        for s, found in parts.items():
-            keys, n = (np.concatenate(x) for x in zip(*found))
+        for s, (keys, n) in in_turn(batches):
             yield from rows_of(s, mix(keys.view(U) + FOLLOWERS), n)
 
     groups = max(1, -(-distinct // segment_entries))
     # Follower counts have segments of their own behind those of bigrams.
-    own = behind.select((F.pmod(F.col("key"), F.lit(groups)) + segments).cast("long").alias("segment"), "key", "n").repartition(groups, "segment")
+    own = behind.select((F.pmod(F.shiftrightunsigned("key", 1), F.lit(groups)) + segments).cast("long").alias("segment"), "key", "n").repartition(min(groups, MOST_TASKS), "segment").sortWithinPartitions("segment")
     filters = written(built.where("segment >= 0").union(own.mapInArrow(followers, schema)).select("segment", "bits"), "segments")
     size = filters.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0))).first()[0]
     return Model(int(total), int(distinct), once / (once + 2 * twice) if once else 0.5, segments, int(size), filters, words)
 
 
+def chance_of(share, pair_level, follow_level, before_count, discount: float):
+    """A token's chance behind another one, from its share, the two levels read and the count of the one before."""
+    c = LEVEL_COUNT[pair_level]
+    d = min(discount, 1.0)
+    seen = np.maximum(before_count, np.maximum(c, 1))
+    rest = np.minimum(1.0, d * LEVEL_COUNT[follow_level] / seen)
+    mixed = np.minimum(np.maximum(c - d, 0) / seen, 1 - rest) + rest * share
+    return np.where((before_count > 0) & (follow_level > 0), mixed, share)
+
+
+def frequent(model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (sorted) with their counts, at most ``most``: all from some count on."""
+    words = model.words
+    if model.distinct > most:
+        grade = F.floor(F.log(F.col("n")) * 50)
+        kept, least = 0, None
+        for r in sorted(words.groupBy(grade.alias("grade")).agg(F.count("*").alias("many"), F.min("n").alias("least")).collect(), key=lambda r: -r["grade"]):  # a row for each step of 2 % in counts
+            kept += r["many"]
+            if kept > most:
+                break
+            least = r["least"]
+        words = words.where(F.col("n") >= least) if least is not None else words.limit(0)
+    found = words.toArrow().combine_chunks()
+    word, n = (found.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(word)
+    return word[order], n[order]
+
+
 def follower_segment(heads: np.ndarray, segments: int, groups: int) -> np.ndarray:
-    return (heads % U(groups)).astype(np.int64) + segments
+    return ((heads >> U(1)) % U(groups)).astype(np.int64) + segments
 
 
 def _groups(model: Model, segment_entries: int) -> int:
@@ -218,18 +254,19 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
     groups = _groups(model, segment_entries)
     held = F.pmod(F.crc32(F.coalesce(docs[key].cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), held.alias("held_out"))
-    top = model.words.orderBy(F.col("n").desc(), "word").limit(broadcast_words).toPandas().sort_values("word")
-    known = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+    known = spark.sparkContext.broadcast(frequent(model, broadcast_words))
     direct = model.bytes <= broadcast_bytes
     if direct:
-        # At most broadcast_bytes, fetched a partition at a time: the driver holds the filter about twice.
-        found = {r["segment"]: bytes(r["bits"]) for r in model.filters.toLocalIterator()}
-        # A segment that got no entry still has a word without bits.
-        sizes = np.array([max(1, len(found.get(s, b"")) // 8) for s in range(segments + groups)])
-        raw = b"".join(found.get(s, bytes(8)) for s in range(segments + groups))
-        found.clear()
-        table = spark.sparkContext.broadcast((sizes, raw))
-        del raw
+        # At most broadcast_bytes, fetched a partition at a time into one array.  A segment that got no entry still has a word without bits.
+        sizes = np.ones(segments + groups, np.int64)
+        for r in model.filters.select("segment", (F.octet_length("bits") / 8).cast("long").alias("n")).collect():  # broadcast_bytes bounds the segments too
+            sizes[r["segment"]] = r["n"]
+        ends = np.cumsum(sizes)
+        bits = np.zeros(int(ends[-1]), U)
+        for r in model.filters.toLocalIterator():
+            bits[ends[r["segment"]] - sizes[r["segment"]] : ends[r["segment"]]] = np.frombuffer(r["bits"], U)
+        table = spark.sparkContext.broadcast((sizes, bits))
+        del bits
     complete = distinct <= broadcast_words
 
     def grams_of(tokens, bounds):
@@ -240,12 +277,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
         return (count + 0.5) / (total + 0.5 * (distinct + 1))
 
     def chances(share, pair_level, follow_level, before_count):
-        c = LEVEL_COUNT[pair_level]
-        d = np.minimum(discount, 1.0)
-        seen = np.maximum(before_count, np.maximum(c, 1))
-        rest = np.minimum(1.0, d * LEVEL_COUNT[follow_level] / seen)
-        mixed = np.minimum(np.maximum(c - d, 0) / seen, 1 - rest) + rest * share
-        return np.where((before_count > 0) & (follow_level > 0), mixed, share)
+        return chance_of(share, pair_level, follow_level, before_count, discount)
 
     def counts_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words, n = known.value
@@ -257,8 +289,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
     if direct and complete:
 
         def whole(batches):
-            sizes, raw = table.value
-            filters, starts = np.frombuffer(raw, U), np.concatenate([[0], np.cumsum(sizes)])
+            sizes, filters = table.value
+            starts = np.concatenate([[0], np.cumsum(sizes)])
             for part, offsets, data in text_blocks(batches):
                 tokens, bounds = token_hashes(data, offsets)
                 count, _ = counts_of(tokens)
@@ -280,8 +312,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
             """A row for each document with its sums over tokens of broadcast words, and one for each other token and the token behind it."""
             from pyspark import TaskContext
 
-            sizes, raw = table.value
-            filters, starts = np.frombuffer(raw, U), np.concatenate([[0], np.cumsum(sizes)])
+            sizes, filters = table.value
+            starts = np.concatenate([[0], np.cumsum(sizes)])
             serial = TaskContext.get().partitionId() << 40
             for part, offsets, data in text_blocks(batches):
                 tokens, bounds = token_hashes(data, offsets)

@@ -91,8 +91,55 @@ def test_filter_keeps_every_level():
     assert (found >= levels).all() and (found > levels).mean() < 0.05
     unseen = lm.probe(lm.mix(np.arange(10**6, 10**6 + 5000).astype(lm.U)), np.zeros(5000, np.int64), bits, starts)
     assert (unseen > 0).mean() < 0.05
-    assert (np.abs(lm.LEVEL_COUNT[levels] / counts - 1) < 0.5).all()
-
+    assert (lm.LEVEL_COUNT[levels] <= counts).all() and (lm.LEVEL_COUNT[levels + 1] > counts).all()
+    assert lm.LEVEL_COUNT[:8].tolist() == [0, 1, 2, 3, 4, 6, 8, 12]
+
+
+def test_chances_sum_to_at_most_one():
+    """Behind every word, over all words, with counts read back from their levels."""
+    rng = np.random.RandomState(8)
+    for _ in range(200):
+        words = rng.randint(3, 400)
+        counts = rng.zipf(1.4, words).clip(1, 10**6) * (rng.rand(words) < rng.rand())
+        share = rng.rand(words)
+        share /= share.sum()
+        levels = np.where(counts > 0, lm.level(counts), 0)
+        behind = int((counts > 0).sum())
+        follow = np.full(words, lm.level(np.array([behind]))[0] if behind else 0)
+        total = lm.chance_of(share, levels, follow, np.full(words, counts.sum()), rng.rand()).sum()
+        assert 0 < total <= 1 + 1e-9
+
+
+@pytest.mark.parametrize("kind", ["docs", "documents"])
+def test_model_score(kind, docs, documents):
+    """Scores from a dictionary of exact counts, quantised; the filter's false hits may raise or lower a few."""
+    df = docs if kind == "docs" else documents
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    counts, pairs, behind = Counter(), Counter(), {}
+    for name, text in rows:
+        if not held(name):
+            own = tokens(text)
+            counts.update(own)
+            for v, w in zip(own, own[1:]):
+                pairs[v, w] += 1
+                behind.setdefault(v, set()).add(w)
+    total, distinct = sum(counts.values()), len(counts)
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    least = lambda n: next(x for x in lm.LEVEL_COUNT[::-1] if x <= n)
+    close = 0
+    found = {(r[0], r[2], round(r[5], 6)): r[6] for r in rows_of(lm.score(df, lm.fit(df)))}
+    for name, text in rows:
+        own = tokens(text)
+        share = [(counts[t] + 0.5) / (total + 0.5 * (distinct + 1)) for t in own]
+        score = math.log10(share[0])
+        for v, w, p in zip(own, own[1:], share[1:]):
+            rest = min(1, d * least(len(behind[v])) / counts[v]) if v in behind else 1
+            score += math.log10(min(max(least(pairs[v, w]) - d, 0) / counts[v], 1 - rest) + rest * p if v in behind else p)
+        own_score = found[name, len(own), round(sum(math.log10(p) for p in share), 6)]
+        assert abs(own_score - score) < 0.25 * abs(score) + 3
+        close += abs(own_score - score) < 0.03 * abs(score)
+    assert close > 0.5 * len(rows)
 
 def test_empty(empty):
     assert lm.score(empty, lm.fit(empty)).count() == 0

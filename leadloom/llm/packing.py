@@ -127,7 +127,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-
 def pack(items: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
@@ -138,16 +137,17 @@ def pack(items: DataFrame, *, capacity: int = 2048) -> DataFrame:
     runs = plan(counts, capacity)
     groups = spark.createDataFrame([(x, -(-n // RANKED_TOGETHER)) for x, n in counts.items()], "length long, groups long")
     table = spark.createDataFrame(runs, "length long, run_first long, run_pieces long, per_bin long, first_bin long, run_offset long")
-    others = [c for c in items.columns if c != "length"]
-    salted = items.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64(*others), F.col("groups"))).drop("groups")
+    # The caller's columns travel as one struct: no name of theirs can clash with ours.
+    rows = items.select(F.struct(*(items[c] for c in items.columns)).alias("row"), items["length"].alias("length"))
+    salted = rows.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("groups"))).drop("groups")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy(*others)
+    within = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     placed = ranked.join(F.broadcast(table), "length").where("rank >= run_first and rank < run_first + run_pieces")
     step = F.col("rank") - F.col("run_first")
     return placed.select(
-        *items.columns,
+        "row.*",
         (F.col("first_bin") + F.floor(step / F.col("per_bin"))).cast("long").alias("sequence_id"),
         (F.col("run_offset") + (step % F.col("per_bin")) * F.col("length")).cast("long").alias("offset"),
     )

@@ -39,7 +39,7 @@ def op5_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.length_table(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    return token_counts.length_table(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), token_counts.LIMITS)
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact length histogram of encoded documents, with suffix sums for every context limit.
 
-The histogram has a row for each length that occurs; its suffix sums answer
-totals, quantiles and truncated totals.  Null and empty texts have length 0.
-An empty table gives no rows.
+The histogram has a row for each length that occurs and for each limit asked
+for; its suffix sums answer totals, quantiles and truncated totals.  Null and
+empty texts have length 0.  Repeated rows count as often as they occur.  An
+empty table gives rows for the limits alone.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from .tokens import encoder, text_blocks
 
+#: Context limits that the query answers whether or not a document has this length.
+LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
 #: Lengths are summed in blocks of this width, then the blocks: no window spans all lengths.
 BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, *, text: str = "text") -> DataFrame:
-    """One row for each task's batch and length: n_tokens and documents of this length."""
+    """n_tokens and n, the documents of this length: a written table with a row for each length that occurs."""
     ship(docs.sparkSession)
 
     def count(batches):
@@ -30,16 +33,20 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, *, text: str = "text") -> D
             length, n = np.unique(np.diff(bounds), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], ["n_tokens", "n"])
 
-    return docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "n_tokens long, n long")
+    counts = docs.select(docs[text].cast("string").alias("text")).mapInArrow(count, "n_tokens long, n long")
+    return written(counts.groupBy("n_tokens").agg(F.sum("n").alias("n")), "lengths")
 
 
-def length_table(lengths: DataFrame) -> DataFrame:
-    """Histogram with suffix sums, one row a length taken as a context limit.
+def length_table(lengths: DataFrame, limits: tuple[int, ...] = ()) -> DataFrame:
+    """Histogram with suffix sums, one row a length or limit taken as a context limit.
 
     n_documents and tokens have this length; documents_longer and tokens_longer
     lie beyond it; truncated_total is what all documents keep under the limit;
     quantile is the share of documents that fit.
     """
+    if limits:
+        asked = lengths.sparkSession.createDataFrame([(x, 0) for x in limits], "n_tokens long, n long")
+        lengths = lengths.select("n_tokens", "n").unionAll(asked)
     histogram = lengths.groupBy("n_tokens").agg(F.sum("n").alias("n_documents")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     behind = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -61,20 +68,12 @@ def length_table(lengths: DataFrame) -> DataFrame:
             "documents_longer",
             "tokens_longer",
             (F.col("t_all") - F.col("tokens_longer") + F.col("documents_longer") * F.col("n_tokens")).alias("truncated_total"),
-            (1 - F.col("documents_longer") / F.col("d_all")).alias("quantile"),
+            (1 - F.try_divide("documents_longer", "d_all")).alias("quantile"),
         )
     )
 
 
-def totals_at(table: DataFrame, limits: DataFrame) -> DataFrame:
-    """truncated_total and documents_over of each row of ``limits`` (column ``context``), exact for limits between lengths too.
-
-    The largest length at or under a limit has its suffix sums; what is longer counts ``context`` each.  Length 0
-    always has a row here, with the sums of the whole corpus, so limits below the shortest document are answered too.
-    """
-    sums = table.where("n_tokens > 0").select("n_tokens", "truncated_total", "documents_longer")
-    least = table.agg(F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("truncated_total"), F.coalesce(F.sum(F.when(F.col("n_tokens") > 0, F.col("n_documents"))), F.lit(0)).alias("documents_longer"))
-    rows = limits.select("context").distinct().join(sums.unionByName(least), F.col("n_tokens") <= F.col("context"), "left")
-    return rows.groupBy("context").agg(
-        F.max_by(F.struct((F.col("truncated_total") + F.col("documents_longer") * (F.col("context") - F.col("n_tokens"))).alias("truncated_total"), F.col("documents_longer").alias("documents_over")), "n_tokens").alias("x")
-    ).select("context", "x.*")
+def totals_at(lengths: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """context, truncated_total and documents_over for each of ``limits``, exact below, between and beyond the lengths too."""
+    found = length_table(lengths, limits).where(F.col("n_tokens").isin(*limits))
+    return found.select(F.col("n_tokens").alias("context"), "truncated_total", F.col("documents_longer").alias("documents_over"))

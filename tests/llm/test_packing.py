@@ -77,6 +77,15 @@ def test_pieces_and_places(docs):
     assert used <= 1.02 * -(-sum(r["length"] for r in rows) // 64) + 1
 
 
+def test_clashing_names(spark):
+    """Columns named like the operator's own keep their values."""
+    rows = [(k, 7 * k, f"b{k}", None, k % 5, 1 + k % 40) for k in range(500)]
+    df = spark.createDataFrame(rows, "salt long, rank long, base string, groups int, run_first int, length long")
+    found = packing.pack(df, capacity=64)
+    assert found.columns == [*df.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:6] for r in found.collect()) == sorted(rows)
+
+
 def test_empty_table(empty):
     assert packing.packed_documents(empty, PATH).count() == 0
     assert token_counts.length_table(token_counts.encoded_lengths(empty, PATH)).count() == 0
@@ -97,5 +106,5 @@ def test_totals_at_any_limit(spark):
     for lengths in ([5, 5, 9, 2000], [0, 0, 3, 7], [0], []):
         rows = spark.createDataFrame([(n, 1) for n in lengths], "n_tokens long, n long")
         limits = [0, 1, 4, 5, 6, 9, 1999, 2000, 5000]
-        found = token_counts.totals_at(token_counts.length_table(rows), spark.createDataFrame([(c,) for c in limits], "context long")).collect()
+        found = token_counts.totals_at(rows, tuple(limits)).collect()
         assert {r["context"]: (r["truncated_total"], r["documents_over"]) for r in found} == {c: (sum(min(n, c) for n in lengths), sum(n > c for n in lengths)) for c in limits}

@@ -2,10 +2,11 @@
 
 Features are hashed words (runs of letters, A-Z lowered) and word beginnings, one
 for each that occurs.  One weight vector serves all thresholds: P(grade > k) is
-the logistic function of the weighted sum less threshold k.  Labels say toxic or not; grades
-1 and 2 part the toxic labelled rows at the median number of features that mark
-toxic rows.  The model is fitted on a bounded sample of labelled rows and
-scores every whole text.
+the logistic function of the weighted sum less threshold k.  Labels say toxic
+or not; grades 1 and 2 part the toxic labelled rows at the median of a score
+that a two-grade model of the other half of the labels gives them, so no row's
+grade comes from a model that saw the row.  The model is fitted on a bounded
+sample of labelled rows and scores every whole text.
 
 A null or empty text has no feature and gets the prior.  Repeated rows give
 repeated results; an empty table gives no rows.  Without toxic labels every
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from .blocks import TO_LOWER, U, find_words, span_hashes
 from .quality import labelled_sample
 from .tokens import text_blocks
@@ -78,9 +79,10 @@ def flags(buckets: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text: str = "text", key: str = "doc_id") -> SeverityModel:
     ship(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, "toxic", rows))
-    marked = docs.select(docs[key].cast("long").alias("l_id"), docs[text].cast("string").alias("text")).join(sample, "l_id")
+    marked = written(docs.select(docs[key].cast("long").alias("l_id"), docs[text].cast("string").alias("text")).join(sample, "l_id").withColumn("body", F.xxhash64("text", F.octet_length("text"))), "labelled")
     # Copies of one text count once: else their other words would mark toxicity.
-    marked = marked.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
+    firsts = marked.groupBy("body").agg(F.min("l_id").alias("l_id"), F.max("label").alias("label"))  # as many as labelled rows
+    marked = marked.drop("label").join(F.broadcast(firsts), ["body", "l_id"]).select("label", "text", F.pmod("body", F.lit(2)).cast("int").alias("half"))
     blank = SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.array([50.0, 51.0]))
 
     def count(batches):
@@ -114,42 +116,66 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS, text:
             owner, bucket, _ = document_features(data, offsets, wanted)
             bounds = np.searchsorted(owner, np.arange(len(offsets)))
             features = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.searchsorted(buckets, bucket).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows_.column(0), features], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([rows_.column(0), features, rows_.column(2)], ["label", "features", "half"])
 
-    table = marked.mapInArrow(rows_of, "label int, features array<int>")
-    found = table.groupBy("label", "features").agg(F.count("*").alias("n")).orderBy("label", "features").collect()  # at most `rows` rows of at most FEATURES numbers
-    return SeverityModel(buckets, *ordinal_fit([(r["label"], r["features"], r["n"]) for r in found], len(buckets)))
+    table = marked.mapInArrow(rows_of, "label int, features array<int>, half int")
+    found = table.groupBy("label", "features", "half").agg(F.count("*").alias("n")).orderBy("label", "features", "half").collect()  # at most `rows` rows of at most FEATURES numbers
+    return SeverityModel(buckets, *ordinal_fit([(r["label"], r["features"], r["half"], r["n"]) for r in found], len(buckets)))
 
 
-def ordinal_fit(rows: list[tuple[int, list[int], int]], features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and two thresholds by adaptive gradient steps on the cumulative-link likelihood."""
-    label = np.array([r[0] for r in rows])
-    marks, weight = np.array([len(r[1]) for r in rows]), np.array([r[2] for r in rows], float)
-    toxic = np.repeat(marks[label == 1], weight[label == 1].astype(int))
-    grade = np.where(label == 1, 1 + (marks > np.median(toxic)), 0)
+def ordinal_fit(rows: list[tuple[int, list[int], int, int]], features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and two thresholds from rows (label, features, half, times).
+
+    Toxic rows of each half get grade 2 where the other half's two-grade model
+    scores them above its median, else grade 1.
+    """
+    label, half, times = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+    marks = np.array([len(r[1]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), marks)
     column = np.fromiter((c for r in rows for c in r[1]), np.int64, len(owner))
+    grade = np.minimum(label, 1)
+    for own in (0, 1):
+        taught = half != own
+        toxic = (half == own) & (label == 1)
+        if not toxic.any() or not (taught & (label == 1)).any():
+            continue
+        weights, _ = climb(np.minimum(grade, 1), owner, column, times * taught, features, 1)
+        sums = np.bincount(owner, weights[column], len(rows))
+        grade[toxic & (sums > np.median(np.repeat(sums[toxic], times[toxic])))] = 2
+    return climb(grade, owner, column, times, features, 2)
+
+
+def climb(grade: np.ndarray, owner: np.ndarray, column: np.ndarray, times: np.ndarray, features: int, cuts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and so many ascending thresholds by adaptive gradient steps on the cumulative-link likelihood.
+
+    ``owner`` and ``column`` list the features of the rows, ``times`` how often a row counts.
+    """
+    rows = len(grade)
     # Toxic rows are few: each side has the same say.
-    weight = weight * np.where(grade > 0, weight[grade == 0].sum() / max(weight[grade > 0].sum(), 1), 1.0)
-    weight /= weight.sum()
-    w, base, gap = np.zeros(features), 0.0, 0.0  # thresholds: base and base + exp(gap)
-    past = np.zeros(features + 2)
+    weight = times * np.where(grade > 0, times[grade == 0].sum() / max(times[grade > 0].sum(), 1), 1.0)
+    weight = weight / max(weight.sum(), 1e-12)
+    w, free = np.zeros(features), np.zeros(cuts)  # thresholds: the first, then logarithms of the steps between them
+    past = np.zeros(features + cuts)
+    at = np.arange(rows)
+
+    def thresholds() -> np.ndarray:
+        return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
     for _ in range(STEPS):
-        sums = np.bincount(owner, w[column], len(rows))
-        cuts = np.array([base, base + np.exp(gap)])
-        above = np.concatenate([np.ones((len(rows), 1)), 1 / (1 + np.exp(-(sums[:, None] - cuts))), np.zeros((len(rows), 1))], axis=1)
+        sums = np.bincount(owner, w[column], rows)
+        above = np.concatenate([np.ones((rows, 1)), 1 / (1 + np.exp(-(sums[:, None] - thresholds()))), np.zeros((rows, 1))], axis=1)
         slope = above * (1 - above)
-        at = np.arange(len(rows))
         p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-12)
         upper, lower = slope[at, grade] / p, slope[at, grade + 1] / p
         d_sum = weight * (upper - lower)
-        d_cut = [float((weight * (np.where(grade == k, lower, 0) - np.where(grade == k + 1, upper, 0))).sum()) for k in (0, 1)]
-        step = np.concatenate([np.bincount(column, d_sum[owner], features) - RIDGE * w, [d_cut[0] + d_cut[1], d_cut[1] * np.exp(gap)]])
+        d_cut = np.array([float((weight * (np.where(grade == k, lower, 0) - np.where(grade == k + 1, upper, 0))).sum()) for k in range(cuts)])
+        behind = np.cumsum(d_cut[::-1])[::-1]  # a threshold's step moves all behind it
+        step = np.concatenate([np.bincount(column, d_sum[owner], features) - RIDGE * w, behind[:1], behind[1:] * np.exp(free[1:])])
         past += step * step
         step = RATE * step / np.sqrt(past + 1e-12)
         # Features mark toxicity, none speaks against it.
-        w, base, gap = np.maximum(w + step[:-2], 0), base + step[-2], gap + step[-1]
-    return w.round(9), np.array([base, base + np.exp(gap)]).round(9)
+        w, free = np.maximum(w + step[:features], 0), free + step[features:]
+    return w.round(9), thresholds().round(9)
 
 
 def grade_documents(docs: DataFrame, model: SeverityModel, *, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,10 +5,10 @@ archive is a list of rows (archive, offset, record): its records in a row are
 the file's bytes, so Spark's commit protocol guards it against lost executors.
 Equal payloads of 1000 bytes or more are held once; others revisit it.
 
-Reading: every archive is parsed again into index lines, sorted by URL key and
-timestamp within the archive: a run.  Runs are cut at common key bounds and the
-slices of each range are merged with a loser tree, so ranges in order give one
-globally ordered index.
+Reading: the task that parses an archive sorts its index lines by URL key and
+timestamp: a run.  Runs are cut at common key bounds, and a loser tree merges
+the sorted slices of each range, so ranges in order give one globally ordered
+index.
 
 Null html is an empty payload; a null url has an empty key and sorts first; a
 null id stays null and counts as the least.  Repeated rows give repeated
@@ -34,6 +34,8 @@ LEAST_REVISIT = 1000
 #: Bytes of payload in an archive, and index lines that one merge task takes, about.
 ARCHIVE_BYTES = 16 << 20
 MERGED_LINES = 20_000
+#: Merge tasks at most; beyond that each takes more lines.
+MOST_RANGES = 100_000
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
@@ -145,7 +147,7 @@ def _page(urn: str) -> int | None:
 
 
 def index_lines(archives: DataFrame) -> DataFrame:
-    """One line a record, read from the archives, with url_key."""
+    """One line a record, read from the archives, with url_key; a task's lines are sorted within each archive."""
     ship(archives.sparkSession)
     names = ["page_id", "url", "timestamp", "record_type", "payload_bytes", "payload_digest", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -156,7 +158,12 @@ def index_lines(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[n] for r in found], t) for n, t in zip(names, kinds))], ["archive", "offset", *names])
 
     schema = "archive string, offset long, page_id long, url string, timestamp string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return archives.select("archive", "offset", "record").mapInArrow(work, schema).withColumn("url_key", url_key(F.col("url")))
+    lines = archives.select("archive", "offset", "record").mapInArrow(work, schema).withColumn("url_key", url_key(F.col("url")))
+    return lines.sortWithinPartitions("archive", _merge_order())
+
+
+def _merge_order() -> Column:
+    return F.struct(F.col("url_key"), F.col("timestamp"), F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"), F.col("archive"), F.col("offset"))
 
 
 class LoserTree:
@@ -209,23 +216,27 @@ def merged_histories(lines: DataFrame, *, together: int = MERGED_LINES) -> DataF
     """
     spark = lines.sparkSession
     ship(spark)
-    order = F.struct(F.col("url_key"), F.col("timestamp"), F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"), F.col("archive"), F.col("offset"))
-    runs = lines.withColumn("sort_key", order)
-    ranges = max(1, -(-lines.count() // together))
+    runs = lines.withColumn("sort_key", _merge_order())
+    ranges = min(max(1, -(-lines.count() // together)), MOST_RANGES)
     # Range bounds on the whole merge order: one URL with a third of all captures is cut like any other.
-    dealt = runs.repartitionByRange(ranges, "sort_key").sortWithinPartitions("archive", "sort_key")
+    dealt = runs.repartitionByRange(ranges, "sort_key")
     fields = [f.name for f in lines.schema.fields]
     at = {name: k for k, name in enumerate(fields)}
 
     def merge(batches):
-        # A task holds the slices of one range: about `together` lines.
-        slices: dict[str, list[tuple]] = {}
+        # A task holds the slices of one range: about `together` lines.  A slice that arrives in parts is as many runs.
+        slices: list[list[tuple]] = []
+        now: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                page = row[at["page_id"]]
-                slices.setdefault(row[at["archive"]], []).append((row[at["url_key"]].encode(), row[at["timestamp"]], -(2**63) if page is None else page, row[at["archive"]], row[at["offset"]], row))
+                page, name = row[at["page_id"]], row[at["archive"]]
+                entry = (row[at["url_key"]].encode(), row[at["timestamp"]], -(2**63) if page is None else page, name, row[at["offset"]], row)
+                if name not in now or entry[:5] < now[name][-1][:5]:
+                    now[name] = []
+                    slices.append(now[name])
+                now[name].append(entry)
         place, out = 0, []
-        for entry in LoserTree([iter(x) for x in slices.values()]):
+        for entry in LoserTree([iter(x) for x in slices]):
             out.append((*entry[5], place))
             place += 1
         if out:

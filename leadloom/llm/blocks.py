@@ -76,7 +76,7 @@ FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
 def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of every span from start to stop."""
     size = stop - start
-    out = mix(size.astype(U) * BASE + U(seed) * U(0xD1B54A32D192ED03) + U(1))
+    out = mix(size.astype(U) * BASE + U(seed * 0xD1B54A32D192ED03 % 2**64) + U(1))
     live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
     eight, at = lanes(data), start[live].astype(np.int64)
     left = size[live]

@@ -6,16 +6,17 @@ have at equal places; an anchor's number is its place in the order of all.
 
 1. Suffixes are dealt to buckets by the q-gram at their anchor.  Buckets of one
    suffix are settled: its string occurs once.
-2. In round k an open suffix reads the bucket identifier of the suffix 2**k
-   anchors later.  Buckets are refined by (own identifier, identifier read); a
-   new bucket is named by its least suffix, so identifiers are exact, and the
-   next round reads these new ones.  Each round doubles the depth.
+2. In a round an open suffix reads the bucket identifiers of the suffixes 1, 2
+   and 3 depths later.  Buckets are refined by own and read identifiers; a new
+   bucket is named by its least suffix, so identifiers are exact, and the next
+   round reads these new ones.  Each round makes the depth FAN times as large.
 3. A window holds the same first and last anchor as the windows around it: a
-   run.  The chain of anchors that covers a run is named by two overlapping
-   buckets.  Runs whose covering chain occurs twice are repeated.
+   run.  The chain of anchors that covers a run is named by up to FAN buckets in
+   a row.  Runs whose covering chain occurs twice are repeated.
 4. What is left are the ends of repeated strings: runs whose inner chain occurs
-   twice, but not the covering one.  Their windows are compared one by one, by
-   the identifier of the inner chain and a hash of the bytes around it.
+   twice, but not the covering one.  The bytes around the inner chain settle
+   them: compared in pairs where few runs have the chain, else window by window
+   through a hash.
 
 Equal texts are refined once, and are repeated as a whole.  Texts are named by
 128 bits of hashes; a 400-byte string is equal to another one only if five
@@ -36,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .blocks import BASE, U, mix, span_hashes
-from .suffix_kernel import GRAM, SAMPLE, anchors, chains, deepest, gram_hashes, runs
+from .blocks import BASE, U, column_bytes, mix, span_hashes
+from .suffix_kernel import FAN, GRAM, SAMPLE, anchors, chains, deepest, gram_hashes, runs, within
 from .tokens import text_blocks
 
 #: Bytes of a repeated string, and of a repeated passage: 50 short words.
 WINDOW, PASSAGE = 400, 250
 NAME = ["k1", "k2"]
+#: Rows of one inner chain that meet each other in a task; the windows of larger groups are counted one by one.
+FEW = 24
 
 
 def keyed(docs: DataFrame, text: str, *others) -> DataFrame:
@@ -52,7 +55,7 @@ def keyed(docs: DataFrame, text: str, *others) -> DataFrame:
 
 
 def sampled(docs: DataFrame, text: str, windows: tuple[int, ...]) -> DataFrame:
-    """A row for each text of at least the least window: doc (number of its first anchor), name, text, size, deep (last level), shape (two bytes an anchor) and grams."""
+    """A row for each text of at least the least window: doc (number of its first anchor), name, text, size, shape (two bytes an anchor), grams, and deep (last level of each anchor)."""
 
     def work(batches):
         number = TaskContext.get().partitionId() << 40
@@ -61,7 +64,7 @@ def sampled(docs: DataFrame, text: str, windows: tuple[int, ...]) -> DataFrame:
             owner, place, first = anchors(data, offsets)
             grams = gram_hashes(data, offsets, owner, place)
             bounds = np.searchsorted(owner, np.arange(len(size) + 1))
-            deep = deepest(owner, place, len(size), max(windows))
+            deep = deepest(owner, place, max(windows))
             step = np.diff(place, prepend=0)
             step[bounds[:-1][np.diff(bounds) > 0]] = place[bounds[:-1][np.diff(bounds) > 0]]
             shape = np.stack([step, place - first], axis=1).astype(np.uint8).tobytes()
@@ -69,33 +72,37 @@ def sampled(docs: DataFrame, text: str, windows: tuple[int, ...]) -> DataFrame:
             taken = np.diff(bounds)[keep]
             doc = number + np.cumsum(taken) - taken
             number += int(taken.sum())
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))
+            lists, levels = (pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)).take(pa.array(keep)) for x in (grams.view(np.int64), deep))
             picked = rows.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), *picked.columns, pa.array(size[keep]), pa.array(deep[keep].astype(np.int32)), pa.array([shape[2 * a : 2 * b] for a, b in zip(bounds[keep].tolist(), bounds[keep + 1].tolist())], pa.binary()), lists.take(pa.array(keep))],
-                ["doc", *NAME, "text", "size", "deep", "shape", "grams"],
+                [pa.array(doc), *picked.columns, pa.array(size[keep]), pa.array([shape[2 * a : 2 * b] for a, b in zip(bounds[keep].tolist(), bounds[keep + 1].tolist())], pa.binary()), lists, levels],
+                ["doc", *NAME, "text", "size", "shape", "grams", "deep"],
             )
 
-    return keyed(docs, text).mapInArrow(work, "doc long, k1 long, k2 long, text string, size long, deep int, shape binary, grams array<long>")
+    return keyed(docs, text).mapInArrow(work, "doc long, k1 long, k2 long, text string, size long, shape binary, grams array<long>, deep array<tinyint>")
 
 
 def refined(texts: DataFrame) -> list[DataFrame]:
-    """doc, i (anchor), deep and b (bucket identifier) of the suffixes that share a bucket, a table for each level."""
-    suffixes = texts.select("doc", "deep", F.posexplode("grams").alias("i", "gram"))
-    shared = suffixes.groupBy("gram").agg(F.min(F.col("doc") + F.col("i")).alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    levels = [written(suffixes.join(shared, "gram").select("doc", "i", "deep", "b"), "level")]
+    """doc, i (anchor), deep, b (bucket identifier) and outer (first or last of its bucket) of the suffixes that share a bucket, a table for each level."""
+    number = F.col("doc") + F.col("i")
+    outer = ((number == F.col("b")) | (number == F.col("top"))).alias("outer")
+    suffixes = texts.select("doc", F.posexplode(F.arrays_zip("grams", "deep")).alias("i", "x")).select("doc", "i", F.col("x.grams").alias("gram"), F.col("x.deep").alias("deep"))
+    shared = suffixes.groupBy("gram").agg(F.min(number).alias("b"), F.max(number).alias("top")).where("b < top")
+    levels = [written(suffixes.join(shared, "gram").select("doc", "i", "deep", "b", outer), "level")]
     for k in count():
-        open_ = levels[-1].where(F.col("deep") > k)
-        if not open_.limit(1).count():
-            break
-        later = Window.partitionBy("doc").orderBy("i").rangeBetween(1 << k, 1 << k)
-        read = written(open_.withColumn("to", F.first("b").over(later)).where("to is not null"), "read")
-        shared = read.groupBy("b", "to").agg(F.min(F.col("doc") + F.col("i")).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-        levels.append(written(read.join(shared, ["b", "to"]).select("doc", "i", "deep", F.col("name").alias("b")), "level"))
-    return levels
+        if not levels[-1].where(F.col("deep") > k).limit(1).count():
+            return levels
+        order = Window.partitionBy("doc").orderBy("i")
+        later = [F.first("b").over(order.rangeBetween(j * FAN**k, j * FAN**k)).alias(f"b{j}") for j in range(1, FAN)]
+        to = [f"b{j}" for j in range(1, FAN)]
+        read = written(levels[-1].select("*", *later).where(F.col("deep") > k).dropna(subset=to), "read")
+        shared = read.groupBy("b", *to).agg(F.min(number).alias("name"), F.max(number).alias("top")).where("name < top")
+        levels.append(written(read.drop("outer").join(shared, ["b", *to]).select("doc", "i", "deep", F.col("name").alias("b"), "top").select("doc", "i", "deep", "b", outer), "level"))
 
 
-RUN = ["win", "doc", "first", "more", "lead", "core", "c1", "c2", "k", "f1", "f2", "fk"]
+RUN = ["win", "doc", "first", "more", "lead", "core", "c1", "c2", "f1", "f2", "state"]
+#: A run that waits for its covering chain, one that is known to be repeated, and one of these that open runs may meet.
+WAITS, REPEATED, NAMED = 0, 1, 2
 
 
 def candidate_runs(texts: DataFrame, levels: list[DataFrame], windows: tuple[int, ...]) -> DataFrame:
@@ -103,9 +110,11 @@ def candidate_runs(texts: DataFrame, levels: list[DataFrame], windows: tuple[int
 
     lead counts the first window's bytes before the inner chain, core the
     bytes of that chain.  A covering chain that occurs once has the run's own
-    place for a name.
+    place for a name.  Runs that one shared bucket reaches over are repeated
+    and need no name; those that touch are one row, and the first and the last
+    place of the bucket also give them one by one, for open runs to meet.
     """
-    entries = [x.select("doc", F.struct(F.lit(k).alias("level"), "i", "b").alias("x")) for k, x in enumerate(levels)]
+    entries = [x.select("doc", F.struct(F.lit(k).alias("level"), "i", "b", "outer").alias("x")) for k, x in enumerate(levels)]
     lists = entries[0]
     for x in entries[1:]:
         lists = lists.unionAll(x)
@@ -129,47 +138,133 @@ def candidate_runs(texts: DataFrame, levels: list[DataFrame], windows: tuple[int
             own = np.repeat(np.arange(len(docs)), np.diff(lists_.offsets.to_numpy()))
             flat = lists_.flatten()
             table = np.full((many, len(place)), -1, np.int64)
-            table[flat.field(0).to_numpy(), bounds[own] + flat.field(1).to_numpy()] = flat.field(2).to_numpy()
+            outer = np.zeros((many, len(place)), bool)
+            level, anchor = flat.field(0).to_numpy(), bounds[own] + flat.field(1).to_numpy()
+            table[level, anchor], outer[level, anchor] = flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
             for number, window in enumerate(windows):
                 doc, at, more, low, high, before, behind = runs(size, bounds, place, first, window)
-                c1, c2, k = chains(table, low, high)
-                f1, f2, fk = chains(table, before, behind)
-                keep = np.flatnonzero(c1 >= 0)
-                alone = f1 < 0
-                f1, f2, fk = np.where(alone, docs[doc], f1), np.where(alone, at, f2), np.where(alone, -1, fk)
-                columns = [np.full(len(doc), number), docs[doc], at, more, place[low] - at, place[high] + GRAM - place[low], c1, c2, k, f1, f2, fk]
-                kinds = [np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32]
+                c1, c2, inner = chains(table, low, high)
+                f1, f2, cover = chains(table, before, behind)
+                f1, f2 = np.where(cover, f1, docs[doc]), np.where(cover, f2, at)
+                settled, named = within(table, outer, before, behind)
+                columns = [np.full(len(doc), number), docs[doc], at, more, place[low] - at, place[high] + GRAM - place[low], c1, c2, f1, f2, np.where(named, NAMED, WAITS)]
+                kinds = [np.int32, np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64, np.int64, np.int32]
+                keep = np.flatnonzero(inner & (~settled | named))
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(t)) for x, t in zip(columns, kinds)], RUN)
+                keep = np.flatnonzero(settled)
+                start = np.ones(len(keep), bool)
+                start[1:] = (doc[keep[1:]] != doc[keep[:-1]]) | (keep[1:] != keep[:-1] + 1)
+                end = np.flatnonzero(np.append(start[1:], True)) if len(keep) else keep
+                head = keep[start]
+                whole = [x[head] for x in columns[:3]] + [at[keep[end]] + more[keep[end]] - at[head], *[np.zeros(len(head))] * 6, np.full(len(head), REPEATED)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(whole, kinds)], RUN)
 
-    return joined.mapInArrow(work, "win int, doc long, first long, more int, lead int, core int, c1 long, c2 long, k int, f1 long, f2 long, fk int")
+    return joined.mapInArrow(work, "win int, doc long, first long, more int, lead int, core int, c1 long, c2 long, f1 long, f2 long, state int")
 
 
-def window_keys(texts: DataFrame, ends: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """Single windows of the runs ``ends``: win, c1 and key (of the bytes around the inner chain), doc, first and open."""
-    lists = ends.groupBy("doc").agg(F.collect_list(F.struct("win", "first", "more", "lead", "core", "c1", "c2", "k", "open")).alias("xs"))  # as many as the text has runs at most
+END = ["win", "c1", "c2", "doc", "first", "more", "lead", "core", "open", "together"]
+
+
+def margins(texts: DataFrame, ends: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """The rows ``ends`` with the bytes that their windows take before and behind the inner chain."""
+    lists = ends.groupBy("doc").agg(F.collect_list(F.struct(*(c for c in END if c != "doc"))).alias("xs"))  # as many as the text has runs at most
     joined = texts.select("doc", "text").join(lists, "doc")
-    sizes = np.array(windows)
 
     def work(batches):
         for rows, offsets, data in text_blocks(batches):
             lists_ = rows.column(2)
             flat = lists_.flatten()
             own = np.repeat(np.arange(rows.num_rows), np.diff(lists_.offsets.to_numpy()))
-            win, first, more, lead, core, c1, c2, k = (flat.field(j).to_numpy().astype(np.int64) for j in range(8))
-            opened = flat.field(8).to_numpy(zero_copy_only=False)
-            for a in range(0, len(own), 5000):
-                part = slice(a, a + 5000)
-                n = more[part] + 1
-                row = np.repeat(np.arange(a, a + len(n)), n)
+            fields = dict(zip([c for c in END if c != "doc"], (flat.field(j) for j in range(len(END) - 1))))
+            win, first, more, lead, core = (fields[c].to_numpy().astype(np.int64) for c in ("win", "first", "more", "lead", "core"))
+            start = offsets[own] + first
+            inner = start + lead
+            sides = []
+            for x, y in ((start, inner), (inner + core, start + more + np.array(windows)[win])):
+                sides.append(pa.array([data[p:q].tobytes() for p, q in zip(x.tolist(), y.tolist())], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(0).take(pa.array(own)) if c == "doc" else fields[c] for c in END), *sides], [*END, "left", "right"])
+
+    return joined.mapInArrow(work, "win int, c1 long, c2 long, doc long, first long, more int, lead int, core int, open boolean, together long, left binary, right binary")
+
+
+def met(found: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """win, doc, first and more: windows of open rows that another row of their inner chain has too.  Rows of one chain are few: each meets each."""
+    rows = found.repartition(F.col("c1"), F.col("c2")).sortWithinPartitions("c1", "c2", "win")
+    sizes = np.array(windows)
+
+    def matrix(column: list[bytes], back: bool) -> np.ndarray:
+        return np.frombuffer(b"".join(x[::-1][:GRAM].ljust(GRAM, b"\0") if back else x[:GRAM].ljust(GRAM, b"\0") for x in column), np.uint8).reshape(-1, GRAM)
+
+    def pairs(table: pa.Table):
+        win, c1, c2, doc, first, more, lead, core = (table.column(k).to_numpy().astype(np.int64) for k in range(8))
+        opened = table.column(8).to_numpy(zero_copy_only=False)
+        sides = [table.column(k).to_pylist() for k in (10, 11)]
+        length = [np.array([min(len(x), GRAM) for x in side]) for side in sides]
+        bytes_ = [matrix(sides[0], True), matrix(sides[1], False)]
+        step = 1
+        while True:
+            i = np.flatnonzero((c1[step:] == c1[:-step]) & (c2[step:] == c2[:-step]) & (win[step:] == win[:-step]))
+            if not len(i):
+                return
+            j = i + step
+            common = []
+            for raw, n in zip(bytes_, length):
+                same = np.concatenate([raw[i] == raw[j], np.zeros((len(i), 1), bool)], axis=1)
+                common.append(np.minimum(np.argmin(same, axis=1), np.minimum(n[i], n[j])))
+            rest = sizes[win[i]] - core[i]
+            for own in (i, j):
+                most, least = np.minimum(common[0], lead[own]), np.maximum(rest - common[1], lead[own] - more[own])
+                hit = opened[own] & (most >= least)
+                yield win[own][hit], doc[own][hit], (first[own] + lead[own] - most)[hit], (most - least)[hit]
+            step += 1
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []
+
+        def found_in(parts):
+            for win, doc, first, more in pairs(pa.Table.from_batches(parts)):
+                yield pa.RecordBatch.from_arrays([pa.array(win.astype(np.int32)), pa.array(doc), pa.array(first), pa.array(more.astype(np.int32))], ["win", "doc", "first", "more"])
+
+        for batch in batches:
+            c1, c2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            change = np.flatnonzero((c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])) + 1
+            # The last chain of a batch may go on in the next one.
+            last = int(change[-1]) if len(change) else 0
+            before = held and len(c1) and (held[-1].column(1)[-1].as_py(), held[-1].column(2)[-1].as_py()) != (int(c1[0]), int(c2[0]))
+            if before:
+                yield from found_in(held)
+                held = []
+            if last:
+                yield from found_in([*held, batch.slice(0, last)])
+                held = []
+            if batch.num_rows > last:
+                held.append(batch.slice(last))
+        if held:
+            yield from found_in(held)
+
+    return rows.mapInArrow(work, "win int, doc long, first long, more int")
+
+
+def window_keys(found: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """Single windows of the rows: c1 and key (of the other names and the bytes around the inner chain), win, doc, first and open."""
+    sizes = np.array(windows)
+
+    def work(batches):
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 5000):
+                part = whole.slice(at_row, 5000)
+                win, c1, c2, doc, first, more, lead, core = (part.column(k).to_numpy().astype(np.int64) for k in range(8))
+                opened = part.column(8).to_numpy(zero_copy_only=False)
+                (left_at, left), (right_at, right) = column_bytes(part.column(10)), column_bytes(part.column(11))
+                n = more + 1
+                row = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = first[row] + step
-                start, left = offsets[own[row]] + at, lead[row] - step
-                inner = start + left
-                key = (c2[row] + k[row] * 1024 + left).view(U) * BASE
-                key = mix(mix(key ^ span_hashes(data, start, inner, 1)) ^ span_hashes(data, inner + core[row], start + sizes[win[row]], 2))
-                yield pa.RecordBatch.from_arrays([pa.array(win[row].astype(np.int32)), pa.array(c1[row]), pa.array(key.view(np.int64)), rows.column(0).take(pa.array(own[row])), pa.array(at), pa.array(opened[row])], ["win", "c1", "key", "doc", "first", "open"])
+                size = lead[row] - step
+                key = (c2[row] + size).view(U) * BASE + win[row].view(U)
+                key = mix(mix(key ^ span_hashes(left, left_at[row] + step, left_at[row + 1], 1)) ^ span_hashes(right, right_at[row], right_at[row] + sizes[win[row]] - core[row] - size, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(c1[row]), pa.array(key.view(np.int64)), pa.array(win[row].astype(np.int32)), pa.array(doc[row]), pa.array(first[row] + step), pa.array(opened[row])], ["c1", "key", "win", "doc", "first", "open"])
 
-    return joined.mapInArrow(work, "win int, c1 long, key long, doc long, first long, open boolean")
+    return found.mapInArrow(work, "c1 long, key long, win int, doc long, first long, open boolean")
 
 
 def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), text: str = "text") -> DataFrame:
@@ -180,25 +275,50 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
     found = written(sampled(docs, text, windows), "sampled")
     names = written(found.groupBy(*NAME).agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size")), "names")
     texts = found.join(names.select("doc"), "doc", "left_semi")
-    lean = written(texts.select("doc", "size", "deep", "shape", "grams"), "suffixes")
+    lean = written(texts.select("doc", "size", "shape", "grams", "deep"), "suffixes")
     candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
-    inner, cover = ["win", "c1", "c2", "k"], ["f1", "f2", "fk"]
+    inner, cover = ["win", "c1", "c2"], ["f1", "f2"]
     one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
-    groups = written(candidates.groupBy(*inner, *cover).agg(F.count("*").alias("n"), one), "groups")
-    settled = candidates.join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
+    groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), one), "groups")
+    settled = candidates.where(F.col("state") == WAITS).join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
+    settled = settled.unionAll(candidates.where(F.col("state") == REPEATED).select("win", "doc", "first", "more"))
     # One run stands for all with its covering chain: it is enough to meet the open ones.
-    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
-    ends = groups.join(unsettled, inner, "left_semi").select(*inner, "one.*", (F.col("n") == 1).alias("open"))
-    singles = written(window_keys(texts, ends, windows), "windows")
-    again = singles.groupBy("win", "c1", "key").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).where("n > 1 and wanted").select("win", "c1", "key")
-    late = singles.where("open").join(again, ["win", "c1", "key"], "left_semi").select("win", "doc", "first", F.lit(0).alias("more"))
-    ranges = settled.unionByName(late).join(names.where("copies = 1").select("doc", *NAME), "doc").select(*NAME, "win", "first", "more")
+    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner, "all")
+    ends = groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open"), F.col("all").alias("together"))
+    around = written(margins(texts, ends, windows), "margins")
+    few = met(around.where(F.col("together") <= FEW), windows)
+    singles = written(window_keys(around.where(F.col("together") > FEW), windows), "windows")
+    again = singles.groupBy("c1", "key").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).where("n > 1 and wanted").select("c1", "key")
+    late = few.unionByName(singles.where("open").join(again, ["c1", "key"], "left_semi").select("win", "doc", "first", F.lit(0).alias("more")))
+    ranges = merged(settled.unionByName(late)).join(names.where("copies = 1").select("doc", *NAME), "doc").select(*NAME, "win", "first", "more")
     whole = [names.where((F.col("copies") > 1) & (F.col("size") >= w)).select(*NAME, F.lit(k).alias("win"), F.lit(0).cast("long").alias("first"), (F.col("size") - w).cast("int").alias("more")) for k, w in enumerate(windows)]
     for x in whole:
         ranges = ranges.unionByName(x)
     return ranges
 
 
+def merged(ranges: DataFrame) -> DataFrame:
+    """Ranges of windows of a text in order, those that touch as one."""
+    lists = ranges.groupBy("doc", "win").agg(F.collect_list(F.struct("first", "more")).alias("xs"))  # as many as the text has windows at most
+
+    def work(batches):
+        for batch in batches:
+            flat, offsets = batch.column(2).flatten(), batch.column(2).offsets.to_numpy()
+            own = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            first, more = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            # Rows stand apart on one line, so that the highest end so far is that of the row itself.
+            apart = own * (int((first + more).max(initial=0)) + 2)
+            order = np.argsort(first + apart)
+            own, first, last = own[order], (first + apart)[order], np.maximum.accumulate((first + more + apart)[order])
+            cut = np.ones(len(own), bool)
+            cut[1:] = first[1:] > last[:-1] + 1
+            end = np.flatnonzero(np.append(cut[1:], True)) if len(own) else np.zeros(0, np.int64)
+            row = pa.array(own[cut])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array((first - apart[order])[cut]), pa.array((last[end] - first[cut]).astype(np.int32))], ["doc", "win", "first", "more"])
+
+    return lists.mapInArrow(work, "doc long, win int, first long, more int")
+
+
 def deduplicated(docs: DataFrame, *, window: int = WINDOW, also: tuple[int, ...] = (), text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept (bytes) and covered of every document, with the columns of ``carry`` as c_0, c_1, ...
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from .blocks import U, lanes, mix, span_hashes
+from .blocks import BASE, U, lanes, mix, span_hashes
 
 #: Bytes of a q-gram and of a sample; a sample has as many places for its anchor as a q-gram has bytes.
-GRAM = 64
+GRAM = 96
 SAMPLE = 2 * GRAM - 1
+#: Identifiers that a suffix's new one is made of: a chain of FAN**level anchors has a bucket at each level.
+FAN = 4
 #: Samples that are searched at a time; longer texts go piece by piece.
 PIECE = 1 << 22
 
@@ -65,13 +67,17 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, place:
     return span_hashes(data, start, start + GRAM)
 
 
-def deepest(owner: np.ndarray, place: np.ndarray, docs: int, window: int) -> np.ndarray:
-    """For each document the level whose chains of 2**level anchors reach over any run of windows, with less than twice as many anchors."""
+def deepest(owner: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """For each anchor the last level that a chain over a run of windows reads there."""
     line = place + owner * (int(place.max(initial=0)) + window + 4 * GRAM)
     need = np.searchsorted(line, line + window + 2 * GRAM, "right") - np.arange(len(line))
-    most = np.ones(docs, np.int64)
-    np.maximum.at(most, owner, need)
-    return np.floor(np.log2(most)).astype(np.int8)
+    out = np.zeros(len(line), np.int8)
+    level = 1
+    while (long := np.flatnonzero(need >= FAN**level)).size:
+        read = np.bincount(long, minlength=len(line) + 1) - np.bincount(long + need[long], minlength=len(line) + 1)
+        out[np.cumsum(read[:-1]) > 0] = level
+        level += 1
+    return out
 
 
 def runs(size: np.ndarray, bounds: np.ndarray, place: np.ndarray, first: np.ndarray, window: int):
@@ -101,15 +107,37 @@ def runs(size: np.ndarray, bounds: np.ndarray, place: np.ndarray, first: np.ndar
 
 
 def chains(levels: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """Bucket at the front and at the back of the chains from ``low`` to ``high``, which overlap or touch; -1 in either where a chain occurs once.
+    """Two hashes that name the chain of anchors from ``low`` to ``high``, and whether it may occur twice.
 
-    ``levels`` has a row of bucket identifiers for each level.
+    ``levels`` has a row of bucket identifiers for each level, -1 where a
+    suffix is alone.  A chain is named by up to FAN buckets that leave no
+    anchor out, and by its length.
     """
-    n = np.where((low >= 0) & (high >= 0), high - low + 1, 1)
-    level = np.floor(np.log2(n)).astype(np.int64)
-    known = level < len(levels)
-    level = np.where(known, level, 0)
-    front = levels[level, np.maximum(low, 0)]
-    back = levels[level, np.maximum(high - (1 << level) + 1, 0)]
-    shared = known & (low >= 0) & (high >= 0) & (front >= 0) & (back >= 0)
-    return np.where(shared, front, -1), np.where(shared, back, -1), n
+    there = (low >= 0) & (high >= 0)
+    n = np.where(there, high - low + 1, 1)
+    level = np.zeros(len(n), np.int64)
+    while (deeper := n >= FAN ** (level + 1)).any():
+        level += deeper
+    there &= level < len(levels)
+    level = np.minimum(level, len(levels) - 1)
+    reach = FAN**level
+    one, two = mix(n.astype(U) * BASE), mix(n.astype(U) + BASE)
+    for k in range(FAN):
+        bucket = levels[level, np.minimum(np.maximum(low, 0) + k * reach, np.maximum(high - reach + 1, 0))]
+        there &= bucket >= 0
+        one, two = mix((one ^ bucket.view(U)) * BASE), mix((two + bucket.view(U)) * U(0x9FB21C651E98DF25) + U(k))
+    return one.view(np.int64), two.view(np.int64), there
+
+
+def within(levels: np.ndarray, outer: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a shared bucket reaches over the chain from ``low`` to ``high``, and whether this place is the bucket's first or last suffix.
+
+    ``outer`` has a flag for each entry of ``levels``: the first or last suffix of its bucket.
+    """
+    there, at = (low >= 0) & (high >= 0), np.arange(levels.shape[1])
+    covered, named = np.zeros(len(low), bool), np.zeros(len(low), bool)
+    for level, bucket in enumerate(levels):
+        for flags, out in ((bucket >= 0, covered), (outer[level], named)):
+            last = np.maximum.accumulate(np.where(flags, at, -1))[np.maximum(low, 0)]
+            out |= there & (last >= 0) & (last >= high - FAN**level + 1)
+    return covered, named

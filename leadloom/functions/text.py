@@ -102,7 +102,8 @@ def as_bool(value: Column, default: bool = False) -> Column:
 
 
 def confidence(value: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), value.cast("string").try_cast("int"))), F.lit(0))
+    # least and greatest skip nulls: what is no number has to be 0 before.
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(value.cast("string").try_cast("int"), F.lit(0))))
 
 
 def price(value: Column) -> Column:

@@ -24,17 +24,15 @@ FUNCTION_WORDS = {
 def normal(text: Column) -> Column:
     """Lower case, no accents, runs of one punctuation mark and of white space collapsed, trimmed."""
     plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"([!?.,;:*#$%&-])\1+", "$1"), r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"([!?.,;:*#$%&-])\1+", "$1"), r"[ \t\n\r]{2,}|[\t\n\r]", " "))
 
 
 def content_id(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def language_scores(text: Column) -> dict[str, Column]:
+def language_scores(low: Column, tokens: Column) -> dict[str, Column]:
     """3 for each marker letter that occurs, 2 for each function word that is a token."""
-    low = F.lower(text)
-    tokens = F.split(low, r"[ \t\n\r.,;:!?|]+")
     return {
         lang: (reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(c)), 3).otherwise(0) for c in letters], F.lit(0)) + 2 * F.size(F.array_intersect(tokens, F.array(*map(F.lit, FUNCTION_WORDS[lang]))))).cast("int")
         for lang, letters in MARKERS.items()
@@ -43,10 +41,13 @@ def language_scores(text: Column) -> dict[str, Column]:
 
 def language(text: Column, margin: int = 2) -> Column:
     """The language ahead of all others by ``margin``; '' where none is."""
-    scores = language_scores(text)
-    ranked = F.array_sort(F.array(*(F.struct((-s).alias("s"), F.lit(lang).alias("l")) for lang, s in scores.items())))
-    best, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
-    return F.when((best["s"] < 0) & (second["s"] - best["s"] >= margin), best["l"]).otherwise("")
+
+    def best(x: Column) -> Column:
+        ranked = F.array_sort(F.array(*(F.struct((-s).alias("s"), F.lit(lang).alias("l")) for lang, s in language_scores(x["low"], x["tokens"]).items())))
+        return F.transform(F.array(ranked), lambda r: F.when((F.get(r, F.lit(0))["s"] < 0) & (F.get(r, F.lit(1))["s"] - F.get(r, F.lit(0))["s"] >= margin), F.get(r, F.lit(0))["l"]).otherwise(""))[0]
+
+    # Bound once: lower case and tokens serve every language and letter.
+    return F.transform(F.array(F.struct(F.lower(text).alias("low"), F.array_distinct(F.split(F.lower(text), r"[ \t\n\r.,;:!?|]+")).alias("tokens"))), best)[0]
 
 
 def postcodes(text: Column) -> Column:
@@ -92,8 +93,12 @@ def clamp_enum(value: Column, allowed: list[str], default: str) -> Column:
     return F.when(low.isin(allowed), low).otherwise(default)
 
 
+#: Words that stand for no answer.
+NO_ANSWER = ("", "null", "none", "brak", "nie podano", "n/a", "-")
+
+
 def text_or_null(value: Column, most: int = 200) -> Column:
-    return F.when(F.lower(F.trim(value)).isin("", "null", "none", "brak", "nie podano", "n/a", "-"), None).otherwise(F.substring(F.trim(value), 1, most))
+    return F.when(F.lower(F.trim(value)).isin(*NO_ANSWER), None).otherwise(F.substring(F.trim(value), 1, most))
 
 
 def as_bool(value: Column, default: bool = False) -> Column:

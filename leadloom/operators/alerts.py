@@ -30,13 +30,25 @@ def static_ladder(events: DataFrame, *, params: Params = DEFAULT) -> DataFrame:
 
 
 def crossposts(events: DataFrame, *, params: Params = DEFAULT) -> DataFrame:
-    """For each event the best earlier one within the window: the same user before the same content, then the latest."""
-    e = events.select("event_id", "ts", "user_id", "props")
-    before = e.select(F.col("event_id").alias("prev_id"), F.col("ts").alias("prev_ts"), F.col("user_id").alias("u"), F.col("props").alias("p"))
-    near = (F.col("prev_ts") < F.col("ts")) & (F.col("prev_ts") >= F.col("ts") - F.expr(f"INTERVAL {params.dedup_hours} HOURS"))
-    by_user = e.join(before, (F.col("user_id") == F.col("u")) & near).select("event_id", "prev_id", "prev_ts", F.lit(1).alias("rank"))
-    by_content = e.join(before, (F.col("props") == F.col("p")) & near).select("event_id", "prev_id", "prev_ts", F.lit(0).alias("rank"))
-    return by_user.union(by_content).groupBy("event_id").agg(F.max_by("prev_id", F.struct("rank", "prev_ts", "prev_id")).alias("prev_id"))
+    """For each event the best earlier one within the window: the same user before the same content, then the latest.
+
+    Keys are cut into days, and what the next day may refer to is in both, so a
+    hot key is many partitions.  The latest earlier row of a key is the only
+    one that can be in the window at all if any is.
+    """
+    window, day = params.dedup_hours * 3_600_000_000, 86_400_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("event_id", at.alias("at"), "user_id", "props")
+
+    def latest(key: str) -> DataFrame:
+        own = rows.where(F.col(key).isNotNull()).select("event_id", "at", key, F.floor(F.col("at") / day).alias("day"), F.lit(False).alias("past"))
+        late = own.where(F.col("at") >= (F.col("day") + 1) * day - window).select("event_id", "at", key, (F.col("day") + 1).alias("day"), F.lit(True).alias("past"))
+        before = Window.partitionBy(key, "day").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+        found = own.unionAll(late).withColumn("prev", F.max(F.struct("at", "event_id")).over(before))
+        return found.where(~F.col("past") & (F.col("prev.at") >= F.col("at") - window)).select("event_id", F.col("prev.event_id").alias(key))
+
+    best = latest("user_id").join(latest("props"), "event_id", "full")
+    return best.select("event_id", F.coalesce("user_id", "props").alias("prev_id"))
 
 
 def fold(events: DataFrame, *, tenant: str, params: Params = DEFAULT) -> DataFrame:
@@ -96,6 +108,6 @@ def paused(events: DataFrame) -> DataFrame:
 def night_digest(events: DataFrame, *, top: int = 20, params: Params = DEFAULT) -> DataFrame:
     """Latest views of the last quiet window whose user bought nothing then: an anti-join, then the top."""
     hours = (params.quiet_from - params.quiet_to) % 24
-    recent = events.where(F.col("ts") > F.lit(params.as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours + 24} HOURS"))
+    recent = events.where(F.col("ts") > F.lit(params.as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS"))
     unsent = recent.where("event_type = 'view'").join(recent.where("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
     return unsent.orderBy(F.col("ts").desc(), "event_id").limit(top)

@@ -1,8 +1,8 @@
 """The rule gate: layers of patterns on normal text, compiled to one expression.
 
 Layers: extinguish, pass and reject by first hit, then too short, then the sum
-of weights against a threshold.  Each layer is one alternation where only the
-verdict is asked, and a CASE where the rule is.
+of weights against a threshold.  A text is cut into words once; patterns that
+are one word are looked up among them, and only phrases meet the pattern engine.
 """
 
 from __future__ import annotations
@@ -53,57 +53,135 @@ def compiled(pattern: str) -> str:
     return r"(?:^|[^a-z0-9])(?:" + pattern + ")" + (r"(?:$|[^a-z0-9])" if pattern[-1].isalnum() or pattern[-1] in ")]" else "")
 
 
-def hits(text: Column, pattern: str) -> Column:
+def words_of(text: Column) -> Column:
+    """Distinct words of a normal text, as the patterns' bounds see them."""
+    return F.array_distinct(F.split(text, "[^a-z0-9]+"))
+
+
+def hits(text: Column, pattern: str, words: Column | None = None) -> Column:
+    if words is not None and pattern.isascii() and pattern.isalnum():
+        return F.array_contains(words, pattern)
     literal = max(pattern.replace("\\", " ").split(" "), key=len)
     # The plain substring test keeps most texts from the pattern engine.
     return F.contains(text, F.lit(literal)) & text.rlike(compiled(pattern)) if literal.isalnum() else text.rlike(compiled(pattern))
 
 
-def any_hit(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(map(compiled, patterns))) if patterns else F.lit(False)
+def any_hit(text: Column, patterns: list[str], words: Column | None = None) -> Column:
+    if not patterns:
+        return F.lit(False)
+    plain = [p for p in patterns if words is not None and p.isascii() and p.isalnum()]
+    rest = [p for p in patterns if p not in plain]
+    found = F.arrays_overlap(words, F.array(*map(F.lit, plain))) if plain else F.lit(False)
+    return found | text.rlike("|".join(map(compiled, rest))) if rest else found
 
 
-def first_hit(text: Column, patterns: list[str]) -> Column:
+def first_hit(text: Column, patterns: list[str], words: Column | None = None) -> Column:
     out = F.lit(None).cast("string")
     for p in reversed(patterns):
-        out = F.when(hits(text, p), F.lit(p)).otherwise(out)
+        out = F.when(hits(text, p, words), F.lit(p)).otherwise(out)
     return out
 
 
-def score(text: Column, pack: RulePack) -> Column:
-    total = reduce(lambda a, b: a + b, [F.when(hits(text, r.pattern), r.weight).otherwise(0) for r in pack.scores], F.lit(0))
+def score(text: Column, pack: RulePack, words: Column | None = None) -> Column:
+    total = reduce(lambda a, b: a + b, [F.when(hits(text, r.pattern, words), r.weight).otherwise(0) for r in pack.scores], F.lit(0))
     return (total + F.when(F.size(postcodes(text)) >= 2, 4).otherwise(0)).cast("int")
 
 
-def hit_labels(text: Column, pack: RulePack) -> Column:
-    return F.array_compact(F.array(*(F.when(hits(text, r.pattern), F.lit(f"{r.label}:{r.pattern}({r.weight:+d})")) for r in pack.scores)))
+def hit_labels(text: Column, pack: RulePack, words: Column | None = None) -> Column:
+    return F.array_compact(F.array(*(F.when(hits(text, r.pattern, words), F.lit(f"{r.label}:{r.pattern}({r.weight:+d})")) for r in pack.scores)))
 
 
-def direction(text: Column, pack: RulePack) -> Column:
+def direction(text: Column, pack: RulePack, words: Column | None = None) -> Column:
     """demand or offer; unclear where both or neither speak.  A question mark is demand."""
-    wants, offers = any_hit(text, pack.demand) | F.contains(text, F.lit("?")), any_hit(text, pack.offer)
+    wants, offers = any_hit(text, pack.demand, words) | F.contains(text, F.lit("?")), any_hit(text, pack.offer, words)
     return F.when(wants & ~offers, "demand").when(offers & ~wants, "offer").otherwise("unclear")
 
 
+#: Columns that the gate adds, and the struct with the normal text and its words that it needs meanwhile.
+FOUND, BOUND = ("layer", "rule", "points", "verdict"), "__gate_text"
+
+
+def bound(df: DataFrame, text: str, added: tuple[str, ...] = FOUND) -> DataFrame:
+    """Adds the normal text and its words, worked out once; columns that the gate would hide are refused."""
+    clash = sorted({*added, BOUND} & set(df.columns))
+    if clash:
+        raise ValueError(f"columns of these names would be hidden: {', '.join(clash)}")
+    # Lambdas bind a value once, however often it is read.
+    whole = F.transform(F.array(normal(F.col(text))), lambda low: F.struct(low.alias("low"), words_of(low).alias("words")))[0]
+    return df.withColumn(BOUND, whole)
+
+
+def judged(pack: RulePack, text: Column, threshold: int, params: Params = DEFAULT) -> Column:
+    """A struct of layer, rule, points and verdict of one pack, from the columns that ``bound`` adds."""
+    low, words = F.col(f"{BOUND}.low"), F.col(f"{BOUND}.words")
+    first = F.struct(*(first_hit(low, patterns, words).alias(c) for c, patterns in zip("ear", (pack.extinguish, pack.accept, pack.reject))), score(low, pack, words).alias("points"), (F.length(F.trim(text)) < params.min_length).alias("short"))
+
+    def verdict(x: Column) -> Column:
+        layer = F.when(x["e"].isNotNull(), "extinguish").when(x["a"].isNotNull(), "accept").when(x["r"].isNotNull(), "reject").when(x["short"], "short").otherwise("score")
+        passes = F.when(x["e"].isNotNull(), False).when(x["a"].isNotNull(), True).when(x["r"].isNotNull() | x["short"], False).otherwise(x["points"] >= threshold)
+        return F.struct(layer.alias("layer"), F.coalesce(x["e"], x["a"], x["r"]).alias("rule"), x["points"].alias("points"), passes.alias("verdict"))
+
+    return F.transform(F.array(first), verdict)[0]
+
+
 def evaluate(df: DataFrame, pack: RulePack = SAMPLE, *, text: str = "text", threshold: int = DEFAULT.gate_threshold, params: Params = DEFAULT) -> DataFrame:
-    """Adds layer, rule, points and verdict."""
-    low = F.col("normal_text")
-    out = df.withColumn("normal_text", normal(F.col(text)))
-    out = out.withColumns({"e": first_hit(low, pack.extinguish), "a": first_hit(low, pack.accept), "r": first_hit(low, pack.reject), "points": score(low, pack)})
-    short = F.length(F.trim(F.col(text))) < params.min_length
-    layer = F.when(F.col("e").isNotNull(), "extinguish").when(F.col("a").isNotNull(), "accept").when(F.col("r").isNotNull(), "reject").when(short, "short").otherwise("score")
-    out = out.withColumn("layer", layer).withColumn("rule", F.when(F.col("layer") == "score", None).when(F.col("layer") == "short", None).otherwise(F.coalesce("e", "a", "r")))
-    verdict = F.when(F.col("layer") == "accept", True).when(F.col("layer") == "score", F.col("points") >= threshold).otherwise(False)
-    return out.withColumn("verdict", verdict).drop("e", "a", "r", "normal_text")
-
-
-def resolved(df: DataFrame, packs: list[RulePack], *, text: str = "text", threshold: int = DEFAULT.gate_threshold) -> DataFrame:
-    """Best verdict over several packs: passes before rejects, named rules first, then points; the earlier pack on ties."""
-    structs = []
-    for k, pack in enumerate(packs):
-        df = evaluate(df, pack, text=text, threshold=threshold).withColumnsRenamed({c: f"{c}_{k}" for c in ("layer", "rule", "points", "verdict")})
-        v = F.col(f"verdict_{k}")
-        structs.append(F.struct(v.cast("int").alias("ok"), F.col(f"rule_{k}").isNotNull().cast("int").alias("named"), F.when(v, F.col(f"points_{k}")).otherwise(-F.col(f"points_{k}")).alias("p"), F.lit(-k).alias("order"), F.col(f"layer_{k}").alias("layer"), F.col(f"rule_{k}").alias("rule"), F.col(f"points_{k}").alias("points"), v.alias("verdict")))
-    best = F.array_max(F.array(*structs))
-    drop = [f"{c}_{k}" for c in ("layer", "rule", "points", "verdict") for k in range(len(packs))]
-    return df.withColumn("best", best).drop(*drop).select("*", "best.layer", "best.rule", "best.points", "best.verdict").drop("best")
+    """Adds layer, rule, points and verdict; the caller's columns all stay, and clashing names are refused."""
+    out = bound(df, text).withColumn("__gate", judged(pack, F.col(text), threshold, params))
+    return out.select(*(out[c] for c in df.columns), "__gate.*")
+
+
+def _ranked(own: Column, match: Column, order: int) -> Column:
+    """A pack's verdict behind what it is compared by."""
+
+    def with_rank(x: Column) -> Column:
+        rank = [x["verdict"].cast("int").alias("ok"), x["rule"].isNotNull().cast("int").alias("named"), F.when(x["verdict"], x["points"]).otherwise(-x["points"]).alias("p"), match.alias("match"), F.lit(-order).alias("order")]
+        return F.struct(*rank, *(x[c].alias(c) for c in FOUND))
+
+    return F.transform(F.array(own), with_rank)[0]
+
+
+def _best(packs: list[RulePack], text: Column, threshold: int, lang: Column | None, params: Params) -> Column:
+    matches = [F.coalesce(lang == pack.name, F.lit(False)).cast("int") if lang is not None else F.lit(0) for pack in packs]
+    return F.array_max(F.array(*(_ranked(judged(pack, text, threshold, params), match, k) for k, (pack, match) in enumerate(zip(packs, matches)))))
+
+
+def resolved(df: DataFrame, packs: list[RulePack], *, text: str = "text", threshold: int = DEFAULT.gate_threshold, lang: str | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Best verdict over several packs: passes before rejects, named rules first, then points, then the text's own language; the earlier pack on ties."""
+    out = bound(df, text).withColumn("__gate", _best(packs, F.col(text), threshold, F.col(lang) if lang else None, params))
+    return out.select(*(out[c] for c in df.columns), *(f"__gate.{c}" for c in FOUND))
+
+
+def orchestrated(df: DataFrame, packs: list[RulePack], *, text: str = "text", threshold: int = DEFAULT.gate_threshold, lang: str | None = None, shadow: bool = False, params: Params = DEFAULT) -> DataFrame:
+    """Adds layer, rule, points, verdict, direction and passes.
+
+    An offer, by any pack's words, ends it before the layers; then any pack's
+    extinguishing rule, the first in order; then the best verdict of all packs.
+    In shadow mode everything passes and the verdict stays as it is.
+    """
+    out = bound(df, text, (*FOUND, "direction", "passes"))
+    low, words = F.col(f"{BOUND}.low"), F.col(f"{BOUND}.words")
+    every = RulePack("all", demand=[p for x in packs for p in x.demand], offer=[p for x in packs for p in x.offer])
+    stop = F.coalesce(*(first_hit(low, x.extinguish, words) for x in packs))
+    out = out.withColumn("__gate", F.struct(direction(low, every, words).alias("direction"), stop.alias("stop"), _best(packs, F.col(text), threshold, F.col(lang) if lang else None, params).alias("best")))
+    offer, stopped = F.col("__gate.direction") == "offer", F.col("__gate.stop").isNotNull()
+    best = F.col("__gate.best")
+    verdict = ~offer & ~stopped & best["verdict"]
+    return out.select(
+        *(out[c] for c in df.columns), F.when(offer, "offer").when(stopped, "extinguish").otherwise(best["layer"]).alias("layer"), F.when(offer, None).otherwise(F.coalesce(F.col("__gate.stop"), best["rule"])).alias("rule"),
+        best["points"].alias("points"), verdict.alias("verdict"), F.col("__gate.direction").alias("direction"), (verdict | F.lit(shadow)).alias("passes"),
+    )
+
+
+def pack_of(name: str, words: dict[str, dict[str, int]], *, brands: list[str] = (), brand_weight: int = 3, **layers: list[str]) -> RulePack:
+    """A language's pack from its words by category with weights; brands, the same in every language, score too."""
+    scores = [Rule(w, n, category) for category, own in words.items() for w, n in own.items()]
+    return RulePack(name, scores=scores + [Rule(b, brand_weight, "BRAND") for b in brands], **layers)
+
+
+#: Packs for the synthetic corpus's languages; brands are names that occur in all of them.
+PACKS = [
+    pack_of("en", {"PLACE": {"the": 1, "of": 1}, "ACTION": {"that": 2, "with": 2}, "BRAKE": {"trash": -4}}, brands=["river", "market"], extinguish=["all rights reserved"], accept=["the apache license"], reject=["idiot", "moron"], demand=["is it", "need"], offer=["we offer", "for sale"]),
+    pack_of("de", {"PLACE": {"der": 2, "die": 1}, "ACTION": {"und": 3, "nicht": 2}, "BRAKE": {"ohne": -2}}, brands=["river", "market"], extinguish=["alle rechte"], accept=["im auftrag"], reject=["dumm"], demand=["suche", "brauche"], offer=["wir bieten", "biete"]),
+    pack_of("fr", {"PLACE": {"dans": 2, "les": 1}, "ACTION": {"pour": 3, "une": 2}, "BRAKE": {"sans": -2}}, brands=["river", "market"], extinguish=["tous droits"], accept=["licence libre"], reject=["idiote"], demand=["cherche"], offer=["je propose", "offre"]),
+    pack_of("es", {"PLACE": {"del": 2, "los": 1}, "ACTION": {"para": 3, "una": 2}, "BRAKE": {"sin": -2}}, brands=["river", "market"], extinguish=["todos los derechos"], accept=["licencia libre"], reject=["tonto"], demand=["busco"], offer=["ofrezco"]),
+]

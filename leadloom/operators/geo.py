@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
@@ -31,11 +31,11 @@ def variants(gazetteer: DataFrame) -> DataFrame:
 
 def chosen_variant(found: DataFrame, dominance: float = 3.0) -> DataFrame:
     """One variant a name: the only one, else that of dominant population, else none; without population the one of most codes."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("population"), F.lit(0))).alias("p"), (-F.col("codes")).alias("c"), "country", "region", "lat", "lng")))
-    rows = found.groupBy("name").agg(ranked.alias("v"))
-    first, second = F.element_at("v", 1), F.try_element_at("v", F.lit(2))
-    ok = (F.size("v") == 1) | ((first["p"] < 0) & (-first["p"] >= dominance * -second["p"])) | ((first["p"] == 0) & (first["c"] <= second["c"]))
-    return rows.select("name", F.when(ok, first).alias("x")).select("name", "x.country", "x.region", "x.lat", "x.lng")
+    p, c = (-F.coalesce(F.col("population"), F.lit(0))).alias("p"), (-F.col("codes")).alias("c")
+    order = Window.partitionBy("name").orderBy("p", "c", "country", "region", "lat", "lng")
+    rows = found.select("name", p, c, "country", "region", "lat", "lng").withColumns({"r": F.row_number().over(order), "next": F.lead(F.struct("p", "c")).over(order)}).where("r = 1")
+    ok = F.col("next").isNull() | ((F.col("p") < 0) & (-F.col("p") >= dominance * -F.col("next.p"))) | ((F.col("p") == 0) & (F.col("c") <= F.col("next.c")))
+    return rows.select("name", *(F.when(ok, F.col(x)).alias(x) for x in ("country", "region", "lat", "lng")))
 
 
 def unique_prefix(words: DataFrame, names: DataFrame, *, shortest: int = 5, longest_gap: int = 3) -> DataFrame:

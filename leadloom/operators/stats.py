@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..session import written
 
 
 def money(c: Column) -> Column:
@@ -71,8 +72,18 @@ def sweep(judged: DataFrame, truth: str, *, highest: int = 15) -> DataFrame:
 
 def histogram(judged: DataFrame, value: str, split: str, *, width: int = 40) -> DataFrame:
     counts = judged.groupBy(value).agg(F.count("*").alias("n"), F.count_if(F.col(split)).alias("n_pass"))
-    top = counts.agg(F.max("n").alias("top"))
-    return counts.crossJoin(F.broadcast(top)).select(value, "n", "n_pass", F.expr(f"repeat('#', cast(ceil(n * {width} / top) as int))").alias("bar"))
+    return counts.withColumn("top", F.max("n").over(Window.partitionBy())).select(value, "n", "n_pass", F.expr(f"repeat('#', cast(ceil(n * {width} / top) as int))").alias("bar"))
+
+
+def median(df: DataFrame, value: str) -> DataFrame:
+    """The middle value, or the mean of the two; values are counted, cut into ranges and summed up, so no task holds them all."""
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("block", F.spark_partition_id()), "counts")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("own")).select("block", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy()).alias("all"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.join(F.broadcast(blocks), "block").select("v", (inside + F.col("before")).alias("running"), "all")
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    return rows.agg(((F.min(F.when(F.col("running") > low, F.col("v"))) + F.min(F.when(F.col("running") > high, F.col("v")))) / 2).alias("median"))
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:

@@ -41,7 +41,7 @@ def group_rate_stats(t):
 @query("SELECT round(quantile_cont(date_diff('second', o_orderdate, l_shipdate)/3600.0, 0.5), 4) median_hours FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def latency_median(t):
     hours = F.timestamp_diff("SECOND", F.col("o_orderdate"), F.col("l_shipdate")) / 3600.0
-    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).agg(F.round(F.percentile(hours, 0.5), 4).alias("median_hours"))
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(hours.alias("hours")).transform(stats.median, "hours").select(F.round("median", 4).alias("median_hours"))
 
 
 @query("SELECT c_custkey, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) last_order FROM customer")
@@ -119,7 +119,7 @@ def quiet_hours(t):
     return t.events.select("event_id", alerts.quiet(F.hour("ts"), 22, 6).alias("is_quiet"))
 
 
-@query(f"WITH r AS (SELECT * FROM events WHERE ts > {NOW} - INTERVAL 40 HOUR) SELECT event_id, ts, user_id FROM r WHERE event_type='view' AND user_id NOT IN (SELECT user_id FROM r WHERE event_type='purchase') ORDER BY ts DESC, event_id LIMIT 20")
+@query(f"WITH r AS (SELECT * FROM events WHERE ts > {NOW} - INTERVAL 16 HOUR) SELECT event_id, ts, user_id FROM r WHERE event_type='view' AND user_id NOT IN (SELECT user_id FROM r WHERE event_type='purchase') ORDER BY ts DESC, event_id LIMIT 20")
 def night_digest(t):
     return alerts.night_digest(t.events).select("event_id", "ts", "user_id")
 

@@ -28,6 +28,8 @@ def _any_sql(patterns: list[str]) -> str:
 
 
 def _first_sql(patterns: list[str]) -> str:
+    if not patterns:
+        return "NULL"
     return "CASE " + " ".join(f"WHEN regexp_matches(t, {_quoted(gate.compiled(p))}) THEN {_quoted(p)}" for p in patterns) + " END"
 
 
@@ -40,13 +42,51 @@ v AS (SELECT doc_id, layer, rule, points, CASE layer WHEN 'accept' THEN true WHE
 JUDGED_SQL = GATE_CTE + ", j AS (SELECT v.*, quality FROM v JOIN labels USING (doc_id))"
 
 
+def _score_sql(pack: gate.RulePack) -> str:
+    return "CAST(" + " + ".join(f"CASE WHEN regexp_matches(t, {_quoted(gate.compiled(r.pattern))}) THEN {r.weight} ELSE 0 END" for r in pack.scores) + f" + CASE WHEN len({CODES_SQL}) >= 2 THEN 4 ELSE 0 END AS INTEGER)"
+
+
+def _packs_sql() -> str:
+    """x: a row for each document and pack with what its layers say; best: the pack that wins."""
+    one = [
+        f"SELECT doc_id, text, lang, {k} k, '{p.name}' pack, {_first_sql(p.extinguish)} e, {_first_sql(p.accept)} a, {_first_sql(p.reject)} r, {_score_sql(p)} points FROM m"
+        for k, p in enumerate(gate.PACKS)
+    ]
+    return f"""m AS (SELECT doc_id, text, lang, {_normal_sql('text')} t FROM documents), x AS ({' UNION ALL '.join(one)}),
+y AS (SELECT *, CASE WHEN e IS NOT NULL THEN 'extinguish' WHEN a IS NOT NULL THEN 'accept' WHEN r IS NOT NULL THEN 'reject' WHEN length(trim(text)) < 15 THEN 'short' ELSE 'score' END layer, coalesce(e, a, r) rule FROM x),
+z AS (SELECT *, CASE layer WHEN 'accept' THEN true WHEN 'score' THEN points >= 5 ELSE false END verdict FROM y),
+best AS (SELECT doc_id, layer, rule, points, verdict FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY verdict DESC, (rule IS NOT NULL) DESC, CASE WHEN verdict THEN points ELSE -points END DESC, (lang = pack) DESC, k) = 1)"""
+
+
+@query(f"WITH {_packs_sql()} SELECT * FROM best")
+def gate_resolved(t):
+    """GT-3, GT-5: the best verdict of four language packs."""
+    return gate.resolved(t.documents, gate.PACKS, lang="lang").select("doc_id", "layer", "rule", "points", "verdict")
+
+
+@query(f"""WITH {_packs_sql()}, s AS (SELECT doc_id, min_by(e, k) FILTER (e IS NOT NULL) stop FROM x GROUP BY 1), d AS (SELECT doc_id, ({_any_sql([p for x in gate.PACKS for p in x.demand])} OR contains(t, '?')) w, {_any_sql([p for x in gate.PACKS for p in x.offer])} o FROM m),
+f AS (SELECT doc_id, CASE WHEN w AND NOT o THEN 'demand' WHEN o AND NOT w THEN 'offer' ELSE 'unclear' END direction, stop, layer, rule, points, verdict FROM best JOIN s USING (doc_id) JOIN d USING (doc_id))
+SELECT doc_id, CASE WHEN direction = 'offer' THEN 'offer' WHEN stop IS NOT NULL THEN 'extinguish' ELSE layer END layer, CASE WHEN direction <> 'offer' THEN coalesce(stop, rule) END rule, points, direction <> 'offer' AND stop IS NULL AND verdict AS verdict, direction, true AS passes FROM f""")
+def gate_orchestrated(t):
+    """GT-6, GT-15: offers and extinguishing rules first, then the packs; in shadow mode all pass."""
+    return gate.orchestrated(t.documents, gate.PACKS, lang="lang", shadow=True).select("doc_id", "layer", "rule", "points", "verdict", "direction", "passes")
+
+
+@query("WITH m AS (SELECT doc_id, " + _normal_sql("text") + " t FROM documents) SELECT label, count(*) n FROM (" + " UNION ALL ".join(f"SELECT {_quoted(f'{r.label}:{r.pattern}({r.weight:+d})')} AS label FROM m WHERE regexp_matches(t, {_quoted(gate.compiled(r.pattern))})" for r in gate.SAMPLE.scores) + ") GROUP BY label")
+def gate_hit_labels(t):
+    """GT-12."""
+    rows = gate.bound(t.documents, "text").select(F.explode(gate.hit_labels(F.col(f"{gate.BOUND}.low"), gate.SAMPLE, F.col(f"{gate.BOUND}.words"))).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
 def _judged(t):
     return gate.evaluate(t.documents.join(t.labels.select("doc_id", "quality"), "doc_id")).select("doc_id", "layer", "rule", "points", "verdict", "quality")
 
 
 @query(f"WITH {NORMAL_CTE} SELECT doc_id, CAST({SCORE_SQL} AS INTEGER) points FROM n")
 def gate_score(t):
-    return t.documents.select("doc_id", tx.normal(F.col("text")).alias("t")).select("doc_id", gate.score(F.col("t"), gate.SAMPLE).alias("points"))
+    rows = gate.bound(t.documents.select("doc_id", "text"), "text")
+    return rows.select("doc_id", gate.score(F.col(f"{gate.BOUND}.low"), gate.SAMPLE, F.col(f"{gate.BOUND}.words")).alias("points"))
 
 
 @query(f"WITH {GATE_CTE} SELECT * FROM v")
@@ -167,7 +207,7 @@ def enum_clamp(t):
     return t.events.select("event_id", tx.clamp_enum(F.upper("event_type"), ["view", "click"], "other").alias("kind"), (F.col("event_type") == "click").alias("clicked"))
 
 
-@query()
+@query("SELECT o_orderkey, '{\"o_orderstatus\":\"' || o_orderstatus || '\"' || CASE WHEN o_totalprice > 1000 THEN ',\"price\":' || o_totalprice ELSE '' END || '}' AS doc FROM orders")
 def nested_strip_nulls(t):
     return t.orders.select("o_orderkey", F.to_json(F.struct("o_orderstatus", F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("price"))).alias("doc"))
 
@@ -235,6 +275,6 @@ def quoted_text(t):
     return t.documents.select("doc_id", tx.quoted(F.col("text")).alias("quote"))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|token|secret|api_key)=[^ \n]+', '\1=***', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}', '***@***', 'g'), '\+?\d(?:[ .()-]?\d){8,14}', '***', 'g') AS masked FROM documents")
 def masked_text(t):
     return t.documents.select("doc_id", tx.masked(F.col("text")).alias("masked"))

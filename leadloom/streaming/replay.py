@@ -14,8 +14,11 @@ from ..session import shared_dir
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).parquet(f"{folder}/{name[:-8]}*.parquet")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    # A stream reads a folder: of a single file, its folder with this very name alone.
+    reader = spark.readStream.schema(schema)
+    rows = reader.parquet(path) if folder else reader.option("pathGlobFilter", path.rpartition("/")[2]).parquet(path.rpartition("/")[0])
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -34,19 +37,22 @@ def first_seen(stream: DataFrame, key: str, *, params: Params = DEFAULT) -> Data
 
 
 def limited(stream: DataFrame, *, params: Params = DEFAULT) -> DataFrame:
-    """Per user and hour at most so many rows are sent; state is one count an hour, dropped with the watermark."""
+    """Per user and hour at most so many rows are sent, the earliest of each trigger first; state is one count an hour, dropped with the watermark."""
     hour = F.date_trunc("HOUR", "ts").alias("hour")
     keyed = stream.withWatermark("ts", f"{params.max_age_h} hours").select("event_id", "user_id", "ts", hour)
-    limit = params.alerts_per_hour
+    limit, keep_ms = params.alerts_per_hour, (params.max_age_h + 1) * 3_600_000
 
     def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         sent = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            room = max(0, limit - sent)
-            pdf = pdf.assign(decision=["send" if k < room else "limit" for k in range(len(pdf))])
-            sent += min(room, len(pdf))
-            yield pd.DataFrame({"event_id": pdf["event_id"], "decision": pdf["decision"]})
-        state.update((sent,))
-
-    return keyed.groupBy("user_id", "hour").applyInPandasWithState(step, "event_id long, decision string", "sent long", "append", "NoTimeout")
+        # All of an hour's rows of one user: a key comes in several chunks, which are ordered together.
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        room = max(0, limit - sent)
+        decisions = ["send" if k < room else "limit" for k in range(len(rows))]
+        state.update((sent + min(room, len(rows)),))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(key[1]).timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "decision": decisions})
+
+    return keyed.groupBy("user_id", "hour").applyInPandasWithState(step, "event_id long, decision string", "sent long", "append", "EventTimeTimeout")

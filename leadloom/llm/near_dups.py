@@ -10,7 +10,7 @@ a chance of 1e-7.  Pairs that this finds are confirmed on the full sets.
 Documents with equal sets form a class and count once.  A bucket holds the
 classes with one chunk key.  First each class is compared with one centre, the
 least class of most of its buckets; buckets whose classes are then all in one
-component are left out.  In the others each class is compared with the next one
+component are left out.  In the others each class is compared with the next ones
 by size.  So a hot group costs about as many comparisons as it has members.
 Sets that still share a bucket across components are joined by prefix
 filtering, where linked sets share one of their rarest shingles.  No pair is
@@ -39,6 +39,10 @@ SLOTS = CHUNKS * CHUNK
 PERCENT = 75
 #: Classes of a bucket that are ordered by size in one task, about.
 ORDERED = 10_000
+#: Places by size, within a bucket of several components, of the classes that a class is compared with before all of them are.
+NEIGHBOURS = (1, 2)
+#: Numbers of 64 bits in a set's parity map.
+PARITY = 4
 #: Texts of one class that meet its partners in one task, about.
 TOGETHER = 500
 
@@ -180,14 +184,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def parity_maps(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITY numbers for each set: a bit for each class of shingles by hash, on where the set has an odd number of them.
+
+    Two sets differ in at least as many shingles as their maps do in bits.
+    """
+    docs, bits = len(bounds) - 1, 64 * PARITY
+    owner = np.repeat(np.arange(docs), np.diff(bounds))
+    odd = np.bincount(owner * bits + (mix(grams + U(1)) % U(bits)).astype(np.int64), minlength=docs * bits).reshape(docs, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _may_link(a: str, b: str):
+    """Whether sets of n and m shingles may have a link by their parity maps: a link leaves them (100 - PERCENT) of (100 + PERCENT) shingles apart at most."""
+    apart = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("m"))
+
+
 def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles, among the rows (node, n, root) of ``crowd``.
 
     With shingles in one order for all sets, rare ones first, two linked sets
     have a shingle in common among the first n - ceil(0.75 n) + 1 of each.  Their
     first common one leaves room behind it for the rest of the overlap that a
-    link needs, so ranks further back give no pair.
+    link needs, so ranks further back give no pair; nor do sets whose parity maps
+    are too far apart.
     """
+    both = written(crowd.join(texts, "node").select("node", "n", "root", "text"), "crowd-texts")
+
+    def maps_of(batches):
+        for rows, offsets, data in text_blocks(batches):
+            maps = parity_maps(*shingle_sets(data, offsets))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(maps), pa.list_(pa.int64()))], ["node", "map"])
 
     def work(batches):
         for rows, offsets, data in text_blocks(batches):
@@ -195,17 +223,18 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
             own = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(bounds)))
             yield pa.RecordBatch.from_arrays([*(rows.column(k).take(own) for k in range(3)), pa.array(grams.view(np.int64))], ["node", "n", "root", "shingle"])
 
-    rows = written(crowd.join(texts, "node").select("node", "n", "root", "text").mapInArrow(work, "node long, n long, root long, shingle long"), "shingles")
+    maps = written(both.mapInArrow(maps_of, "node long, map array<long>"), "maps")
+    rows = written(both.mapInArrow(work, "node long, n long, root long, shingle long"), "shingles")
     # A shingle of one component only gives no pair, but it has its place in the order.
     often = rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("root") != F.max("root")).alias("across")).where("df > 1")
     known = rows.join(often, "shingle", "left").select("node", "n", "root", "shingle", F.coalesce("df", F.lit(1)).alias("df"), F.coalesce("across", F.lit(False)).alias("across"))
     rarest = Window.partitionBy("node").orderBy("df", "shingle")
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & F.col("across")).select("shingle", "node", "n", "root", "rank"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"))
+    prefix = written(known.withColumn("rank", F.row_number().over(rarest)).where((F.col("rank") <= first) & F.col("across")).select("shingle", "node", "n", "root", "rank").join(maps, "node"), "prefix")
+    other = prefix.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("rank").alias("other_rank"), F.col("map").alias("other_map"))
     most = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("other_rank"))
     enough = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))
-    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & enough)
+    pairs = prefix.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _like_sizes("n", "m") & enough & _may_link("map", "other_map"))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -256,10 +285,12 @@ def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
     now = found.mixed(members)
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / ORDERED)).alias("salt")
     by_size = Window.partitionBy("key", "salt").orderBy("n", "node")
-    chain = now.join(now.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "node", "n", "root", salt)
-    chain = chain.select("node", "n", "root", *(F.lead(c).over(by_size).alias(name) for c, name in (("node", "next"), ("n", "m"), ("root", "other"))))
-    found.compare(chain.where((F.col("root") != F.col("other")) & _like_sizes("n", "m")).select(F.col("node").alias("a"), F.col("next").alias("b")), "chain")
-    crowd = found.mixed(now).select("node", "n", "root").dropDuplicates(["node"])
+    for away in NEIGHBOURS:
+        chain = now.join(now.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "node", "n", "root", salt)
+        chain = chain.select("node", "n", "root", *(F.lead(c, away).over(by_size).alias(name) for c, name in (("node", "next"), ("n", "m"), ("root", "other"))))
+        found.compare(chain.where((F.col("root") != F.col("other")) & _like_sizes("n", "m")).select(F.col("node").alias("a"), F.col("next").alias("b")), "chain")
+        now = found.mixed(now)
+    crowd = now.select("node", "n", "root").dropDuplicates(["node"])
     if crowd.limit(1).count():
         found.compare(prefix_pairs(written(crowd, "crowd"), found.texts), "across")
     owned = found.rooted(classes.select("node", "id"))

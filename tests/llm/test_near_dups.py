@@ -112,6 +112,15 @@ def test_pigeonhole_finds_every_pair_within_the_distance(spark):
     assert all(own[0] & own[k] for k in range(1, 200))
 
 
+def test_parity_maps_never_say_more_than_the_sets():
+    rng = np.random.RandomState(5)
+    for _ in range(300):
+        both = rng.randint(0, 2**62, rng.randint(1, 400)).astype(np.uint64)
+        sets = [np.unique(both[rng.rand(len(both)) < share]) for share in (0.8, 0.9)]
+        maps = near_dups.parity_maps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        assert sum(int(x).bit_count() for x in (maps[0] ^ maps[1]).view(np.uint64)) <= len(np.setxor1d(*sets))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2000 + k) for k in range(1, 50)]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..session import written
 
 #: Named presets of a list; each is a condition over km, direction and age in days.
 PRESETS: dict[str, Callable[[], Column]] = {
@@ -143,6 +144,26 @@ def ranked_owners(keys: DataFrame, pool: DataFrame, key: str, member: str) -> Da
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(weight.desc(), member)))
 
 
+def balanced_owners(ranked: DataFrame, key: str, member: str) -> DataFrame:
+    """One member a key and one key a member: in the order of keys, each takes its best member that is free.
+
+    ``ranked`` has key, member and rank.  In rounds every key without a member
+    asks its best one that has not turned it down, and a member stays with the
+    least key that asked; this ends where the keys in turn would.  Keys beyond
+    the pool get none.
+    """
+    open_, held = written(ranked.select(key, member, "rank"), "ranked"), None
+    while True:
+        asks = open_.groupBy(key).agg(F.min_by(member, "rank").alias(member))
+        now = written(asks.groupBy(member).agg(F.min(key).alias(key)), "held")
+        if held is not None and now.exceptAll(held).limit(1).count() == 0:
+            return now.select(key, member)
+        held = now
+        # A member that holds a key turns down every later one for good.
+        holder = now.select(member, F.col(key).alias("_holder"))
+        open_ = written(open_.join(holder, member, "left").where(F.col("_holder").isNull() | (F.col(key) <= F.col("_holder"))).drop("_holder"), "ranked")
+
+
 def soft_filter(values: Column, keep: Callable[[Column], Column]) -> Column:
     """Values that are kept, or all where none is."""
     some = F.filter(values, keep)

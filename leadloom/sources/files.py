@@ -41,3 +41,31 @@ def missing_columns(df: DataFrame, needed: dict[str, str]) -> list[str]:
 def write_sorted_csv(df: DataFrame, path: str) -> None:
     """Distinct rows in order; Spark renames the files when all are written."""
     df.distinct().orderBy(*df.columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def has_table(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether a folder holds a table, asked of the file system that the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def has_columns(spark: SparkSession, folder: str, name: str, *columns: str) -> bool:
+    return has_table(spark, folder, name) and set(columns) <= set(table(spark, folder, name).columns)
+
+
+def keyed_json(spark: SparkSession, path: str, schema: str, key: str = "url") -> DataFrame:
+    """Records of a JSON file (a list, or one a line), one a key: the last in the file's order; without a key they go."""
+    rows = spark.read.option("multiLine", True).schema(schema).json(path).where(F.col(key).isNotNull())
+    return rows.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), "_at").alias("_x")).select(key, "_x.*")
+
+
+def text_lists(spark: SparkSession, sources: dict[str, str], protocols: dict[str, str]) -> DataFrame:
+    """source, place and url of the lines of many text lists; a line without a protocol gets its source's.  Blank lines and # comments go."""
+    parts = None
+    for name, path in sources.items():
+        line = F.trim("value")
+        rows = spark.read.text(path).where((line != "") & ~line.startswith("#"))
+        url = F.when(line.contains("://"), line).otherwise(F.concat(F.lit(protocols.get(name, "http") + "://"), line))
+        rows = rows.select(F.lit(name).alias("source"), F.monotonically_increasing_id().alias("place"), url.alias("url"))
+        parts = rows if parts is None else parts.unionAll(rows)
+    return parts if parts is not None else spark.createDataFrame([], "source string, place long, url string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import records, text
 from leadloom.operators import extraction, gate, leads
+from leadloom.sources import files
 from leadloom.streaming import replay
 
 
@@ -71,3 +72,40 @@ def test_empty_tables(spark):
     assert gate.orchestrated(empty, gate.PACKS).count() == 0
     assert leads.filtered(empty).count() == 0
     assert leads.patched(spark.createDataFrame([], "k long, status string, status_at string"), spark.createDataFrame([], "k long, status string, now string"), "k").count() == 0
+
+
+def test_balanced_owners_like_keys_in_turn(spark):
+    keys = spark.createDataFrame([(k,) for k in range(14)], "k long")
+    pool = spark.createDataFrame([(f"m{j}",) for j in range(10)], "m string")
+    ranked = leads.ranked_owners(keys, pool, "k", "m")
+    order = {}
+    for r in ranked.collect():
+        order.setdefault(r["k"], {})[r["rank"]] = r["m"]
+    free, wanted = {f"m{j}" for j in range(10)}, {}
+    for k in range(14):
+        for rank in sorted(order[k]):
+            if order[k][rank] in free:
+                wanted[k] = order[k][rank]
+                free.remove(order[k][rank])
+                break
+    assert {r["k"]: r["m"] for r in leads.balanced_owners(ranked, "k", "m").collect()} == wanted and len(wanted) == 10
+
+
+def test_sources(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert files.has_table(spark, str(tmp_path), "t") and not files.has_table(spark, str(tmp_path), "u")
+    assert files.has_columns(spark, str(tmp_path), "t", "id") and not files.has_columns(spark, str(tmp_path), "t", "id", "x")
+    (tmp_path / "pool.json").write_text('[{"url": "a", "n": 1}, {"url": "b", "n": 2}, {"url": "a", "n": 3}, {"n": 4}]')
+    assert sorted(tuple(r) for r in files.keyed_json(spark, f"{tmp_path}/pool.json", "url string, n long").collect()) == [("a", 3), ("b", 2)]
+    (tmp_path / "one.txt").write_text("1.2.3.4:80\n# no\n\nsocks5://h:1\n")
+    (tmp_path / "two.txt").write_text("x:9\n")
+    found = files.text_lists(spark, {"one": f"{tmp_path}/one.txt", "two": f"{tmp_path}/two.txt"}, {"two": "socks4"}).collect()
+    assert sorted((r["source"], r["url"]) for r in found) == [("one", "http://1.2.3.4:80"), ("one", "socks5://h:1"), ("two", "socks4://x:9")]
+    (tmp_path / "g.csv").write_text("country,code,name,region,lat,lng,population\nPL,00-1,A,r,1.5,2.5,x\nPL,00-2,B,r,,2.5,3\n")
+    assert [(r["name"], r["lat"], r["population"]) for r in files.gazetteer(spark, f"{tmp_path}/g.csv").collect()] == [("A", 1.5, None)]
+    (tmp_path / "l.jsonl").write_text('# c\n\n{"a": 1}\nbad\n')
+    assert [(r["a"], r["corrupt"]) for r in files.jsonl(spark, f"{tmp_path}/l.jsonl", "a long").collect()] == [(1, None), (None, "bad")]
+    assert files.csv_or_empty(spark, f"{tmp_path}/none.csv", "a long").count() == 0
+    files.write_sorted_csv(spark.createDataFrame([(2,), (1,), (2,)], "a long").coalesce(1), f"{tmp_path}/out")
+    assert [r["a"] for r in files.csv_or_empty(spark, f"{tmp_path}/out", "a long").collect()] == [1, 2]
+    assert files.missing_columns(spark.range(1), {"id": "first", "x": "second"}) == ["second"]

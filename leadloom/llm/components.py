@@ -11,22 +11,23 @@ from ..session import written
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (least node of its component) for every node that has an edge.
 
-    Rounds of large and small stars: each node's larger neighbours are linked to
-    its least one, then its smaller ones.  Every round is written to the shared
-    folder; paths shrink by a constant factor a round.
+    Rounds of two steps.  A node's edges move to the least neighbour of their
+    smaller end; then its smaller neighbours are linked to the least of them.
+    Every round is written to the shared folder; paths shrink by a constant factor
+    a round.
     """
     now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = None
     while True:
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        up = now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        # Both uses of the moved edges read one exchange.
+        moved = now.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v")).repartition("u")
+        low = moved.groupBy("u").agg(F.min("v").alias("m"))
+        small = moved.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    stars = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    # Each node has one edge by now, to its root.
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import places
 from ..functions import records as rc
 from ..functions import text as tx
 from ..operators import extraction as ex
@@ -224,3 +225,15 @@ def verdict_json(t):
 def input_constraints(t):
     """FLT-18, EX-3."""
     return t.documents.select("doc_id", ((F.length("text") <= 4000) & F.col("n_chars").between(1, 1_000_000)).alias("valid"), tx.text_or_null(F.col("source")).isNotNull().alias("has_source"))
+
+
+@query()
+def postcodes_found(t):
+    """GEO-6 to GEO-9: postcodes in texts with their countries; checked on fixtures, as spans and windows are no SQL."""
+    return t.documents.select("doc_id", places.found_codes("text").alias("codes")).select("doc_id", F.size("codes").alias("n_codes"), F.concat_ws("|", F.transform("codes", lambda c: F.concat_ws(" ", c["country"], c["code"]))).alias("codes"))
+
+
+@query()
+def stated_distances(t):
+    """GEO-16: the distance that a text states for its route; checked on fixtures."""
+    return t.documents.select("doc_id", places.stated_km("text").alias("km"))

@@ -176,14 +176,9 @@ def array_append_unique(t):
     return upserts.append_unique(t.events, "user_id", "event_type")
 
 
-@query("SELECT c_custkey, arg_max(s_suppkey, sha256(c_custkey || '|' || s_suppkey)) s_suppkey FROM customer, (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 20) GROUP BY c_custkey")
-def hrw_assignment(t):
-    return schedule.rendezvous(t.customer, t.supplier.where("s_suppkey <= 20"), "c_custkey", "s_suppkey")
-
-
 @query("SELECT c_custkey, arg_max(s_suppkey, sha256(c_custkey || '|' || s_suppkey)) s_suppkey FROM customer, supplier GROUP BY c_custkey")
-def hrw_assignment_whole(t):
-    """The whole pool; hrw_assignment and its SQL take 21 suppliers."""
+def hrw_assignment(t):
+    """S-21, SRT-9: the whole pool."""
     return schedule.rendezvous(t.customer, t.supplier, "c_custkey", "s_suppkey")
 
 

@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_hallucination_covers_all_items_and_stems(spark):
-    found = {r["item_id"]: (r["n_docs"], r["n_missing"]) for r in catalogue.QUERIES["hallucination_rate_whole"](spark, FOLDER).collect()}
+    found = {r["item_id"]: (r["n_docs"], r["n_missing"]) for r in catalogue.QUERIES["hallucination_rate"](spark, FOLDER).collect()}
     texts = [r["text"].lower() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     wanted = {}
     for item in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect():
@@ -46,7 +46,7 @@ def test_hrw_takes_the_whole_pool(spark):
         assert dict(map(tuple, schedule.rendezvous(keys, pool, "c", "m", block=block).collect())) == wanted
     assert schedule.rendezvous(keys, pool.limit(0), "c", "m").count() == 0
     members = [r[0] for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").select("s_suppkey").collect()]
-    for c, m in catalogue.QUERIES["hrw_assignment_whole"](spark, FOLDER).limit(50).collect():
+    for c, m in catalogue.QUERIES["hrw_assignment"](spark, FOLDER).limit(50).collect():
         assert m == max(members, key=lambda x: weight(c, x))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import bpe, language_model, media, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import alignment, bpe, language_model, media, merkle, mixing, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .tokens import tokenizer_path
 
 
@@ -63,6 +64,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("c_0").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.get("covered", F.lit(0)).alias("n_passage_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bloom_lm, op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades, op10_suffix_dedup)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_chars of one row in seven is one too high when it is looked at again."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.col("n_chars") + F.when(merkle.one_in_seven(F.col("doc_id")), 1).otherwise(0)
+    found = merkle.verified(merkle.manifest(docs, changed={"n_chars": tampered}))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bloom_lm, op2_minhash_near_dups, op3_bpe_transducer, op4_quality_rules, op5_warc_histories, op6_token_counts, op7_flac_media, op8_best_fit_packing, op9_toxicity_grades, op10_suffix_dedup, op11_token_alignment, op12_merkle_manifest, op13_source_mixing)}

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and the ones without accents that stand for them.
-ACCENTED = "ąćęłńóśźżáčďéěíňřšťúůýžäöüàâçèêëîïôûùñ"
-PLAIN = "acelnoszzacdeeinrstuuyzaouaaceeeiiouun"
+
+@lru_cache(maxsize=1)
+def letters() -> tuple[str, str]:
+    """Latin letters with marks and the plain ones that they decompose to, lower case, by the Unicode tables."""
+    pairs = {"ł": "l", "đ": "d", "ø": "o"}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        low = chr(code).lower()
+        plain = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+        if len(low) == 1 and len(plain) == 1 and plain != low and plain.isascii():
+            pairs[low] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+#: Letters with marks and the plain ones that stand for them.
+ACCENTED, PLAIN = letters()
 
 #: Marker letters and function words that speak for a language.
 MARKERS = {"en": "", "de": "äöüß", "fr": "çèêëàùœ", "es": "ñóáí"}

@@ -168,23 +168,3 @@ def soft_filter(values: Column, keep: Callable[[Column], Column]) -> Column:
     """Values that are kept, or all where none is."""
     some = F.filter(values, keep)
     return F.when(F.size(some) > 0, some).otherwise(values)
-
-
-def geocoded(queries: DataFrame, places: DataFrame, exonyms: DataFrame) -> DataFrame:
-    """id, place, lat, lng and how: by code, else by name (exonyms mapped first), else by a name that only one place begins with.
-
-    ``queries`` has id, code and name, ``places`` code, name, population, lat
-    and lng.  Of places with one name the largest wins if it is three times the
-    next one; else the name is no answer.  All joins are on equal keys.
-    """
-    by_code = places.where("code is not null").groupBy("code").agg(F.min_by(F.struct("name", "lat", "lng"), "name").alias("c"))
-    order = Window.partitionBy("name").orderBy(F.col("population").desc(), "lat", "lng")
-    named = places.withColumns({"r": F.row_number().over(order), "next": F.lead("population").over(order)}).where("r = 1 and (next is null or population >= 3 * next)").select("name", F.struct("name", "lat", "lng").alias("p"))
-    asked = queries.join(exonyms.select(F.col("foreign").alias("name"), "home"), "name", "left").withColumn("name", F.coalesce("home", "name")).drop("home")
-    found = asked.join(by_code, "code", "left").join(named, "name", "left")
-    ends = named.withColumn("start", F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.length("name") - 1)), lambda k: F.substring(F.col("name"), F.lit(1), k))))
-    starts = ends.groupBy("start").agg(F.countDistinct("name").alias("many"), F.first("p").alias("s")).where("many = 1").select(F.col("start").alias("name"), "s")
-    found = found.join(starts, "name", "left")
-    best = F.coalesce("c", "p", "s")
-    how = F.when(F.col("c").isNotNull(), "code").when(F.col("p").isNotNull(), "name").when(F.col("s").isNotNull(), "prefix").otherwise("none")
-    return found.select("id", best["name"].alias("place"), best["lat"].alias("lat"), best["lng"].alias("lng"), how.alias("how"))

@@ -229,21 +229,6 @@ def soft_filtered(t):
     return t.documents.select("doc_id", F.array_join(ld.soft_filter(F.array(*map(F.lit, ("de", "en", "es", "fr"))), lambda x: x == wanted), ",").alias("langs"))
 
 
-ASKED = "SELECT c_custkey id, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_nationkey AS VARCHAR) END code, CASE c_custkey % 4 WHEN 1 THEN n_name WHEN 2 THEN 'ABROAD' WHEN 3 THEN n_name[1:4] END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey"
-
-
-@query(f"WITH q AS ({ASKED}), n AS (SELECT CAST(n_nationkey AS VARCHAR) code, n_name nm FROM nation), p AS (SELECT nm[1:g] s, min(nm) nm FROM n, range(4, 40) r(g) WHERE g < length(nm) OR g = 4 GROUP BY 1 HAVING count(DISTINCT nm) = 1), j AS (SELECT id, n1.nm c, n2.nm b, p.nm s FROM (SELECT id, code, CASE WHEN name = 'ABROAD' THEN (SELECT min(n_name) FROM nation) ELSE name END AS name FROM q) q LEFT JOIN n n1 ON q.code = n1.code LEFT JOIN n n2 ON q.name = n2.nm LEFT JOIN p ON q.name = p.s) SELECT id, coalesce(c, b, s) place, CASE WHEN c IS NOT NULL THEN 'code' WHEN b IS NOT NULL THEN 'name' WHEN s IS NOT NULL THEN 'prefix' ELSE 'none' END how FROM j")
-def geocode(t):
-    """JN-6, JN-7, GEO-5, GEO-12: by code, by name with exonyms, by a beginning that one name has."""
-    k = F.col("c_custkey") % 4
-    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("id"), F.when(k == 0, F.col("c_nationkey").cast("string")).alias("code"), F.when(k == 1, F.col("n_name")).when(k == 2, "ABROAD").when(k == 3, F.substring("n_name", 1, 4)).alias("name")
-    )
-    places = t.nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.lit(1).alias("population"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lng"))
-    exonyms = t.nation.agg(F.lit("ABROAD").alias("foreign"), F.min("n_name").alias("home"))
-    return ld.geocoded(asked, places, exonyms).select("id", "place", "how")
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 3 THEN 'https://maps.example/at/1.5,2.5' WHEN c_custkey % 4 = 2 THEN 'https://maps.example/at/3.5,4.5' ELSE 'https://maps.example/dir/1.5,2.5/3.5,4.5' END link, printf('%.3f:%.3f:%s', c_custkey / 7.0, c_nationkey / 3.0, 'sure') AS cache_key FROM customer")
 def trip_links(t):
     """GEO-18, GEO-18b, GEO-22."""

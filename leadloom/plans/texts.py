@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import gate, geo, stats
 from .registry import query
 
+SAMPLE = gate.Dictionary([gate.SAMPLE])
 PUNCTUATION = "!?.,;:*#$%&-"
 
 
@@ -58,6 +59,36 @@ z AS (SELECT *, CASE layer WHEN 'accept' THEN true WHEN 'score' THEN points >= 5
 best AS (SELECT doc_id, layer, rule, points, verdict FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY verdict DESC, (rule IS NOT NULL) DESC, CASE WHEN verdict THEN points ELSE -points END DESC, (lang = pack) DESC, k) = 1)"""
 
 
+#: Words a language in the packs that the corpus gives, and the ranks of those that end a search.
+PACK_WORDS, LAST_RANKS = 200, {198: "extinguish", 199: "accept", 200: "reject"}
+WORD_PACKS = f"""m AS (SELECT doc_id, text, lang, {_normal_sql('text')} t FROM documents), u AS (SELECT DISTINCT doc_id, lang, unnest(string_split_regex(t, '[^a-z0-9]+')) w FROM m), c AS (SELECT lang, w, count(*) n FROM u WHERE regexp_full_match(w, '[a-z]{{3,}}') AND lang IS NOT NULL GROUP BY ALL),
+term AS (SELECT lang pack, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) rank FROM c QUALIFY rank <= {PACK_WORDS}), pack AS (SELECT pack, row_number() OVER (ORDER BY pack) k FROM (SELECT DISTINCT pack FROM term)),
+h AS (SELECT u.doc_id, pack, any_value(u.w) FILTER (rank = 198) e, any_value(u.w) FILTER (rank = 199) a, any_value(u.w) FILTER (rank = 200) r, sum(CASE WHEN rank >= 198 THEN 0 WHEN rank % 3 = 0 THEN -1 WHEN rank <= 50 THEN 1 ELSE 2 END) s FROM u JOIN term USING (w) GROUP BY ALL),
+x AS (SELECT m.doc_id, text, lang, k, p.pack, e, a, r, CAST(coalesce(s, 0) + CASE WHEN len({CODES_SQL}) >= 2 THEN 4 ELSE 0 END AS INTEGER) points FROM m CROSS JOIN pack p LEFT JOIN h ON h.doc_id = m.doc_id AND h.pack = p.pack)"""
+BEST = """y AS (SELECT *, CASE WHEN e IS NOT NULL THEN 'extinguish' WHEN a IS NOT NULL THEN 'accept' WHEN r IS NOT NULL THEN 'reject' WHEN length(trim(text)) < 15 THEN 'short' ELSE 'score' END layer, coalesce(e, a, r) rule FROM x),
+z AS (SELECT *, CASE layer WHEN 'accept' THEN true WHEN 'score' THEN points >= 5 ELSE false END verdict FROM y),
+best AS (SELECT doc_id, layer, rule, points, verdict FROM z QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY verdict DESC, (rule IS NOT NULL) DESC, CASE WHEN verdict THEN points ELSE -points END DESC, (lang = pack) DESC, k) = 1)"""
+
+
+def frequent_words(docs, most: int = PACK_WORDS):
+    """lang, w and rank of each language's most frequent words of three letters and more; ranked in parts before the whole."""
+    words = docs.where("lang is not null").select("lang", F.explode(F.array_distinct(F.split(tx.normal(F.col("text")), "[^a-z0-9]+"))).alias("w")).where(F.col("w").rlike("^[a-z]{3,}$"))
+    counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    for parts in (["lang", F.crc32(F.col("w").cast("binary")) % 64], ["lang"]):
+        counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("n"), "w"))).where(F.col("rank") <= most)
+    return counts.select("lang", "w", "rank")
+
+
+@query(f"WITH {WORD_PACKS}, {BEST} SELECT * FROM best")
+def gate_dictionaries(t):
+    """GT-2 to GT-5: a pack of 200 terms for each language, rows of a table, looked up by one automaton."""
+    rank = F.col("rank")
+    layer = F.coalesce(F.create_map(*(F.lit(x) for pair in LAST_RANKS.items() for x in pair))[rank], F.lit("scores"))
+    weight = F.when(rank % 3 == 0, -1).when(rank <= 50, 1).otherwise(2)
+    terms = frequent_words(t.documents).select(F.col("lang").alias("pack"), rank.alias("place"), layer.alias("layer"), F.col("w").alias("term"), weight.alias("weight"), F.lit("WORD").alias("label"), F.lit("").alias("unless"))
+    return gate.resolved(t.documents, gate.packs_of(terms), lang="lang").select("doc_id", "layer", "rule", "points", "verdict")
+
+
 @query(f"WITH {_packs_sql()} SELECT * FROM best")
 def gate_resolved(t):
     """GT-3, GT-5: the best verdict of four language packs."""
@@ -75,7 +106,7 @@ def gate_orchestrated(t):
 @query("WITH m AS (SELECT doc_id, " + _normal_sql("text") + " t FROM documents) SELECT label, count(*) n FROM (" + " UNION ALL ".join(f"SELECT {_quoted(f'{r.label}:{r.pattern}({r.weight:+d})')} AS label FROM m WHERE regexp_matches(t, {_quoted(gate.compiled(r.pattern))})" for r in gate.SAMPLE.scores) + ") GROUP BY label")
 def gate_hit_labels(t):
     """GT-12."""
-    rows = gate.bound(t.documents, "text").select(F.explode(gate.hit_labels(F.col(f"{gate.BOUND}.low"), gate.SAMPLE, F.col(f"{gate.BOUND}.words"))).alias("label"))
+    rows = gate.bound(t.documents, "text", SAMPLE).select(F.explode(SAMPLE.labels(F.col(gate.HITS), 0)).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -85,8 +116,7 @@ def _judged(t):
 
 @query(f"WITH {NORMAL_CTE} SELECT doc_id, CAST({SCORE_SQL} AS INTEGER) points FROM n")
 def gate_score(t):
-    rows = gate.bound(t.documents.select("doc_id", "text"), "text")
-    return rows.select("doc_id", gate.score(F.col(f"{gate.BOUND}.low"), gate.SAMPLE, F.col(f"{gate.BOUND}.words")).alias("points"))
+    return gate.bound(t.documents.select("doc_id", "text"), "text", SAMPLE).select("doc_id", gate.score(SAMPLE, 0).alias("points"))
 
 
 @query(f"WITH {GATE_CTE} SELECT * FROM v")
@@ -123,13 +153,14 @@ def readiness(t):
 
 @query(f"WITH {NORMAL_CTE}, d AS (SELECT doc_id, ({_any_sql(gate.SAMPLE.demand)} OR contains(t, '?')) w, {_any_sql(gate.SAMPLE.offer)} o FROM n) SELECT doc_id, CASE WHEN w AND NOT o THEN 'demand' WHEN o AND NOT w THEN 'offer' ELSE 'unclear' END direction FROM d")
 def direction_signal(t):
-    return t.documents.select("doc_id", tx.normal(F.col("text")).alias("t")).select("doc_id", gate.direction(F.col("t"), gate.SAMPLE).alias("direction"))
+    return gate.bound(t.documents.select("doc_id", "text"), "text", SAMPLE).select("doc_id", gate.direction(SAMPLE).alias("direction"))
 
 
 @query(f"WITH {NORMAL_CTE} SELECT doc_id, CASE WHEN {_any_sql(gate.SAMPLE.reject)} THEN 'animal' WHEN {_any_sql(['with', 'that'])} THEN 'vehicle' ELSE 'other' END category FROM n")
 def cargo_category(t):
-    low = F.col("t")
-    return t.documents.select("doc_id", tx.normal(F.col("text")).alias("t")).select("doc_id", F.when(gate.any_hit(low, gate.SAMPLE.reject), "animal").when(gate.any_hit(low, ["with", "that"]), "vehicle").otherwise("other").alias("category"))
+    words = gate.Dictionary([gate.RulePack("cargo", reject=gate.SAMPLE.reject, accept=["with", "that"])])
+    hits = F.col(gate.HITS)
+    return gate.bound(t.documents.select("doc_id", "text"), "text", words).select("doc_id", F.when(words.any_of(hits, "reject"), "animal").when(words.any_of(hits, "accept"), "vehicle").otherwise("other").alias("category"))
 
 
 def _language_sql() -> str:

@@ -23,7 +23,9 @@ encodes and aligns a distinct chunk once.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from .blocks import column_bytes, distinct_spans, document_blocks
 from .tokens import gather, white_space
 
 #: A worker forgets its chunks beyond this number: memory stays bounded, results don't change.
-CHUNKS_KEPT = 200_000
+CHUNKS_KEPT = 600_000
 #: Bytes of text that are aligned at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 #: A pair of ids as one number: a * PAIR + b.
@@ -59,6 +61,7 @@ class ByteSide:
     """A byte-level vocabulary in a file of the tokenizers library; special tokens' strings are plain text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +98,7 @@ class PieceSide:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     length = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(length.sum())), length
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum())), length
 
 
 def _starts(length: np.ndarray) -> np.ndarray:
@@ -110,49 +113,88 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(same), at[same]
 
 
+class Spelled:
+    """Texts of numbered entries in one buffer, to be put in a row."""
+
+    def __init__(self, texts: list[bytes]):
+        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.start = _starts(self.length)
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+
+    def row(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(self.bytes, self.start[numbers], self.length[numbers])
+
+
 class Aligner:
-    """Tokens, groups and links of chunks, remembered by their bytes."""
+    """Tokens, groups and links of chunks, remembered by their bytes; a chunk's groups each end in `;`."""
 
     def __init__(self, side_a, side_b):
         self.a, self.b = side_a, side_b
-        self.size_a, self.size_b = (np.fromiter(map(len, x.pieces), np.int64, len(x.pieces)) for x in (side_a, side_b))
+        self.pieces_a, self.pieces_b = Spelled(side_a.pieces), Spelled(side_b.pieces)
+        # Ids in decimal with room for the mark behind them.
+        self.decimal = Spelled([b"%d," % k for k in range(max(len(side_a.pieces), len(side_b.pieces)))])
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.groups: list[bytes] = []
         empty = np.zeros(0, np.int64)
         self.n_a, self.n_b, self.n_links, self.start, self.links = empty, empty, empty, empty, empty
+        self.group_start, self.group_length, self.group_bytes = empty, empty, np.zeros(0, np.uint8)
         self.exact = np.zeros(0, bool)
 
+    def _given_back(self, chunks: list[bytes], sides) -> np.ndarray:
+        """Whether both sides' tokens spell each chunk."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        whole = np.frombuffer(b"".join(chunks), np.uint8)
+        good = np.ones(len(chunks), bool)
+        for flat, n, pieces in sides:
+            spelled = pieces.row(flat)
+            if len(spelled) == len(whole) and np.array_equal(spelled, whole):
+                continue  # byte for byte, so each chunk too, if its tokens are as long as it is
+            made = np.bincount(np.repeat(np.arange(len(chunks)), n), pieces.length[flat], len(chunks)).astype(np.int64)
+            at, raw = _starts(made), spelled.tobytes()
+            good &= np.fromiter((raw[p : p + m] == x for p, m, x in zip(at.tolist(), made.tolist(), chunks)), bool, len(chunks))
+        for flat, n, pieces in sides:
+            good &= np.bincount(np.repeat(np.arange(len(chunks)), n), pieces.length[flat], len(chunks)).astype(np.int64) == size
+        return good
+
     def learn(self, chunks: list[bytes]) -> None:
         texts = [x.decode("utf-8", "replace") for x in chunks]
-        ids_a, ids_b = self.a.ids(texts), self.b.ids(texts)
-        pieces_a, pieces_b = self.a.pieces, self.b.pieces
-        exact = np.array([b"".join([pieces_a[i] for i in p]) == x and b"".join([pieces_b[i] for i in q]) == x for p, q, x in zip(ids_a, ids_b, chunks)], bool)
-        # Chunks that are not given back count as if they had no tokens: their texts have none.
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, exact)] for ids in (ids_a, ids_b))
-        (flat_a, n_a), (flat_b, n_b) = _flat(ids_a), _flat(ids_b)
+        (flat_a, n_a), (flat_b, n_b) = _flat(self.a.ids(texts)), _flat(self.b.ids(texts))
+        exact = self._given_back(chunks, [(flat_a, n_a, self.pieces_a), (flat_b, n_b, self.pieces_b)])
+        if not exact.all():
+            # Chunks that are not given back count as if they had no tokens: their texts have none.
+            flat_a, flat_b = flat_a[np.repeat(exact, n_a)], flat_b[np.repeat(exact, n_b)]
+            n_a, n_b = np.where(exact, n_a, 0), np.where(exact, n_b, 0)
         # Chunks follow one another, so their ends rise through the whole list.
-        end_a, end_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        end_a, end_b = np.cumsum(self.pieces_a.length[flat_a]), np.cumsum(self.pieces_b.length[flat_b])
         at_a, at_b = common_ends(end_a, end_b)
         links = flat_a[at_a] * PAIR + flat_b[at_b]
-        of = np.searchsorted(np.cumsum(n_a), at_a, "right")
-        n_links = np.bincount(of, minlength=len(chunks)).astype(np.int64)
-        names_a, names_b = [str(i) for i in flat_a.tolist()], [str(i) for i in flat_b.tolist()]
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(names_a[from_a:to_a]) + "|" + ",".join(names_b[from_b:to_b]))
-            from_a, from_b = to_a, to_b
-        bounds = np.concatenate([[0], np.cumsum(n_links)]).tolist()
-        self.groups += [";".join(groups[p:q]).encode() for p, q in zip(bounds, bounds[1:])]
+        n_links = np.bincount(np.searchsorted(np.cumsum(n_a), at_a, "right"), minlength=len(chunks)).astype(np.int64)
+        # Tokens by group, those of a before those of b; the mark behind each tells what follows.
+        group = np.concatenate([np.searchsorted(at_a, np.arange(len(flat_a))), np.searchsorted(at_b, np.arange(len(flat_b)))])
+        marks = np.full(len(group), ord(","), np.uint8)
+        marks[at_a], marks[len(flat_a) + at_b] = ord("|"), ord(";")
+        order = np.argsort(group, kind="stable")
+        ids = np.concatenate([flat_a, flat_b])[order]
+        said = self.decimal.row(ids).copy()
+        size = self.decimal.length[ids]
+        said[np.cumsum(size) - 1] = marks[order]
+        by_group = np.bincount(group[order], size, len(at_a)).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(by_group)])[np.concatenate([[0], np.cumsum(n_links)])]
         base = len(self.n_a)
-        self.start = np.concatenate([self.start, len(self.links) + _starts(n_links)])
-        self.links = np.concatenate([self.links, links])
-        self.n_a, self.n_b, self.n_links = (np.concatenate(x) for x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n_links)))
-        self.exact = np.concatenate([self.exact, exact])
+        add = lambda old, new: np.concatenate([old, new])
+        self.group_start, self.group_length = add(self.group_start, len(self.group_bytes) + bounds[:-1]), add(self.group_length, np.diff(bounds))
+        self.group_bytes = add(self.group_bytes, said)
+        self.start = add(self.start, len(self.links) + _starts(n_links))
+        self.links = add(self.links, links)
+        self.n_a, self.n_b, self.n_links, self.exact = add(self.n_a, n_a), add(self.n_b, n_b), add(self.n_links, n_links), add(self.exact, exact)
         self.number.update(zip(chunks, range(base, base + len(chunks))))
 
+    def groups(self, numbers: np.ndarray) -> bytes:
+        """The groups of chunks in a row, each with `;` behind it."""
+        return gather(self.group_bytes, self.group_start[numbers], self.group_length[numbers]).tobytes()
+
     def numbers(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of every chunk of the block, and each text's first chunk (one more than texts); texts begin with a space."""
         space = white_space(data)
@@ -209,9 +251,9 @@ def aligned(docs: DataFrame, byte_level: str, piece_model: str, *, text: str = "
         number, doc = number[keep], doc[keep]
         count = lambda each: np.bincount(doc, each[number], n).astype(np.int64)
         n_a, n_b, n_links = count(own.n_a), count(own.n_b), count(own.n_links)
-        bound = np.searchsorted(doc, np.arange(n + 1)).tolist()
-        chunks = number.tolist()
-        said = [b";".join(map(own.groups.__getitem__, chunks[p:q])) for p, q in zip(bound, bound[1:])]
+        row = memoryview(own.groups(number))
+        bound = np.concatenate([[0], np.cumsum(own.group_length[number])])[np.searchsorted(doc, np.arange(n + 1))].tolist()
+        said = [row[p : max(p, q - 1)] for p, q in zip(bound, bound[1:])]
         links = gather(own.links, own.start[number], own.n_links[number])
         of = np.repeat(doc, own.n_links[number])
         order = np.lexsort((links, of))
@@ -221,8 +263,8 @@ def aligned(docs: DataFrame, byte_level: str, piece_model: str, *, text: str = "
         head = np.flatnonzero(fresh)
         times = np.diff(np.append(head, len(links)))
         cut = np.searchsorted(of[head], np.arange(1, n))
-        out = {key: names, "n_a": n_a, "n_b": n_b, "n_groups": n_links, "n_links": n_links, "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in said], "pairs": np.split(links[head], cut), "times": np.split(times, cut)}
-        return pd.DataFrame(out | ({"groups": [x.decode() for x in said]} if with_groups else {}))
+        out = {key: names, "n_a": n_a, "n_b": n_b, "n_groups": n_links, "n_links": n_links, "groups_sha256": [hashlib.sha256(x).hexdigest() if len(x) else "" for x in said], "pairs": np.split(links[head], cut), "times": np.split(times, cut)}
+        return pd.DataFrame(out | ({"groups": [str(x, "ascii") for x in said]} if with_groups else {}))
 
     def work(frames):
         own = aligner(byte_level, piece_model)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,16 +51,33 @@ def short_hash(value: Column, size: int) -> Column:
     return F.substring(F.sha2(value.cast("binary"), 256), 1, size)
 
 
+# Units behind a number, and beginnings of words for members.
+UNITS = {
+    1_000: ("k", "tys", "tysiąc", "tysiące", "tysięcy", "tyś", "tis", "tisíc", "tisic", "tsd", "tausend"),
+    1_000_000: ("m", "mln", "mil", "milion", "miliony", "milionów", "mio"),
+}
+MEMBER_WORDS = ("człon", "czlon", "member", "mitglied", "člen", "clen", "osób")
+
+
 def humanised(value: Column) -> Column:
-    """The largest number in a text such as "12,5 k members": k and tys. stand for thousands, m and mln for millions."""
-    found = F.regexp_extract_all(F.lower(value), F.lit(r"(\d+(?:[.,]\d+)? ?(?:tys|mln|k|m)?)"))
+    """The number of members in a text such as "3 posts a day, 12,5 tys. members".
+
+    The first number with a unit of thousands or millions, or with a word for members
+    in or behind the word at it; else the largest number; null without any.  A comma,
+    dot or blank before three digits parts thousands; a unit is a whole word.
+    """
+    low = F.regexp_replace(F.lower(value), r"(?<=\d)[., \x{A0}](?=\d{3}(?!\d))", "")
+    parts = [F.regexp_extract_all(low, F.lit(r"(\d+(?:[.,]\d+)?)\s*(\p{L}*)(?=([^\d]{0,16}))"), F.lit(k)) for k in (1, 2, 3)]
 
     def one(x: Column) -> Column:
-        number = F.regexp_replace(F.regexp_extract(x, r"([\d.,]+)", 1), ",", ".").try_cast("double")
-        unit = F.regexp_extract(x, r"(tys|mln|k|m)$", 1)
-        return number * F.when(unit.isin("tys", "k"), 1000).when(unit.isin("mln", "m"), 1_000_000).otherwise(1)
+        number = F.regexp_replace(x["0"], ",", ".").try_cast("double")
+        unit = F.coalesce(*(F.when(x["1"].isin(*words), F.lit(n)) for n, words in UNITS.items()))
+        said = unit.isNotNull() | F.concat(x["1"], x["2"]).rlike("|".join(MEMBER_WORDS))
+        # Rounded first: 1.1 thousand is 1100, whatever its binary form.
+        return F.struct(F.floor(F.round(number * F.coalesce(unit, F.lit(1)), 6)).cast("long").alias("n"), said.alias("said"))
 
-    return F.round(F.array_max(F.transform(found, one))).cast("long")
+    found = F.transform(F.arrays_zip(*parts), one)
+    return F.coalesce(F.get(F.filter(found, lambda x: x["said"]), F.lit(0))["n"], F.array_max(F.transform(found, lambda x: x["n"])))
 
 
 def error_class(message: Column, status: Column) -> Column:
@@ -138,3 +160,53 @@ def usage_line(used: Column, limit: Column, warn: int = 90) -> Column:
     percent = F.round(F.try_divide(100 * used, limit)).cast("long")
     line = F.concat(used.cast("string"), F.lit(" / "), limit.cast("string"), F.lit(" ("), percent.cast("string"), F.lit(" %)"))
     return F.when(limit.isNull() | (limit == 0), used.cast("string")).otherwise(F.concat(F.when(percent >= warn, "! ").otherwise(""), line))
+
+
+def _breadth_first(text: str | None, wanted: Callable[[dict], object]):
+    """What ``wanted`` finds in the objects of a JSON text, level by level and in the order written; None without any."""
+    try:
+        queue = deque([json.loads(text)] if text else [])
+    except ValueError:
+        return None
+    while queue:
+        node = queue.popleft()
+        if isinstance(node, dict):
+            found = wanted(node)
+            if found is not None:
+                return found
+            queue.extend(node.values())
+        elif isinstance(node, list):
+            queue.extend(node)
+    return None
+
+
+def number_anywhere(value: Column, names: list[str]) -> Column:
+    """The first number under one of the names at any depth of a JSON text: the least deep, then as written; booleans are no numbers.
+
+    Objects keep the order of their keys, which no built-in type of nested values does.
+    """
+
+    def wanted(node: dict) -> float | None:
+        return next((float(node[n]) for n in names if isinstance(node.get(n), (int, float)) and not isinstance(node[n], bool)), None)
+
+    @F.pandas_udf("double")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_breadth_first(x, wanted) for x in texts], dtype="float64")
+
+    return found(value)
+
+
+def text_anywhere(value: Column, name: str) -> Column:
+    """The first text that is not blank under a name at any depth of a JSON text; '' without one."""
+
+    def wanted(node: dict) -> str | None:
+        found = node.get(name)
+        return found if isinstance(found, str) and found.strip() else None
+
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([_breadth_first(x, wanted) or "" for x in texts], dtype=object)
+
+    return found(value)

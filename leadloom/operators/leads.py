@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
@@ -58,17 +58,18 @@ def backfill(rows: DataFrame, target: str, sources: list[str], newest: str, most
 
 
 def patched(base: DataFrame, changes: DataFrame, key: str, *, status: str = "status", at: str = "status_at") -> DataFrame:
-    """Base rows with what the changes set; a new status also sets its time (column ``now`` of the changes)."""
-    new = changes.select(key, F.struct(*(changes[c] for c in changes.columns if c != key)).alias("_new"))
-    joined = base.join(new, key, "left")
+    """Base rows with what the changes set; a status that differs also sets its time (column ``now`` of the changes).
+
+    Several changes of a key count as one: each column takes its latest value that is
+    given, by ``now`` and then by value.  Nulls change nothing, unknown keys neither.
+    """
     given = [c for c in changes.columns if c not in (key, "now")]
-    out = []
-    for c in base.columns:
-        if c == at:
-            out.append(F.when(F.col(f"_new.{status}").isNotNull(), F.col("_new.now")).otherwise(F.col(c)).alias(c))
-        else:
-            out.append((F.coalesce(F.col(f"_new.{c}"), F.col(c)) if c in given else F.col(c)).alias(c))
-    return joined.select(*out)
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct("now", F.col(c).alias("v")))).alias(f"_{c}") for c in given]
+    joined = base.join(changes.groupBy(key).agg(*latest), key, "left")
+    new = {c: F.col(f"_{c}.v") for c in given}
+    moved = new[status].isNotNull() & ~new[status].eqNullSafe(F.col(status)) if status in new else F.lit(False)
+    value = lambda c: F.when(moved, F.col(f"_{status}.now")).otherwise(F.coalesce(new[c], F.col(c)) if c in new else F.col(c)) if c == at and status in new else F.coalesce(new[c], F.col(c)) if c in new else F.col(c)
+    return joined.select(*(value(c).alias(c) for c in base.columns))
 
 
 def decision(direction: Column, gate: Column, is_stale: Column, model: Column) -> Column:
@@ -77,10 +78,10 @@ def decision(direction: Column, gate: Column, is_stale: Column, model: Column) -
 
 
 def alert_step(duplicate: Column, crosspost: Column, paused: Column, animal: Column, direction: Column, confidence: Column, quiet: Column, sent_last_hour: Column, p: Params = DEFAULT) -> Column:
-    """The first rung of the ladder that holds an alert back, or send."""
+    """The first rung of the ladder that holds an alert back, or send; an hourly limit of 0 or less is none."""
     return (
         F.when(duplicate, "duplicate").when(crosspost, "crosspost").when(paused, "paused").when(animal, "animal").when(direction == "offer", "offer")
-        .when(confidence < p.min_confidence, "confidence").when(quiet, "quiet").when(sent_last_hour >= p.alerts_per_hour, "limit").otherwise("send")
+        .when(confidence < p.min_confidence, "confidence").when(quiet, "quiet").when(sent_last_hour >= p.alerts_per_hour if p.alerts_per_hour > 0 else F.lit(False), "limit").otherwise("send")
     )
 
 
@@ -88,12 +89,33 @@ def alert_step(duplicate: Column, crosspost: Column, paused: Column, animal: Col
 KEPT_ON_RECORD = ("limit", "animal", "offer")
 
 
-def interval_minutes(rate: Column, used_share: Column, path: Column, budget_left: Column, p: Params = DEFAULT) -> Column:
-    """Minutes to the next run: the least while budget is slack, else by the posting rate (path A) or by what is left (path B), within bounds."""
-    by_rate = F.lit(60.0) / F.greatest(rate, F.lit(0.01))
-    by_budget = F.lit(1440.0) / F.greatest(budget_left, F.lit(1.0))
-    wanted = F.when(used_share < p.budget_slack, F.lit(float(p.min_interval))).when(path == "A", by_rate).otherwise(by_budget)
-    return F.round(F.least(F.lit(float(p.max_interval)), F.greatest(F.lit(float(p.min_interval)), wanted))).cast("int")
+def interval_minutes(rate: Column, used_share: Column, path: Column, share: Column, p: Params = DEFAULT) -> Column:
+    """Minutes to the next run of a group with ``rate`` posts an hour and ``share`` posts of the day's budget.
+
+    While the budget has slack, or its use is known and low, the least.  On path A a
+    run costs what is new, so it waits for one post; a silent group takes the least.
+    On path B a run costs its whole limit, so as many runs a day as the share pays for,
+    the longest wait if it pays for none.
+    """
+    least = F.when(path == "A", F.lit(float(p.min_interval))).otherwise(float(p.min_interval_b))
+    cost = F.greatest(F.lit(float(p.posts_least)), F.ceil(rate * (least / 60.0) * p.posts_margin).cast("double"))
+    runs = share / cost
+    wanted = F.when(path == "A", F.when(rate > 0, 60.0 / rate).otherwise(least)).otherwise(F.when(runs >= 1.0, 1440.0 / runs).otherwise(float(p.max_interval)))
+    formula = F.least(F.lit(float(p.max_interval)), F.greatest(least, F.bround(wanted)))
+    return F.when(F.coalesce(used_share < p.budget_slack, F.lit(False)), p.min_interval).otherwise(formula).cast("int")
+
+
+def run_size(rate: Column, minutes: Column, path: Column, p: Params = DEFAULT) -> tuple[Column, Column]:
+    """(limit, window in minutes) of a group's run.
+
+    The limit covers the window on path A and the wait on path B, with a margin, within
+    bounds; a group without posts gets the limit for the unknown.
+    """
+    window = F.when(path == "A", F.greatest(minutes * p.window_factor, F.lit(p.window_least))).otherwise(1440).cast("int")
+    most = F.when(path == "A", p.posts_most_a).otherwise(p.posts_most_b)
+    hours = F.when(path == "A", window / 60.0).otherwise(minutes / 60.0)
+    limit = F.least(most, F.greatest(F.lit(p.posts_least), F.ceil(rate * hours * p.posts_margin)))
+    return F.when(rate <= 0, F.least(most, F.lit(p.posts_unknown))).otherwise(limit).cast("int"), window
 
 
 def skip_reason(ready: Column, quarantined: Column, due: Column, budget_left: Column) -> Column:
@@ -137,13 +159,6 @@ def health(hours_since_run: Column, failed: Column, p: Params = DEFAULT) -> Colu
     return F.coalesce(hours_since_run > p.max_age_h, F.lit(True)) | F.coalesce(failed, F.lit(False))
 
 
-def ranked_owners(keys: DataFrame, pool: DataFrame, key: str, member: str) -> DataFrame:
-    """Rank of every pool member for every key by hash, for keys and a pool that the caller has checked to be small."""
-    rows = keys.select(key).crossJoin(F.broadcast(pool.select(member)))
-    weight = F.xxhash64(F.col(key), F.col(member))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(weight.desc(), member)))
-
-
 def balanced_owners(ranked: DataFrame, key: str, member: str) -> DataFrame:
     """One member a key and one key a member: in the order of keys, each takes its best member that is free.
 
@@ -168,3 +183,24 @@ def soft_filter(values: Column, keep: Callable[[Column], Column]) -> Column:
     """Values that are kept, or all where none is."""
     some = F.filter(values, keep)
     return F.when(F.size(some) > 0, some).otherwise(values)
+
+
+def candidates_folded(rows: DataFrame, *, least: int, url: str = "url", order: str = "at", members: str = "members", phrase: str = "phrase", name: str = "name") -> DataFrame:
+    """One candidate a url, as a run in order would leave it: url, at, name, members, phrases, duplicates and too_small.
+
+    A row with fewer members than ``least`` is dropped and forgotten, unless its url was
+    accepted before; 0 members are unknown and pass.  Later rows of an accepted url count
+    as duplicates, raise its members, and add their phrase behind a comma if the phrases
+    so far don't hold it as a part.  Urls that are never accepted have no row.
+    """
+    count = F.coalesce(F.col(members), F.lit(0))
+    known = rows.select(F.col(url).alias("url"), F.col(order).alias("at"), F.coalesce(F.col(name), F.lit("")).alias("name"), count.alias("members"), F.coalesce(F.col(phrase), F.lit("")).alias("phrase"), ((count > 0) & (count < least)).alias("small"))
+    first = known.where("not small").groupBy("url").agg(F.min(F.struct("at", "name", "members", "phrase")).alias("first"))
+    both = known.join(first, "url")
+    later = F.struct("at", "name", "members", "phrase") > F.col("first")
+    # A phrase is told of once, so what a url gathers is bounded by the phrases there are.
+    said = both.where(later & (F.col("phrase") != "")).groupBy("url", "phrase").agg(F.min("at").alias("at")).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("said"))
+    counts = both.groupBy("url", "first").agg(F.max(F.when(later, F.col("members"))).alias("more"), F.count_if(later).alias("duplicates"), F.count_if(F.col("small") & (F.col("at") < F.col("first.at"))).alias("too_small"))
+    merged = F.aggregate(F.coalesce("said", F.array().cast("array<struct<at:bigint,phrase:string>>")), F.col("first.phrase"), lambda acc, x: F.when(F.contains(acc, x["phrase"]), acc).otherwise(F.concat(acc, F.lit(", "), x["phrase"])))
+    out = counts.join(said, "url", "left")
+    return out.select(F.col("url").alias(url), F.col("first.at").alias("at"), F.col("first.name").alias("name"), F.greatest("first.members", "more").alias("members"), merged.alias("phrases"), "duplicates", "too_small")

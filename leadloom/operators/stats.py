@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal
 from ..params import DEFAULT, Params
 from ..session import written
 
@@ -138,3 +139,20 @@ def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key:
     for part in parts[1:]:
         found = found.unionByName(part)
     return found.groupBy(key).agg(F.sum("n").alias("n_docs"), F.sum("m").alias("n_missing"))
+
+
+def field_accuracy(rows: DataFrame, fields: list[str], *, by: str, expected: str = "expected", answer: str = "answer") -> DataFrame:
+    """by, field, scored, right, accuracy, invented and missed: how often answers hold what was expected.
+
+    Both are JSON objects.  A field that is absent from what was expected is not scored,
+    so each field has its own denominator; null there means that nothing should be found.
+    Values are compared in their normal form.  invented counts answers where nothing
+    was expected, missed the other way round.  What is no JSON expects and answers nothing.
+    """
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    pairs = rows.select(by, read(F.col(expected)).alias("e"), read(F.col(answer)).alias("a")).select(by, F.explode(F.array_intersect(F.map_keys("e"), F.array(*map(F.lit, fields)))).alias("field"), "e", "a")
+    plain = lambda m: F.nullif(normal(F.element_at(m, F.col("field"))), F.lit(""))
+    said = pairs.select(by, "field", plain("e").alias("want"), plain("a").alias("got"))
+    right = F.count_if(F.col("want").eqNullSafe(F.col("got")))
+    counts = [F.count("*").alias("scored"), right.alias("right"), F.round(right / F.count("*"), 4).alias("accuracy"), F.count_if(F.col("want").isNull() & F.col("got").isNotNull()).alias("invented"), F.count_if(F.col("want").isNotNull() & F.col("got").isNull()).alias("missed")]
+    return said.groupBy(by, "field").agg(*counts)

@@ -22,13 +22,22 @@ class Params:
     quiet_to: int = 6
     alerts_per_hour: int = 15
     dedup_hours: int = 6
+    remember_hours: int = 168
     reliable_sample: int = 30
     report_sample: int = 200
     bandit_trials: int = 15
     bandit_share: float = 0.3
     bandit_bonus: float = 0.5
     min_interval: int = 5
+    min_interval_b: int = 15
     max_interval: int = 120
+    posts_least: int = 2
+    posts_unknown: int = 10
+    posts_margin: int = 3
+    posts_most_a: int = 50
+    posts_most_b: int = 12
+    window_factor: int = 2
+    window_least: int = 30
     budget_slack: float = 0.7
     cost_per_post: float = 0.0026
     strikes: int = 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Window
@@ -73,11 +74,12 @@ def point_lookup(t):
     return t.customer.where("c_custkey = 7")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '2002-01-01' ELSE o_orderdate END AS o_orderdate FROM orders")
+@query("""WITH c AS (SELECT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_linestatus END status, CASE WHEN l_discount > 0.05 THEN l_extendedprice END price, l_shipdate AS now FROM lineitem),
+l AS (SELECT l_orderkey, arg_max(status, (now, status)) FILTER (status IS NOT NULL) status, max(now) FILTER (status IS NOT NULL) status_now, arg_max(price, (now, price)) FILTER (price IS NOT NULL) price FROM c GROUP BY 1)
+SELECT o_orderkey, coalesce(status, o_orderstatus) AS o_orderstatus, coalesce(price, o_totalprice) AS o_totalprice, CASE WHEN status <> o_orderstatus THEN status_now ELSE o_orderdate END AS o_orderdate FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def partial_update(t):
-    """SNK-9, SNK-10: what is given replaces, a new status sets its time."""
-    k = F.col("o_orderkey")
-    changes = t.orders.where((k % 4 == 0) | (k % 3 == 0)).select("o_orderkey", F.when(k % 4 == 0, "X").alias("o_orderstatus"), F.when(k % 3 == 0, 0.5).alias("o_totalprice"), F.lit("2002-01-01").cast("timestamp_ntz").alias("now"))
+    """SNK-9, SNK-10: several changes of a key count as one, a status that differs sets its time."""
+    changes = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("o_orderstatus"), F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).alias("o_totalprice"), F.col("l_shipdate").alias("now"))
     base = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     return ld.patched(base, changes, "o_orderkey", status="o_orderstatus", at="o_orderdate")
 
@@ -199,11 +201,23 @@ def alert_ladder(t):
     return t.events.groupBy(step.alias("step")).agg(F.count("*").alias("n")).select("step", "n", F.col("step").isin(*ld.KEPT_ON_RECORD, "send").alias("on_record"))
 
 
-@query("SELECT s_suppkey, CAST(round(least(120.0, greatest(5.0, CASE WHEN (s_suppkey % 10) / 10.0 < 0.7 THEN 5.0 WHEN s_suppkey % 2 = 0 THEN 60.0 / greatest(s_suppkey % 13, 0.01) ELSE 1440.0 / greatest(s_suppkey % 90, 1) END))) AS INTEGER) AS minutes FROM supplier")
+PACES = f"""g AS (SELECT user_id, count(*) FILTER (ts >= {NOW} - INTERVAL 3 DAY) / 72.0::DOUBLE rate, count(*) FILTER (event_type = 'purchase') AS share, CASE WHEN count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'view') THEN 'A' ELSE 'B' END path, round(avg(value) / 100, 4) used FROM events GROUP BY 1),
+h AS (SELECT *, CASE path WHEN 'A' THEN 5.0::DOUBLE ELSE 15.0 END AS least_min FROM g), i AS (SELECT *, greatest(2.0::DOUBLE, ceil(rate * (least_min / 60.0) * 3)) AS cost FROM h),
+j AS (SELECT *, CASE WHEN used < 0.5 THEN 5 ELSE CAST(least(120.0::DOUBLE, greatest(least_min, round_even(CASE WHEN path = 'A' THEN CASE WHEN rate > 0 THEN 60.0 / rate ELSE least_min END WHEN share / cost >= 1.0 THEN 1440.0 / (share / cost) ELSE 120.0 END, 0))) AS INTEGER) END AS minutes FROM i),
+k AS (SELECT *, CAST(CASE WHEN path = 'A' THEN greatest(minutes * 2, 30) ELSE 1440 END AS INTEGER) AS window_min, CASE path WHEN 'A' THEN 50 ELSE 12 END most FROM j)"""
+
+
+@query(f"WITH {PACES} SELECT user_id, minutes, CAST(CASE WHEN rate <= 0 THEN least(most, 10) ELSE least(most, greatest(2, ceil(rate * CASE WHEN path = 'A' THEN window_min / 60.0::DOUBLE ELSE minutes / 60.0::DOUBLE END * 3))) END AS INTEGER) AS run_limit, window_min FROM k")
 def run_intervals(t):
-    """S-6, S-7, S-36: both paths."""
-    k = F.col("s_suppkey")
-    return t.supplier.select("s_suppkey", ld.interval_minutes((k % 13).cast("double"), (k % 10) / 10, F.when(k % 2 == 0, "A").otherwise("B"), (k % 90).cast("double")).alias("minutes"))
+    """S-6, S-7, S-36: wait, limit and window of every group on both paths, from its posts."""
+    kind, at = F.col("event_type"), F.col("ts").cast("timestamp")
+    recent = F.count_if(at >= F.lit(DEFAULT.as_of) - F.expr("INTERVAL 3 DAYS")) / F.lit(72.0)
+    path = F.when(F.count_if(kind == "click") > F.count_if(kind == "view"), "A").otherwise("B")
+    rows = t.events.groupBy("user_id").agg(recent.alias("rate"), F.count_if(kind == "purchase").alias("share"), path.alias("path"), F.round(F.avg("value") / 100, 4).alias("used"))
+    pace = replace(DEFAULT, budget_slack=0.5)
+    rows = rows.withColumn("minutes", ld.interval_minutes(F.col("rate"), F.col("used"), F.col("path"), F.col("share"), pace))
+    limit, window = ld.run_size(F.col("rate"), F.col("minutes"), F.col("path"), pace)
+    return rows.select("user_id", "minutes", limit.alias("run_limit"), window.alias("window_min"))
 
 
 @query("SELECT reason, count(*) n FROM (SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'not ready' WHEN s_suppkey % 7 = 0 THEN 'quarantined' WHEN s_suppkey % 2 = 0 THEN 'not due' WHEN 40 - s_suppkey % 43 <= 0 THEN 'no budget' ELSE 'planned' END reason FROM supplier) GROUP BY 1")

@@ -42,10 +42,19 @@ def content_keys(t):
     return t.part.select("p_partkey", rc.content_key(*parts).alias("content_key"), rc.short_hash(F.col("p_name"), 24).alias("key_hash"), rc.short_hash(F.col("p_name"), 12).alias("session_hash"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey * 1000 + 500 WHEN 1 THEN c_custkey * 1000000 ELSE c_custkey END AS members FROM customer")
+@query("""WITH n AS (SELECT c_custkey, c_mktsegment kind, c_custkey + 1 AS k FROM customer) SELECT c_custkey, CASE kind WHEN 'AUTOMOBILE' THEN k WHEN 'BUILDING' THEN k * 1000 + 500 WHEN 'FURNITURE' THEN k * 1000 + k % 1000 WHEN 'HOUSEHOLD' THEN k ELSE k * 1000000 END AS members FROM n""")
 def humanised_numbers(t):
-    k = F.col("c_custkey")
-    said = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(",5 tys. people, 3 new"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(" mln"))).otherwise(F.concat(F.lit("members: "), k.cast("string")))
+    """FN-14: the number of members among other numbers."""
+    kind, k = F.col("c_mktsegment"), F.col("c_custkey") + 1
+    text = k.cast("string")
+    grouped = F.concat(text, F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"))
+    said = (
+        F.when(kind == "AUTOMOBILE", F.concat(text, F.lit(" members, 7 km away, since 1999")))
+        .when(kind == "BUILDING", F.concat(F.lit("Public · 3 posts a day · "), text, F.lit(",5 tys. członków")))
+        .when(kind == "FURNITURE", F.concat(grouped, F.lit(" Mitglieder seit 2011")))
+        .when(kind == "HOUSEHOLD", F.concat(F.lit("group "), text, F.lit(", more kept")))
+        .otherwise(F.concat(text, F.lit(" mln")))
+    )
     return t.customer.select("c_custkey", rc.humanised(said).alias("members"))
 
 
@@ -237,3 +246,18 @@ def postcodes_found(t):
 def stated_distances(t):
     """GEO-16: the distance that a text states for its route; checked on fixtures."""
     return t.documents.select("doc_id", places.stated_km("text").alias("km"))
+
+
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN c_acctbal WHEN 'BUILDING' THEN CAST(c_nationkey AS DOUBLE) WHEN 'FURNITURE' THEN CAST(c_custkey AS DOUBLE) WHEN 'HOUSEHOLD' THEN NULL ELSE c_acctbal END AS used, CASE c_mktsegment WHEN 'BUILDING' THEN c_name WHEN 'HOUSEHOLD' THEN '' ELSE c_mktsegment END AS plan FROM customer""")
+def values_at_any_depth(t):
+    """EX-18, FN-33: the first number and text under a name, the least deep first."""
+    kind, money, key, nation = F.col("c_mktsegment"), F.col("c_acctbal").cast("string"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    answer = (
+        F.when(kind == "AUTOMOBILE", F.format_string('{"z":{"deep":{"used":%s}},"a":[{"used":"7"},[{"used":null}]],"plan":" ","b":{"plan":%s}}', money, quoted(kind)))
+        .when(kind == "BUILDING", F.format_string('{"z":[{"used":true},{"x":{"used":9}},{"limit":%s}],"plan":%s}', nation, quoted(F.col("c_name"))))
+        .when(kind == "FURNITURE", F.format_string('[{"y":{"used":1}},{"limit":%s,"plan":%s}]', key, quoted(kind)))
+        .when(kind == "HOUSEHOLD", '{"used":{"x":[]},"plan":5')
+        .otherwise(F.format_string('{"q":{"used":%s,"limit":3},"p":{"used":1},"plan":%s}', money, quoted(kind)))
+    )
+    return t.customer.select("c_custkey", rc.number_anywhere(answer, ["used", "limit"]).alias("used"), rc.text_anywhere(answer, "plan").alias("plan"))

@@ -22,12 +22,23 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+#: The store that streams with timers and several states need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(stream: DataFrame, name: str, *, store: tuple[str, str] | None = None) -> DataFrame:
     """Run a stream over what is there, with its checkpoint in the shared folder, and read what it wrote."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/leadloom-stream-{name}-{uuid.uuid4().hex[:12]}"
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(store[0]) if store else None
+    if store:
+        spark.conf.set(*store)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(store[0], before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 

@@ -74,23 +74,6 @@ def test_empty_tables(spark):
     assert leads.patched(spark.createDataFrame([], "k long, status string, status_at string"), spark.createDataFrame([], "k long, status string, now string"), "k").count() == 0
 
 
-def test_balanced_owners_like_keys_in_turn(spark):
-    keys = spark.createDataFrame([(k,) for k in range(14)], "k long")
-    pool = spark.createDataFrame([(f"m{j}",) for j in range(10)], "m string")
-    ranked = leads.ranked_owners(keys, pool, "k", "m")
-    order = {}
-    for r in ranked.collect():
-        order.setdefault(r["k"], {})[r["rank"]] = r["m"]
-    free, wanted = {f"m{j}" for j in range(10)}, {}
-    for k in range(14):
-        for rank in sorted(order[k]):
-            if order[k][rank] in free:
-                wanted[k] = order[k][rank]
-                free.remove(order[k][rank])
-                break
-    assert {r["k"]: r["m"] for r in leads.balanced_owners(ranked, "k", "m").collect()} == wanted and len(wanted) == 10
-
-
 def test_sources(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
     assert files.has_table(spark, str(tmp_path), "t") and not files.has_table(spark, str(tmp_path), "u")
@@ -109,3 +92,36 @@ def test_sources(spark, tmp_path):
     files.write_sorted_csv(spark.createDataFrame([(2,), (1,), (2,)], "a long").coalesce(1), f"{tmp_path}/out")
     assert [r["a"] for r in files.csv_or_empty(spark, f"{tmp_path}/out", "a long").collect()] == [1, 2]
     assert files.missing_columns(spark.range(1), {"id": "first", "x": "second"}) == ["second"]
+
+
+def test_members_among_other_numbers(spark):
+    known = {
+        "350 members": 350, "5 km away": 5, "12.500 członków": 12500, "12 500 members": 12500, "3 posts a day · 1,1 tys. people": 1100, "1.2K": 1200,
+        "2 mln": 2_000_000, "since 2011, 40 Mitglieder": 40, "7 kittens and 9 more": 9, "none": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in known], "v string")
+    assert {r["v"]: r["n"] for r in df.select("v", records.humanised(F.col("v")).alias("n")).collect()} == known
+
+
+def test_changes_of_a_key_count_as_one(spark):
+    base = spark.createDataFrame([(1, "new", "t0", "a"), (2, "new", "t0", "b"), (3, "new", "t0", "c")], "k long, status string, status_at string, note string")
+    changes = spark.createDataFrame([(1, "seen", None, "t1"), (1, "done", None, "t2"), (1, None, "x", "t3"), (2, "new", "y", "t4"), (9, "done", None, "t5")], "k long, status string, note string, now string")
+    assert sorted(map(tuple, leads.patched(base, changes, "k").collect())) == [(1, "done", "t2", "x"), (2, "new", "t0", "y"), (3, "new", "t0", "c")]
+
+
+def test_waits_and_sizes_of_runs(spark):
+    rows = [(0.0, "A", 10.0, None), (4.0, "A", 10.0, None), (30.0, "A", 0.0, 0.9), (0.5, "A", 0.0, 0.1), (0.0, "B", 30.0, None), (4.0, "B", 2.0, None), (4.0, "B", 96.0, 0.9), (40.0, "B", 96.0, None)]
+    df = spark.createDataFrame(rows, "rate double, path string, share double, used double")
+    df = df.withColumn("m", leads.interval_minutes(F.col("rate"), F.col("used"), F.col("path"), F.col("share")))
+    size = leads.run_size(F.col("rate"), F.col("m"), F.col("path"))
+    assert [tuple(r) for r in df.select("m", *size).collect()] == [(5, 10, 30), (15, 6, 30), (5, 45, 30), (5, 2, 30), (96, 10, 1440), (120, 12, 1440), (45, 9, 1440), (120, 12, 1440)]
+
+
+def test_no_hourly_limit_holds_nothing_back(spark):
+    from dataclasses import replace
+
+    from leadloom.params import DEFAULT
+
+    no, row = F.lit(False), spark.range(1)
+    steps = [leads.alert_step(no, no, no, no, F.lit("demand"), F.lit(90), no, F.lit(99), replace(DEFAULT, alerts_per_hour=n)) for n in (0, 5)]
+    assert list(row.select(*steps).first()) == ["send", "limit"]

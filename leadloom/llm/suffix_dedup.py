@@ -15,8 +15,8 @@ have at equal places; an anchor's number is its place in the order of all.
    a row.  Runs whose covering chain occurs twice are repeated.
 4. What is left are the ends of repeated strings: runs whose inner chain occurs
    twice, but not the covering one.  The bytes around the inner chain settle
-   them: compared in pairs where few runs have the chain, else window by window
-   through a hash.
+   them: runs are sorted by their bytes to the left and to the right, and the
+   extents that neighbours have in common tell which windows they share.
 
 Equal texts are refined once, and are repeated as a whole.  Texts are named by
 128 bits of hashes; a 400-byte string is equal to another one only if five
@@ -37,15 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .blocks import BASE, U, column_bytes, mix, span_hashes
 from .suffix_kernel import FAN, GRAM, SAMPLE, anchors, chains, deepest, gram_hashes, runs, within
 from .tokens import text_blocks
 
 #: Bytes of a repeated string, and of a repeated passage: 50 short words.
 WINDOW, PASSAGE = 400, 250
 NAME = ["k1", "k2"]
-#: Rows of one inner chain that meet each other in a task; the windows of larger groups are counted one by one.
-FEW = 24
 
 
 def keyed(docs: DataFrame, text: str, *others) -> DataFrame:
@@ -162,7 +159,7 @@ def candidate_runs(texts: DataFrame, levels: list[DataFrame], windows: tuple[int
     return joined.mapInArrow(work, "win int, doc long, first long, more int, lead int, core int, c1 long, c2 long, f1 long, f2 long, state int")
 
 
-END = ["win", "c1", "c2", "doc", "first", "more", "lead", "core", "open", "together"]
+END = ["win", "c1", "c2", "doc", "first", "more", "lead", "core", "open"]
 
 
 def margins(texts: DataFrame, ends: DataFrame, windows: tuple[int, ...]) -> DataFrame:
@@ -184,89 +181,120 @@ def margins(texts: DataFrame, ends: DataFrame, windows: tuple[int, ...]) -> Data
                 sides.append(pa.array([data[p:q].tobytes() for p, q in zip(x.tolist(), y.tolist())], pa.binary()))
             yield pa.RecordBatch.from_arrays([*(rows.column(0).take(pa.array(own)) if c == "doc" else fields[c] for c in END), *sides], [*END, "left", "right"])
 
-    return joined.mapInArrow(work, "win int, c1 long, c2 long, doc long, first long, more int, lead int, core int, open boolean, together long, left binary, right binary")
+    return joined.mapInArrow(work, "win int, c1 long, c2 long, doc long, first long, more int, lead int, core int, open boolean, left binary, right binary")
+
+
+def sided(found: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """The rows of ``margins`` dealt out twice, by the nearest bytes on the left and on the right of the inner chain.
+
+    A window takes ``rest`` bytes around the chain, so at least ``half`` of them on one
+    side: two rows that share a window share the nearest ``half`` bytes of that side.
+    Rows of side 0 settle windows with half and more bytes on the left, those of side 1
+    the others.  However many rows a chain has, only those with equal bytes meet.
+    """
+    window = F.element_at(F.array(*map(F.lit, windows)), F.col("win") + 1)
+    rows = found.withColumn("rest", (window - F.col("core")).cast("int")).withColumn("half", F.floor(F.col("rest") / 2).cast("int"))
+    left, right = F.octet_length("left"), F.octet_length("right")
+    near = [F.expr("substring(left, octet_length(left) - half + 1, half)"), F.expr("substring(right, 1, rest - half)")]
+    parts = [rows.where(c).select("*", F.lit(k).alias("side"), F.xxhash64("c1", "c2", "win", F.lit(k), F.col("half"), n).alias("meet")) for k, (c, n) in enumerate(zip((left >= F.col("half"), right >= F.col("rest") - F.col("half")), near))]
+    both = parts[0].unionByName(parts[1])
+    # Rows that meet nobody, or only settled ones, go before any bytes are sorted.
+    company = both.groupBy("meet").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).where("n > 1 and wanted").select("meet")
+    return both.join(company, "meet", "left_semi")
 
 
 def met(found: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """win, doc, first and more: windows of open rows that another row of their inner chain has too.  Rows of one chain are few: each meets each."""
-    rows = found.repartition(F.col("c1"), F.col("c2")).sortWithinPartitions("c1", "c2", "win")
-    sizes = np.array(windows)
-
-    def matrix(column: list[bytes], back: bool) -> np.ndarray:
-        return np.frombuffer(b"".join(x[::-1][:GRAM].ljust(GRAM, b"\0") if back else x[:GRAM].ljust(GRAM, b"\0") for x in column), np.uint8).reshape(-1, GRAM)
-
-    def pairs(table: pa.Table):
-        win, c1, c2, doc, first, more, lead, core = (table.column(k).to_numpy().astype(np.int64) for k in range(8))
-        opened = table.column(8).to_numpy(zero_copy_only=False)
-        sides = [table.column(k).to_pylist() for k in (10, 11)]
-        length = [np.array([min(len(x), GRAM) for x in side]) for side in sides]
-        bytes_ = [matrix(sides[0], True), matrix(sides[1], False)]
-        step = 1
-        while True:
-            i = np.flatnonzero((c1[step:] == c1[:-step]) & (c2[step:] == c2[:-step]) & (win[step:] == win[:-step]))
-            if not len(i):
-                return
-            j = i + step
-            common = []
-            for raw, n in zip(bytes_, length):
-                same = np.concatenate([raw[i] == raw[j], np.zeros((len(i), 1), bool)], axis=1)
-                common.append(np.minimum(np.argmin(same, axis=1), np.minimum(n[i], n[j])))
-            rest = sizes[win[i]] - core[i]
-            for own in (i, j):
-                most, least = np.minimum(common[0], lead[own]), np.maximum(rest - common[1], lead[own] - more[own])
-                hit = opened[own] & (most >= least)
-                yield win[own][hit], doc[own][hit], (first[own] + lead[own] - most)[hit], (most - least)[hit]
-            step += 1
+    """win, doc, first and more: windows of open rows that another row of their inner chain has too.
+
+    Rows that meet are sorted by their bytes to the left, nearest first, and to the
+    right; neighbours in these orders have the longest common extents.  For each
+    number of bytes on the left, rows in one class of both orders share a window.
+    """
+    columns = ["meet", "win", "c1", "c2", "doc", "first", "more", "lead", "rest", "half", "side", "open", "left", "right"]
+    rows = sided(found, windows).select(*columns).repartition("meet").sortWithinPartitions("meet", "win", "c1", "c2")
+
+    def matrix(column: list[bytes], back: bool) -> tuple[np.ndarray, np.ndarray]:
+        cut = [x[::-1][:GRAM] if back else x[:GRAM] for x in column]
+        raw = np.frombuffer(b"".join(x.ljust(GRAM, b"\0") for x in cut), np.uint8).reshape(-1, GRAM)
+        return raw, np.fromiter(map(len, cut), np.int64, len(cut))
+
+    def ordered(group: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of rows by group and bytes, and how many bytes each row has in common with the one before it (-1: another group).
+
+        Bytes behind a row's end count as 0; what they say is left out where rows are too short.
+        """
+        # Big-endian words compare as the bytes do.
+        words = np.ascontiguousarray(raw).view(">u8")
+        order = np.lexsort([*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group])
+        now, before = order[1:], order[:-1]
+        same = np.concatenate([raw[now] == raw[before], np.zeros((len(now), 1), bool)], axis=1)
+        return order, np.concatenate([[-1], np.where(group[now] == group[before], np.argmin(same, axis=1), -1)])
+
+    def hits(table: pa.Table):
+        win, c1, c2, doc, first, more, lead, rest, half, side = (table.column(k).to_numpy().astype(np.int64) for k in range(1, 11))
+        opened = table.column(11).to_numpy(zero_copy_only=False)
+        meet = table.column(0).to_numpy()
+        change = np.ones(len(meet), bool)
+        change[1:] = (meet[1:] != meet[:-1]) | (win[1:] != win[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        group = np.cumsum(change) - 1
+        (left, n_left), (right, n_right) = matrix(table.column(12).to_pylist(), True), matrix(table.column(13).to_pylist(), False)
+        by_left, with_left = ordered(group, left)
+        by_right, with_right = ordered(group, right)
+        low = np.where(side == 0, half, 0)
+        high = np.where(side == 0, rest, half - 1)
+        low, high = np.maximum(low, rest - n_right), np.minimum(high, n_left)
+        n = len(group)
+        hit = np.zeros((int(high.max(initial=-1)) + 3, n), bool)
+        for size in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+            valid = (size >= low) & (size <= high)
+            if valid.sum() < 2:
+                continue
+            a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+            a[by_left] = np.cumsum(with_left < size)
+            b[by_right] = np.cumsum(with_right < (rest - size)[by_right])
+            at = np.flatnonzero(valid)
+            key = a[at] * (n + 1) + b[at]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            twice = np.zeros(len(key), bool)
+            same = key[1:] == key[:-1]
+            twice[1:] |= same
+            twice[:-1] |= same
+            hit[size + 1, at[order]] = twice
+        sizes = np.arange(-1, len(hit) - 1)[:, None]
+        hit &= opened & (sizes >= lead - more) & (sizes <= lead)
+        # Ranges of bytes on the left are ranges of windows: more bytes, an earlier window.
+        flat = hit.T.astype(np.int8)
+        begin, end = np.argwhere(np.diff(flat, axis=1) == 1), np.argwhere(np.diff(flat, axis=1) == -1)
+        row, least, most = begin[:, 0], begin[:, 1], end[:, 1] - 1
+        return win[row], doc[row], first[row] + lead[row] - most, most - least
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def found_in(parts):
-            for win, doc, first, more in pairs(pa.Table.from_batches(parts)):
-                yield pa.RecordBatch.from_arrays([pa.array(win.astype(np.int32)), pa.array(doc), pa.array(first), pa.array(more.astype(np.int32))], ["win", "doc", "first", "more"])
+            win, doc, first, more = hits(pa.Table.from_batches(parts))
+            return pa.RecordBatch.from_arrays([pa.array(win.astype(np.int32)), pa.array(doc), pa.array(first), pa.array(more.astype(np.int32))], ["win", "doc", "first", "more"])
 
         for batch in batches:
-            c1, c2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            change = np.flatnonzero((c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])) + 1
-            # The last chain of a batch may go on in the next one.
+            meet = batch.column(0).to_numpy()
+            change = np.flatnonzero(meet[1:] != meet[:-1]) + 1
+            # The last group of a batch may go on in the next one.
             last = int(change[-1]) if len(change) else 0
-            before = held and len(c1) and (held[-1].column(1)[-1].as_py(), held[-1].column(2)[-1].as_py()) != (int(c1[0]), int(c2[0]))
-            if before:
-                yield from found_in(held)
+            if held and len(meet) and held[-1].column(0)[-1].as_py() != int(meet[0]):
+                yield found_in(held)
                 held = []
             if last:
-                yield from found_in([*held, batch.slice(0, last)])
+                yield found_in([*held, batch.slice(0, last)])
                 held = []
             if batch.num_rows > last:
                 held.append(batch.slice(last))
         if held:
-            yield from found_in(held)
+            yield found_in(held)
 
     return rows.mapInArrow(work, "win int, doc long, first long, more int")
 
 
-def window_keys(found: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """Single windows of the rows: c1 and key (of the other names and the bytes around the inner chain), win, doc, first and open."""
-    sizes = np.array(windows)
-
-    def work(batches):
-        for whole in batches:
-            for at_row in range(0, whole.num_rows, 5000):
-                part = whole.slice(at_row, 5000)
-                win, c1, c2, doc, first, more, lead, core = (part.column(k).to_numpy().astype(np.int64) for k in range(8))
-                opened = part.column(8).to_numpy(zero_copy_only=False)
-                (left_at, left), (right_at, right) = column_bytes(part.column(10)), column_bytes(part.column(11))
-                n = more + 1
-                row = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                size = lead[row] - step
-                key = (c2[row] + size).view(U) * BASE + win[row].view(U)
-                key = mix(mix(key ^ span_hashes(left, left_at[row] + step, left_at[row + 1], 1)) ^ span_hashes(right, right_at[row], right_at[row] + sizes[win[row]] - core[row] - size, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(c1[row]), pa.array(key.view(np.int64)), pa.array(win[row].astype(np.int32)), pa.array(doc[row]), pa.array(first[row] + step), pa.array(opened[row])], ["c1", "key", "win", "doc", "first", "open"])
-
-    return found.mapInArrow(work, "c1 long, key long, win int, doc long, first long, open boolean")
-
-
 def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), text: str = "text") -> DataFrame:
     """k1, k2, win, first and more: ranges of windows (of the win-th length) of each distinct text whose string starts elsewhere too."""
     if min(windows) < SAMPLE:
@@ -283,13 +311,9 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
     settled = candidates.where(F.col("state") == WAITS).join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
     settled = settled.unionAll(candidates.where(F.col("state") == REPEATED).select("win", "doc", "first", "more"))
     # One run stands for all with its covering chain: it is enough to meet the open ones.
-    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner, "all")
-    ends = groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open"), F.col("all").alias("together"))
-    around = written(margins(texts, ends, windows), "margins")
-    few = met(around.where(F.col("together") <= FEW), windows)
-    singles = written(window_keys(around.where(F.col("together") > FEW), windows), "windows")
-    again = singles.groupBy("c1", "key").agg(F.count("*").alias("n"), F.max("open").alias("wanted")).where("n > 1 and wanted").select("c1", "key")
-    late = few.unionByName(singles.where("open").join(again, ["c1", "key"], "left_semi").select("win", "doc", "first", F.lit(0).alias("more")))
+    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
+    ends = groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open"))
+    late = met(written(margins(texts, ends, windows), "margins"), windows)
     ranges = merged(settled.unionByName(late)).join(names.where("copies = 1").select("doc", *NAME), "doc").select(*NAME, "win", "first", "more")
     whole = [names.where((F.col("copies") > 1) & (F.col("size") >= w)).select(*NAME, F.lit(k).alias("win"), F.lit(0).cast("long").alias("first"), (F.col("size") - w).cast("int").alias("more")) for k, w in enumerate(windows)]
     for x in whole:

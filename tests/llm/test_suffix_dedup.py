@@ -106,3 +106,25 @@ def test_documents(documents, spark):
 def test_null_ids_and_no_rows(docs, empty):
     assert sd.deduplicated(docs).count() == docs.count()
     assert sd.deduplicated(empty).count() == 0
+
+
+def test_one_passage_in_thousands_of_documents(spark):
+    """All runs around the passage have one inner chain; their ends differ, and some agree in parts."""
+    rng = random.Random(21)
+    passage = words(rng, 75)[:395]
+    texts = []
+    for k in range(5000):
+        left, right = (f"{rng.randrange(10**6):06d}" if rng.random() < 0.7 else rng.choice("PQR") * 6 for _ in range(2))
+        texts.append(left + passage + right)
+    sizes = [len(b) for b in (t.encode() for t in texts)]
+    assert len(set(sizes)) == 1
+    found_rows = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert found_rows == {(k, *x) for k, x in enumerate(brute(texts, sd.WINDOW))}
+    assert len({r[2] for r in found_rows}) > 3
+
+
+def test_zero_bytes_beside_a_passage(spark):
+    rng = random.Random(4)
+    passage = words(rng, 70)[:380]
+    ends = ["\0" * 30, "\0" * 15 + "ab", "", "\0", "\0" * 22 + "ab", "ab" + "\0" * 9]
+    check(spark, [a + passage + b for a in ends for b in ends])

@@ -12,7 +12,8 @@ def road_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column, *, params: P
     """Great circle times the route factor, to 0.1 km; null with any null."""
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
-    return F.round(2 * params.earth_km * F.asin(F.least(F.lit(1.0), F.sqrt(h))) * params.route_factor, 1)
+    # least skips nulls: what is not known has to stay so.
+    return F.when(h.isNotNull(), F.round(2 * params.earth_km * F.asin(F.least(F.lit(1.0), F.sqrt(h))) * params.route_factor, 1))
 
 
 def price(km: Column, *, params: Params = DEFAULT) -> Column:

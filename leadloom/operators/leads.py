@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT, Params
 from ..session import written
 
-#: Named presets of a list; each is a condition over km, direction and age in days.
+#: Named presets of a list; each is a condition over km, direction, age in days and urgency.
 PRESETS: dict[str, Callable[[], Column]] = {
     "near": lambda: F.col("km") <= 50,
     "today": lambda: F.col("age_days") < 1,
     "export": lambda: F.col("direction") == "export",
     "import": lambda: F.col("direction") == "import",
     "domestic": lambda: F.col("direction") == "domestic",
+    "urgent": lambda: F.col("urgent"),
+    "unplaced": lambda: F.col("km").isNull(),
     "all": lambda: F.lit(True),
 }
 

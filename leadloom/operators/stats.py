@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parts import parts_in
 from ..functions.text import normal
 from ..params import DEFAULT, Params
-from ..session import written
+from ..session import ship, written
 
 
 def money(c: Column) -> Column:
@@ -98,47 +96,37 @@ def regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return found.select(by, "n", *(F.round(F.when(F.col("n") >= 3, F.col(c)), 4).alias(name) for c, name in (("s", "slope"), ("i", "intercept"), ("r", "r2"))))
 
 
-def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key: str = "item_id", stems: str = "stems", block: int = 1000) -> DataFrame:
+#: Stems of one automaton; all of them go to every task.
+STEMS_AT_ONCE = 50_000
+
+
+def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key: str = "item_id", stems: str = "stems", block: int = STEMS_AT_ONCE) -> DataFrame:
     """For every name the documents, and those of them that lack one of its stems: all names against all documents.
 
-    Names are the stated query set: they go to the tasks in blocks, which count
-    for a block of names without a row per pair.  A null text or a name
-    without stems is not missing.
+    An automaton over all distinct stems reads a text once (one for each ``block`` of them).  Of a
+    name's stems the rarest calls for the name: only where it is found are the others
+    looked for among the text's stems, so there is a row for each text and name that
+    come close.  A null text or a name without stems is not missing.
     """
-    rows, parts, held = docs.select(F.lower(text).alias("t")), [], []
-
-    def counted(names: list[tuple[int, frozenset[str]]]) -> DataFrame:
-        times = Counter(w for _, own in names for w in own)
-        # The stems that tell most come first: a name is settled by the first that a text lacks.
-        ordered = [sorted(own, key=lambda w: (times[w], -len(w), w)) for _, own in names]
-
-        def work(batches):
-            n, missing = 0, [0] * len(names)
-            for batch in batches:
-                n += batch.num_rows
-                for t in batch.column(0).to_pylist():
-                    if t is not None:
-                        for k, own in enumerate(ordered):
-                            for w in own:
-                                if w not in t:
-                                    missing[k] += 1
-                                    break
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in names], pa.int64()), pa.array([n] * len(names), pa.int64()), pa.array(missing, pa.int64())], [key, "n", "m"])
-
-        return rows.mapInArrow(work, f"{key} long, n long, m long")
-
-    for name in names.select(key, stems).toLocalIterator():
-        held.append((name[0], frozenset(name[1] or ())))
-        if len(held) == block:
-            parts.append(counted(held))
-            held = []
-    if held or not parts:
-        parts.append(counted(held))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.groupBy(key).agg(F.sum("n").alias("n_docs"), F.sum("m").alias("n_missing"))
+    ship(docs.sparkSession)
+    named = written(names.select(F.col(key).alias("key"), F.array_distinct(F.filter(F.coalesce(stems, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("stems")), "names")
+    low = docs.select(F.lower(text).alias("t"))
+    blocks: list[list[str]] = [[]]
+    for row in named.select(F.explode("stems").alias("stem")).distinct().toLocalIterator():
+        if len(blocks[-1]) == block:
+            blocks.append([])
+        blocks[-1].append(row["stem"])
+    found = written(low.where("t is not null").select(F.concat(*(parts_in(F.col("t"), x) for x in blocks)).alias("found")), "found")
+    often = found.select(F.explode("found").alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+    rare = named.select("key", "stems", F.explode("stems").alias("stem")).join(often, "stem", "left")
+    calls = rare.groupBy("key", "stems").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "stem")).alias("x")).where("x.df > 0").select("key", "stems", F.col("x.stem").alias("stem"))
+    close = found.select("found", F.explode("found").alias("stem")).join(calls, "stem")
+    whole = close.where(F.size(F.array_except("stems", "found")) == 0).groupBy("key").agg(F.count("*").alias("whole"))
+    sizes = low.agg(F.count("*").alias("n_docs"), F.count("t").alias("texts")).where("n_docs > 0")
+    counts = named.groupBy("key").agg(F.max(F.size("stems")).alias("n")).join(whole, "key", "left")
+    # One row of sizes stands beside each name.
+    missing = F.when(F.col("n") == 0, 0).otherwise(F.col("texts") - F.coalesce("whole", F.lit(0)))
+    return counts.crossJoin(F.broadcast(sizes)).select(F.col("key").alias(key), "n_docs", missing.cast("long").alias("n_missing"))
 
 
 def field_accuracy(rows: DataFrame, fields: list[str], *, by: str, expected: str = "expected", answer: str = "answer") -> DataFrame:

@@ -38,11 +38,12 @@ def array_membership(t):
     return t.events.groupBy("user_id").agg(F.array_contains(F.coalesce(kinds, F.array().cast("array<string>")), "purchase").alias("big_buyer"))
 
 
-@query("SELECT page_id FROM pages WHERE trim(url) <> '' AND coalesce(CASE WHEN page_id % 3 = 0 THEN 'off' WHEN page_id % 3 = 1 THEN 'ok' END, 'ok') = 'ok'")
+@query("SELECT page_id FROM pages LEFT JOIN labels ON doc_id = page_id WHERE trim(url) <> '' AND coalesce(CASE quality WHEN 0 THEN 'off' WHEN 1 THEN 'ok' END, 'ok') = 'ok'")
 def eligible_groups(t):
-    """FLT-11."""
-    status = F.when(F.col("page_id") % 3 == 0, "off").when(F.col("page_id") % 3 == 1, "ok")
-    return t.pages.where((F.trim("url") != "") & (F.coalesce(status, F.lit("ok")) == "ok")).select("page_id")
+    """FLT-11: a group without a status counts as ok."""
+    status = F.when(F.col("quality") == 0, "off").when(F.col("quality") == 1, "ok")
+    rows = t.pages.join(t.labels.select(F.col("doc_id").alias("page_id"), "quality"), "page_id", "left")
+    return rows.where((F.trim("url") != "") & (F.coalesce(status, F.lit("ok")) == "ok")).select("page_id")
 
 
 @query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND (text IS NOT NULL OR source IS NOT NULL) ORDER BY doc_id DESC LIMIT 50")
@@ -51,15 +52,24 @@ def backfill_candidates(t):
     return ld.backfill(t.documents.join(t.labels.drop("toxic"), "doc_id", "left").select("doc_id", "quality", "text", "source"), "quality", ["text", "source"], "doc_id", 50).select("doc_id")
 
 
-VIEW = "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 200 END km, CASE c_nationkey % 3 WHEN 0 THEN 'export' WHEN 1 THEN 'import' ELSE 'domestic' END direction, c_custkey % 5 age_days FROM customer"
+VIEW = """SELECT CASE WHEN l_tax > 0.01 THEN CAST(floor(l_extendedprice / 50) AS BIGINT) END km, CASE WHEN p.n_name = 'NATION_3' AND d.n_name = 'NATION_3' THEN 'domestic' WHEN d.n_name = 'NATION_3' THEN 'import' WHEN p.n_name = 'NATION_3' THEN 'export' ELSE 'transit' END direction, date_diff('day', l_shipdate, TIMESTAMP '2001-09-01') age_days, o_orderpriority = '1-URGENT' urgent
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation p ON p.n_nationkey = s_nationkey JOIN nation d ON d.n_nationkey = c_nationkey"""
 
 
-@query(f"WITH v AS ({VIEW}) SELECT 'near' preset, count(*) FILTER (km <= 50) n FROM v UNION ALL SELECT 'today', count(*) FILTER (age_days < 1) FROM v UNION ALL SELECT 'export', count(*) FILTER (direction = 'export') FROM v UNION ALL SELECT 'import', count(*) FILTER (direction = 'import') FROM v UNION ALL SELECT 'domestic', count(*) FILTER (direction = 'domestic') FROM v UNION ALL SELECT 'all', count(*) FROM v")
+def _trips(t):
+    """Order lines as trips from the supplier's nation to the customer's."""
+    ends = [t.nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(n)) for k, n in (("s_nationkey", "pickup"), ("c_nationkey", "delivery"))]
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.join(ends[0], "s_nationkey").join(ends[1], "c_nationkey")
+
+
+@query(f"""WITH v AS ({VIEW}) SELECT 'near' preset, count(*) FILTER (km <= 50) n FROM v UNION ALL SELECT 'today', count(*) FILTER (age_days < 1) FROM v UNION ALL SELECT 'export', count(*) FILTER (direction = 'export') FROM v UNION ALL SELECT 'import', count(*) FILTER (direction = 'import') FROM v
+UNION ALL SELECT 'domestic', count(*) FILTER (direction = 'domestic') FROM v UNION ALL SELECT 'urgent', count(*) FILTER (urgent) FROM v UNION ALL SELECT 'unplaced', count(*) FILTER (km IS NULL) FROM v UNION ALL SELECT 'all', count(*) FROM v""")
 def view_presets(t):
-    """FLT-14, FLT-15."""
-    k, n = F.col("c_custkey"), F.col("c_nationkey") % 3
-    rows = t.customer.select(F.when(k % 4 != 0, k % 200).alias("km"), F.when(n == 0, "export").when(n == 1, "import").otherwise("domestic").alias("direction"), (k % 5).alias("age_days"))
-    return ld.preset_counts(rows)
+    """FLT-14, FLT-15: named filters over trips."""
+    age = F.datediff(F.lit("2001-09-01").cast("date"), F.col("l_shipdate").cast("date"))
+    km = F.when(F.col("l_tax") > 0.01, F.floor(F.col("l_extendedprice") / 50))
+    return ld.preset_counts(_trips(t).select(km.alias("km"), geo.direction(F.col("pickup"), F.col("delivery"), "NATION_3").alias("direction"), age.alias("age_days"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent")))
 
 
 @query(f"SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN ts END < {NOW} - INTERVAL 6 HOUR, false) AS stale FROM events")
@@ -84,30 +94,34 @@ def partial_update(t):
     return ld.patched(base, changes, "o_orderkey", status="o_orderstatus", at="o_orderdate")
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey % 9 END failures, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(s_suppkey % 9 AS VARCHAR) END back_at FROM supplier")
+@query("""WITH l AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') failures, max(l_shipdate) FILTER (l_returnflag = 'R') back_at, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) flag FROM lineitem GROUP BY 1)
+SELECT s_suppkey, CASE WHEN flag = 'N' THEN 0 ELSE coalesce(failures, 0) END failures, CASE WHEN flag <> 'N' THEN back_at END back_at FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey""")
 def reactivation(t):
     """SNK-5, SNK-13: success clears the counter and the time of return."""
-    k = F.col("s_suppkey")
-    now = t.supplier.select("s_suppkey", (k % 9).alias("failures"), (k % 9).cast("string").alias("back_at"))
-    good = t.supplier.where(k % 3 == 0).select("s_suppkey", F.lit(True).alias("good"))
-    joined = now.join(good, "s_suppkey", "left")
-    return joined.select("s_suppkey", F.when(F.col("good"), 0).otherwise(F.col("failures")).cast("long").alias("failures"), F.when(F.col("good").isNull(), F.col("back_at")).alias("back_at"))
+    bad = F.col("l_returnflag") == "R"
+    seen = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_if(bad).alias("failures"), F.max(F.when(bad, F.col("l_shipdate"))).alias("back_at"), F.max_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("flag"))
+    good = F.coalesce(F.col("flag") == "N", F.lit(True))
+    return t.supplier.join(seen, "s_suppkey", "left").select("s_suppkey", F.when(good, 0).otherwise(F.col("failures")).cast("long").alias("failures"), F.when(~good, F.col("back_at")).alias("back_at"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' ELSE 'quarantined' END state FROM supplier")
+@query("""WITH l AS (SELECT l_suppkey, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber)) flag FROM lineitem GROUP BY 1)
+SELECT s_suppkey, CASE flag WHEN 'A' THEN 'paused' WHEN 'R' THEN 'quarantined' ELSE 'active' END state FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey""")
 def state_by_hash(t):
-    """JN-11, JN-15, JN-15b: state by a hash of the key; without one a key is active."""
-    k = F.col("s_suppkey")
-    states = t.supplier.where(k % 3 != 0).select(rc.short_hash(F.col("s_name"), 24).alias("h"), F.when(k % 3 == 1, "paused").otherwise("quarantined").alias("state"))
-    keys = t.supplier.select("s_suppkey", rc.short_hash(F.col("s_name"), 24).alias("h"))
-    return keys.join(states, "h", "left").select("s_suppkey", F.coalesce("state", F.lit("active")).alias("state"))
+    """JN-11, JN-15, JN-15b: states are kept by a hash of the name; without one a key is active."""
+    hashed = t.supplier.select("s_suppkey", rc.short_hash(F.col("s_name"), 24).alias("h"))
+    last = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max_by("l_returnflag", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("flag")).where("flag in ('A', 'R')")
+    states = last.join(hashed, "s_suppkey").select("h", F.when(F.col("flag") == "A", "paused").otherwise("quarantined").alias("state"))
+    return hashed.join(states, "h", "left").select("s_suppkey", F.coalesce("state", F.lit("active")).alias("state"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 5 + 1 ELSE 1 END streak FROM supplier")
+@query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) on_day FROM events), i AS (SELECT user_id, on_day, on_day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY on_day) AS INTEGER) isle FROM d WHERE on_day < DATE '2024-01-28'),
+p AS (SELECT user_id, count(*) n FROM i GROUP BY user_id, isle HAVING max(on_day) = DATE '2024-01-27') SELECT user_id, coalesce(n, 0) + 1 AS streak FROM d LEFT JOIN p USING (user_id) WHERE on_day = DATE '2024-01-28'""")
 def presence_streak(t):
-    """JN-13: one more than in the last run, or the first."""
-    before = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", (F.col("s_suppkey") % 5).alias("n"))
-    return t.supplier.join(before, "s_suppkey", "left").select("s_suppkey", (F.coalesce("n", F.lit(0)) + 1).alias("streak"))
+    """JN-13: users of a day with one more than their streak up to the day before, or the first."""
+    days = t.events.select("user_id", F.col("ts").cast("date").alias("day")).distinct()
+    before = days.where("day < date'2024-01-28'").withColumn("isle", F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day"))))
+    last = before.groupBy("user_id", "isle").agg(F.count("*").alias("n"), F.max("day").alias("end")).where("end = date'2024-01-27'").select("user_id", "n")
+    return days.where("day = date'2024-01-28'").join(last, "user_id", "left").select("user_id", (F.coalesce("n", F.lit(0)) + 1).alias("streak"))
 
 
 @query(f"WITH u AS (SELECT user_id, count(*) n, count(*) FILTER (event_type = 'purchase') orders FROM events GROUP BY 1), s AS (SELECT user_id, max(ts) last FROM events WHERE event_type = 'view' GROUP BY 1) SELECT user_id, coalesce(n, 0) n, coalesce(orders, 0) orders, coalesce(last < {NOW} - INTERVAL 1 DAY, true) due FROM u LEFT JOIN s USING (user_id)")
@@ -178,27 +192,22 @@ def source_yield(t):
     return own.groupBy("source").agg(F.count("*").alias("raw")).join(kept, "source", "left").select("source", "raw", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-FACTS = "SELECT event_id, event_id % 7 = 0 offer, event_id % 3 <> 0 gate, event_id % 5 = 0 AS old, CASE WHEN event_id % 11 <> 0 THEN event_id % 2 = 0 END model FROM events"
-
-
-@query(f"WITH f AS ({FACTS}) SELECT CASE WHEN offer THEN 'offer' WHEN NOT gate THEN 'gate' WHEN old THEN 'stale' WHEN model IS NULL THEN 'no_answer' WHEN model THEN 'order' ELSE 'model' END outcome, count(*) n FROM f GROUP BY 1")
-def post_decisions(t):
-    """S-11, AGG-29."""
-    k = F.col("event_id")
-    found = ld.decision(F.when(k % 7 == 0, "offer").otherwise("demand"), k % 3 != 0, k % 5 == 0, F.when(k % 11 != 0, k % 2 == 0))
-    return t.events.groupBy(found.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-STEP = "CASE WHEN k % 2 = 0 AND k % 5 = 0 THEN 'duplicate' WHEN k % 17 = 0 THEN 'crosspost' WHEN k % 19 = 0 THEN 'paused' WHEN k % 23 = 0 THEN 'animal' WHEN k % 7 = 0 THEN 'offer' WHEN k % 100 < 40 THEN 'confidence' WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 'quiet' WHEN k % 31 >= 15 THEN 'limit' ELSE 'send' END"
-
-
-@query(f"SELECT step, count(*) n, step IN ('limit', 'animal', 'offer', 'send') AS on_record FROM (SELECT {STEP} step FROM (SELECT event_id k, ts FROM events)) GROUP BY step")
+@query("""WITH f AS (SELECT event_id, value, hour(ts) h, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) > 1 twice, coalesce(ts - lag(ts) OVER u < INTERVAL 20 MINUTE, false) near, coalesce(lag(event_type) OVER u = 'error', false) paused, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) n_day FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT CASE WHEN twice THEN 'duplicate' WHEN near THEN 'crosspost' WHEN paused THEN 'paused' WHEN value > 97 THEN 'animal' WHEN value < 3 THEN 'offer' WHEN floor(value * 2) < 40 THEN 'confidence' WHEN h >= 22 OR h < 6 THEN 'quiet' WHEN n_day >= 3 THEN 'limit' ELSE 'send' END step FROM f)
+SELECT step, count(*) n, step IN ('limit', 'animal', 'offer', 'send') AS on_record FROM g GROUP BY step""")
 def alert_ladder(t):
-    """S-13, S-18: all rungs, and which of them leave a row."""
-    k, hour = F.col("event_id"), F.hour("ts")
-    quiet = (hour >= DEFAULT.quiet_from) | (hour < DEFAULT.quiet_to)
-    step = ld.alert_step((k % 2 == 0) & (k % 5 == 0), k % 17 == 0, k % 19 == 0, k % 23 == 0, F.when(k % 7 == 0, "offer").otherwise("demand"), k % 100, quiet, k % 31)
-    return t.events.groupBy(step.alias("step")).agg(F.count("*").alias("n")).select("step", "n", F.col("step").isin(*ld.KEPT_ON_RECORD, "send").alias("on_record"))
+    """S-13, S-18: all rungs by facts of the events, and which of them leave a row."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-86_400_000_000, 0)
+    facts = t.events.select(
+        "value", F.hour("ts").alias("h"), (F.row_number().over(Window.partitionBy("user_id", "props").orderBy("ts", "event_id")) > 1).alias("twice"), F.coalesce(seconds - F.lag(seconds).over(own) < 1_200_000_000, F.lit(False)).alias("near"),
+        F.coalesce(F.lag("event_type").over(own) == "error", F.lit(False)).alias("paused"), F.count("*").over(day).alias("day"),
+    )
+    quiet = (F.col("h") >= DEFAULT.quiet_from) | (F.col("h") < DEFAULT.quiet_to)
+    value = F.col("value")
+    step = ld.alert_step(F.col("twice"), F.col("near"), F.col("paused"), value > 97, F.when(value < 3, "offer").otherwise("demand"), F.floor(value * 2), quiet, F.col("day"), replace(DEFAULT, alerts_per_hour=3))
+    return facts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).select("step", "n", F.col("step").isin(*ld.KEPT_ON_RECORD, "send").alias("on_record"))
 
 
 PACES = f"""g AS (SELECT user_id, count(*) FILTER (ts >= {NOW} - INTERVAL 3 DAY) / 72.0::DOUBLE rate, count(*) FILTER (event_type = 'purchase') AS share, CASE WHEN count(*) FILTER (event_type = 'click') > count(*) FILTER (event_type = 'view') THEN 'A' ELSE 'B' END path, round(avg(value) / 100, 4) used FROM events GROUP BY 1),
@@ -220,11 +229,18 @@ def run_intervals(t):
     return rows.select("user_id", "minutes", limit.alias("run_limit"), window.alias("window_min"))
 
 
-@query("SELECT reason, count(*) n FROM (SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'not ready' WHEN s_suppkey % 7 = 0 THEN 'quarantined' WHEN s_suppkey % 2 = 0 THEN 'not due' WHEN 40 - s_suppkey % 43 <= 0 THEN 'no budget' ELSE 'planned' END reason FROM supplier) GROUP BY 1")
+@query(f"""WITH g AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') > 8 AS ready, arg_max(event_type, (ts, event_id)) = 'error' AS held, coalesce(max(ts) FILTER (event_type = 'view') < {NOW} - INTERVAL 2 DAY, true) AS due, 6 - count(*) FILTER (ts >= {NOW} - INTERVAL 3 DAY) AS budget FROM events GROUP BY 1)
+SELECT reason, count(*) n FROM (SELECT CASE WHEN NOT ready THEN 'not ready' WHEN held THEN 'quarantined' WHEN NOT due THEN 'not due' WHEN budget <= 0 THEN 'no budget' ELSE 'planned' END reason FROM g) GROUP BY 1""")
 def run_plan(t):
-    """S-8, S-20, AGG-34: why groups are left out of a run."""
-    k = F.col("s_suppkey")
-    return t.supplier.groupBy(F.coalesce(ld.skip_reason(k % 5 != 0, k % 7 == 0, k % 2 != 0, 40 - k % 43), F.lit("planned")).alias("reason")).agg(F.count("*").alias("n"))
+    """S-8, S-20, AGG-34: why groups are left out of a run, from their events."""
+    at, kind = F.col("ts").cast("timestamp"), F.col("event_type")
+    ago = lambda days: F.lit(DEFAULT.as_of) - F.expr(f"INTERVAL {days} DAYS")
+    groups = t.events.groupBy("user_id").agg(
+        (F.count_if(kind == "purchase") > 8).alias("ready"), (F.max_by(kind, F.struct("ts", "event_id")) == "error").alias("held"),
+        F.coalesce(F.max(F.when(kind == "view", at)) < ago(2), F.lit(True)).alias("due"), (6 - F.count_if(at >= ago(3))).alias("budget"),
+    )
+    reason = ld.skip_reason(F.col("ready"), F.col("held"), F.col("due"), F.col("budget"))
+    return groups.groupBy(F.coalesce(reason, F.lit("planned")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH g AS (SELECT user_id, date_diff('hour', max(ts), {NOW}) h, count(*) FILTER (event_type = 'error') > 10 bad FROM events GROUP BY 1) SELECT count(*) groups, count(*) FILTER (h > 6 OR bad) silent, CASE WHEN count(*) FILTER (h > 6 OR bad) = 0 THEN 'ok' WHEN count(*) FILTER (h > 6 OR bad) * 2 < count(*) THEN 'watch' ELSE 'down' END verdict FROM g")
@@ -281,14 +297,15 @@ def numbered_series(t):
     return rows.where("p_size = r").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query("SELECT mode, live, CASE WHEN mode = 'off' THEN false WHEN mode = 'always' THEN true ELSE live < 2 END alert FROM (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'always' WHEN 2 THEN 'critical' ELSE 'critical' END mode, s_suppkey % 4 live FROM supplier GROUP BY ALL)")
+@query("""WITH c AS (SELECT * FROM (VALUES (0, 'off'), (1, 'always'), (2, 'critical'), (3, 'loud')) v(r, said)), g AS (SELECT n_nationkey, n_regionkey, count(*) FILTER (s_acctbal > 5000) live FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2),
+m AS (SELECT n_nationkey, live, CASE WHEN said IN ('off', 'always', 'critical') THEN said ELSE 'critical' END mode FROM g LEFT JOIN c ON r = n_regionkey) SELECT n_nationkey, mode, live, CASE mode WHEN 'off' THEN false WHEN 'always' THEN true ELSE live < 2 END alert FROM m""")
 def degradation_alert(t):
-    """S-37, GT-13: an unknown mode is taken for the default."""
-    k = F.col("s_suppkey") % 4
-    said = F.when(k == 0, "off").when(k == 1, "always").when(k == 2, "critical").otherwise("loud")
-    mode = F.when(said.isin("off", "always", "critical"), said).otherwise("critical")
-    rows = t.supplier.select(mode.alias("mode"), k.alias("live")).distinct()
-    return rows.select("mode", "live", F.when(F.col("mode") == "off", False).when(F.col("mode") == "always", True).otherwise(F.col("live") < 2).alias("alert"))
+    """S-37, GT-13: whether a pool of few live members is told of; an unknown or missing mode is taken for the default."""
+    said = t.spark.createDataFrame([(0, "off"), (1, "always"), (2, "critical"), (3, "loud")], "n_regionkey int, said string")
+    live = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("s_acctbal") > 5000).alias("live"))
+    mode = F.when(F.col("said").isin("off", "always", "critical"), F.col("said")).otherwise("critical")
+    rows = t.nation.join(live, "n_nationkey", "left").join(F.broadcast(said), "n_regionkey", "left").select("n_nationkey", mode.alias("mode"), F.coalesce("live", F.lit(0)).alias("live"))
+    return rows.select("n_nationkey", "mode", "live", F.when(F.col("mode") == "off", False).when(F.col("mode") == "always", True).otherwise(F.col("live") < 2).alias("alert"))
 
 
 @query("SELECT c_custkey, concat_ws(chr(10), 'Lead ' || c_custkey, CASE WHEN c_acctbal > 0 THEN 'worth ' || CAST(round(c_acctbal) AS BIGINT) END, CASE WHEN c_custkey % 2 = 0 THEN 'Missing: phone' || CASE WHEN c_custkey % 6 = 0 THEN ', date' ELSE '' END END) AS body, len(list_filter(['Map', CASE WHEN c_custkey % 3 = 0 THEN 'Post' END], lambda x: x IS NOT NULL)) AS buttons FROM customer")
@@ -301,8 +318,12 @@ def alert_text(t):
     return t.customer.select("c_custkey", F.concat_ws("\n", *lines).alias("body"), F.size(buttons).cast("long").alias("buttons"))
 
 
-@query("SELECT n_nationkey, CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN a = 'PL' AND b = 'PL' THEN 'domestic' WHEN a = 'PL' THEN 'export' WHEN b = 'PL' THEN 'import' ELSE 'transit' END direction FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'PL' WHEN 1 THEN 'DE' END a, CASE WHEN n_nationkey % 2 = 0 THEN 'PL' ELSE 'CZ' END b FROM nation)")
+@query("""SELECT direction, count(*) n FROM (SELECT CASE WHEN p.n_name IS NULL OR d.n_name IS NULL THEN 'unknown' WHEN p.n_name = 'NATION_3' AND d.n_name = 'NATION_3' THEN 'domestic' WHEN d.n_name = 'NATION_3' THEN 'import' WHEN p.n_name = 'NATION_3' THEN 'export' ELSE 'transit' END direction
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation p ON p.n_nationkey = s_nationkey AND s_acctbal > 1000 LEFT JOIN nation d ON d.n_nationkey = c_nationkey AND c_acctbal > 1000) GROUP BY 1""")
 def trip_direction(t):
-    """GEO-15, GEO-24."""
-    k = F.col("n_nationkey")
-    return t.nation.select("n_nationkey", F.coalesce(geo.direction(F.when(k % 3 == 0, "PL").when(k % 3 == 1, "DE"), F.when(k % 2 == 0, "PL").otherwise("CZ"), "PL"), F.lit("unknown")).alias("direction"))
+    """GEO-15, GEO-24: directions of trips; an end whose balance is low counts as unknown."""
+    known = lambda name, money: F.when(F.col(money) > 1000, F.col(name))
+    found = geo.direction(known("pickup", "s_acctbal"), known("delivery", "c_acctbal"), "NATION_3")
+    return _trips(t).groupBy(found.alias("direction")).agg(F.count("*").alias("n"))
+
+

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import places as pl
-from ..operators import geocoder
+from ..operators import geocoder, trips
 from ..sources import archives
 from .registry import query
 
@@ -78,13 +78,13 @@ def _step(source: str, match: str, several: str) -> str:
     return f"(SELECT * FROM (SELECT *, {match} AS ok, bool_or({match}) OVER (PARTITION BY id) AS hit_any, {several} AS many FROM {source}) WHERE ok OR NOT hit_any OR NOT many)"
 
 
-def _geocode_sql() -> str:
+def _geocode_sql(asked: str = "") -> str:
     countries, several = "min(country) OVER (PARTITION BY id) <> max(country) OVER (PARTITION BY id)", "count(*) OVER (PARTITION BY id) > 1"
     named = "CASE r WHEN 0 THEN country IN ('DE', 'PL') WHEN 1 THEN country = 'CZ' ELSE false END"
     drop = "SELECT * EXCLUDE (ok, hit_any, many) FROM"
     shape = "CASE WHEN contains(asked_code, '-') THEN country = 'PL' WHEN contains(asked_code, ' ') THEN country IN ('CZ', 'SK') ELSE false END"
     from_text = "CASE r WHEN 2 THEN country IN (SELECT g.country FROM gaz g WHERE g.key = w.digits) WHEN 3 THEN country = 'DE' ELSE false END"
-    return f"""WITH {PLACES}, {ASKED},
+    return f"""WITH {PLACES}, {asked or ASKED},
 hit AS (SELECT a.id, a.r, a.code asked_code, a.town, g.*, coalesce(g.name = a.town, false) same, bool_or(coalesce(g.name = a.town, false)) OVER (PARTITION BY a.id, g.country) same_country FROM asked a JOIN gaz g ON g.key = replace(replace(a.code, '-', ''), ' ', '') WHERE g.key <> ''),
 h1 AS ({drop} {_step('hit', shape, countries)}), h2 AS ({drop} {_step('h1', 'same_country', countries)}), h3 AS ({drop} {_step('h2', named, countries)}),
 by_code AS (SELECT id, arg_min(struct_pack(country, name, code, lat, lng), (CASE WHEN same THEN 0 WHEN country = 'PL' THEN 1 ELSE 2 END, ord)) best, count(DISTINCT country) n, list_sort(list(DISTINCT country)) cs FROM h3 GROUP BY id),
@@ -104,25 +104,76 @@ coalesce(c.best.country, b.country) country, CASE WHEN c.id IS NULL THEN b.regio
 FROM asked a LEFT JOIN by_code c ON c.id = a.id LEFT JOIN by_name b ON b.id = a.id"""
 
 
-@query(_geocode_sql())
-def geocode(t):
-    """JN-6 to JN-8, GEO-8 to GEO-12: codes and names to points, narrowed by shape, name, codes and countries in the text."""
+def _spaced() -> Column:
+    return F.concat(F.substring("digits", 1, 3), F.lit(" "), F.substring("digits", 4, 2))
+
+
+def _places(t):
+    """Places from parts, and the gazetteer of them."""
     digits = (10000 + F.floor(F.col("p_partkey") / 2)).cast("string")
     country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (F.split("p_brand", "#")[1].cast("int") % 9 + 1))
-    spaced = F.concat(F.substring("digits", 1, 3), F.lit(" "), F.substring("digits", 4, 2))
     places = t.part.select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("name"), F.col("p_type").alias("region"), "p_size", country.alias("country"), digits.alias("digits"))
-    places = places.withColumn("written", F.when(F.col("country") == "PL", F.concat(F.substring("digits", 1, 2), F.lit("-"), F.substring("digits", 3, 3))).when(F.col("country").isin("CZ", "SK"), spaced).otherwise(F.col("digits")))
+    places = places.withColumn("written", F.when(F.col("country") == "PL", F.concat(F.substring("digits", 1, 2), F.lit("-"), F.substring("digits", 3, 3))).when(F.col("country").isin("CZ", "SK"), _spaced()).otherwise(F.col("digits")))
     coded = F.col("p_size") % 4 < 3
     gazetteer = places.select(
         F.col("k").alias("at"), "country", F.when(coded, F.col("written")).alias("code"), "name", "region", F.col("k").cast("double").alias("lat"), F.col("p_size").cast("double").alias("lng"),
         F.when(~coded, F.col("p_size") * (F.col("k") % 7)).cast("long").alias("population"),
     )
+    return places, gazetteer
+
+
+def _asked(t, places):
+    """What customers ask for: id, code, town and text."""
     kind, region = F.col("c_mktsegment"), F.col("n_regionkey")
     code = F.when(kind == "AUTOMOBILE", F.col("written")).when(kind.isin("BUILDING", "HOUSEHOLD"), F.col("digits"))
     town = F.when(kind.isin("BUILDING", "FURNITURE"), F.col("name")).when(kind == "MACHINERY", F.expr("substring(name, 1, length(name) - 1)"))
-    text = F.when(region == 0, "Transport z Niemiec do Polski").when(region == 1, "auto, Czechy").when(region == 2, F.concat(F.lit("odbior "), spaced, F.lit(" jutro"))).when(region == 3, F.concat(F.lit("kod "), "digits"))
-    asked = t.customer.join(places, F.col("c_custkey") == F.col("k")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), code.alias("code"), town.alias("town"), text.alias("text"))
-    return geocoder.geocoded(asked, gazetteer)
+    text = F.when(region == 0, "Transport z Niemiec do Polski").when(region == 1, "auto, Czechy").when(region == 2, F.concat(F.lit("odbior "), _spaced(), F.lit(" jutro"))).when(region == 3, F.concat(F.lit("kod "), "digits"))
+    rows = t.customer.join(places, F.col("c_custkey") == F.col("k")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("c_custkey").alias("id"), code.alias("code"), town.alias("town"), text.alias("text"))
+
+
+@query(_geocode_sql())
+def geocode(t):
+    """JN-6 to JN-8, GEO-8 to GEO-12: codes and names to points, narrowed by shape, name, codes and countries in the text."""
+    places, gazetteer = _places(t)
+    return geocoder.geocoded(_asked(t, places), gazetteer)
+
+
+#: Both ends of orders' trips: the pickup is what the customer asks for, the delivery a part's place.
+ENDS = f"""{ASKED.replace('asked AS', 'ask AS')}, item AS (SELECT l_orderkey, min(l_partkey) pk FROM lineitem GROUP BY 1),
+asked AS (SELECT 2 * o_orderkey id, a.code, a.town, a.r, a.text, a.digits FROM orders JOIN ask a ON a.id = o_custkey JOIN item ON l_orderkey = o_orderkey JOIN place p ON p.k = pk
+UNION ALL SELECT 2 * o_orderkey + 1, CASE WHEN o_orderstatus <> 'P' THEN p.written END, CASE WHEN o_orderstatus <> 'F' THEN p.name END, a.r, a.text, a.digits FROM orders JOIN ask a ON a.id = o_custkey JOIN item ON l_orderkey = o_orderkey JOIN place p ON p.k = pk)"""
+BASE = (50.25, 19.5)
+
+
+def _km_sql(a: str, b: str, c: str, d: str) -> str:
+    return f"CASE WHEN {a} + {c} IS NOT NULL THEN round(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) * 1.25::DOUBLE, 1) END"
+
+
+def _trips_sql() -> str:
+    found = _geocode_sql(ENDS)
+    head, _, tail = found.rpartition("\nSELECT a.id, CASE WHEN c.n > 1")
+    base = (f"CAST({x} AS DOUBLE)" for x in BASE)
+    return f"""{head},
+g AS (SELECT a.id, CASE WHEN c.n > 1{tail}), e AS (SELECT p.id // 2 o_orderkey, p.how h1, d.how h2, p.place n1, d.place n2, p.country c1, d.country c2, p.lat la, p.lng lo, d.lat lb, d.lng l2 FROM g p JOIN g d ON d.id = p.id + 1 WHERE p.id % 2 = 0),
+k AS (SELECT *, {_km_sql('la', 'lo', 'lb', 'l2')} km FROM e)
+SELECT o_orderkey, km, {_km_sql(*base, 'la', 'lo')} km_from_base, CASE WHEN km IS NOT NULL THEN round(greatest(250.0::DOUBLE, km * 4.0::DOUBLE), 0) END price, array_to_string(list_filter([CASE WHEN h1 IN ('unsure', 'inflected') THEN n1 END, CASE WHEN h2 IN ('unsure', 'inflected') THEN n2 END], lambda x: x IS NOT NULL), '; ') unsure,
+CASE WHEN c1 IS NULL OR c2 IS NULL THEN 'unknown' WHEN c1 = 'PL' AND c2 = 'PL' THEN 'domestic' WHEN c2 = 'PL' THEN 'import' WHEN c1 = 'PL' THEN 'export' ELSE 'transit' END direction,
+coalesce('https://maps.example/dir/?origin={BASE[0]:.6f},{BASE[1]:.6f}&destination=' || CASE WHEN lb IS NOT NULL THEN printf('%.6f,%.6f', lb, l2) WHEN la IS NOT NULL THEN printf('%.6f,%.6f', la, lo) END || CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN '&waypoints=' || printf('%.6f,%.6f', la, lo) ELSE '' END, '') route,
+coalesce('https://maps.example/dir/?destination=' || CASE WHEN la IS NOT NULL THEN printf('%.6f,%.6f', la, lo) END || '&navigate=1', '') navigation FROM k"""
+
+
+@query(_trips_sql())
+def trip_summaries(t):
+    """PRJ-2, PRJ-5, GEO-15, GEO-17 to GEO-19: both ends of orders' trips geocoded, with what is said of the trip."""
+    places, gazetteer = _places(t)
+    item = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("k"))
+    asked = _asked(t, places).select(F.col("id").alias("o_custkey"), F.col("code").alias("from_code"), F.col("town").alias("from_town"), "text")
+    status = F.col("o_orderstatus")
+    rows = t.orders.join(asked, "o_custkey").join(item, "o_orderkey").join(places.select("k", "written", "name"), "k")
+    rows = rows.select(F.col("o_orderkey").alias("id"), "from_code", "from_town", F.when(status != "P", F.col("written")).alias("to_code"), F.when(status != "F", F.col("name")).alias("to_town"), "text")
+    found = trips.summaries(rows, gazetteer, base=BASE)
+    return found.select(F.col("id").alias("o_orderkey"), "km", "km_from_base", "price", F.array_join("unsure", "; ").alias("unsure"), "direction", "route", "navigation")
 
 
 # --- numbers in texts -----------------------------------------------------------------------------

@@ -58,15 +58,19 @@ def humanised_numbers(t):
     return t.customer.select("c_custkey", rc.humanised(said).alias("members"))
 
 
-ERRORS = "CASE o_orderkey % 6 WHEN 0 THEN 'Monthly QUOTA used up' WHEN 1 THEN 'forbidden' WHEN 2 THEN 'slow down' WHEN 3 THEN 'bad gateway' WHEN 4 THEN 'read timed out' ELSE 'odd' END m, CASE o_orderkey % 6 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 502 ELSE 200 END s"
+#: What services say, by priority; the status comes from the price, so that both meet in every way.
+SAID = {"1-URGENT": "Monthly QUOTA used up", "2-HIGH": "request timed out", "3-MEDIUM": "Limit exceeded for today", "4-NOT SPECIFIED": "gateway TIMEOUT"}
+STATUS_SQL = "[200, 401, 403, 429, 500, 503][1 + CAST(floor(o_totalprice / 100) AS BIGINT) % 6]"
 
 
-@query(f"SELECT o_orderkey % 6 k, count(*) n, min(CASE WHEN lower(m) LIKE '%quota%' THEN 'exhausted' WHEN s IN (401, 403) THEN 'denied' WHEN s = 429 THEN 'throttled' WHEN s >= 500 THEN 'server' WHEN lower(m) LIKE '%timed out%' THEN 'timeout' ELSE 'other' END) kind FROM (SELECT o_orderkey, {ERRORS} FROM orders) GROUP BY 1")
+@query("WITH m AS (SELECT o_orderpriority, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAID.items()) + f""" ELSE o_orderpriority END m, {STATUS_SQL} s FROM orders)
+SELECT o_orderpriority, s AS status, CASE WHEN lower(m) LIKE '%quota%' OR lower(m) LIKE '%limit exceeded%' THEN 'exhausted' WHEN s IN (401, 403) THEN 'denied' WHEN s = 429 THEN 'throttled' WHEN s >= 500 THEN 'server' WHEN lower(m) LIKE '%timed out%' OR lower(m) LIKE '%timeout%' THEN 'timeout' ELSE 'other' END kind, count(*) n FROM m GROUP BY ALL""")
 def error_classes(t):
-    k = F.col("o_orderkey") % 6
-    message = F.when(k == 0, "Monthly QUOTA used up").when(k == 1, "forbidden").when(k == 2, "slow down").when(k == 3, "bad gateway").when(k == 4, "read timed out").otherwise("odd")
-    status = F.when(k == 1, 403).when(k == 2, 429).when(k == 3, 502).otherwise(200)
-    return t.orders.groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min(rc.error_class(message, status)).alias("kind"))
+    """FN-27: words before the status, the status before other words."""
+    words = F.create_map(*(F.lit(x) for pair in SAID.items() for x in pair))
+    status = F.element_at(F.array(*map(F.lit, (200, 401, 403, 429, 500, 503))), (F.floor(F.col("o_totalprice") / 100) % 6 + 1).cast("int"))
+    message = F.coalesce(words[F.col("o_orderpriority")], F.col("o_orderpriority"))
+    return t.orders.groupBy("o_orderpriority", status.alias("status"), rc.error_class(message, status).alias("kind")).agg(F.count("*").alias("n"))
 
 
 CLASSES = {"price": "(?i)price|cost|cheap", "place": "(?i)city|street|river", "time": "(?i)today|tomorrow|night", "person": "(?i)friend|family|people"}
@@ -116,17 +120,20 @@ def candidate_hints(t):
     return t.customer.select("c_custkey", privacy.alias("privacy"), notes.alias("notes"), F.concat(F.lit("https://search.example/?q="), F.url_encode("c_name")).alias("search"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'pl' WHEN 1 THEN 'de' END AS lang FROM nation")
+@query("WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{lang}')" for lang, words in tx.FUNCTION_WORDS.items() for w in words[:3]) + ") v(word, said)) SELECT conv_id, turn, min(said) AS lang FROM conversations LEFT JOIN p ON word = regexp_extract(lower(text), '^[^ ,.]+') GROUP BY 1, 2")
 def phrase_language(t):
-    """FN-17: language of a search phrase by a small table."""
-    phrases = t.spark.createDataFrame([(0, "pl"), (1, "de")], "r int, lang string")
-    return t.nation.join(F.broadcast(phrases), F.col("n_nationkey") % 3 == F.col("r"), "left").select("n_nationkey", "lang")
+    """FN-17: the language of a turn's first word by a small table; the first of several."""
+    phrases = t.spark.createDataFrame([(w, lang) for lang, words in tx.FUNCTION_WORDS.items() for w in words[:3]], "word string, said string")
+    first = t.conversations.select("conv_id", "turn", F.regexp_extract(F.lower("text"), "^[^ ,.]+", 0).alias("word"))
+    return first.join(F.broadcast(phrases), "word", "left").groupBy("conv_id", "turn").agg(F.min("said").alias("lang"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '?' WHEN 1 THEN p_brand || ' (unknown)' WHEN 2 THEN p_brand || ' (?)' ELSE p_brand END place FROM part")
+@query("SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN '?' WHEN p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48 AND p_type <> 'ECONOMY') THEN p_brand || ' (unknown)' WHEN p_size < 25 THEN p_brand || ' (?)' ELSE p_brand END place FROM part")
 def place_labels(t):
-    k = F.col("p_partkey") % 4
-    return t.part.select("p_partkey", rc.place_label(F.when(k != 0, F.col("p_brand")), k != 2, k != 1).alias("place"))
+    """PRJ-12b: brands as places: some are not known, small parts are unsure of theirs."""
+    known = t.part.where("p_size > 48 and p_type <> 'ECONOMY'").select("p_brand", F.lit(True).alias("known")).distinct()
+    rows = t.part.join(known, "p_brand", "left")
+    return rows.select("p_partkey", rc.place_label(F.when(F.col("p_type") != "ECONOMY", F.col("p_brand")), F.col("p_size") >= 25, F.coalesce("known", F.lit(False))).alias("place"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN u::VARCHAR ELSE CASE WHEN round(100 * u / 400) >= 90 THEN '! ' ELSE '' END || u || ' / 400 (' || CAST(round(100 * u / 400) AS BIGINT) || ' %)' END line, CASE WHEN s_suppkey % 5 <> 0 THEN 400 - u END AS remaining FROM (SELECT s_suppkey, s_suppkey * 37 % 401 u FROM supplier)")

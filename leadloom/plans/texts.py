@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import gate, geo, stats
+from ..operators import leads as ld
+from ..params import DEFAULT
 from .registry import query
 
 SAMPLE = gate.Dictionary([gate.SAMPLE])
@@ -270,7 +272,7 @@ def prefix_match_unique(t):
 PLACES = "(VALUES (0, 52.2297::DOUBLE, 21.0122::DOUBLE), (1, 50.0647, 19.9450), (2, 48.8566, 2.3522), (3, 40.4168, -3.7038), (4, NULL, NULL)) p(k, lat, lng)"
 
 
-@query(f"WITH q AS (SELECT c_custkey, a.lat la, a.lng lo, b.lat lb, b.lng l2 FROM customer JOIN {PLACES.replace(' p(', ' a(')} ON c_custkey % 5 = a.k JOIN {PLACES.replace(' p(', ' b(')} ON c_nationkey % 5 = b.k), d AS (SELECT c_custkey, round(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(l2 - lo) / 2), 2)))) * 1.25::DOUBLE, 1) km FROM q) SELECT c_custkey, km, CASE WHEN km IS NOT NULL THEN round(greatest(250.0::DOUBLE, km * 4.0::DOUBLE), 0) END price FROM d")
+@query(f"WITH q AS (SELECT c_custkey, a.lat la, a.lng lo, b.lat lb, b.lng l2 FROM customer JOIN {PLACES.replace(' p(', ' a(')} ON c_custkey % 5 = a.k JOIN {PLACES.replace(' p(', ' b(')} ON c_nationkey % 5 = b.k), d AS (SELECT c_custkey, CASE WHEN la + lb IS NOT NULL THEN round(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(lb - la) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin(radians(l2 - lo) / 2), 2)))) * 1.25::DOUBLE, 1) END km FROM q) SELECT c_custkey, km, CASE WHEN km IS NOT NULL THEN round(greatest(250.0::DOUBLE, km * 4.0::DOUBLE), 0) END price FROM d")
 def haversine_price(t):
     places = t.spark.createDataFrame([(0, 52.2297, 21.0122), (1, 50.0647, 19.9450), (2, 48.8566, 2.3522), (3, 40.4168, -3.7038), (4, None, None)], "k long, lat double, lng double")
     a, b = places.alias("a"), places.alias("b")
@@ -300,3 +302,16 @@ def quoted_text(t):
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|token|secret|api_key)=[^ \n]+', '\1=***', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{2,}', '***@***', 'g'), '\+?\d(?:[ .()-]?\d){8,14}', '***', 'g') AS masked FROM documents")
 def masked_text(t):
     return t.documents.select("doc_id", tx.masked(F.col("text")).alias("masked"))
+
+
+@query(f"""WITH {GATE_CTE}, d AS (SELECT doc_id, ({_any_sql(gate.SAMPLE.demand)} OR contains(t, '?')) w, {_any_sql(gate.SAMPLE.offer)} o FROM n),
+f AS (SELECT o AND NOT w AS offer, v.verdict gate, coalesce(ts < TIMESTAMP '2024-01-16 00:00:00' - INTERVAL 6 HOUR, false) AS old, CASE quality WHEN 1 THEN true WHEN 0 THEN false END model FROM v JOIN d USING (doc_id) LEFT JOIN events ON event_id = doc_id LEFT JOIN labels USING (doc_id))
+SELECT CASE WHEN offer THEN 'offer' WHEN NOT gate THEN 'gate' WHEN old THEN 'stale' WHEN model IS NULL THEN 'no_answer' WHEN model THEN 'order' ELSE 'model' END outcome, count(*) n FROM f GROUP BY 1""")
+def post_decisions(t):
+    """S-11, AGG-29: what becomes of documents: their direction, the gate, their event's age, and the label as the model's verdict."""
+    judged = gate.bound(t.documents.select("doc_id", "text"), "text", SAMPLE)
+    judged = judged.select("doc_id", gate.direction(SAMPLE).alias("direction"), gate.judged(SAMPLE, 0, F.col("text"), DEFAULT.gate_threshold)["verdict"].alias("gate"))
+    rows = judged.join(t.events.select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts")), "doc_id", "left").join(t.labels, "doc_id", "left")
+    model = F.when(F.col("quality") == 1, True).when(F.col("quality") == 0, False)
+    found = ld.decision(F.col("direction"), F.col("gate"), ld.stale(F.col("ts"), F.lit("2024-01-16").cast("timestamp")), model)
+    return rows.groupBy(found.alias("outcome")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from leadloom import catalogue
 from leadloom.operators import alerts, schedule, stats
@@ -122,15 +123,36 @@ def test_alert_fold_query(spark):
 
 
 def test_bandit_allocation(spark):
-    counts = Counter()
+    """The query against a simulation with Python's own Beta draws: shares of the picks within five deviations."""
+    rng = random.Random(1)
     found = sorted(map(tuple, catalogue.QUERIES["bandit_posterior"](spark, FOLDER).select("user_id", "alpha", "beta").collect()))
-    users, alpha, beta = map(np.array, zip(*found))
-    for block in range(4):
-        draws = np.random.default_rng([7, block]).beta(alpha, beta, (500, len(users)))
-        counts.update(int(users[row.argmax()]) for row in np.maximum(draws, 0.01))
+    simulated, trials = Counter(), 4000
+    for _ in range(trials):
+        simulated[max((rng.betavariate(a, b), -u) for u, a, b in found)[1] * -1] += 1
     rows = dict(map(tuple, catalogue.QUERIES["bandit_allocation"](spark, FOLDER).collect()))
-    assert sum(rows.values()) == 2000
-    assert rows == {int(u): counts[int(u)] for u in users}
+    assert sum(rows.values()) == 2000 and set(rows) == {u for u, _, _ in found}
+    for u in rows:
+        share = (simulated[u] + rows[u]) / (trials + 2000)
+        assert abs(rows[u] / 2000 - simulated[u] / trials) <= 5 * (share * (1 - share) * (1 / 2000 + 1 / trials)) ** 0.5 + 1e-9
+
+
+def test_allocation_is_the_best_draw_of_each_pick(spark):
+    rows = [(f"g{k}", float(k % 5) + 0.0, 2.0 + k % 3) for k in range(40)]
+    frame = spark.createDataFrame(rows, "g string, alpha double, beta double")
+    own = {r["g"]: r["own"] for r in frame.select("g", F.pmod(F.xxhash64("g"), F.lit(2**31)).alias("own")).collect()}
+    draws = {g: np.random.default_rng([3, own[g]]).beta(max(a, 0.01), b, 300) for g, a, b in rows}
+    wanted = Counter(min(draws, key=lambda g: (-draws[g][k], g)) for k in range(300))
+    for parts in (1, 7):
+        got = dict(map(tuple, schedule.allocation(frame.repartition(parts), "g", 300, seed=3).collect()))
+        assert got == {g: wanted[g] for g, _, _ in rows}
+    assert schedule.allocation(frame.limit(0), "g", 300).collect() == []
+    assert sum(r["picked"] for r in schedule.allocation(frame, "g", 0).collect()) == 0
+
+
+def test_preferred_groups_get_a_bonus(spark):
+    frame = spark.createDataFrame([(1, 20, 5, True), (2, 20, 5, False), (3, 2, 1, None)], "g long, trials long, wins long, liked boolean")
+    found = {r["g"]: (r["alpha"], r["beta"]) for r in schedule.posteriors(frame, "g", preferred="liked").collect()}
+    assert found == {1: (6.5, 16.0), 2: (6.0, 16.0), 3: (round(2 + 0.3 * 11, 4), round(2 + 0.3 * 31, 4))}
 
 
 def test_nested_strip_nulls(spark):

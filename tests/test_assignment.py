@@ -9,7 +9,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.operators import assignment, leads
+from leadloom.operators import assignment, leads, schedule
 from leadloom.sources import files
 
 
@@ -113,3 +113,17 @@ def test_json_pools_and_readers(spark, tmp_path):
     stop.set()
     reader.join()
     assert set(seen) <= {3, 2000} and len(seen) > 2
+
+
+def test_turns_are_few_and_work_is_dealt_by_pairs(spark, monkeypatch):
+    keys, pool = spark.range(220).withColumnRenamed("id", "k"), spark.range(220).select(F.concat(F.lit("m"), "id").alias("m"))
+    asked, plain = [], assignment.ranking
+    monkeypatch.setattr(assignment, "ranking", lambda *a, **kw: (asked.append(kw["few"]), plain(*a, **kw))[1])
+    rows = assignment.balanced(keys.coalesce(1), pool, "k", "m", few=6).collect()
+    assert {r["k"]: r["m"] for r in rows} == in_turn(range(220), [f"m{j}" for j in range(220)])
+    # Some 80 keys are left over: the last of them used to fetch their members six by six.
+    assert len(asked) <= 8
+    monkeypatch.setattr(assignment, "PAIRS", 5000)
+    for found in (plain(keys.coalesce(1), pool, "k", "m", few=1), schedule.rendezvous(keys.coalesce(1), pool, "k", "m")):
+        tasks = found.select("k").distinct().withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task")).first()[0]
+        assert tasks > 4

@@ -127,62 +127,76 @@ def fold(rows: DataFrame, *, params: Params = DEFAULT) -> DataFrame:
     return rows.drop("time").repartition("tenant").sortWithinPartitions("tenant", "at", "alert_id").mapInArrow(work, FOUND)
 
 
-class _Kept:
-    """Posts on record in a map state, looked up one by one."""
+class _Kept(dict):
+    """Posts on record, with those that a trigger puts there."""
 
-    def __init__(self, state):
-        self.state = state
-
-    def get(self, post):
-        found = self.state.getValue((post,)) if self.state.containsKey((post,)) else None
-        return found[0] if found else None
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.fresh = {}
 
     def put(self, post, at):
-        self.state.updateValue((post,), (at,))
+        self[post] = self.fresh[post] = at
+
+
+def _plain(x):
+    return None if x is None or x != x else x
 
 
 class _Ladder(StatefulProcessor):
+    """A tenant's memory is read once a trigger and written once, however many rows it has."""
+
     def __init__(self, params: Params):
         self.params = params
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", "paused boolean, digest_at long, sent array<struct<at: long, alert_id: long, phone: string, content: string>>, limited array<long>")
-        self.posts = handle.getMapState("posts", "post string", "at long")
+        self.memory = handle.getValueState("memory", "paused boolean, digest_at long, sent array<struct<at: long, alert_id: long, phone: string, content: string>>, limited array<long>, timer long")
+        self.posts = handle.getListState("posts", "post string, at long")
 
     def handleInputRows(self, key, rows, timerValues):
         p = self.params
-        memory, seen = Memory(), _Kept(self.posts)
+        memory, seen, timer = Memory(), _Kept(), None
         if self.memory.exists():
-            paused, digest_at, sent, limited = self.memory.get()
+            paused, digest_at, sent, limited, timer = self.memory.get()
             memory = Memory(paused, digest_at, [tuple(s) for s in sent], list(limited))
-        frame = pd.concat(list(rows)).sort_values(["at", "alert_id"], na_position="first")
-        frame = frame[list(ROWS)].astype(object).where(frame[list(ROWS)].notna(), None)
+            seen = _Kept(self.posts.get())
+        taken = [tuple(map(_plain, row)) for frame in rows for row in zip(*(frame[c].tolist() for c in ROWS))]
         out = []
-        for row in frame.itertuples(index=False, name=None):
+        for row in sorted(taken, key=lambda r: (r[1] is not None, r[1] or 0, r[0] is None, r[0] or 0)):
             row = (*(None if x is None else int(x) for x in row[:2]), *row[2:])
             for k, (decision, crosspost, waiting) in enumerate(steps(memory, seen, row, p)):
                 out.append((key[0], row[1], None if k else row[0], decision, crosspost, waiting))
-        self.memory.update((memory.paused, memory.digest_at, memory.sent, memory.limited))
         last = max((r[1] for r in out if r[1] is not None), default=None)
+        # Rows of later triggers are behind this trigger's watermark: what is too old for them goes.
+        before = timerValues.getCurrentWatermarkInMs() * 1000 - p.remember_hours * HOUR
+        kept = {post: at for post, at in seen.items() if at > before}
+        if len(kept) < len(seen):
+            self.posts.put(list(kept.items())) if kept else self.posts.clear()
+        elif seen.fresh:
+            self.posts.appendList(list(seen.fresh.items()))
         if last is not None:
             # One timer a tenant: when it fires, what is older than the bound goes, and all of it once nothing is left.
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer(last // 1000 + p.remember_hours * 3_600_000)
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = last // 1000 + p.remember_hours * 3_600_000
+            self.handle.registerTimer(timer)
+        self.memory.update((memory.paused, memory.digest_at, memory.sent, memory.limited, timer))
         names = ["tenant", "at", "alert_id", "decision", "crosspost_of", "waiting"]
-        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c != "decision"})
+        yield pd.DataFrame({c: list(x) if c == "decision" else pd.array(x, "Int64") for c, x in zip(names, zip(*out))})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         before = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.params.remember_hours * HOUR
-        left = False
-        for (post,), (at,) in list(self.posts.iterator()):
-            if at <= before:
-                self.posts.removeKey((post,))
+        kept = {post: at for post, at in dict(self.posts.get()).items() if at > before} if self.posts.exists() else {}
+        if kept:
+            self.posts.put(list(kept.items()))
+        else:
+            self.posts.clear()
+        if self.memory.exists():
+            memory = self.memory.get()
+            if kept or memory[0]:
+                self.memory.update((*memory[:4], None))
             else:
-                left = True
-        if not left and self.memory.exists() and not self.memory.get()[0]:
-            self.memory.clear()
+                self.memory.clear()
         yield pd.DataFrame({c: pd.Series([], dtype="object" if c == "decision" else "Int64") for c in ("tenant", "at", "alert_id", "decision", "crosspost_of", "waiting")})
 
     def close(self) -> None:

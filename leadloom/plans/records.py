@@ -8,6 +8,7 @@ from ..functions import places
 from ..functions import records as rc
 from ..functions import text as tx
 from ..operators import extraction as ex
+from ..session import ship
 from .registry import query
 
 RAW_DATE = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) WHEN 2 THEN CAST(CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS VARCHAR) ELSE 'at ' || event_type END"
@@ -246,12 +247,14 @@ def input_constraints(t):
 @query()
 def postcodes_found(t):
     """GEO-6 to GEO-9: postcodes in texts with their countries; checked on fixtures, as spans and windows are no SQL."""
+    ship(t.spark)
     return t.documents.select("doc_id", places.found_codes("text").alias("codes")).select("doc_id", F.size("codes").alias("n_codes"), F.concat_ws("|", F.transform("codes", lambda c: F.concat_ws(" ", c["country"], c["code"]))).alias("codes"))
 
 
 @query()
 def stated_distances(t):
     """GEO-16: the distance that a text states for its route; checked on fixtures."""
+    ship(t.spark)
     return t.documents.select("doc_id", places.stated_km("text").alias("km"))
 
 

@@ -38,16 +38,20 @@ def links(pickup: Column, delivery: Column, base: tuple[float, float]) -> tuple[
 
 
 def ends(rows: DataFrame, gazetteer: DataFrame, *, home: str = geocoder.HOME) -> DataFrame:
-    """id, pickup and delivery (structs of END) of rows with id, from_code, from_town, to_code, to_town and text."""
-    asked = [rows.select(F.struct("id", F.lit(k).alias("end")).alias("id"), F.col(f"{side}_code").alias("code"), F.col(f"{side}_town").alias("town"), "text") for k, side in enumerate(("from", "to"))]
-    found = geocoder.geocoded(asked[0].unionByName(asked[1]), gazetteer, home=home)
+    """id, pickup and delivery (structs of END) and km_stated of rows with id, from_code, from_town, to_code, to_town and text, and known if they have it."""
+    rest = [c for c in ("text", "known") if c in rows.columns]
+    # A row asks for both of its ends, so it is made once.
+    sides = F.array(*(F.struct(F.lit(k).alias("end"), F.col(f"{side}_code").alias("code"), F.col(f"{side}_town").alias("town")) for k, side in enumerate(("from", "to"))))
+    asked = rows.select("id", pl.stated_km("text").alias("km"), F.explode(sides).alias("x"), *rest)
+    asked = asked.select(F.struct("id", "x.end", F.when(F.col("x.end") == 0, F.col("km")).alias("km")).alias("id"), "x.code", "x.town", *rest)
+    found = geocoder.geocoded(asked, gazetteer, home=home)
     one = lambda k: F.max(F.when(F.col("id.end") == k, F.struct(*END)))
-    return found.groupBy(F.col("id.id").alias("id")).agg(one(0).alias("pickup"), one(1).alias("delivery"))
+    return found.groupBy(F.col("id.id").alias("id")).agg(one(0).alias("pickup"), one(1).alias("delivery"), F.max("id.km").alias("km_stated"))
 
 
 def summaries(rows: DataFrame, gazetteer: DataFrame, *, base: tuple[float, float], home: str = geocoder.HOME, params: Params = DEFAULT) -> DataFrame:
     """id, km, km_from_base, price, km_stated, unsure (places), direction, the ends' countries and the links."""
-    found = ends(rows, gazetteer, home=home).join(rows.select("id", pl.stated_km("text").alias("km_stated")), "id")
+    found = ends(rows, gazetteer, home=home)
     pickup, delivery = F.col("pickup"), F.col("delivery")
     lat, lng = (F.lit(float(x)) for x in base)
     km = geo.road_km(pickup["lat"], pickup["lng"], delivery["lat"], delivery["lng"], params=params)

@@ -19,8 +19,8 @@ def _automaton(parts: tuple[str, ...]):
         import ahocorasick
 
         made = ahocorasick.Automaton()
-        for part in parts:
-            made.add_word(part, part)
+        for place, part in enumerate(parts):
+            made.add_word(part, place)
         made.make_automaton()
         if len(_automata) >= KEPT:
             _automata.clear()
@@ -28,17 +28,17 @@ def _automaton(parts: tuple[str, ...]):
     return _automata[parts]
 
 
-def parts_in(text: Column, parts: list[str]) -> Column:
-    """The strings of ``parts`` (none empty) that a text holds, each once and in order; none for null and empty texts.
+def parts_in(text: Column, parts: list[str], first: int = 0) -> Column:
+    """Places in ``parts`` (none empty), counted from ``first``, of the strings that a text holds, each once and in order; none for null and empty texts.
 
     The strings go to every task: the caller bounds their number.
     """
     known = tuple(parts)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _automaton(known) if known else None
         for texts in batches:
-            yield pd.Series([sorted({part for _, part in automaton.iter(x)}) if x and automaton else [] for x in texts], dtype=object)
+            yield pd.Series([sorted({first + place for _, place in automaton.iter(x)}) if x and automaton else [] for x in texts], dtype=object)
 
     return found(text)

@@ -98,35 +98,43 @@ def regression(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 #: Stems of one automaton; all of them go to every task.
 STEMS_AT_ONCE = 50_000
+#: Names that go to every task at a time, with the numbers of their stems.
+NAMES_AT_ONCE = 50_000
 
 
-def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key: str = "item_id", stems: str = "stems", block: int = STEMS_AT_ONCE) -> DataFrame:
+def missing_names(docs: DataFrame, names: DataFrame, *, text: str = "text", key: str = "item_id", stems: str = "stems", block: int = STEMS_AT_ONCE, together: int = NAMES_AT_ONCE) -> DataFrame:
     """For every name the documents, and those of them that lack one of its stems: all names against all documents.
 
-    An automaton over all distinct stems reads a text once (one for each ``block`` of them).  Of a
-    name's stems the rarest calls for the name: only where it is found are the others
-    looked for among the text's stems, so there is a row for each text and name that
-    come close.  A null text or a name without stems is not missing.
+    An automaton over all distinct stems reads a text once (one for each ``block`` of them), and
+    the numbers of the stems that it holds are written.  Of a name's stems the rarest calls for
+    the name: only where it is found are the others looked for among the text's stems.  Names go
+    to the texts, ``together`` at a time; no text's stems are dealt out.  A null text or a
+    name without stems is not missing.
     """
     ship(docs.sparkSession)
-    named = written(names.select(F.col(key).alias("key"), F.array_distinct(F.filter(F.coalesce(stems, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("stems")), "names")
+    rows = names.select(F.col(key).alias("key"), F.array_distinct(F.filter(F.coalesce(stems, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("stems"))
+    named = written(rows.withColumn("id", F.monotonically_increasing_id()), "names")
     low = docs.select(F.lower(text).alias("t"))
-    blocks: list[list[str]] = [[]]
-    for row in named.select(F.explode("stems").alias("stem")).distinct().toLocalIterator():
-        if len(blocks[-1]) == block:
-            blocks.append([])
-        blocks[-1].append(row["stem"])
-    found = written(low.where("t is not null").select(F.concat(*(parts_in(F.col("t"), x) for x in blocks)).alias("found")), "found")
+    known = [row["stem"] for row in named.select(F.explode("stems").alias("stem")).distinct().toLocalIterator()]
+    blocks = [(known[k : k + block], k) for k in range(0, len(known), block)] or [([], 0)]
+    found = written(low.where("t is not null").select(F.concat(*(parts_in(F.col("t"), x, k) for x, k in blocks)).alias("found")), "found")
     often = found.select(F.explode("found").alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
-    rare = named.select("key", "stems", F.explode("stems").alias("stem")).join(often, "stem", "left")
-    calls = rare.groupBy("key", "stems").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "stem")).alias("x")).where("x.df > 0").select("key", "stems", F.col("x.stem").alias("stem"))
-    close = found.select("found", F.explode("found").alias("stem")).join(calls, "stem")
-    whole = close.where(F.size(F.array_except("stems", "found")) == 0).groupBy("key").agg(F.count("*").alias("whole"))
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(known)), "stem int, name string")
+    rare = named.select("id", F.explode("stems").alias("name")).join(numbers, "name").join(often, "stem", "left")
+    calls = rare.groupBy("id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "stem")).alias("x"), F.collect_list("stem").alias("stems")).where("x.df > 0").select("id", "stems", F.col("x.stem").alias("stem"))
+    calls = written(calls, "calls")
+    parts = max(1, -(-calls.count() // together))
+    whole = None
+    for k in range(parts):
+        called = F.broadcast(calls.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k))
+        close = found.select("found", F.explode("found").alias("stem")).join(called, "stem")
+        part = close.where(F.size(F.array_except("stems", "found")) == 0).groupBy("id").agg(F.count("*").alias("whole"))
+        whole = part if whole is None else whole.unionAll(part)
     sizes = low.agg(F.count("*").alias("n_docs"), F.count("t").alias("texts")).where("n_docs > 0")
-    counts = named.groupBy("key").agg(F.max(F.size("stems")).alias("n")).join(whole, "key", "left")
-    # One row of sizes stands beside each name.
-    missing = F.when(F.col("n") == 0, 0).otherwise(F.col("texts") - F.coalesce("whole", F.lit(0)))
-    return counts.crossJoin(F.broadcast(sizes)).select(F.col("key").alias(key), "n_docs", missing.cast("long").alias("n_missing"))
+    # One row of sizes stands beside each name; names may have a key in common.
+    missing = F.when(F.size("stems") == 0, 0).otherwise(F.col("texts") - F.coalesce("whole", F.lit(0)))
+    each = named.join(whole, "id", "left").crossJoin(F.broadcast(sizes)).select(F.col("key").alias(key), "n_docs", missing.cast("long").alias("n_missing"))
+    return each.groupBy(key).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_missing").alias("n_missing"))
 
 
 def field_accuracy(rows: DataFrame, fields: list[str], *, by: str, expected: str = "expected", answer: str = "answer") -> DataFrame:

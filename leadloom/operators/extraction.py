@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,17 @@ def parsed(answer: Column) -> Column:
     return F.from_json(tx.lenient_json(answer), SCHEMA)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: a field of a parsed object would parse it again, each by itself."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def record(answer: Column) -> Column:
     """The checked record of an answer; an offer is never an order; an answer without an object gives the defaults."""
-    raw = parsed(answer)
+    return bound(parsed(answer), _checked)
+
+
+def _checked(raw: Column) -> Column:
     direction = tx.clamp_enum(F.coalesce(raw["direction"], F.lit("")), DIRECTIONS, "unclear")
     return F.struct(
         (tx.as_bool(F.coalesce(raw["is_order"], F.lit(""))) & (direction != "offer")).alias("is_order"),
@@ -69,16 +79,27 @@ def record(answer: Column) -> Column:
 
 def with_fallback_codes(rec: Column, text: Column) -> Column:
     """Empty codes are filled from the text, in its order, with codes that are not used yet."""
-    spare = F.filter(tx.postcodes(text), lambda c: ~F.coalesce(c == rec["from_code"], F.lit(False)) & ~F.coalesce(c == rec["to_code"], F.lit(False)))
-    from_code = F.coalesce(rec["from_code"], F.get(spare, F.lit(0)))
-    to_code = F.coalesce(rec["to_code"], F.get(spare, F.when(rec["from_code"].isNull(), 1).otherwise(0)))
-    return rec.withField("from_code", from_code).withField("to_code", to_code)
+    return bound(F.struct(rec.alias("rec"), text.alias("text")), lambda x: _filled(x["rec"], x["text"]))
+
+
+def _filled(rec: Column, text: Column) -> Column:
+    found = F.filter(tx.postcodes(text), lambda c: ~F.coalesce(c == rec["from_code"], F.lit(False)) & ~F.coalesce(c == rec["to_code"], F.lit(False)))
+
+    def codes(spare: Column) -> Column:
+        from_code = F.coalesce(rec["from_code"], F.get(spare, F.lit(0)))
+        to_code = F.coalesce(rec["to_code"], F.get(spare, F.when(rec["from_code"].isNull(), 1).otherwise(0)))
+        return rec.withField("from_code", from_code).withField("to_code", to_code)
+
+    return bound(found, codes)
 
 
 def deviations(answer: Column) -> Column:
     """How a raw answer departs from the schema: fields missing, fields unknown, and values of another kind; null without an object."""
-    keys = F.json_object_keys(tx.lenient_json(answer))
-    raw = parsed(answer)
+    both = bound(tx.lenient_json(answer), lambda x: F.struct(F.json_object_keys(x).alias("keys"), F.from_json(x, SCHEMA).alias("raw")))
+    return bound(both, lambda x: _departures(x["keys"], x["raw"]))
+
+
+def _departures(keys: Column, raw: Column) -> Column:
     missing = F.transform(F.array_except(F.array(*map(F.lit, FIELDS)), keys), lambda k: F.concat(F.lit("missing:"), k))
     unknown = F.transform(F.array_except(keys, F.array(*map(F.lit, FIELDS))), lambda k: F.concat(F.lit("unknown:"), k))
     wrong = F.array_compact(F.array(*(F.when(raw[name].isNotNull() & raw[name].try_cast(kind).isNull(), F.lit(f"kind:{name}")) for name, kind in FIELDS.items() if kind != "string")))

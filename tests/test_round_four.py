@@ -6,8 +6,10 @@ import re
 
 import pytest
 
+from leadloom import catalogue
 from leadloom.llm import queries
 from leadloom.operators import stats
+from leadloom.plans import records
 from leadloom.session import releasing, shared_dir, written
 
 
@@ -70,3 +72,13 @@ def test_op7_in_parts_gives_the_same_rows(spark, monkeypatch):
     assert sorted(map(tuple, queries.op7_flac_media(spark, folder).collect())) == whole
     assert max(most) == 2
     assert {x.split("-")[-1] for x in stages(spark) - before} == {"digests"}
+
+
+@pytest.mark.parametrize("name", ["answer_path", "schema_deviations", "record_validation", "worth_waking"])
+def test_an_answer_is_parsed_once(spark, monkeypatch, name):
+    """Each field of a record parsed the whole answer anew, and one file was one task."""
+    monkeypatch.setattr(records, "ANSWERS", 400)
+    found = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 1
+    assert "RepartitionByExpression [o_orderkey" in plan

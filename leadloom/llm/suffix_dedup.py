@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import releasing, ship, written
 from .suffix_kernel import FAN, GRAM, SAMPLE, anchors, chains, deepest, gram_hashes, runs, within
 from .tokens import text_blocks
 
@@ -92,9 +92,11 @@ def refined(texts: DataFrame) -> list[DataFrame]:
         order = Window.partitionBy("doc").orderBy("i")
         later = [F.first("b").over(order.rangeBetween(j * FAN**k, j * FAN**k)).alias(f"b{j}") for j in range(1, FAN)]
         to = [f"b{j}" for j in range(1, FAN)]
-        read = written(levels[-1].select("*", *later).where(F.col("deep") > k).dropna(subset=to), "read")
-        shared = read.groupBy("b", *to).agg(F.min(number).alias("name"), F.max(number).alias("top")).where("name < top")
-        levels.append(written(read.drop("outer").join(shared, ["b", *to]).select("doc", "i", "deep", F.col("name").alias("b"), "top").select("doc", "i", "deep", "b", outer), "level"))
+        with releasing() as kept:
+            read = written(levels[-1].select("*", *later).where(F.col("deep") > k).dropna(subset=to), "read")
+            shared = read.groupBy("b", *to).agg(F.min(number).alias("name"), F.max(number).alias("top")).where("name < top")
+            levels.append(written(read.drop("outer").join(shared, ["b", *to]).select("doc", "i", "deep", F.col("name").alias("b"), "top").select("doc", "i", "deep", "b", outer), "level"))
+            kept.append(levels[-1])
 
 
 RUN = ["win", "doc", "first", "more", "lead", "core", "c1", "c2", "f1", "f2", "state"]
@@ -303,8 +305,10 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
     found = written(sampled(docs, text, windows), "sampled")
     names = written(found.groupBy(*NAME).agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size")), "names")
     texts = found.join(names.select("doc"), "doc", "left_semi")
-    lean = written(texts.select("doc", "size", "shape", "grams", "deep"), "suffixes")
-    candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
+    with releasing() as kept:
+        lean = written(texts.select("doc", "size", "shape", "grams", "deep"), "suffixes")
+        candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
+        kept.append(candidates)
     inner, cover = ["win", "c1", "c2"], ["f1", "f2"]
     one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
     groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), one), "groups")
@@ -351,7 +355,9 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, also: tuple[int, ...]
     is a string; a character of which a cut left a part goes whole.
     """
     windows = (window, *also)
-    ranges = written(repeated_windows(docs, windows=windows, text=text), "ranges").groupBy(*NAME).agg(F.collect_list(F.struct("win", "first", "more")).alias("ranges"))
+    with releasing() as kept:
+        kept.append(written(repeated_windows(docs, windows=windows, text=text), "ranges"))
+    ranges = kept[0].groupBy(*NAME).agg(F.collect_list(F.struct("win", "first", "more")).alias("ranges"))
     rows = keyed(docs, text, *(docs[c].alias(f"c_{k}") for k, c in enumerate(carry)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = [f"c_{k}" for k in range(len(carry))]

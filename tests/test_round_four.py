@@ -72,6 +72,13 @@ def test_op7_in_parts_gives_the_same_rows(spark, monkeypatch):
     assert sorted(map(tuple, queries.op7_flac_media(spark, folder).collect())) == whole
     assert max(most) == 2
     assert {x.split("-")[-1] for x in stages(spark) - before} == {"digests"}
+def test_op10_leaves_its_ranges_alone(spark):
+    before = stages(spark)
+    found = queries.op10_suffix_dedup(spark, "/root/testdata/sf0.001")
+    assert {x.split("-")[-1] for x in stages(spark) - before} == {"ranges"}
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 
 
 @pytest.mark.parametrize("name", ["answer_path", "schema_deviations", "record_validation", "worth_waking"])

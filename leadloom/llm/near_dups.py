@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import releasing, ship, written
 from .blocks import BASE, U, chained, mix, word_hashes
 from .components import components
 from .keys import NO_ID
@@ -256,7 +256,9 @@ class _Links:
         found = written(confirmed(pairs, self.texts), "links")
         if found.limit(1).count():
             self.links = found if self.links is None else self.links.unionAll(found)
-            self.roots = written(components(self.links), "roots")
+            with releasing() as kept:
+                self.roots = written(components(self.links), "roots")
+                kept.append(self.roots)
 
     def rooted(self, members: DataFrame) -> DataFrame:
         """``members`` with the root of their node."""
@@ -266,35 +268,40 @@ class _Links:
 
     def mixed(self, members: DataFrame) -> DataFrame:
         """key, node, n and root of the members of buckets that hold several components."""
-        now = written(self.rooted(members.select("key", "node", "n")), "members")
-        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        return written(now.join(several, "key", "left_semi"), "mixed")
+        with releasing() as kept:
+            now = written(self.rooted(members.select("key", "node", "n")), "members")
+            several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+            kept.append(written(now.join(several, "key", "left_semi"), "mixed"))
+        return kept[0]
 
 
 def linked(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, with its class (hash of the set), the class that names its component, and text_hash."""
     sets = written(document_sets(docs, text=text, key=key), "sets")
-    classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
-    keys = chunk_keys(classes)
-    members = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key", "left_semi"), "shared")
-    now = members
-    found = _Links(written(candidate_texts(docs, sets, classes, members, text=text, key=key), "texts"))
-    centres = members.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.min("n").alias("m"))
-    stars = members.join(centres, "key").where((F.col("node") != F.col("centre")) & _like_sizes("n", "m")).groupBy("node", "centre").agg(F.count("*").alias("together"))
-    found.compare(stars.groupBy("node").agg(F.max_by("centre", F.struct("together", "centre")).alias("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")), "stars")
-    now = found.mixed(members)
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / ORDERED)).alias("salt")
-    by_size = Window.partitionBy("key", "salt").orderBy("n", "node")
-    for away in NEIGHBOURS:
-        chain = now.join(now.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "node", "n", "root", salt)
-        chain = chain.select("node", "n", "root", *(F.lead(c, away).over(by_size).alias(name) for c, name in (("node", "next"), ("n", "m"), ("root", "other"))))
-        found.compare(chain.where((F.col("root") != F.col("other")) & _like_sizes("n", "m")).select(F.col("node").alias("a"), F.col("next").alias("b")), "chain")
-        now = found.mixed(now)
-    crowd = now.select("node", "n", "root").dropDuplicates(["node"])
-    if crowd.limit(1).count():
-        found.compare(prefix_pairs(written(crowd, "crowd"), found.texts), "across")
-    owned = found.rooted(classes.select("node", "id"))
-    labels = owned.join(owned.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component", "root")
+    with releasing() as kept:
+        classes = written(sets.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
+        with releasing() as early:  # every shared bucket; later steps read those of several components
+            keys = chunk_keys(classes)
+            members = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key"), "key", "left_semi"), "shared")
+            found = _Links(written(candidate_texts(docs, sets, classes, members, text=text, key=key), "texts"))
+            centres = members.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("centre"), F.min("n").alias("m"))
+            stars = members.join(centres, "key").where((F.col("node") != F.col("centre")) & _like_sizes("n", "m")).groupBy("node", "centre").agg(F.count("*").alias("together"))
+            found.compare(stars.groupBy("node").agg(F.max_by("centre", F.struct("together", "centre")).alias("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")), "stars")
+            now = found.mixed(members)
+            early += [now, found.texts, found.tested, found.links, found.roots]
+        salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / ORDERED)).alias("salt")
+        by_size = Window.partitionBy("key", "salt").orderBy("n", "node")
+        for away in NEIGHBOURS:
+            chain = now.join(now.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "node", "n", "root", salt)
+            chain = chain.select("node", "n", "root", *(F.lead(c, away).over(by_size).alias(name) for c, name in (("node", "next"), ("n", "m"), ("root", "other"))))
+            found.compare(chain.where((F.col("root") != F.col("other")) & _like_sizes("n", "m")).select(F.col("node").alias("a"), F.col("next").alias("b")), "chain")
+            now = found.mixed(now)
+        crowd = now.select("node", "n", "root").dropDuplicates(["node"])
+        if crowd.limit(1).count():
+            found.compare(prefix_pairs(written(crowd, "crowd"), found.texts), "across")
+        owned = found.rooted(classes.select("node", "id"))
+        labels = written(owned.join(owned.groupBy("root").agg(F.min("id").alias("component")), "root").select("node", "component", "root"), "labels")
+        kept.append(labels)
     doc_id = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.coalesce("component", "id")
     return sets.join(labels, "node", "left").select(
@@ -322,7 +329,9 @@ def candidate_texts(docs: DataFrame, sets: DataFrame, classes: DataFrame, member
 
 def representatives(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and all without words; of equal rows one."""
-    found = written(linked(docs, text=text, key=key).where("kept"), "kept")
+    with releasing() as kept:
+        found = written(linked(docs, text=text, key=key).where("kept"), "kept")
+        kept.append(found)
     ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("keep_id")
     first = found.where("component_hash is not null").groupBy("component_hash").agg(F.min(F.struct(ids, "text_hash")).alias("x")).select("x.*")
     alone = found.where("component_hash is null").select(ids, "text_hash").distinct()

@@ -89,3 +89,10 @@ def test_an_answer_is_parsed_once(spark, monkeypatch, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") <= 1
     assert "RepartitionByExpression [o_orderkey" in plan
+
+
+def test_op2_leaves_sets_and_labels_alone(spark):
+    before = stages(spark)
+    found = queries.op2_minhash_near_dups(spark, "/root/testdata/sf0.001")
+    assert {x.split("-")[-1] for x in stages(spark) - before} == {"sets", "labels"}
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

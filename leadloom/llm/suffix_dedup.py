@@ -43,6 +43,8 @@ from .tokens import text_blocks
 #: Bytes of a repeated string, and of a repeated passage: 50 short words.
 WINDOW, PASSAGE = 400, 250
 NAME = ["k1", "k2"]
+#: Parts in which texts are dealt out to their open runs: one part's shuffle files go before the next one's come.
+DEALT = 2
 
 
 def keyed(docs: DataFrame, text: str, *others) -> DataFrame:
@@ -302,22 +304,29 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
     if min(windows) < SAMPLE:
         raise ValueError(f"a window has at least {SAMPLE} bytes")
     ship(docs.sparkSession)
-    found = written(sampled(docs, text, windows), "sampled")
-    names = written(found.groupBy(*NAME).agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size")), "names")
-    texts = found.join(names.select("doc"), "doc", "left_semi")
-    with releasing() as kept:
-        lean = written(texts.select("doc", "size", "shape", "grams", "deep"), "suffixes")
-        candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
-        kept.append(candidates)
     inner, cover = ["win", "c1", "c2"], ["f1", "f2"]
-    one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
-    groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), one), "groups")
-    settled = candidates.where(F.col("state") == WAITS).join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
-    settled = settled.unionAll(candidates.where(F.col("state") == REPEATED).select("win", "doc", "first", "more"))
-    # One run stands for all with its covering chain: it is enough to meet the open ones.
-    unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
-    ends = groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open"))
-    late = met(written(margins(texts, ends, windows), "margins"), windows)
+    with releasing() as kept:  # texts go before ends are sorted
+        found = written(sampled(docs, text, windows), "sampled")
+        names = written(found.groupBy(*NAME).agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size")), "names")
+        with releasing() as ready:  # and runs before texts are dealt out
+            with releasing() as early:
+                lean = written(found.join(names.select("doc"), "doc", "left_semi").select("doc", "size", "shape", "grams", "deep"), "suffixes")
+                candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
+                early.append(candidates)
+            one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
+            groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), one), "groups")
+            settled = candidates.where(F.col("state") == WAITS).join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
+            settled = written(settled.unionAll(candidates.where(F.col("state") == REPEATED).select("win", "doc", "first", "more")), "settled")
+            # One run stands for all with its covering chain: it is enough to meet the open ones.
+            unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
+            ends = written(groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open")), "ends")
+            ready += [settled, ends]
+        parts = [F.pmod(F.xxhash64("doc"), F.lit(DEALT)) == k for k in range(DEALT)]
+        # One folder, no union: where joins are below a union, rows of its parts that share a key did not meet.
+        start, *others = (margins(found.where(x), ends.where(x), windows) for x in parts)
+        sides = written(start, "margins", *others)
+        kept += [names, settled, sides]
+    late = met(sides, windows)
     ranges = merged(settled.unionByName(late)).join(names.where("copies = 1").select("doc", *NAME), "doc").select(*NAME, "win", "first", "more")
     whole = [names.where((F.col("copies") > 1) & (F.col("size") >= w)).select(*NAME, F.lit(k).alias("win"), F.lit(0).cast("long").alias("first"), (F.col("size") - w).cast("int").alias("more")) for k, w in enumerate(windows)]
     for x in whole:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from leadloom.llm import suffix_dedup as sd
+from leadloom.session import shared_dir, written
 
 
 def brute(texts, window):
@@ -128,3 +130,24 @@ def test_zero_bytes_beside_a_passage(spark):
     passage = words(rng, 70)[:380]
     ends = ["\0" * 30, "\0" * 15 + "ab", "", "\0", "\0" * 22 + "ab", "ab" + "\0" * 9]
     check(spark, [a + passage + b for a in ends for b in ends])
+
+
+def test_stages_go_before_ends_are_sorted(spark, documents, monkeypatch):
+    folder = shared_dir(spark).removeprefix("file://")
+    before, there, write = set(os.listdir(folder)), {}, sd.written
+
+    def seen(df, name, *more):
+        found = write(df, name, *more)
+        there[name] = {x.split("-", 2)[2] for x in set(os.listdir(folder)) - before}
+        return found
+
+    monkeypatch.setattr(sd, "written", seen)
+    sd.deduplicated(documents, also=(sd.PASSAGE,))
+    assert there["margins"] == {"sampled", "names", "settled", "ends", "margins"}
+    assert there["ranges"] == {"names", "settled", "margins", "ranges"}
+
+
+def test_parts_of_a_stage_are_read_as_one(spark):
+    rows = spark.range(100)
+    found = written(rows.where("id % 3 = 0"), "thirds", rows.where("id % 3 = 1"), rows.where("id % 3 = 2"))
+    assert sorted(r["id"] for r in found.collect()) == list(range(100))

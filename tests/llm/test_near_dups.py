@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from leadloom.llm import components as graph
 from leadloom.llm import near_dups
 from leadloom.llm.components import components
 
@@ -137,3 +138,14 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     wanted = {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == wanted
+
+
+def test_few_edges_take_no_rounds_and_give_the_roots_of_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (9000, 9000)], "a long, b long")
+    stages, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: stages.append(name) or write(df, name))
+    few = {(r["node"], r["root"]) for r in components(edges).collect()}
+    assert stages == []
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert few == {(r["node"], r["root"]) for r in components(edges).collect()} and len(stages) > 2

@@ -322,7 +322,7 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
             ends = written(groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open")), "ends")
             ready += [settled, ends]
         parts = [F.pmod(F.xxhash64("doc"), F.lit(DEALT)) == k for k in range(DEALT)]
-        # One folder, no union: where joins are below a union, rows of its parts that share a key did not meet.
+        # One folder: with a union of two in its place, ``met`` lost rows on 0.10 GB where its joins were no broadcasts.
         start, *others = (margins(found.where(x), ends.where(x), windows) for x in parts)
         sides = written(start, "margins", *others)
         kept += [names, settled, sides]

@@ -313,13 +313,14 @@ def repeated_windows(docs: DataFrame, *, windows: tuple[int, ...] = (WINDOW,), t
                 lean = written(found.join(names.select("doc"), "doc", "left_semi").select("doc", "size", "shape", "grams", "deep"), "suffixes")
                 candidates = written(candidate_runs(lean, refined(lean), windows), "runs")
                 early.append(candidates)
-            one = F.min(F.struct("doc", "first", "more", "lead", "core")).alias("one")
-            groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), one), "groups")
+            # Runs with one covering chain have equal windows at equal places around the inner chain, so any of them may stand for all; columns of plain numbers are summed up without a sort.
+            one = ["doc", "first", "more", "lead", "core"]
+            groups = written(candidates.where(F.col("state") != REPEATED).groupBy(*inner, *cover).agg(F.sum(F.when(F.col("state") == NAMED, 2).otherwise(1)).alias("n"), *(F.first(c).alias(c) for c in one)), "groups")
             settled = candidates.where(F.col("state") == WAITS).join(groups.where("n > 1").select(*inner, *cover), [*inner, *cover], "left_semi").select("win", "doc", "first", "more")
             settled = written(settled.unionAll(candidates.where(F.col("state") == REPEATED).select("win", "doc", "first", "more")), "settled")
             # One run stands for all with its covering chain: it is enough to meet the open ones.
             unsettled = groups.groupBy(*inner).agg(F.count("*").alias("all"), F.count(F.when(F.col("n") == 1, 1)).alias("alone")).where("all > 1 and alone > 0").select(*inner)
-            ends = written(groups.join(unsettled, inner).select(*inner, "one.*", (F.col("n") == 1).alias("open")), "ends")
+            ends = written(groups.join(unsettled, inner).select(*inner, *one, (F.col("n") == 1).alias("open")), "ends")
             ready += [settled, ends]
         parts = [F.pmod(F.xxhash64("doc"), F.lit(DEALT)) == k for k in range(DEALT)]
         # One folder: with a union of two in its place, ``met`` lost rows on 0.10 GB where its joins were no broadcasts.
@@ -356,6 +357,15 @@ def merged(ranges: DataFrame) -> DataFrame:
     return lists.mapInArrow(work, "doc long, win int, first long, more int")
 
 
+def covered_spans(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the spans that ranges of bytes cover, in order; ranges of a document that overlap or touch are one."""
+    order = np.argsort(start, kind="stable")
+    own, start, end = own[order], start[order], np.maximum.accumulate(end[order])
+    cut = np.ones(len(own), bool)
+    cut[1:] = (own[1:] != own[:-1]) | (start[1:] > end[:-1])
+    return own[cut], start[cut], end[np.append(cut[1:], True)[: len(own)]]
+
+
 def deduplicated(docs: DataFrame, *, window: int = WINDOW, also: tuple[int, ...] = (), text: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept (bytes) and covered of every document, with the columns of ``carry`` as c_0, c_1, ...
 
@@ -378,23 +388,21 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, also: tuple[int, ...]
             own = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())) if len(flat) else np.zeros(0, np.int64)
             win, first, more = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
             docs_, n = part.num_rows, len(data)
-            gone = []
-            for k, size in enumerate(windows):
-                mine = win == k
-                a = offsets[own[mine]] + first[mine]
-                edge = np.bincount(a, minlength=n + 1) - np.bincount(a + more[mine] + size, minlength=n + 1)
-                gone.append(np.cumsum(edge[:n]) > 0)
-            totals = [np.concatenate([[0], np.cumsum(x)]) for x in gone]
-            begins = gone[0].copy()
-            begins[1:] &= ~gone[0][:-1] | np.isin(np.arange(1, n), offsets)
-            starts = np.concatenate([[0], np.cumsum(begins)])
-            removed, *covered = (t[offsets[1:]] - t[offsets[:-1]] for t in totals)
-            left = data[~gone[0]].tobytes()
-            bounds = (offsets - totals[0][offsets]).tolist()
+            begin = offsets[own] + first
+            stop = begin + more + np.array(windows)[win]
+            spans = [covered_spans(own[win == k], begin[win == k], stop[win == k]) for k in range(len(windows))]
+            removed, *covered = (np.bincount(doc, weights=end - start, minlength=docs_).astype(np.int64) for doc, start, end in spans)
+            doc, start, end = spans[0]
+            edge = np.zeros(n + 1, np.int8)
+            edge[start] = 1
+            edge[end] -= 1
+            gone = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+            left = data[~gone].tobytes()
+            bounds = (offsets - np.append(0, np.cumsum(removed))).tolist()
             bodies = [left[a:b] for a, b in zip(bounds, bounds[1:])]
             kept = pa.array([x.decode("utf-8", "ignore") for x in bodies], pa.string()) if as_text else pa.array(bodies, pa.binary())
             table = pa.ListArray.from_arrays(pa.array(np.arange(docs_ + 1, dtype=np.int32) * len(covered)), pa.array(np.stack(covered, axis=1).ravel() if covered else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(removed), pa.array(starts[offsets[1:]] - starts[offsets[:-1]]), kept, table, *part.columns[2:]], ["n_bytes", "n_removed", "n_spans", "kept", "covered", *extra])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.bincount(doc, minlength=docs_).astype(np.int64)), kept, table, *part.columns[2:]], ["n_bytes", "n_removed", "n_spans", "kept", "covered", *extra])
 
     schema = ", ".join(["n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"), "covered array<long>", *(f"c_{k} {kinds[c]}" for k, c in enumerate(carry))])
     return rows.join(ranges, NAME, "left").select("text", F.coalesce("ranges", F.array().cast("array<struct<win:int,first:bigint,more:int>>")).alias("ranges"), *extra).mapInArrow(work, schema)

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from .blocks import BASE, U, lanes, mix, span_hashes
+from .blocks import BASE, U, lanes, mix
 
 #: Bytes of a q-gram and of a sample; a sample has as many places for its anchor as a q-gram has bytes.
 GRAM = 96
 SAMPLE = 2 * GRAM - 1
 #: Identifiers that a suffix's new one is made of: a chain of FAN**level anchors has a bucket at each level.
 FAN = 4
-#: Samples that are searched at a time; longer texts go piece by piece.
-PIECE = 1 << 22
+#: Samples that are searched at a time: a piece's arrays stay in the processor's cache.
+PIECE = 1 << 16
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -45,15 +45,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         stop = min(n, at + PIECE + SAMPLE - 1)
         keys = mix(lanes(data[at : min(n, stop + 8)])[: stop - at - GRAM + 1] * U(0x9FB21C651E98DF25) + U(1))
         own = sliding_argmin(keys, SAMPLE - GRAM + 1) + at
-        start = np.arange(at, at + len(own))
+        # The samples inside a document follow one another: only its first one has another document's before it.
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = own[1:] != own[:-1]
+        low, high = np.searchsorted(offsets, [at, at + len(own)])
+        fresh[offsets[low:high] - at] = True
+        fresh = np.flatnonzero(fresh)
+        start = fresh + at
         doc = np.searchsorted(offsets, start, "right") - 1
         inside = start + SAMPLE <= offsets[doc + 1]
-        start, own, doc = start[inside], own[inside], doc[inside]
-        fresh = np.ones(len(start), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-        owner.append(doc[fresh])
-        place.append(own[fresh])
-        first.append(start[fresh])
+        owner.append(doc[inside])
+        place.append(own[fresh[inside]])
+        first.append(start[inside])
     owner, place, first = (np.concatenate(x) for x in (owner, place, first))
     # An anchor that two pieces share comes once.
     fresh = np.ones(len(owner), bool)
@@ -63,8 +66,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def gram_hashes(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
-    start = offsets[owner] + place
-    return span_hashes(data, start, start + GRAM)
+    """Hash of each anchor's q-gram, which has whole lanes of eight bytes."""
+    eight, start = lanes(data), offsets[owner] + place
+    out = np.full(len(start), BASE, U)
+    for k in range(0, GRAM, 8):
+        out = mix((out ^ eight[start + k]) * U(0x9FB21C651E98DF25) + BASE)
+    return out
 
 
 def deepest(owner: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:

@@ -1,10 +1,12 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadloom.llm import language_model as lm
 
@@ -58,6 +60,28 @@ def test_routed_probes_give_the_same_scores(docs):
         assert np.allclose([r[5:] for r in direct], [r[5:] for r in other], rtol=1e-9)
 
 
+@pytest.mark.parametrize("kind, heavy", [("docs", 20), ("documents", 400), ("documents", 10**9)])
+def test_travelling_probes_take_little_room(spark, kind, heavy, docs, documents, monkeypatch):
+    """Packed rows of a part at a time: stages stay below the size of the texts, which one row a token took many times over."""
+    df = docs if kind == "docs" else documents
+    model = lm.fit(df, segment_entries=20_000, heavy=heavy)
+    assert len(model.heavy[0]) == model.words.where((F.col("n") >= heavy) | (F.col("word") == int(lm.END.astype("int64")))).count()
+    direct = rows_of(lm.score(df, model))
+    sizes, plain = [], lm.written
+
+    def measured(frame, name):
+        stage = plain(frame, name)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in stage.inputFiles()))
+        return stage
+
+    monkeypatch.setattr(lm, "written", measured)
+    routed = rows_of(lm.score(df, model, broadcast_bytes=0))
+    assert [r[:5] for r in direct] == [r[:5] for r in routed] and len(routed) == df.count()
+    assert np.allclose([r[5:] for r in direct], [r[5:] for r in routed], rtol=1e-9)
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert kind == "docs" or (len(sizes) == 3 * lm.PARTS and max(sizes) < size)
+
+
 def test_bigrams_help_on_held_out_text(spark):
     import random
 

@@ -127,3 +127,30 @@ def test_turns_are_few_and_work_is_dealt_by_pairs(spark, monkeypatch):
     for found in (plain(keys.coalesce(1), pool, "k", "m", few=1), schedule.rendezvous(keys.coalesce(1), pool, "k", "m")):
         tasks = found.select("k").distinct().withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task")).first()[0]
         assert tasks > 4
+
+
+@pytest.mark.parametrize("few", [1, 5])
+def test_keys_below_the_bar_meet_the_pool_again(spark, monkeypatch, few):
+    """Bars that nothing, few, many or all members pass, and a pool in pieces, give the same rows."""
+    keys, pool = spark.createDataFrame([(k,) for k in [*range(30), None]], "k long").repartition(3), spark.range(60).union(spark.range(7)).withColumnRenamed("id", "m")
+    want = {(k, j + 1): m for k in range(30) for j, m in enumerate(sorted(range(60), key=lambda m: weight(k, m), reverse=True)[:few])}
+    want |= {(None, j + 1): m for j, m in enumerate(sorted(range(60), key=lambda m: hashlib.sha256(str(m).encode()).hexdigest(), reverse=True)[:few])}
+    for bar in ("g", "f8", "e", ""):
+        monkeypatch.setattr(assignment, "bar_of", lambda few, n: bar)
+        assert {(r["k"], r["rank"]): r["m"] for r in assignment.ranking(keys, pool, "k", "m", few=few, block=7).collect()} == want
+    monkeypatch.setattr(assignment, "SENT", 20)
+    monkeypatch.setattr(assignment, "bar_of", lambda few, n: "f")
+    assert {(r["k"], r["rank"]): r["m"] for r in assignment.ranking(keys, pool, "k", "m", few=few, block=7).collect()} == want
+
+
+def test_pairs_are_hashed_in_the_join(spark):
+    """Members far from a key's best few make no entry anywhere: each pair used to become one that was sorted."""
+    keys, pool = spark.range(40).withColumnRenamed("id", "k"), spark.range(5000).withColumnRenamed("id", "m")
+    found = assignment.ranking(keys, pool, "k", "m", few=3)
+    assert found.count() == 120
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildRight, LeftOuter, (sha2(" in plan and "BuildRight, Cross" not in plan
+    # Expected at 5000 members: 3 + 8 * sqrt(3) + 16 above the bar.
+    bar = assignment.bar_of(3, 5000)
+    above = [sum(weight(k, m) >= bar for m in range(5000)) for k in range(40)]
+    assert 10 < min(above) and max(above) < 70 and assignment.bar_of(3, 20) == ""
